@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 from collections.abc import Iterator
 
@@ -84,11 +85,41 @@ def serialise(ranks: list[bytes]) -> bytes:
     return b"".join(_field(1, p) for p in pieces) + _field(2, trainer) + _field(3, normaliser)
 
 
+#: Characters below this one are told apart by plain `re` classes, which match twice as fast.
+NARROW = 0x3000
+
+
+def _class(matches) -> str:
+    """The characters below NARROW that `matches` accepts, as ranges of a character class."""
+    has = np.array([bool(matches(chr(c))) for c in range(NARROW)])
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], has, [0]))))
+    return "".join(f"\\u{a:04x}-\\u{b - 1:04x}" for a, b in edges.reshape(-1, 2))
+
+
+def finder(pattern: str):
+    """A function that lists a text's matches of `pattern`, as the regex module does.
+
+    Texts of characters below NARROW go to `re`, with the Unicode classes of the
+    pattern spelt out from the regex module's own; others go to the regex module.
+    """
+    full = regex.compile(pattern).findall
+    narrow = pattern
+    for bare in (r"\p{L}", r"\p{N}", r"\s"):
+        ranges = _class(regex.compile(bare).match)
+        narrow = re.sub(r"(\[\^?(?:[^\]\\]|\\.)*?)" + re.escape(bare), lambda m, r=ranges: m[1] + r, narrow)  # within a class
+        narrow = narrow.replace(bare, f"[{ranges}]")
+        if bare == r"\s":
+            narrow = narrow.replace(r"\S", f"[^{ranges}]")
+    quick = re.compile(narrow).findall
+    wide = re.compile(f"[^\\u0000-\\u{NARROW - 1:04x}]").search
+    return lambda text: full(text) if wide(text) else quick(text)
+
+
 class Codec:
     """Encodes texts to little-endian unsigned 32-bit ids, and back to bytes."""
 
     def __init__(self, model: bytes, pattern: str, pieces: list[bytes]):
-        self.find = regex.compile(pattern).findall
+        self.find = finder(pattern)
         self.pieces = np.array(pieces, dtype=object)
         processor = sentencepiece.SentencePieceProcessor(model_proto=model)
         letters = byte_characters()
