@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe
+from . import byte_bpe, embedding_dedup, topk_search
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_byte_bpe": byte_bpe.op3_byte_bpe,
+        "op4_topk_search": topk_search.op4_topk_search,
+        "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_topk_search": topk_search.OP4_SQL,
+        "op10_embedding_dedup": embedding_dedup.OP10_SQL,
+    }
