@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, embedding_dedup, topk_search
+from . import byte_bpe, embedding_dedup, quality, topk_search
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": quality.op1_quality,
         "op3_byte_bpe": byte_bpe.op3_byte_bpe,
         "op4_topk_search": topk_search.op4_topk_search,
         "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
