@@ -59,3 +59,31 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def column(df: DataFrame, name: str, kind: str):
     """The named column cast to `kind`; null where the frame lacks it."""
     return F.col(f"`{name}`").cast(kind) if name in df.columns else F.lit(None).cast(kind)
+
+
+def bitmap(df: DataFrame, name: str, most_bits: int = 26):
+    """Which hashes of the long column `name` occur: a numpy bit map of at most 2**most_bits bits.
+
+    A filter with false positives only; its size is bounded however many rows there are,
+    so it may be sent to every task.
+    """
+    import numpy as np
+
+    n = df.count()
+    bits = min(most_bits, max(10, int(8 * n + 1).bit_length()))
+    word = F.shiftrightunsigned(F.xxhash64(name), 64 - bits + 6)
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64(`{name}`), {64 - bits}) & 63 AS INT))")
+    words = df.where(F.col(name).isNotNull()).select(word.alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    table = words.toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    if table.num_rows:
+        out[table.column("w").to_numpy()] = table.column("b").to_numpy().view(np.uint64)
+    return bits, out
+
+
+def maybe_in(column_hash, bits: int, words):
+    """Which of the 64-bit hashes (xxhash64 as computed by Spark) a bitmap holds."""
+    import numpy as np
+
+    h = column_hash.view(np.uint64) >> np.uint64(64 - bits)
+    return (words[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1) == 1
