@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, embedding_dedup, minhash_dedup, pii, quality, topk_search
+from . import byte_bpe, embedding_dedup, line_dedup, minhash_dedup, pii, quality, topk_search
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_byte_bpe": byte_bpe.op3_byte_bpe,
         "op4_topk_search": topk_search.op4_topk_search,
         "op5_minhash_dedup": minhash_dedup.op5_minhash_dedup,
+        "op6_line_dedup": line_dedup.op6_line_dedup,
         "op8_pii": pii.op8_pii,
         "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
     }

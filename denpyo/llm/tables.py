@@ -61,9 +61,11 @@ def column(df: DataFrame, name: str, kind: str):
     return F.col(f"`{name}`").cast(kind) if name in df.columns else F.lit(None).cast(kind)
 
 
-def bitmap(df: DataFrame, name: str, most_bits: int = 26):
+def bitmap(df: DataFrame, name: str, most_bits: int = 26, hashed: bool = False):
     """Which hashes of the long column `name` occur: a numpy bit map of at most 2**most_bits bits.
 
+    The hash is Spark's xxhash64, or the value itself where `hashed` says that it is one.
+
     A filter with false positives only; its size is bounded however many rows there are,
     so it may be sent to every task.
     """
@@ -71,8 +73,9 @@ def bitmap(df: DataFrame, name: str, most_bits: int = 26):
 
     n = df.count()
     bits = min(most_bits, max(10, int(8 * n + 1).bit_length()))
-    word = F.shiftrightunsigned(F.xxhash64(name), 64 - bits + 6)
-    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64(`{name}`), {64 - bits}) & 63 AS INT))")
+    value = f"`{name}`" if hashed else f"xxhash64(`{name}`)"
+    word = F.expr(f"shiftrightunsigned({value}, {64 - bits + 6})")
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned({value}, {64 - bits}) & 63 AS INT))")
     words = df.where(F.col(name).isNotNull()).select(word.alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
     table = words.toArrow()
     out = np.zeros(1 << (bits - 6), np.uint64)
@@ -82,7 +85,7 @@ def bitmap(df: DataFrame, name: str, most_bits: int = 26):
 
 
 def maybe_in(column_hash, bits: int, words):
-    """Which of the 64-bit hashes (xxhash64 as computed by Spark) a bitmap holds."""
+    """Which of the 64-bit hashes a bitmap holds."""
     import numpy as np
 
     h = column_hash.view(np.uint64) >> np.uint64(64 - bits)
