@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, embedding_dedup, line_dedup, minhash_dedup, pii, quality, topk_search
+from . import byte_bpe, embedding_dedup, line_dedup, minhash_dedup, mixing, pii, quality, topk_search
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_minhash_dedup": minhash_dedup.op5_minhash_dedup,
         "op6_line_dedup": line_dedup.op6_line_dedup,
         "op8_pii": pii.op8_pii,
+        "op9_mixing": mixing.op9_mixing,
         "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
     }
 
