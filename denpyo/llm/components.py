@@ -15,22 +15,27 @@ from pyspark.sql import functions as F
 from .tables import Workspace
 
 
+#: Edges that a file of a step's table holds; small graphs are not spread over many tasks.
+EDGES_PER_FILE = 250_000
+
+
 def components(edges: DataFrame, workspace: Workspace) -> DataFrame:
     """node, root for each node whose root (the least id reachable) is another node.
 
     `edges` has columns a and b (long); loops, nulls and repeated edges do no harm.
     """
-    now = workspace.keep(_ordered(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("a is not null and b is not null")), "edges")
+    start = edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("a is not null and b is not null")
+    now = workspace.keep(_ordered(start), "edges")
     mark = _mark(now)
     while mark[0]:
+        files = 1 + mark[0] // EDGES_PER_FILE
         both = now.select(F.col("hi").alias("node"), F.col("lo").alias("m")).union(now.select(F.col("lo"), F.col("hi")))
-        least = workspace.keep(both.groupBy("node").agg(F.least("node", F.min("m")).alias("m")), "least")
+        least = workspace.keep(both.groupBy("node").agg(F.least("node", F.min("m")).alias("m")).coalesce(2 * files), "least")
         tied = now.join(least, F.col("lo") == F.col("node")).select("hi", F.col("m").alias("lo"))
-        wide = workspace.keep(_ordered(tied), "wide")
-        own = workspace.keep(wide.groupBy("hi").agg(F.min("lo").alias("m")).withColumnRenamed("hi", "node"), "own")
-        joined = wide.join(own, F.col("hi") == F.col("node"))
-        tied = joined.where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(own.select("node", "m"))
-        then = workspace.keep(_ordered(tied), "edges")
+        wide = workspace.keep(_ordered(tied).coalesce(files), "wide")
+        own = workspace.keep(wide.groupBy("hi").agg(F.min("lo").alias("m")).withColumnRenamed("hi", "node").coalesce(files), "own")
+        tied = wide.join(own, F.col("hi") == F.col("node")).where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(own.select("node", "m"))
+        then = workspace.keep(_ordered(tied).coalesce(files), "edges")
         after = _mark(then)
         for old in (now, least, wide, own):
             workspace.drop(old)

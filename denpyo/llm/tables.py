@@ -33,11 +33,14 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/denpyo/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        self._paths: dict[int, tuple[DataFrame, str]] = {}
 
     def keep(self, df: DataFrame, label: str = "t") -> DataFrame:
         path = self.path(label)
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self._paths[id(out)] = out, path
+        return out
 
     def path(self, label: str) -> str:
         self._n += 1
@@ -45,11 +48,9 @@ class Workspace:
 
     def drop(self, df: DataFrame) -> None:
         """Delete a table that `keep` returned and nothing reads any more."""
-        jvm = self.spark._jvm
-        for f in df.inputFiles()[:1]:
-            p = jvm.org.apache.hadoop.fs.Path(f).getParent()
-            if self.root.split("/denpyo/")[1] in p.toString():
-                p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+        _, path = self._paths.pop(id(df))
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
