@@ -1,0 +1,126 @@
+"""Rows, phrases and tables from positioned text: order-dependent steps, one group of a document at a time.
+
+Every operator takes atoms (doc, seq, text, x, y, w, h) and shuffles once, on the document.
+"""
+
+from __future__ import annotations
+
+import re
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+from ..functions.scanners import half
+
+ROW_SCHEMA = "doc long, row int, text string, x double, y double, w double, h double, parts array<struct<text:string,x:double,y:double,w:double,h:double>>"
+
+
+def middle(values: list[float]) -> float:
+    """The upper median; 0 of nothing."""
+    return sorted(values)[len(values) // 2] if values else 0.0
+
+
+def around(parts: list[dict]) -> dict:
+    x, y = min(p["x"] for p in parts), min(p["y"] for p in parts)
+    return {"x": x, "y": y, "w": max(p["x"] + p["w"] for p in parts) - x, "h": max(p["y"] + p["h"] for p in parts) - y}
+
+
+def full_rows(atoms: list[dict]) -> list[list[dict]]:
+    """Atoms whose centres are within 0.45 of a height of the row's, from top to bottom, each row from left to right."""
+    rows: list[list[dict]] = []
+    for a in sorted((a for a in atoms if a["text"].strip() and a["h"] > 0), key=lambda a: a["y"] + a["h"] / 2):
+        if rows:
+            centre = middle([p["y"] + p["h"] / 2 for p in rows[-1]])
+            tall = max(middle([p["h"] for p in rows[-1]]), a["h"])
+            if abs(a["y"] + a["h"] / 2 - centre) < 0.45 * tall:
+                rows[-1].append(a)
+                continue
+        rows.append([a])
+    return [sorted(r, key=lambda p: p["x"]) for r in rows]
+
+
+def phrases(row: list[dict]) -> list[list[dict]]:
+    """A row cut wherever the gap is more than twice the taller neighbour's height."""
+    out: list[list[dict]] = []
+    for p in row:
+        last = out[-1][-1] if out else None
+        if last is not None and p["x"] - last["x"] - last["w"] <= 2 * max(last["h"], p["h"]):
+            out[-1].append(p)
+        else:
+            out.append([p])
+    return out
+
+
+def _as_rows(doc, groups: list[list[dict]]) -> pd.DataFrame:
+    made = [{"doc": doc, "row": i, "text": " ".join(p["text"] for p in g), **around(g), "parts": [{k: p[k] for k in ("text", "x", "y", "w", "h")} for p in g]} for i, g in enumerate(groups)]
+    return pd.DataFrame(made, columns=["doc", "row", "text", "x", "y", "w", "h", "parts"])
+
+
+def _atoms(pdf: pd.DataFrame) -> list[dict]:
+    return pdf.sort_values("seq", kind="stable").assign(text=lambda d: d["text"].fillna("")).to_dict("records")
+
+
+def assemble_rows(atoms: DataFrame) -> DataFrame:
+    return atoms.groupBy("doc").applyInPandas(lambda pdf: _as_rows(int(pdf["doc"].iloc[0]), full_rows(_atoms(pdf))), ROW_SCHEMA)
+
+
+def assemble_phrases(atoms: DataFrame) -> DataFrame:
+    return atoms.groupBy("doc").applyInPandas(lambda pdf: _as_rows(int(pdf["doc"].iloc[0]), [g for r in full_rows(_atoms(pdf)) for g in phrases(r)]), ROW_SCHEMA)
+
+
+# Words of table headers.
+_HEADER = re.compile("品名|品目|商品名?|内容|摘要|数量|単価|金額|税率|利用日|利用年月日|入口|出口|料金|車種|日付|項目|小計")
+_AMOUNT_HEADER = re.compile("金額|料金|通行料|税込|合計|価格")
+_CELL = re.compile(r"([-△▲])?¥?(-)?([0-9]{1,3}(?:,[0-9]{3})+|[0-9]{1,8})(?:円|-)?")
+
+
+def cell_value(text: str) -> int | None:
+    m = _CELL.fullmatch(re.sub(r"\s", "", half(text)).replace("￥", "¥"))
+    return None if not m else (-1 if m[1] or m[2] else 1) * int(m[3].replace(",", ""))
+
+
+def infer_table(rows: list[list[dict]]) -> dict | None:
+    """Columns of right-aligned numbers, which of them holds the amounts, and each row's amount; None without a table.
+
+    `rows` are lists of parts (text, x, y, w, h).
+    """
+    cells = [dict(p, row=i, right=p["x"] + p["w"], value=cell_value(p["text"])) for i, r in enumerate(rows) for p in r]
+    figures = [c for c in cells if c["value"] is not None]
+    if len(figures) < 3:
+        return None
+    h = middle([c["h"] for c in cells]) or 10
+    stacks: list[list[dict]] = []
+    for c in sorted(figures, key=lambda c: c["right"]):
+        if stacks and c["right"] - middle([q["right"] for q in stacks[-1]]) < 1.2 * h:
+            stacks[-1].append(c)
+        else:
+            stacks.append([c])
+    columns = [{"right": middle([c["right"] for c in s]), "left": min(c["x"] for c in s), "count": len({c["row"] for c in s}), "header": None} for s in stacks if len({c["row"] for c in s}) >= 3]
+    if not columns:
+        return None
+    header = next((i for i, r in enumerate(rows) if len(_HEADER.findall(half(" ".join(p["text"] for p in r)))) >= 2), None)
+    for col in columns if header is not None else []:
+        over = (p["text"] for p in rows[header] if p["x"] <= col["right"] + h and p["x"] + p["w"] >= col["left"] - h)
+        col["header"] = next(over, None)
+    named = [i for i, c in enumerate(columns) if c["header"] and _AMOUNT_HEADER.search(c["header"])]
+    filled = [i for i, c in enumerate(columns) if c["count"] >= max(3, 0.5 * max(x["count"] for x in columns))]
+    if not named and not filled:
+        return None
+    chosen = named[0] if named else filled[-1]
+    amounts: list[int | None] = [None] * len(rows)
+    for c in figures:
+        if abs(c["right"] - columns[chosen]["right"]) < 1.2 * h:
+            amounts[c["row"]] = c["value"]
+    return {"columns": columns, "amount_column": chosen, "header_row": header, "amounts": amounts}
+
+
+def table_amounts(atoms: DataFrame) -> DataFrame:
+    """doc, row, text and the amount that the inferred table gives the row (null: none)."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = full_rows(_atoms(pdf))
+        table = infer_table(rows)
+        given = table["amounts"] if table else [None] * len(rows)
+        return pd.DataFrame({"doc": int(pdf["doc"].iloc[0]), "row": range(len(rows)), "text": [" ".join(p["text"] for p in r) for r in rows], "amount": pd.array(given, dtype="Int64")})
+
+    return atoms.groupBy("doc").applyInPandas(one, "doc long, row int, text string, amount long")

@@ -1,0 +1,53 @@
+from denpyo.operators import candidates as C
+from denpyo.operators import layout as L
+
+NTA = "7000012050002"
+
+
+def reading(digits, has_t=True, stage="anchor", conf=90.0, context=False, x=10.0, y=10.0, w=200.0, h=20.0, substitutions=0):
+    return dict(digits=digits, has_t=has_t, stage=stage, conf=conf, context=context, x=x, y=y, w=w, h=h, substitutions=substitutions)
+
+
+def test_candidates():
+    jan = C.candidates([reading("4901234567894", has_t=False), reading(NTA, y=100.0)])
+    assert jan[0]["digits"] == NTA and next(c for c in jan if c["digits"].startswith("49"))["jan"]
+    assert all(c["kind"] != "corrected" for c in C.candidates([reading("7000012050008", has_t=False)]))
+    found = C.candidates([reading(NTA) for _ in range(3)] + [reading("7810648631842", conf=5.0, stage="tile", substitutions=2)])
+    assert found[0]["digits"] == NTA and next(c for c in found if c["digits"] == "7810648631842")["shadowed"]
+    noisy = [NTA[:3] + "9" + NTA[4:], NTA[:6] + "8" + NTA[7:], NTA[:9] + "7" + NTA[10:]]
+    one = next(c for c in C.candidates([reading(d) for d in noisy]) if c["digits"] == NTA)
+    assert one["kind"] == "consensus"
+    assert C.is_confident(C.candidates([reading(NTA)] * 3)) and C.is_confident(C.candidates([reading(NTA, stage="pdf")])) and not C.is_confident(C.candidates([reading(NTA)]))
+
+
+def test_vote_text():
+    assert C.vote_text([("合計 1,100", 90, 1), ("合計 1,100", 80, 1), ("合計 1,700", 95, 1)]) == "合計 1,100"
+    assert C.vote_text([("登録番号 T123", 70, 1), ("登録番号", 90, 1)]) == "登録番号 T123"
+    assert C.vote_text([]) == "" and C.vote_text([("", 1, 1)]) == ""
+
+
+def part(text, x, y, w=60, h=20):
+    return dict(text=text, x=float(x), y=float(y), w=float(w), h=float(h))
+
+
+def test_rows_phrases_tables(spark):
+    rows = L.full_rows([part("b", 200, 11), part("a", 0, 10), part("c", 0, 50), part(" ", 0, 90)])
+    assert [[p["text"] for p in r] for r in rows] == [["a", "b"], ["c"]]
+    assert [[p["text"] for p in g] for g in L.phrases(rows[0])] == [["a"], ["b"]]
+    assert [L.cell_value(c) for c in ("¥1,320", "2,810", "△100", "-¥1,000", "2026/09/01")] == [1320, 2810, -100, -1000, None]
+    cells = [("品名", "数量", "単価", "金額"), ("A", "1", "60,000", "60,000"), ("B", "2", "10,000", "20,000"), ("C", "3", "500", "1,500"), ("合計", "", "", "81,500")]
+    grid = [[part(t, 100 * c, 30 * r) for c, t in enumerate(line) if t] for r, line in enumerate(cells)]
+    table = L.infer_table(grid)
+    assert table["columns"][table["amount_column"]]["header"] == "金額" and table["amounts"] == [None, 60000, 20000, 1500, 81500]
+    assert L.infer_table([[part("a", 0, 0)]]) is None
+    atoms = [(7, i, p["text"], p["x"], p["y"], p["w"], p["h"]) for i, p in enumerate(p for r in grid for p in r)]
+    df = spark.createDataFrame(atoms, "doc long, seq int, text string, x double, y double, w double, h double")
+    assert [r.amount for r in L.table_amounts(df).orderBy("row").collect()] == [None, 60000, 20000, 1500, 81500]
+    assert L.assemble_rows(df).count() == 5 and L.assemble_phrases(df).count() >= 5
+
+
+def test_rank_frame(spark):
+    rows = [(1, i, *[reading(NTA)[k] for k in ("digits", "has_t", "stage", "conf", "context", "x", "y", "w", "h", "substitutions")]) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc long, seq int, digits string, has_t boolean, stage string, conf double, context boolean, x double, y double, w double, h double, substitutions int")
+    top = C.rank(df).first()
+    assert (top.digits, top.votes, top.place, top.stages) == (NTA, 3, 0, ["anchor"])
