@@ -1,0 +1,75 @@
+import datetime as dt
+
+import pytest
+
+from denpyo.operators import billing as B
+
+TODAY = dt.date(2026, 10, 8)
+NTA = "7000012050002"
+
+
+def amounts(*rows):
+    return B.extract_amounts(list(rows))
+
+
+def test_repair():
+    assert "内消費税等" in B.repair("内消貿税等10%¥3") and B.repair("領収害") == "領収書" and "登録番号" in B.repair("事業者登録督号T1")
+    assert all(B.repair(s) == s for s in ("東京都千代田区", "10%対象小計¥80,000", "但しプリント代として"))
+
+
+@pytest.mark.parametrize("rows,total,items,match", [
+    (("商品A ¥500", "商品B ¥700", "消費税 ¥116", "合計 ¥1,316"), 1316, 1200, "equalWithTax"),
+    (("金額 ¥3,120",), 3120, 0, None),
+    (("A ¥100", "B ¥200", "合計 ¥500"), 500, 300, "diff"),
+    (("商品A ¥100", "商品B ¥200", "商品C ¥300"), None, 600, None),
+    (("商品A ¥100", "商品B ¥200", "商品C ¥300", "合計 ¥600"), 600, 600, "equal"),
+    (("A ¥1,000", "値引 ¥100", "合計 ¥900"), 900, 900, "equal"),
+    (("合計 ¥0",), 0, 0, None),
+    (("品 ¥1,100", "合計 ¥1,100(内消費税 ¥100)"), 1100, 1100, "equal"),
+    (("商品 ¥250 ¥500",), None, 500, None),
+    (("2026年10月1日", "12:30", "03-1234-5678"), None, 0, None),
+])
+def test_amounts(rows, total, items, match):
+    got = amounts(*rows)
+    assert (got["doc_total"], got["items_sum"], got["match"]) == (total, items, match)
+
+
+def test_inferred_total():
+    got = amounts("A ¥600", "B ¥616", "消費税 ¥116", "¥1,332")
+    assert got["doc_total"] == 1332 and got["items_sum"] == 1216 and got["items"][-1]["inferred"]
+
+
+def test_breakdown():
+    b = B.tax_breakdown(["10%対象 ¥1,000", "消費税(10%) ¥100", "8%対象 ¥500", "消費税(8%) ¥40", "合計 ¥1,640"])
+    assert [(x["mode"], x["ok"]) for x in b["lines"]] == [("外税", True)] * 2 and b["total_ok"]
+    assert B.tax_breakdown(["10%対象 ¥1,000", "消費税(10%) ¥100", "合計 ¥1,500"])["total_ok"] is False
+    assert B.tax_breakdown(["合計 ¥1,100(内消費税 ¥100)"])["total"] == 1100
+    one = B.tax_breakdown(["10%対象 ¥1,100(内消費税 ¥100)"])["lines"][0]
+    assert (one["base"], one["tax"], one["mode"], one["ok"]) == (1100, 100, "内税", True)
+    assert B.tax_breakdown(["10%対象 税込 ¥1,000", "消費税 ¥100"])["lines"][0]["ok"] is False
+    assert B.tax_breakdown(["10%対象 税抜 ¥1,000", "消費税 ¥100"])["lines"][0]["ok"] is True
+
+
+def status(rows, regno=None, **options):
+    r = B.check_requirements(rows, regno, TODAY, **options)
+    return {x["id"]: x["status"] for x in r["items"]}, r
+
+
+def test_rules():
+    s, r = status(["請求書", "作業一式 ¥10,000"])
+    assert s["regno"] == s["recipient"] == s["tax"] == "ng" and r["summary"] == "ng" and not r["simplified"]
+    s, r = status(["領収書", "2026/10/01", "合計 ¥100"], NTA)
+    assert r["simplified"] and r["kind_source"] == "auto-weak" and s["recipient"] == "warn"
+    assert status(["領収書", "合計 ¥100"], NTA, kind="normal")[0]["recipient"] == "ng"
+    s, r = status(["請求書", "株式会社サンプル商事 御中", "2026年10月1日", "株式会社テスト", "登録番号:T" + NTA, "商品代 ¥1,500", "10%対象 ¥1,000", "消費税(10%) ¥100", "8%対象※ ¥500", "消費税(8%) ¥40", "合計 ¥1,640"], NTA)
+    assert all(v == "ok" for v in s.values()) and r["summary"] == "ok"
+    assert status(["10%対象", "消費税10%"], NTA)[0]["tax"] != "ok" and status(["お茶 8% ¥100"], NTA)[0]["content"] == "warn"
+    assert status(["x"], NTA, corrected=True)[0]["regno"] == "warn"
+    assert B.find_date("2026/10/10", dt.date(2026, 10, 9))["future"] and not B.find_date("2026/10/09", dt.date(2026, 10, 9))["future"]
+
+
+def test_analyse_frame(spark):
+    rows = [(1, i, s, None, NTA) for i, s in enumerate(["〇〇商店", "2026年10月1日", "コ ー ヒ ー  ￥ 300", "合 計 ¥300 (内消費税 ¥22)"])] + [(2, 0, None, None, None)]
+    df = spark.createDataFrame(rows, "doc long, row int, text string, parts array<struct<text:string,x:double,y:double,w:double,h:double>>, digits string")
+    got = {r.doc: r for r in B.analyse(df, TODAY).collect()}
+    assert got[1].amount == 300 and got[1].digits == NTA and got[1].statuses["date"] == "ok" and got[2].amount is None
