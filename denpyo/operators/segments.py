@@ -1,0 +1,181 @@
+"""Finding separate documents on one page: white-space cuts, seeds, and clusters of boxes.
+
+Boxes are dicts with x, y, w, h. A page is one group; all pages are one shuffle on the page key.
+"""
+
+from __future__ import annotations
+
+import functools
+import math
+import re
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+from .candidates import overlap
+from .layout import around, middle
+
+TITLE = re.compile("御?請求書|領収書|領収証|納品書|レシート|請求明細|Invoice|INVOICE|RECEIPT")
+DEPTH = 12
+
+
+def centre(r: dict) -> tuple[float, float]:
+    return r["x"] + r["w"] / 2, r["y"] + r["h"] / 2
+
+
+def holds(r: dict, p: tuple[float, float]) -> bool:
+    return r["x"] <= p[0] <= r["x"] + r["w"] and r["y"] <= p[1] <= r["y"] + r["h"]
+
+
+def widest_gap(rows: list[dict], at: str, size: str) -> tuple[float, float] | None:
+    """The widest stretch (start, end) that no row covers on one axis."""
+    spans = sorted((r[at], r[at] + r[size]) for r in rows)
+    best, end = None, spans[0][0]
+    for a, b in spans:
+        if a > end and (best is None or a - end > best[1] - best[0]):
+            best = (end, a)
+        end = max(end, b)
+    return best
+
+
+def blocks(rows: list[dict], row_height: float, page_width: float, depth: int = 0) -> list[list[dict]]:
+    """Rows cut at white space, across or down, wherever it is wide enough; the wider in its measure goes first."""
+    if len(rows) <= 1 or depth > DEPTH:
+        return [rows] if rows else []
+    gaps = {"x": (widest_gap(rows, "x", "w"), max(3 * row_height, 0.04 * page_width)), "y": (widest_gap(rows, "y", "h"), 2.5 * row_height)}
+    score = {k: (g[1] - g[0]) / least if g else 0.0 for k, (g, least) in gaps.items()}
+    axis = "x" if score["x"] >= score["y"] else "y"
+    if score[axis] < 1:
+        return [rows]
+    cut, place = sum(gaps[axis][0]) / 2, 0 if axis == "x" else 1
+    sides = ([r for r in rows if centre(r)[place] < cut], [r for r in rows if centre(r)[place] >= cut])
+    return [b for side in sides for b in blocks(side, row_height, page_width, depth + 1)]
+
+
+def is_title(text: str) -> bool:
+    t = re.sub(r"\s", "", text)
+    return len(t) <= 10 and bool(TITLE.search(t))
+
+
+def split_invoices(rows: list[dict], numbers: list[dict], page_width: float, page_height: float, titles: list[dict] | None = None) -> list[dict]:
+    """Documents of a page: dicts of index, rows, digits and box. `numbers` are boxes with digits."""
+    whole = [{"index": 0, "rows": rows, "digits": numbers[0]["digits"] if numbers else None, **(around(rows) if rows else {"x": 0.0, "y": 0.0, "w": page_width, "h": page_height})}]
+    kinds = {n["digits"] for n in numbers}
+    titles = [r for r in rows if is_title(r["text"])] if titles is None else titles
+    if len(rows) < 4 or (len(kinds) <= 1 and len(titles) <= 1):
+        return whole
+    tall = middle([r["h"] for r in rows]) or 20
+    parts = [{"rows": b, **around(b)} for b in blocks(rows, tall, page_width)]
+    home = lambda r: next((i for i, b in enumerate(parts) if holds(b, centre(r))), None)
+    by_title = (len(titles) >= 2 and len(titles) > len(kinds)) or len(kinds) < 2
+    seeds: list[dict] = []
+    for mark in titles if by_title else numbers:
+        at = home(mark)
+        if at is None or (by_title and any(at in s["blocks"] for s in seeds)):
+            continue
+        seed = None if by_title else next((s for s in seeds if s["digits"] == mark["digits"]), None)
+        if seed is None:
+            seed = {"digits": None if by_title else mark["digits"], "blocks": []}
+            seeds.append(seed)
+        if at not in seed["blocks"]:
+            seed["blocks"].append(at)
+    if len(parts) <= 1 or len(seeds) <= 1:
+        return whole
+    owner = {b: i for i, s in enumerate(seeds) for b in s["blocks"]}
+    areas = [around([parts[b] for b in s["blocks"]]) for s in seeds]
+
+    def far(block: dict, area: dict) -> float:
+        shared = min(area["x"] + area["w"], block["x"] + block["w"]) - max(area["x"], block["x"])
+        column, above = shared > 0.3 * min(area["w"], block["w"]), area["y"] <= block["y"] + tall
+        return math.dist(centre(area), centre(block)) * ((0.3 if above else 0.7) if column else 1.5)
+
+    for i, b in enumerate(parts):
+        owner.setdefault(i, min(range(len(seeds)), key=lambda k: far(b, areas[k])))
+    found = []
+    for k, s in enumerate(seeds):
+        own = [b for i, b in enumerate(parts) if owner[i] == k]
+        digits = s["digits"] or next((n["digits"] for n in numbers if any(holds(b, centre(n)) for b in own)), None)
+        found.append({"rows": sorted((r for b in own for r in b["rows"]), key=lambda r: (r["y"], r["x"])), "digits": digits, **around(own)})
+    found.sort(key=functools.cmp_to_key(lambda a, b: a["y"] - b["y"] if abs(a["y"] - b["y"]) > 3 * tall else a["x"] - b["x"]))
+    return [{"index": i, **f} for i, f in enumerate(found)]
+
+
+def segment_pages(atoms: DataFrame, numbers: DataFrame) -> DataFrame:
+    """page, seq, segment and digits of the segment for each atom (page, seq, text, x, y, w, h, page_w, page_h); numbers: page, digits, x, y, w, h."""
+
+    def one(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        rows = left.sort_values("seq", kind="stable").to_dict("records")
+        if not rows:
+            return pd.DataFrame({"page": [], "seq": [], "segment": [], "digits": []}).astype({"page": "int64", "seq": "int64", "segment": "int64", "digits": "object"})
+        parts = split_invoices(rows, right.to_dict("records"), rows[0]["page_w"], rows[0]["page_h"])
+        return pd.DataFrame([{"page": r["page"], "seq": r["seq"], "segment": s["index"], "digits": s["digits"]} for s in parts for r in s["rows"]])
+
+    return atoms.groupBy("page").cogroup(numbers.groupBy("page")).applyInPandas(one, "page long, seq long, segment long, digits string")
+
+
+def direction(b: dict) -> str:
+    return "h" if b["w"] > 2 * b["h"] else "v" if b["h"] > 2 * b["w"] else "n"
+
+
+def distance(a: dict, b: dict) -> float:
+    across = max(0.0, a["x"] - b["x"] - b["w"], b["x"] - a["x"] - a["w"])
+    down = max(0.0, a["y"] - b["y"] - b["h"], b["y"] - a["y"] - a["h"])
+    return math.hypot(across, down)
+
+
+def cluster(members: list[dict]) -> dict:
+    ways = [direction(b) for b in members]
+    return {**around(members), "boxes": members, "vertical": ways.count("v") > ways.count("h"), "text_height": middle([min(b["w"], b["h"]) for b in members])}
+
+
+def cluster_boxes(boxes: list[dict], link: float = 2.2, separated=None) -> list[dict]:
+    """Documents as clusters of text boxes: near boxes of one direction, small groups absorbed, aligned and overlapping ones joined."""
+    boxes = [b for b in boxes if b["w"] > 2 and b["h"] > 2]
+    if not boxes:
+        return []
+    short = [min(b["w"], b["h"]) for b in boxes]
+    lines = sorted(s for s, b in zip(short, boxes) if max(b["w"], b["h"]) > 2.5 * s)
+    height = lines[len(lines) // 4] if len(lines) >= 3 else middle(short)
+    group = list(range(len(boxes)))
+    for i, a in enumerate(boxes):
+        for j in range(i + 1, len(boxes)):
+            b = boxes[j]
+            if "n" not in (direction(a), direction(b)) and direction(a) != direction(b):
+                continue
+            if distance(a, b) <= link * min(short[i], short[j], height) and group[i] != group[j]:
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    found = [cluster([b for b, g in zip(boxes, group) if g == k]) for k in dict.fromkeys(group)]
+    most = max(len(c["boxes"]) for c in found)
+    large = [c for c in found if len(c["boxes"]) >= max(4, 0.15 * most)]
+    if not large:
+        return [cluster(boxes)]
+    for c in found:
+        if not any(c is x for x in large):
+            min(large, key=lambda x: distance(c, x))["boxes"].extend(c["boxes"])
+    found = [cluster(c["boxes"]) for c in large]
+
+    def beside(a: dict, b: dict, along: bool, reach: float) -> bool:
+        """Whether two clusters of one direction overlap across `along` the lines by half and are within reach."""
+        at, size = ("x", "w") if along != a["vertical"] else ("y", "h")
+        other, length = ("y", "h") if at == "x" else ("x", "w")
+        shared = min(a[at] + a[size], b[at] + b[size]) - max(a[at], b[at])
+        gap = max(0.0, a[other] - b[other] - b[length], b[other] - a[other] - a[length])
+        return a["vertical"] == b["vertical"] and shared >= 0.5 * min(a[size], b[size]) and gap <= reach and not (separated and separated(a, b))
+
+    def aligned(a: dict, b: dict) -> bool:
+        few, many = sorted((a, b), key=lambda c: len(c["boxes"]))
+        place = 0 if a["vertical"] else 1
+
+        def same(p: dict, q: dict) -> bool:
+            thin, thick = sorted((min(p["w"], p["h"]), min(q["w"], q["h"])))
+            return abs(centre(p)[place] - centre(q)[place]) < 0.3 * thin and thick < 1.6 * thin
+
+        return sum(any(same(p, q) for q in many["boxes"]) for p in few["boxes"]) >= max(2, 0.5 * len(few["boxes"]))
+
+    for joins in (lambda a, b: beside(a, b, True, 8 * height), lambda a, b: beside(a, b, False, 30 * height) and aligned(a, b), lambda a, b: overlap(a, b) > 0.3):
+        while pair := next(((i, j) for i in range(len(found)) for j in range(i + 1, len(found)) if joins(found[i], found[j])), None):
+            i, j = pair
+            found[i] = cluster(found[i]["boxes"] + found[j]["boxes"])
+            del found[j]
+    return sorted(found, key=functools.cmp_to_key(lambda a, b: a["y"] - b["y"] if abs(a["y"] - b["y"]) > 0.5 * min(a["h"], b["h"]) else a["x"] - b["x"]))

@@ -1,0 +1,87 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from denpyo.functions import raster
+from denpyo.operators import segments as S
+from denpyo.streaming import service
+
+
+def row(text, x, y, w=300, h=20):
+    return dict(text=text, x=float(x), y=float(y), w=float(w), h=float(h))
+
+
+def document(x, y, digits):
+    rows = [row("領収書", x, y), *(row(f"行{i}", x, y + 30 * i) for i in range(1, 6))]
+    return rows, ([dict(digits=digits, x=x + 10.0, y=y + 60.0, w=100.0, h=20.0)] if digits else [])
+
+
+def test_segments(spark):
+    one, n = document(0, 0, "7000012050002")
+    assert len(S.split_invoices(one, n, 1000, 1000)) == 1
+    grid = [document(x, y, d) for x, y, d in ((0, 0, "1" * 13), (600, 0, "2" * 13), (0, 600, "3" * 13), (600, 600, None))]
+    rows, numbers = sum((r for r, _ in grid), []), sum((n for _, n in grid), [])
+    found = S.split_invoices(rows, numbers, 1000, 1000)
+    assert [f["digits"] for f in found] == ["1" * 13, "2" * 13, "3" * 13, None] and all(len(f["rows"]) == 6 for f in found)
+    atoms = spark.createDataFrame([(1, i, r["text"], r["x"], r["y"], r["w"], r["h"], 1000.0, 1000.0) for i, r in enumerate(rows)], "page long, seq long, text string, x double, y double, w double, h double, page_w double, page_h double")
+    where = spark.createDataFrame([(1, m["digits"], m["x"], m["y"], m["w"], m["h"]) for m in numbers], "page long, digits string, x double, y double, w double, h double")
+    assert S.segment_pages(atoms, where).groupBy("segment").count().count() == 4
+
+
+def test_clusters():
+    lines = lambda x, y, n=8: [dict(x=float(x), y=float(y + 30 * i), w=200.0, h=20.0) for i in range(n)]
+    upright = [dict(x=1500.0 + 30 * i, y=0.0, w=20.0, h=200.0) for i in range(8)]
+    assert len(S.cluster_boxes(lines(0, 0))) == 1 and S.cluster_boxes([]) == []
+    assert [c["vertical"] for c in S.cluster_boxes(lines(0, 0) + upright)] == [False, True]
+    assert len(S.cluster_boxes(lines(0, 0) + lines(0, 2000))) == 2
+    assert len(S.cluster_boxes(lines(0, 0) + lines(0, 340))) == 1 and len(S.cluster_boxes(lines(0, 0) + lines(0, 340), separated=lambda a, b: True)) == 2
+    assert len(S.cluster_boxes(lines(0, 0) + lines(500, 0))) == 1 and len(S.cluster_boxes(lines(0, 0) + lines(500, 13))) == 2
+    assert len(S.cluster_boxes(lines(0, 0) + [dict(x=300.0, y=0.0, w=40.0, h=40.0)])) == 1
+
+
+def test_login_limit_and_folds():
+    failures, got = [], []
+    for i in range(12):
+        status, failures = service.admit(failures, float(i), False)
+        got.append(status)
+    assert got == [401] * 10 + [429] * 2 and service.admit(failures, 611.0, True) == (200, [])
+    state = {}
+    for e in [("progress", 0.5, None), ("progress", 0.2, None), *(("log", None, str(i)) for i in range(250)), ("engine", None, "x")]:
+        state = service.fold(state, dict(type=e[0], value=e[1], payload=e[2]))
+    assert state["progress"] == 0.5 and len(state["log"]) == 200 and state["log"][-1] == "249" and state["engine"] == "x"
+
+
+def test_login_stream(spark, tmp_path):
+    spark.createDataFrame([("a", float(i), i == 3) for i in range(8)], "ip string, at double, ok boolean").write.json(str(tmp_path / "in"))
+    attempts = spark.readStream.schema("ip string, at double, ok boolean").json(str(tmp_path / "in"))
+    q = service.limit_logins(attempts, limit=2).writeStream.format("memory").queryName("answers").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+    q.awaitTermination(90)
+    assert [r.status for r in spark.table("answers").orderBy("at").collect()] == [401, 401, 429, 429, 429, 429, 429, 429]
+
+
+def test_sessions(spark):
+    logins = spark.createDataFrame([("s", "2026-01-01 00:00:00")], "sid string, at string").withColumn("at", F.to_timestamp("at"))
+    asks = spark.createDataFrame([("s", "2026-01-01 11:59:59"), ("s", "2026-01-01 12:00:00"), ("t", "2026-01-01 01:00:00")], "sid string, at string").withColumn("at", F.to_timestamp("at"))
+    assert service.live_sessions(asks, logins).count() == 1
+
+
+@pytest.mark.parametrize("angle", [0, 3, -7.5, 12])
+def test_skew(angle):
+    h, w = 500, 700
+    y, x = np.mgrid[0:h, 0:w]
+    a = np.deg2rad(angle)
+    across = (y - h / 2) * np.cos(a) - (x - w / 2) * np.sin(a)
+    along = (y - h / 2) * np.sin(a) + (x - w / 2) * np.cos(a)
+    bits = ((across % 30 < 12) & (along % 16 < 10) & (np.abs(along) < 250) & (np.abs(across) < 150)).astype(np.uint8)
+    assert abs(raster.skew(bits)[0] - angle) <= 0.5
+
+
+def test_raster_basics():
+    page = np.full((40, 60, 4), 255, np.uint8)
+    page[5:10, 5:10, :3] = 0
+    page[20:24, 30:50, :3] = 10
+    gray = raster.to_gray(page)
+    parts = raster.connected_components(raster.ink(gray))
+    assert sorted((p["x"], p["y"], p["w"], p["h"], p["area"]) for p in parts) == [(5, 5, 5, 5, 25), (30, 20, 20, 4, 80)]
+    assert not raster.mostly_dark(gray) and raster.otsu(np.zeros((2, 2), np.uint8)) == 128
+    assert raster.adaptive(gray, 8)[7, 7] == 0 and raster.stretch(gray).max() == 255
