@@ -3,7 +3,8 @@
 A line is the set of its words (runs of bytes other than space and \\t..\\r, A-Z
 lower-cased). Tokens are ordered by how often their bucket of a table of fixed size
 occurs in all lines, rarest first. Two similar sets share a token in their prefixes;
-pairs that share one and pass the length and positional filters are verified by
+pairs that share one and pass the length and positional filters, and whose 64-bit maps of
+tokens differ in no more places than similar sets can, are verified by
 their Jaccard similarity on whole sets. A line is removed where a similar line comes
 earlier, by doc_id, then text hash, then line number, whether that one stays or not.
 
@@ -29,7 +30,7 @@ from .tables import Workspace, bitmap, maybe_in, read
 from .text import Chunk, U, Powers, chunks, mix, words
 
 TABLE_BITS = 18
-CROWD = 64
+CROWD = 256
 #: Lines ordered at a time; 18 bits of line, 18 of rank and 28 of hash make one sortable number.
 LINES = 1 << 18
 
@@ -129,9 +130,10 @@ def _described(docs: DataFrame, percent: int, shortest: int, ranks) -> DataFrame
             picked = np.arange(first[-1]) - np.repeat(first[:-1] - begin[:-1], size)
             prefix = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ordered[picked].astype(np.int64)))
             rows = pa.array(lines.row[place] + c.first)
-            yield batch.column("doc_id").take(rows), batch.column("h").take(rows), lines.number[place].astype(np.int64), s1.view(np.int64), s2.view(np.int64), n.astype(np.int32), prefix
+            bits = np.bitwise_or.reduceat(U(1) << ((d >> U(28)) & U(63)), begin[:-1])
+            yield batch.column("doc_id").take(rows), batch.column("h").take(rows), lines.number[place].astype(np.int64), s1.view(np.int64), s2.view(np.int64), n.astype(np.int32), bits.view(np.int64), prefix
 
-    return _mapped(docs, make, "doc_id long, h long, line long, s1 long, s2 long, n int, prefix array<bigint>")
+    return _mapped(docs, make, "doc_id long, h long, line long, s1 long, s2 long, n int, bits long, prefix array<bigint>")
 
 
 def _sets(docs: DataFrame, shortest: int, wanted: tuple) -> DataFrame:
@@ -153,8 +155,13 @@ def _sets(docs: DataFrame, shortest: int, wanted: tuple) -> DataFrame:
     return _mapped(docs, make, "s1 long, s2 long, tokens binary")
 
 
+def _sets_of(docs: DataFrame, pairs: DataFrame, shortest: int, ws: Workspace) -> DataFrame:
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("s1")).distinct()
+    return ws.keep(_sets(docs, shortest, bitmap(asked, "s1", hashed=True)).dropDuplicates(["s1", "s2"]), "sets")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b: s1 of two sets) those that are similar: a, a2, b, b2."""
+    """Of the pairs (a, b: s1 of two sets; led) those that are similar: a, a2, b, b2, led."""
     sided = pairs.join(sets.select(F.col("s1").alias("a"), F.col("s2").alias("a2"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("s1").alias("b"), F.col("s2").alias("b2"), F.col("tokens").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,15 +171,20 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 p, q = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
                 common = len(np.intersect1d(p, q, assume_unique=True))
                 good.append((100 + percent) * common >= percent * (len(p) + len(q)))
-            yield batch.select(["a", "a2", "b", "b2"]).filter(pa.array(good, pa.bool_()))
+            yield batch.select(["a", "a2", "b", "b2", "led"]).filter(pa.array(good, pa.bool_()))
 
-    return sided.select("a", "a2", "b", "b2", "x", "y").mapInArrow(run, "a long, a2 long, b long, b2 long")
+    return sided.select("a", "a2", "b", "b2", "led", "x", "y").mapInArrow(run, "a long, a2 long, b long, b2 long, led boolean")
 
 
 def _filters(percent: int) -> str:
-    """Length and positional filters of two prefix entries p and q (n tokens, position i), for sets of another kind each."""
-    small, large, pi, qi = "least(p.n, q.n)", "greatest(p.n, q.n)", "(p.n - p.i)", "(q.n - q.i)"
-    return f"100 * {small} >= {percent} * {large} AND {100 + percent} * least({pi}, {qi}) >= {percent} * (p.n + q.n)"
+    """Length, positional and bitmap filters of prefix entries p and q (ni: number of tokens and position in one; bits) of two sets.
+
+    Where two maps differ a token is in one set only, and similar sets have few such tokens.
+    """
+    pn, qn, pi, qi = "shiftright(p.ni, 32)", "shiftright(q.ni, 32)", "(p.ni & 4294967295)", "(q.ni & 4294967295)"
+    lengths = f"100 * least({pn}, {qn}) >= {percent} * greatest({pn}, {qn})"
+    places = f"{100 + percent} * least({pn} - {pi}, {qn} - {qi}) >= {percent} * ({pn} + {qn})"
+    return f"{lengths} AND {places} AND {100 + percent} * bit_count(p.bits ^ q.bits) <= {100 - percent} * ({pn} + {qn})"
 
 
 def removed_lines(docs: DataFrame, percent: int = 80, shortest: int = 5, crowd: int = CROWD, workspace: Workspace | None = None) -> DataFrame:
@@ -183,23 +195,25 @@ def removed_lines(docs: DataFrame, percent: int = 80, shortest: int = 5, crowd:
     ranks = spark.sparkContext.broadcast(token_ranks(docs.select("text"), shortest))
     lines = ws.keep(_described(docs, percent, shortest, ranks), "lines")
     place = F.struct("doc_id", "h", "line")
-    groups = ws.keep(lines.groupBy("s1", "s2").agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix")), "groups")
-    entries = groups.select("s1", "n", F.posexplode("prefix").alias("i", "token"))
-    shared = ws.keep(entries.groupBy("token").agg(F.count("*").alias("sharing")).where("sharing > 1"), "shared")
-    entries = ws.keep(entries.join(shared, "token"), "entries")
-    few, many = entries.where(F.col("sharing") <= crowd), entries.where(F.col("sharing") > crowd)
-    close = ws.keep(few.alias("p").join(few.alias("q"), F.expr(f"p.token = q.token AND p.s1 < q.s1 AND {_filters(percent)}")).select(F.col("p.s1").alias("a"), F.col("q.s1").alias("b")).distinct(), "close")
-    many = ws.keep(many.join(groups.select("s1", "first"), "s1"), "many")
-    asked = close.select(F.explode(F.array("a", "b")).alias("s1")).union(many.select("s1")).distinct()
-    sets = ws.keep(_sets(docs, shortest, bitmap(asked, "s1", hashed=True)).dropDuplicates(["s1", "s2"]), "sets")
-    similar = _verified(close, sets, percent)
+    groups = ws.keep(lines.groupBy("s1", "s2").agg(F.min(place).alias("first"), F.count("*").alias("copies"), *(F.any_value(c).alias(c) for c in ("n", "bits", "prefix"))), "groups")
+    ni = (F.shiftleft(F.col("n").cast("long"), 32) + F.col("i")).alias("ni")
+    entries = groups.select("s1", "n", "bits", F.posexplode("prefix").alias("i", "token")).select("s1", "bits", "token", ni)
+    crowded = ws.keep(entries.groupBy("token").agg(F.count("*").alias("sharing")).where(F.col("sharing") > crowd).select("token"), "crowded")
+    few = entries.join(crowded, "token", "left_anti")
+    many = ws.keep(groups.select("s1", "n", "bits", "first", F.posexplode("prefix").alias("i", "token")).select("s1", "bits", "first", "token", ni).join(crowded, "token"), "many")
+    pair = [F.col("p.s1").alias("a"), F.col("q.s1").alias("b")]
+    close = few.alias("p").join(few.alias("q"), F.expr(f"p.token = q.token AND p.s1 < q.s1 AND {_filters(percent)}")).select(*pair)
     # Crowded tokens: everyone meets the earliest, and those not similar to it meet all that come before them.
-    leads = ws.keep(many.groupBy("token").agg(F.min(F.struct("first", "s1", "n", "i")).alias("lead")).select("token", "lead.*"), "leads")
-    led = many.alias("q").join(leads.alias("p"), F.expr(f"p.token = q.token AND p.s1 <> q.s1 AND {_filters(percent)}")).select(F.col("p.s1").alias("a"), F.col("q.s1").alias("b")).distinct()
-    led = ws.keep(_verified(led, sets, percent), "led")
-    rest = many.join(led.select(F.col("b").alias("s1")).distinct(), "s1", "left_anti")
-    wide = rest.alias("q").join(many.alias("p"), F.expr(f"p.token = q.token AND p.first < q.first AND p.s1 <> q.s1 AND {_filters(percent)}")).select(F.col("p.s1").alias("a"), F.col("q.s1").alias("b")).distinct()
-    similar = ws.keep(similar.union(led).union(_verified(wide, sets, percent)), "similar")
+    leads = ws.keep(many.groupBy("token").agg(F.min(F.struct("first", "s1", "bits", "ni")).alias("lead")).select("token", "lead.*"), "leads")
+    led = many.alias("q").join(leads.alias("p"), F.expr(f"p.token = q.token AND p.s1 <> q.s1 AND {_filters(percent)}")).select(*pair)
+    near = ws.keep(close.withColumn("led", F.lit(False)).union(led.withColumn("led", F.lit(True))).groupBy("a", "b").agg(F.bool_or("led").alias("led")), "near")
+    similar = ws.keep(_verified(near, _sets_of(docs, near, shortest, ws), percent), "similar")
+    behind = similar.where("led").select(F.col("b").alias("s1")).distinct()
+    wide = many.join(behind, "s1", "left_anti").alias("q").join(many.alias("p"), F.expr(f"p.token = q.token AND p.first < q.first AND p.s1 <> q.s1 AND {_filters(percent)}")).select(*pair).distinct()
+    wide = ws.keep(wide.join(similar, ["a", "b"], "left_anti").withColumn("led", F.lit(False)), "wide")
+    if not wide.isEmpty():
+        similar = similar.union(_verified(wide, _sets_of(docs, wide, shortest, ws), percent))
+    similar = ws.keep(similar.drop("led"), "similar")
     both = similar.union(similar.select("b", "b2", "a", "a2"))
     before = both.join(groups.select(F.col("s1").alias("a"), F.col("s2").alias("a2"), "first"), ["a", "a2"]).groupBy(F.col("b").alias("s1"), F.col("b2").alias("s2")).agg(F.min("first").alias("other"))
     stays = groups.select("s1", "s2", "first", "copies").join(before, ["s1", "s2"], "left").where("copies > 1 OR other < first").select("s1", "s2", F.least("first", F.coalesce("other", "first")).alias("stays"))
