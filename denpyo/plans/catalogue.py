@@ -385,3 +385,49 @@ def lookup_url(spark, sf_dir):
     from ..sources import csv_out
 
     return numbered_orders(spark, sf_dir).select("o_orderkey", csv_out.lookup_url(F.col("digits")).alias("url"))
+
+
+@query(f"WITH {NUMBERED} SELECT o_orderkey, digits, true AS has_t, true AS valid, CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 6 END::INTEGER AS start FROM n")
+def extract_t_numbers(spark, sf_dir):
+    from ..functions import scanners
+
+    o = numbered_orders(spark, sf_dir)
+    written = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("Ｔ"), F.col("digits"), F.lit(" 様"))).otherwise(F.concat(F.lit("登録番号: T"), F.substring("digits", 1, 1), F.lit("-"), F.substring("digits", 2, 12)))
+    return o.select("o_orderkey", F.explode(scanners.numbers_in(written)).alias("n")).select("o_orderkey", "n.digits", "n.has_t", "n.valid", "n.start")
+
+
+@query("""SELECT l_orderkey AS doc, l_linenumber AS seq, l_partkey AS part, floor(l_extendedprice)::BIGINT AS value, '10%対象' AS label, 10 AS rate FROM lineitem WHERE l_suppkey % 2 = 0
+UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, -floor(l_extendedprice)::BIGINT, '値引', NULL FROM lineitem WHERE l_suppkey % 2 = 1""")
+def money_tokens(spark, sf_dir):
+    from ..functions import scanners
+
+    price = F.format_number(F.floor("l_extendedprice"), 0)
+    row = F.when(F.col("l_suppkey") % 2 == 0, F.concat(F.lit("10%対象 ¥"), price)).otherwise(F.concat(F.lit("値引 ▲"), price, F.lit("円")))
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("seq"), F.col("l_partkey").alias("part"), F.explode(scanners.segments_in(row)).alias("m"))
+    return line.select("doc", "seq", "part", "m.value", "m.label", "m.rate")
+
+
+def written_bills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order as rows of text: its lines, and their sum as the total."""
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").cast("int").alias("row"), F.floor("l_extendedprice").cast("long").alias("v"))
+    total = line.groupBy("doc").agg(F.sum("v").alias("v")).select("doc", F.lit(1000).alias("row"), F.concat(F.lit("合 計 ￥"), F.format_number("v", 0)).alias("text"))
+    rows = line.select("doc", "row", F.concat(F.lit("商品 ￥"), F.format_number("v", 0)).alias("text")).union(total)
+    parts = F.lit(None).cast("array<struct<text:string,x:double,y:double,w:double,h:double>>")
+    return rows.select("doc", "row", "text", parts.alias("parts"), F.lit(None).cast("string").alias("digits"))
+
+
+@query("""SELECT l_orderkey AS doc, sum(floor(l_extendedprice))::BIGINT AS items_sum, sum(floor(l_extendedprice))::BIGINT AS doc_total, sum(floor(l_extendedprice))::BIGINT AS amount, 'equal' AS match, 'total' AS source FROM lineitem GROUP BY l_orderkey""")
+def document_analysis(spark, sf_dir):
+    import datetime
+
+    from ..operators import billing
+
+    return billing.analyse(written_bills(spark, sf_dir), datetime.date(2026, 10, 8)).select("doc", "items_sum", "doc_total", "amount", "match", "source")
+
+
+@query()
+def candidate_ranking(spark, sf_dir):
+    from ..operators import candidates
+
+    r = readings(spark, sf_dir).withColumn("r", geometry.rect(F.lit(10), F.col("seq") % 3 * 30, F.lit(200), F.lit(20)))
+    return candidates.rank(r.select("*", "r.*").drop("r"))
