@@ -37,7 +37,7 @@ def test_each_stage_on_its_own_input(spark, tmp_path):
     assert {i for i, _ in texts[3]} == want and len(texts[3]) == len(set(texts[3]))
     # Mixing repeats or leaves out whole rows.
     assert set(rows[4]) <= set(rows[3])
-    # Ids are those of the reference tokeniser, row for row.
+    # Ids are those that the tiktoken library gives, row for row.
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     want_ids = sorted((i, np.array(enc.encode_ordinary(t or ""), "<u4").tobytes()) for i, t in texts[4])
