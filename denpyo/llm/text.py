@@ -1,6 +1,6 @@
 """Vectorised word and shingle hashing over Arrow text columns.
 
-A chunk is a run of rows whose texts total a few MB (a longer text is a chunk
+A chunk is a run of rows whose texts total half a MB (a longer text is a chunk
 of its own), so memory depends on the longest text, not on the batch.
 Words are runs of bytes other than space and \\t..\\r; A-Z count as a-z.
 """
@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 U = np.uint64
 #: Multiplier of the polynomial word hash and its inverse modulo 2**64.
 MUL = 0x9E3779B97F4A7C15
