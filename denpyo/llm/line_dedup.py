@@ -155,14 +155,25 @@ def _sets(docs: DataFrame, shortest: int, wanted: tuple) -> DataFrame:
     return _mapped(docs, make, "s1 long, s2 long, tokens binary")
 
 
+def _earlier_later(pairs: DataFrame, groups: DataFrame, ws: Workspace) -> DataFrame:
+    """early, place (of the earlier set's first line) and later, of unordered pairs (a, b)."""
+    first = groups.groupBy("s1").agg(F.min("first").alias("first"))
+    both = pairs.join(first.select(F.col("s1").alias("a"), F.col("first").alias("fa")), "a").join(first.select(F.col("s1").alias("b"), F.col("first").alias("fb")), "b")
+    swap = F.col("fb") < F.col("fa")
+    either = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
+    return ws.keep(both.select(either("a", "b").alias("early"), either("fa", "fb").alias("place"), either("b", "a").alias("later")).distinct(), "pairs")
+
+
 def _sets_of(docs: DataFrame, pairs: DataFrame, shortest: int, ws: Workspace) -> DataFrame:
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("s1")).distinct()
+    asked = pairs.select(F.explode(F.array("early", "later")).alias("s1")).distinct()
     return ws.keep(_sets(docs, shortest, bitmap(asked, "s1", hashed=True)).dropDuplicates(["s1", "s2"]), "sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b: s1 of two sets; led) those that are similar: a, a2, b, b2, led."""
-    sided = pairs.join(sets.select(F.col("s1").alias("a"), F.col("s2").alias("a2"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("s1").alias("b"), F.col("s2").alias("b2"), F.col("tokens").alias("y")), "b")
+    """Of the pairs (early, later: s1 of two sets; place) those that are similar: place, later, later2."""
+    x = sets.select(F.col("s1").alias("early"), F.col("tokens").alias("x"))
+    y = sets.select(F.col("s1").alias("later"), F.col("s2").alias("later2"), F.col("tokens").alias("y"))
+    sided = pairs.join(x, "early").join(y, "later").select("place", "later", "later2", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,9 +182,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 p, q = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
                 common = len(np.intersect1d(p, q, assume_unique=True))
                 good.append((100 + percent) * common >= percent * (len(p) + len(q)))
-            yield batch.select(["a", "a2", "b", "b2", "led"]).filter(pa.array(good, pa.bool_()))
+            yield batch.select(["place", "later", "later2"]).filter(pa.array(good, pa.bool_()))
 
-    return sided.select("a", "a2", "b", "b2", "led", "x", "y").mapInArrow(run, "a long, a2 long, b long, b2 long, led boolean")
+    return sided.mapInArrow(run, sided.select("place", "later", "later2").schema)
 
 
 def _filters(percent: int) -> str:
@@ -193,29 +204,37 @@ def removed_lines(docs: DataFrame, percent: int = 80, shortest: int = 5, crowd:
     ws = workspace or Workspace(spark, "lines")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("text").cast("string").alias("text"))
     ranks = spark.sparkContext.broadcast(token_ranks(docs.select("text"), shortest))
-    lines = ws.keep(_described(docs, percent, shortest, ranks), "lines")
+    described = ws.keep(_described(docs, percent, shortest, ranks), "described")
     place = F.struct("doc_id", "h", "line")
-    groups = ws.keep(lines.groupBy("s1", "s2").agg(F.min(place).alias("first"), F.count("*").alias("copies"), *(F.any_value(c).alias(c) for c in ("n", "bits", "prefix"))), "groups")
+    wide_groups = ws.keep(described.groupBy("s1", "s2").agg(F.min(place).alias("first"), F.count("*").alias("copies"), *(F.any_value(c).alias(c) for c in ("n", "bits", "prefix"))), "groups")
+    lines = ws.keep(described.select("doc_id", "h", "line", "s1", "s2"), "lines")
+    ws.drop(described)
+    groups = ws.keep(wide_groups.select("s1", "s2", "first", "copies"), "places")
     ni = (F.shiftleft(F.col("n").cast("long"), 32) + F.col("i")).alias("ni")
-    entries = groups.select("s1", "n", "bits", F.posexplode("prefix").alias("i", "token")).select("s1", "bits", "token", ni)
+    entries = wide_groups.select("s1", "n", "bits", F.posexplode("prefix").alias("i", "token")).select("s1", "bits", "token", ni)
     crowded = ws.keep(entries.groupBy("token").agg(F.count("*").alias("sharing")).where(F.col("sharing") > crowd).select("token"), "crowded")
     few = entries.join(crowded, "token", "left_anti")
-    many = ws.keep(groups.select("s1", "n", "bits", "first", F.posexplode("prefix").alias("i", "token")).select("s1", "bits", "first", "token", ni).join(crowded, "token"), "many")
+    many = ws.keep(wide_groups.select("s1", "n", "bits", "first", F.posexplode("prefix").alias("i", "token")).select("s1", "bits", "first", "token", ni).join(crowded, "token"), "many")
     pair = [F.col("p.s1").alias("a"), F.col("q.s1").alias("b")]
     close = few.alias("p").join(few.alias("q"), F.expr(f"p.token = q.token AND p.s1 < q.s1 AND {_filters(percent)}")).select(*pair)
     # Crowded tokens: everyone meets the earliest, and those not similar to it meet all that come before them.
     leads = ws.keep(many.groupBy("token").agg(F.min(F.struct("first", "s1", "bits", "ni")).alias("lead")).select("token", "lead.*"), "leads")
     led = many.alias("q").join(leads.alias("p"), F.expr(f"p.token = q.token AND p.s1 <> q.s1 AND {_filters(percent)}")).select(*pair)
-    near = ws.keep(close.withColumn("led", F.lit(False)).union(led.withColumn("led", F.lit(True))).groupBy("a", "b").agg(F.bool_or("led").alias("led")), "near")
-    similar = ws.keep(_verified(near, _sets_of(docs, near, shortest, ws), percent), "similar")
-    behind = similar.where("led").select(F.col("b").alias("s1")).distinct()
-    wide = many.join(behind, "s1", "left_anti").alias("q").join(many.alias("p"), F.expr(f"p.token = q.token AND p.first < q.first AND p.s1 <> q.s1 AND {_filters(percent)}")).select(*pair).distinct()
-    wide = ws.keep(wide.join(similar, ["a", "b"], "left_anti").withColumn("led", F.lit(False)), "wide")
-    if not wide.isEmpty():
-        similar = similar.union(_verified(wide, _sets_of(docs, wide, shortest, ws), percent))
-    similar = ws.keep(similar.drop("led"), "similar")
-    both = similar.union(similar.select("b", "b2", "a", "a2"))
-    before = both.join(groups.select(F.col("s1").alias("a"), F.col("s2").alias("a2"), "first"), ["a", "a2"]).groupBy(F.col("b").alias("s1"), F.col("b2").alias("s2")).agg(F.min("first").alias("other"))
+    near = ws.keep(close.union(led).distinct(), "near")
+    ws.drop(wide_groups)
+    pairs = _earlier_later(near, groups, ws)
+    ws.drop(near)
+    # One earlier line that is similar decides: the earliest candidate is tried first, the others only where it fails.
+    tried = ws.keep(pairs.groupBy("later").agg(F.min(F.struct("place", "early")).alias("m")).select("m.early", "m.place", "later"), "tried")
+    similar = ws.keep(_verified(tried, _sets_of(docs, tried, shortest, ws), percent), "similar")
+    decided = similar.select(F.col("later").alias("s1")).distinct()
+    open_pairs = pairs.join(decided, F.col("later") == F.col("s1"), "left_anti").join(tried.select("early", "later"), ["early", "later"], "left_anti").select("early", "place", "later")
+    wide = many.join(decided, "s1", "left_anti").alias("q").join(many.alias("p"), F.expr(f"p.token = q.token AND p.first < q.first AND p.s1 <> q.s1 AND {_filters(percent)}"))
+    wide = wide.select(F.col("p.s1").alias("early"), F.col("p.first").alias("place"), F.col("q.s1").alias("later")).join(tried.select("early", "later"), ["early", "later"], "left_anti")
+    rest = ws.keep(open_pairs.unionByName(wide).groupBy("early", "later").agg(F.min("place").alias("place")), "rest")
+    if not rest.isEmpty():
+        similar = ws.keep(similar.union(_verified(rest, _sets_of(docs, rest, shortest, ws), percent)), "similar")
+    before = similar.groupBy(F.col("later").alias("s1"), F.col("later2").alias("s2")).agg(F.min("place").alias("other"))
     stays = groups.select("s1", "s2", "first", "copies").join(before, ["s1", "s2"], "left").where("copies > 1 OR other < first").select("s1", "s2", F.least("first", F.coalesce("other", "first")).alias("stays"))
     gone = lines.select("s1", "s2", place.alias("place")).join(ws.keep(stays, "stays"), ["s1", "s2"]).where("place > stays")
     return gone.groupBy("place.doc_id", "place.h").agg(F.sort_array(F.collect_set("place.line")).alias("gone"))
