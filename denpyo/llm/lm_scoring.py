@@ -1,98 +1,176 @@
 """Cross-entropy difference: how much better a target model predicts a text than a background model.
 
 Both are bigram models backed by unigrams, counted over all words of all their texts, and share one
-vocabulary: words and pairs are told apart by hash buckets of two tables of fixed size, so
-the models stay as small at any corpus size. A document's score is the mean over its words of
+vocabulary: all distinct words of both, and at least LEAST_WORDS, which leaves mass to unseen ones. Words,
+contexts and pairs are told apart by 64-bit hashes. Nothing is cut: what is counted grows
+with the texts and is spread over parts by hash, whose number grows as well. A document's score is the mean over its words of
 target loss minus background loss; the lower, the more it is like the target.
 
+Texts are read in groups of some GROUP_BYTES. A group asks each part once for the counts of its distinct
+n-grams, telling its own; a part adds up what it was told and answers in the order asked, so a frequent
+n-gram is one entry a group.
+
 A text without words (null, empty, blank) has no losses to compare: its score and losses are 0.
 Repeated rows count each, and get equal scores. An empty target or background model is uniform.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import read
-from .text import U, Chunk, Powers, chunks, words
+from .tables import Workspace, read
+from .text import U, Powers, chunks, mix, words
 
-WORD_BITS, PAIR_BITS = 18, 20
-#: Weight of the bigram estimate, and the pseudo-count of each bucket.
+WORD_BITS = 18
+LEAST_WORDS = 1 << WORD_BITS
+GROUP_BYTES = 8 << 20
+#: Weight of the bigram estimate, and the pseudo-count of each word.
 MIX, PSEUDO = 0.6, 0.1
 START = 0x2545F4914F6CDD1D
+TARGET, BACKGROUND, SCORED = 1, 2, 4
 
 
-def buckets(c: Chunk, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row, word bucket, context bucket and pair bucket of each word; a text's first word follows a start mark."""
-    w = words(c, powers)
-    before = np.empty_like(w.hash)
-    before[1:] = w.hash[:-1]
-    first = np.ones(len(w.hash), bool)
-    first[1:] = w.row[1:] != w.row[:-1]
-    before[first] = U(START)
-    pair = before * U(0x9E3779B97F4A7C15) + w.hash * U(0xD6E8FEB86659FD93)
-    return w.row, (w.hash >> U(64 - WORD_BITS)).astype(np.int64), (before >> U(64 - WORD_BITS)).astype(np.int64), (pair >> U(64 - PAIR_BITS)).astype(np.int64)
+def ngrams(column: pa.ChunkedArray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Row of each word, and the hashes of the word, its context and the pair; a text's first word follows a start mark."""
+    powers, rows, hashes = Powers(), [np.zeros(0, np.int64)], [np.zeros(0, U)]
+    starts = [np.zeros(0, bool)]
+    for c in chunks(column):
+        w = words(c, powers)
+        first = np.ones(len(w.hash), bool)
+        first[1:] = w.row[1:] != w.row[:-1]
+        rows.append(w.row + c.first)
+        hashes.append(w.hash)
+        starts.append(first)
+    word = np.concatenate(hashes)
+    before = np.empty_like(word)
+    before[1:] = word[:-1]
+    before[np.concatenate(starts)] = U(START)
+    return np.concatenate(rows), [word, before, mix(mix(before) * U(0x9E3779B97F4A7C15) + word)]
 
 
-class Model:
-    """Counts of word, context and pair buckets of one corpus."""
+def part_of(h: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each hash; it never falls as hashes grow."""
+    return ((h >> U(40)) * U(parts) >> U(24)).astype(np.int64)
+
 
-    def __init__(self, counts: np.ndarray):
-        n = 1 << WORD_BITS
-        self.words, self.contexts, self.pairs = counts[:n], counts[n : 2 * n], counts[2 * n :]
-        self.total = int(self.words.sum())
+def packed(keys: np.ndarray) -> bytes:
+    """Rising numbers as steps, byte by byte of all, so that the many zero bytes compress."""
+    return np.diff(keys, prepend=U(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
 
-    def losses(self, word: np.ndarray, context: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        alone = (self.words[word] + PSEUDO) / (self.total + PSEUDO * len(self.words))
-        after = (self.pairs[pair] + PSEUDO * alone) / (self.contexts[context] + PSEUDO)
-        return -np.log(MIX * np.minimum(after, 1.0) + (1 - MIX) * alone)
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(data, np.uint8).reshape(8, -1).T.copy().view(U).ravel(), dtype=U)
+
+
+@dataclass
+class Model:
+    """The texts whose n-grams a model counts; they are counted together with those of the texts to score."""
+
+    docs: DataFrame
 
 
 def count(docs: DataFrame) -> Model:
-    """A model of all texts of `docs`; what comes to the driver is bounded by the tables' sizes."""
-    size = (2 << WORD_BITS) + (1 << PAIR_BITS)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, total = Powers(), np.zeros(size, np.int64)
-        for batch in batches:
-            for c in chunks(batch.column("text")):
-                _, word, context, pair = buckets(c, powers)
-                for at, first, n in ((word, 0, 1 << WORD_BITS), (context, 1 << WORD_BITS, 1 << WORD_BITS), (pair, 2 << WORD_BITS, 1 << PAIR_BITS)):
-                    total[first : first + n] += np.bincount(at, minlength=n)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
-
-    table = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(size, np.int64)
-    if table.num_rows:
-        counts[table.column("bucket").to_numpy()] = table.column("n").to_numpy()
-    return Model(counts)
-
-
-def score(docs: DataFrame, target: Model, background: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`keep`, n_words, target_loss, background_loss (means per word) and score, their difference."""
-    shared = docs.sparkSession.sparkContext.broadcast((target, background))  # two tables of fixed size
-    source = docs.select(*(F.col(f"`{c}`") for c in keep), F.col("text").cast("string").alias("__text"))
+    return Model(docs)
+
+
+def _grouped(texts: DataFrame, *carried: str) -> DataFrame:
+    """`carried` and __text with the number __g of a group of about GROUP_BYTES, by a hash of the whole row."""
+    size = texts.agg(F.sum(F.octet_length("__text").cast("long") + 1)).first()[0] or 0
+    return texts.withColumn("__g", F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in (*carried, "__text"))), F.lit(size // GROUP_BYTES + 1)).cast("int"))
+
+
+def _asked(grouped: DataFrame, role: int, parts: int) -> DataFrame:
+    """Of each group, part and kind of n-gram (word, context, pair): its distinct hashes in order, and how often each occurs."""
+
+    def run(table: pa.Table) -> pa.Table:
+        g = table.column("__g")[0].as_py()
+        out = []
+        for kind, h in enumerate(ngrams(table.column("__text"))[1]):
+            keys, n = np.unique(h, return_counts=True)
+            cuts = np.searchsorted(part_of(keys, parts), np.arange(parts + 1))
+            out += [(i, g, role, kind, packed(keys[a:b]), n[a:b].astype(np.int64).tobytes()) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
+        return pa.Table.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["part", "g", "role", "kind", "keys", "n"])
+
+    return grouped.select("__g", "__text").groupBy("__g").applyInArrow(run, "part int, g int, role int, kind int, keys binary, n binary")
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """A part's answers to the groups to score, and as group -1 its distinct words and its words in the target and the background."""
+    part = table.column("part")[0].as_py()
+    names = ["part", "g", "kind", "target", "background", "n_words", "n_target", "n_background"]
+    out = []
+    for kind in range(3):
+        rows = table.filter(pc.equal(table.column("kind"), kind)).to_pylist()
+        if not rows:
+            continue
+        keys = np.concatenate([unpacked(r["keys"]) for r in rows])
+        n = np.concatenate([np.frombuffer(r["n"], np.int64) for r in rows])
+        sizes = [len(r["keys"]) // 8 for r in rows]
+        at = np.unique(keys, return_inverse=True)[1]
+        role = np.repeat([r["role"] for r in rows], sizes)
+        totals = [np.bincount(at, np.where(role & m, n, 0)).astype(np.int64) for m in (TARGET, BACKGROUND)]
+        if kind == 0:
+            out.append((part, -1, kind, b"", b"", int(((totals[0] + totals[1]) > 0).sum()), int(totals[0].sum()), int(totals[1].sum())))
+        end = np.cumsum(sizes)
+        out += [(part, r["g"], kind, *(t[at[e - s : e]].tobytes() for t in totals), 0, 0, 0) for r, s, e in zip(rows, sizes, end) if r["role"] & SCORED]
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+    return pa.Table.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names=names)
+
+
+def losses(counts: list[np.ndarray], total: int, size: int) -> np.ndarray:
+    """Of each word, from how often it, its context and the pair occur in the model's `total` words; `size` is the vocabulary's."""
+    word, context, pair = counts
+    alone = (word + PSEUDO) / (total + PSEUDO * size)
+    after = (pair + PSEUDO * alone) / (context + PSEUDO)
+    return -np.log(MIX * np.minimum(after, 1.0) + (1 - MIX) * alone)
+
+
+def score(docs: DataFrame, target: Model, background: Model, keep: tuple[str, ...] = ("doc_id",), workspace: Workspace | None = None) -> DataFrame:
+    """`keep`, n_words, target_loss, background_loss (means per word) and score, their difference. `docs` is read twice and must be the same."""
+    ws = workspace or Workspace(docs.sparkSession, "lm")
+    text = F.col("text").cast("string").alias("__text")
+    source = docs.select(*(F.col(f"`{c}`") for c in keep), text)
     made = ["n_words", "target_loss", "background_loss", "score"]
     schema = source.drop("__text").withColumns({"n_words": F.lit(0).cast("long")} | {m: F.lit(0.0) for m in made[1:]}).schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
-        for batch in batches:
-            for c in chunks(batch.column("__text")):
-                rows = c.last - c.first
-                row, *at = buckets(c, powers)
-                n = np.bincount(row, minlength=rows) if len(row) else np.zeros(rows, np.int64)
-                a, b = (np.bincount(row, m.losses(*at), rows) / np.maximum(n, 1) if len(row) else np.zeros(rows) for m in shared.value)
-                part = batch.slice(c.first, rows)
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(n.astype(np.int64)), pa.array(a), pa.array(b), pa.array(a - b)], names=[*keep, *made])
-
-    return source.mapInArrow(run, schema)
+    roles = [(_grouped(source, *keep), SCORED | TARGET * (target.docs is docs) | BACKGROUND * (background.docs is docs))]
+    if target.docs is background.docs and target.docs is not docs:
+        roles.append((_grouped(target.docs.select(text)), TARGET | BACKGROUND))
+    else:
+        roles += [(_grouped(m.docs.select(text)), role) for m, role in ((target, TARGET), (background, BACKGROUND)) if m.docs is not docs]
+    size = sum(d.docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("long"))).first()[0] or 0 for d in (Model(docs), target, background))
+    parts = size // GROUP_BYTES + 1
+    asked = None
+    for grouped, role in roles:
+        one = _asked(grouped, role, parts)
+        asked = one if asked is None else asked.unionByName(one)
+    answers = ws.keep(asked.groupBy("part").applyInArrow(_answer, "part int, g int, kind int, target binary, background binary, n_words long, n_target long, n_background long"), "answers")
+    whole = answers.where("g = -1").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n_words", "n_target", "n_background"))).first()
+    vocabulary, totals = max(whole[0], LEAST_WORDS), (whole[1], whole[2])
+
+    def run(table: pa.Table, answered: pa.Table) -> pa.Table:
+        rows = table.num_rows
+        row, hashes = ngrams(table.column("__text"))
+        n = np.bincount(row, minlength=rows)
+        counts: list[list[np.ndarray]] = [[], []]
+        got = sorted(answered.select(["kind", "part", "target", "background"]).to_pylist(), key=lambda r: (r["kind"], r["part"]))
+        for kind, h in enumerate(hashes):
+            keys, at = np.unique(h, return_inverse=True)
+            for model, name in zip(counts, ("target", "background")):
+                of = np.frombuffer(b"".join(r[name] for r in got if r["kind"] == kind), np.int64)
+                if len(of) != len(keys):
+                    raise ValueError("the documents changed between two readings")
+                model.append(of[at])
+        means = [np.bincount(row, losses(c, total, vocabulary), rows) / np.maximum(n, 1) for c, total in zip(counts, totals)]
+        return pa.Table.from_arrays([*(table.column(c) for c in keep), pa.array(n.astype(np.int64)), *(pa.array(x) for x in (*means, means[0] - means[1]))], names=[*keep, *made])
+
+    replies = answers.where("g >= 0").select(F.col("g").alias("__g"), "part", "kind", "target", "background")
+    return roles[0][0].groupBy("__g").cogroup(replies.groupBy("__g")).applyInArrow(run, schema)
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,3 +82,37 @@ def test_benchmark_passages_score_low(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     holding = [i for i, t in docs.items() if any(x in t for x in items)]
     assert holding and pdf.score[holding].median() < pdf.score.quantile(0.2)
+
+
+def test_more_pairs_than_any_fixed_table(spark, monkeypatch):
+    """2**20 pairs and 2**18 words once shared buckets; the plain model tells all apart."""
+    monkeypatch.setattr(lm_scoring, "GROUP_BYTES", 1 << 20, raising=False)
+    rng = np.random.default_rng(7)
+    docs = [" ".join(f"w{x}" for x in rng.integers(0, 500_000, 1000)) for _ in range(1300)]
+    target = docs[:20] + ["w1 w2 w3"]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(4).cache()
+    split = [["<s>", *d.split()] for d in docs]
+    pairs = Counter(p for ws in split for p in zip(ws, ws[1:]))
+    assert len(pairs) > 1 << 20
+    goal = [["<s>", *d.split()] for d in target]
+    size = len({w for ws in split + goal for w in ws[1:]})
+    assert size > 1 << lm_scoring.WORD_BITS
+
+    def model(texts, pairs):
+        words, contexts = Counter(w for ws in texts for w in ws[1:]), Counter(w for ws in texts for w in ws[:-1])
+        total = sum(words.values())
+
+        def loss(a, b):
+            alone = (words[b] + lm_scoring.PSEUDO) / (total + lm_scoring.PSEUDO * size)
+            after = (pairs[a, b] + lm_scoring.PSEUDO * alone) / (contexts[a] + lm_scoring.PSEUDO)
+            return -math.log(lm_scoring.MIX * min(after, 1) + (1 - lm_scoring.MIX) * alone)
+
+        return loss
+
+    models = (model(goal, Counter(p for ws in goal for p in zip(ws, ws[1:]))), model(split, pairs))
+    aims = spark.createDataFrame([(t,) for t in target], "text string")
+    got = {r.doc_id: r for r in lm_scoring.score(df, lm_scoring.count(aims), lm_scoring.count(df)).collect()}
+    assert len(got) == len(docs)
+    for i in range(0, len(docs), 13):
+        for loss, have in zip(models, (got[i].target_loss, got[i].background_loss)):
+            assert have == pytest.approx(np.mean([loss(a, b) for a, b in zip(split[i], split[i][1:])]), abs=1e-9)
