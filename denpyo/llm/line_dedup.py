@@ -12,7 +12,9 @@ Equal sets are one group from the start. A token in more than CROWD prefixes fir
 only the earliest line that has it; lines found similar to it need no other
 partner, and only the rest meet all earlier lines of that token.
 
-Lines of fewer than `shortest` words are never removed. A null text stays null; a text
+Lines of fewer than `shortest` words are never removed; the query and the pipeline set it to SHORTEST, so every
+line with a word takes part. Sets too small to be similar to any other (three tokens or fewer
+at 80 percent) meet their equals only and have no prefix. A null text stays null; a text
 loses its lines only. Repeated rows (same id and text) count as one document: neither removes the
 other's lines. Null ids come first. Extra columns are passed through.
 """
@@ -31,6 +33,7 @@ from .text import Chunk, U, Powers, chunks, mix, words
 
 TABLE_BITS = 18
 CROWD = 256
+SHORTEST = 1
 #: Lines ordered at a time; 18 bits of line, 18 of rank and 28 of hash make one sortable number.
 LINES = 1 << 18
 
@@ -108,8 +111,8 @@ def token_ranks(docs: DataFrame, shortest: int) -> np.ndarray:
 
 
 def prefix_sizes(n: np.ndarray, percent: int) -> np.ndarray:
-    """How many of n ordered tokens a partner of any size must share one of."""
-    return n - -(-percent * n // 100) + 1
+    """How many of n ordered tokens a partner of any size must share one of; none where even one token more is too many."""
+    return np.where(100 * n >= percent * (n + 1), n - -(-percent * n // 100) + 1, 0)
 
 
 def _described(docs: DataFrame, percent: int, shortest: int, ranks) -> DataFrame:
@@ -272,5 +275,5 @@ def dedup_lines(docs: DataFrame, text: str = "text", removed: str | None = None,
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    out = dedup_lines(docs, removed="n_removed")
+    out = dedup_lines(docs, removed="n_removed", shortest=SHORTEST)
     return out.select("doc_id", "n_removed", F.size(F.split("text", "\n", -1)).cast("long").alias("n_kept"), F.sha2(F.col("text"), 256).alias("text_sha256"))

@@ -66,3 +66,22 @@ def test_empty_and_sample(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = sorted(((r.doc_id, r.text) for r in line_dedup.dedup_lines(docs).collect()), key=str)
     assert got == brute([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_short_lines_take_part(spark, monkeypatch, tmp_path):
+    """Query and stage against brute force without a least length; four tokens are similar to five that hold them."""
+    import corpus_pipeline
+
+    monkeypatch.setitem(globals(), "token_set", lambda line: frozenset(WORD.findall(line.lower())) or None)
+    rng = random.Random(5)
+    line = lambda: " ".join(f"w{rng.randrange(12)}" for _ in range(rng.randrange(0, 8)))
+    rows = [(i, "\n".join(line() for _ in range(rng.randrange(1, 6)))) for i in range(200)]
+    rows += [(300, "a b c d\n\nAll rights reserved."), (301, "a b c d e\nall RIGHTS reserved.\n "), (302, "q r s\nq r s t\nz\nz z\nz")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    assert dict(want)[301] == " " and dict(want)[302] == "q r s\nq r s t\nz"
+    got = corpus_pipeline.line_stage(spark, df, "").collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == want
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    removed = {r.doc_id: r.n_removed for r in line_dedup.op6_line_dedup(spark, str(tmp_path)).collect()}
+    assert removed[301] == 2 and removed[302] == 2
