@@ -116,3 +116,26 @@ def test_more_pairs_than_any_fixed_table(spark, monkeypatch):
     for i in range(0, len(docs), 13):
         for loss, have in zip(models, (got[i].target_loss, got[i].background_loss)):
             assert have == pytest.approx(np.mean([loss(a, b) for a, b in zip(split[i], split[i][1:])]), abs=1e-9)
+
+
+def test_wrapped_licence_texts():
+    import textwrap
+
+    t = {k: v if v.endswith(":") else v + "." for k, v in licences.SENTENCES.items()}
+    wrap = lambda x, first="", rest="": textwrap.fill(x, 72, initial_indent=first, subsequent_indent=rest)
+    mit = "The MIT License (MIT)\n\nCopyright (c) 2020 Somebody\n\n" + wrap(t["mit-grant"]) + "\n\n" + wrap(t["mit-notice"])
+    bsd2 = "\n".join([wrap(t["bsd-grant"]), "", wrap(t["bsd-source"], "1. ", "   "), wrap(t["bsd-binary"], "2. ", "   ")])
+    bsd3 = bsd2 + "\n" + wrap(t["bsd-endorse"], "3. ", "   ")
+    gpl3 = wrap(t["gpl-grant"], "# ", "# ") + "\n#\n" + wrap(t["gpl-warranty"][:-1] + "; without even the implied warranty.", "# ", "# ")
+    old = lambda *k: wrap("; ".join(licences.SENTENCES[x] for x in k) + ".", " * ", " * ")
+    texts = {
+        "MIT": mit, "BSD-2-Clause": bsd2, "BSD-3-Clause": bsd3, "GPL-3.0-or-later": gpl3,
+        "GPL-2.0-or-later": old("gpl-free", "gpl-terms", "version-2-later"), "LGPL-2.1-or-later": old("lgpl-free", "lgpl-terms", "version-21-later"),
+        "AGPL-3.0-or-later": wrap(t["agpl3-grant"]), "MPL-2.0": wrap(t["mpl-form"] + " 2.0."), "ISC": wrap(t["isc-grant"]), "Unlicense": wrap(t["unlicense"]),
+    }
+    for name, text in texts.items():
+        for ending in ("\n", "\r\n"):
+            whole = f"Some words before\n\n{text}\n\nand after".replace("\n", ending)
+            found = licences.Scanner().scan(whole)
+            assert [m[0] for m in found] == [name], (name, found)
+            assert whole[found[0][1] :].split()[0] in text and whole[found[0][2] :].strip()
