@@ -5,9 +5,9 @@ posterior over domains. Its features are which markers occur: fixed symbol strin
 words picked from the labelled documents, and the document's source. Each document
 then gets a rate of zero or more such that the expected tokens of each domain, the
 sum of rate * tokens * posterior, come as near as possible to the targets: least squares
-with a small pull towards rate 1, by projected gradient. A step needs one sum per domain over all
-documents, and a document's rate follows from its own row and the past sums, so no state
-is kept per document.
+with a small pull towards rate 1, by Newton steps until the targets are met; a warning tells where they cannot be. A step
+needs one row of sums over all documents, and a document's rate follows from its own row and one number a domain,
+so no state is kept per document.
 
 Tokens are the spaces and line breaks of a text plus one, or none for a null or empty text; such
 rows get a rate from the prior and their source. Repeated rows count each. A null source is a source of its own. Without
@@ -17,7 +17,9 @@ labels every domain is equally likely.
 from __future__ import annotations
 
 import math
+import warnings
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -127,28 +129,58 @@ def _rate(history: list[list[float]], domains: int, pull: float) -> Column:
     return F.aggregate(past, F.lit(1.0), move)
 
 
-def fit_rates(rows: DataFrame, targets: list[float], steps: int = 30, pull: float = 1e-3, enough: float = 1e-4) -> tuple[list[list[float]], list[float]]:
-    """The history of residuals, and the last shares; `rows` has tokens and p.
+def fit_rates(rows: DataFrame, targets: list[float], steps: int = 100, pull: float = 1e-3, enough: float = 1e-4) -> tuple[list[list[float]], list[float]]:
+    """A history of one move for `_rate`, and the shares reached; `rows` has tokens and p.
 
-    Minimises the sum over domains of (share - target)**2 / first share, plus the pull, over rates >= 0; shares
-    are of the tokens at rate 1. Stops when no share misses its target by `enough`, or after `steps`.
+    Minimises the sum over domains of (share - target)**2 / first share, plus a small part of the pull, over rates >= 0; shares
+    are of the tokens at rate 1. A rate is then max(0, 1 - p * move), so damped Newton steps in the moves suffice. Stops
+    when each share is within `enough` of its target, relative to it. Warns where that is not reached: after `steps`, or where no
+    rates meet the targets.
     """
     domains = len(targets)
     total = rows.agg(F.sum("tokens")).first()[0] or 0.0
-    history: list[list[float]] = []
-    share: list[float] = []
-    first: list[float] = []
-    for _ in range(steps + 1):
-        if not total:
-            break
-        rate = _rate(history, domains, pull)
-        sums = rows.agg(*(F.sum(F.col("tokens") * F.col("p")[k] * rate).alias(f"s{k}") for k in range(domains))).first()
-        share = [s / total for s in sums]
-        first = first or [max(s, 1e-6) for s in share]
-        if max(abs(s - t) for s, t in zip(share, targets)) < enough or len(history) == steps:
-            break
-        history.append([(s - t) / f for s, t, f in zip(share, targets, first)])
-    return history, share
+    if not total:
+        return [], []
+    t, little, p = np.array(targets), pull * 1e-4, F.col("p")
+    step = 1 / (1 + pull)
+    pairs = [(k, j) for k in range(domains) for j in range(k, domains)]
+
+    def at(move: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Shares, their slopes and half the sum of squared rates."""
+        rate, w = _rate([[float(m / step) for m in move]], domains, pull), F.col("tokens") / total
+        row = rows.select(w.alias("w"), "p", rate.alias("r")).agg(
+            *(F.sum(F.col("w") * p[k] * F.col("r")) for k in range(domains)),
+            *(F.sum(F.when(F.col("r") > 0, F.col("w") * p[k] * p[j]).otherwise(0.0)) for k, j in pairs),
+            F.sum(F.col("w") * F.col("r") * F.col("r")),
+        ).first()
+        slopes = np.zeros((domains, domains))
+        for (k, j), x in zip(pairs, row[domains:-1]):
+            slopes[k, j] = slopes[j, k] = x
+        return np.array(row[:domains]), slopes, row[-1] / 2
+
+    move = np.zeros(domains)
+    share, slopes, squares = at(move)
+    first = np.maximum(share, 1e-6)
+    met = lambda s: bool((np.abs(s - t) <= enough * np.maximum(t, 1e-3)).all())
+    left, size = steps, 1.0
+    change = None
+    while not met(share) and left > 0:
+        if change is None:
+            slope = t + little * first * move - share
+            change = -np.linalg.solve(slopes + little * np.diag(first), slope)
+            value, size = t @ move + little / 2 * first @ move**2 + squares, 1.0
+            if -(slope @ change) < 1e-14 * max(1.0, abs(value)):
+                break
+        new = move + size * change
+        found = at(new)
+        left -= 1
+        if t @ new + little / 2 * first @ new**2 + found[2] <= value + 1e-4 * size * (slope @ change):
+            move, (share, slopes, squares), change = new, found, None
+        else:
+            size /= 2
+    if not met(share):
+        warnings.warn(f"mixing: shares {[round(float(s), 6) for s in share]} miss the targets {list(targets)}", stacklevel=2)
+    return ([[float(m / step) for m in move]] if move.any() else []), [float(s) for s in share]
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, key: tuple[str, ...] = ("doc_id",), workspace: Workspace | None = None, **options) -> DataFrame:

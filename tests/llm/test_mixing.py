@@ -48,3 +48,24 @@ def test_no_python_on_executors(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     none = spark.createDataFrame([], "doc_id long, domain string")
     assert not re.search("Python|Pandas|Arrow", mixing.sample(docs, none)._jdf.queryExecution().executedPlan().toString())
+
+
+def test_residual_relative_to_each_target(spark):
+    import warnings
+
+    import pytest
+
+    rng = np.random.default_rng(4)
+    p = rng.dirichlet([9, 0.3, 0.3], 400) * 0.9 + np.array([0.08, 0.01, 0.01])
+    rows = spark.createDataFrame([(float(t), [float(x) for x in q]) for t, q in zip(rng.integers(1, 900, 400), p)], "tokens double, p array<double>")
+    targets = np.array([0.95, 0.02, 0.03])
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)
+        history, share = mixing.fit_rates(rows, list(targets))
+    assert (np.abs(np.array(share) - targets) <= 1e-3 * targets).all()
+    rate = mixing._rate(history, 3, 1e-3)
+    sums = rows.agg(*(F.sum(F.col("tokens") * F.col("p")[k] * rate) / F.lit(rows.agg(F.sum("tokens")).first()[0]) for k in range(3))).first()
+    assert np.allclose(sums, share)
+    same = spark.createDataFrame([(5.0, [1 / 3] * 3)] * 4, "tokens double, p array<double>")
+    with pytest.warns(UserWarning, match="miss the targets"):
+        mixing.fit_rates(same, [0.5, 0.25, 0.25])
