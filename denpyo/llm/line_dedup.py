@@ -2,21 +2,25 @@
 
 A line is the set of its words (runs of bytes other than space and \\t..\\r, A-Z
 lower-cased). Tokens are ordered by how often their bucket of a table of fixed size
-occurs in all lines, rarest first. Two similar sets share a token in their prefixes;
-pairs that share one and pass the length and positional filters, and whose 64-bit maps of
-tokens differ in no more places than similar sets can, are verified by
-their Jaccard similarity on whole sets. A line is removed where a similar line comes
-earlier, by doc_id, then text hash, then line number, whether that one stays or not.
-
-Equal sets are one group from the start. A token in more than CROWD prefixes first meets
-only the earliest line that has it; lines found similar to it need no other
-partner, and only the rest meet all earlier lines of that token.
-
-Lines of fewer than `shortest` words are never removed; the query and the pipeline set it to SHORTEST, so every
-line with a word takes part. Sets too small to be similar to any other (three tokens or fewer
+occurs in all lines, rarest first. Two similar sets share a token in their prefixes, the
+shorter one in the first few of them already; pairs that share one and pass the length and
+positional filters, and whose 64-bit maps of tokens differ in no more places than similar
+sets can, are verified by their Jaccard similarity on whole sets. A line is removed where a
+similar line comes earlier, by doc_id, then text hash, then line number, whether that one
+stays or not.
+
+Equal sets are one group from the start. One earlier similar line decides, so each set first
+tries the earliest candidate of each of its tokens, and the earliest of those is verified; only
+sets that this leaves open meet all their candidates. Sets that share a token are compared side by
+side in the partition of that token. A token in more than CROWD prefixes, or in so many that it
+would stand out in a partition, takes another way: its sets first try the earliest one of about their
+length. This is exact; only a crowd of mutually unlike lines that share rare tokens costs the square of its size.
+
+Lines of fewer than `shortest` words are never removed; by default every line with a word
+takes part. Sets too small to be similar to any other (three tokens or fewer
 at 80 percent) meet their equals only and have no prefix. A null text stays null; a text
 loses its lines only. Repeated rows (same id and text) count as one document: neither removes the
-other's lines. Null ids come first. Extra columns are passed through.
+other's lines. Null ids come first. Extra columns are passed through, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,28 +29,35 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tables import Workspace, bitmap, maybe_in, read
 from .text import Chunk, U, Powers, chunks, mix, words
 
 TABLE_BITS = 18
-CROWD = 256
+CROWD = 1024
 SHORTEST = 1
-#: Lines ordered at a time; 18 bits of line, 18 of rank and 28 of hash make one sortable number.
-LINES = 1 << 18
+#: A token is 48 bits of its word's hash, TABLE_BITS of which name its bucket; 16 bits of line make it a sortable number.
+LINES, TOKEN = 1 << 16, U((1 << 48) - 1)
+LOW = U(48 - TABLE_BITS)
+#: An entry's number: 40 bits of its token, 16 of the set's size, 8 of the token's position; larger ones count as the largest.
+MOST_N, MOST_I = (1 << 16) - 1, (1 << 8) - 1
+#: Buckets of tokens that stand out in a task: more than HOT_LEAST entries and more than one in HOT_SHARE.
+HOT_BITS, HOT_LEAST, HOT_SHARE = 20, 64, 2000
+#: Pairs compared at a time, and bytes of token sets verified at a time.
+PAIRS, VERIFIED = 1 << 20, 1 << 23
 
 
 class Lines:
-    """The eligible lines of a chunk and their distinct tokens."""
+    """The eligible lines of a chunk and their words."""
 
     def __init__(self, c: Chunk, powers: Powers, shortest: int):
         breaks = np.flatnonzero(c.data == 10) + 1
         ends = np.unique(np.concatenate((breaks, c.ends)))
         w = words(Chunk(0, 0, c.data, ends), powers)
         n = np.bincount(w.row, minlength=len(ends)) if len(w.row) else np.zeros(len(ends), np.int64)
-        long = n >= shortest
+        long = n >= max(shortest, 1)
         self.at = np.flatnonzero(long)
         used = long[w.row] if len(w.row) else np.zeros(0, bool)
         self.hash = w.hash[used]
@@ -57,35 +68,38 @@ class Lines:
         start = np.concatenate(([0], c.ends[:-1]))[self.row]
         self.number = np.searchsorted(breaks, end, side="left") - np.searchsorted(breaks, start, side="right")
 
-    def parts(self) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
-        """Runs of at most LINES lines: their places, and hash and line (from 0) of their tokens."""
+    def parts(self, ranks: np.ndarray | None = None) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """Runs of at most LINES lines: their places, and their distinct tokens and where each line's begin.
+
+        Tokens come in the order of `ranks` (of buckets), and with the rank in place of the bucket.
+        """
         for a in range(0, len(self.at), LINES):
             i, j = np.searchsorted(self.line, [a, a + LINES])
-            yield slice(a, a + LINES), self.hash[i:j], self.line[i:j] - a
-
-
-def distinct(h: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((h, line))
-    h, line = h[order], line[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
-    return h[new], line[new]
+            bucket = self.hash[i:j] >> U(64 - TABLE_BITS)
+            token = ((bucket if ranks is None else ranks[bucket.astype(np.int64)]) << LOW) | (self.hash[i:j] & ((U(1) << LOW) - U(1)))
+            both = np.sort(((self.line[i:j] - a).astype(U) << U(48)) | token)
+            both = both[np.concatenate(([True], both[1:] != both[:-1]))]
+            n = np.bincount((both >> U(48)).astype(np.int64), minlength=min(LINES, len(self.at) - a))
+            yield slice(a, a + LINES), both & TOKEN, np.concatenate(([0], np.cumsum(n)))
 
 
-def set_keys(h: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def set_keys(tokens: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two hashes of each set of distinct tokens."""
-    return tuple(np.add.reduceat(mix(h * U(k)), begin[:-1]) for k in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
+    return tuple(np.add.reduceat(mix(tokens * U(k)), begin[:-1]) for k in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
 
-def _mapped(docs: DataFrame, make, schema: str) -> DataFrame:
-    """make(lines, doc_id, h) gives the columns of each chunk."""
+def _mapped(docs: DataFrame, make, schema: str, last=None) -> DataFrame:
+    """make(chunk, powers, batch) gives the columns of a chunk's rows, a run of lines at a time; last() those of a task's end."""
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
+        powers, state = Powers(), {}
         for batch in batches:
             for c in chunks(batch.column("text")):
-                for columns in make(c, powers, batch):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) if isinstance(x, np.ndarray) else x for x in columns], names=[x.split()[0] for x in schema.split(", ")])
+                for columns in make(c, powers, batch, state):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) if isinstance(x, np.ndarray) else x for x in columns], names=names)
+        if last:
+            yield pa.RecordBatch.from_arrays(last(state), names=names)
 
     return docs.mapInArrow(run, schema)
 
@@ -97,7 +111,8 @@ def token_ranks(docs: DataFrame, shortest: int) -> np.ndarray:
         powers, total = Powers(), np.zeros(1 << TABLE_BITS, np.int64)
         for batch in batches:
             for c in chunks(batch.column("text")):
-                total += np.bincount((Lines(c, powers, shortest).hash >> U(64 - TABLE_BITS)).astype(np.int64), minlength=1 << TABLE_BITS)
+                h = Lines(c, powers, shortest).hash if shortest > 1 else words(c, powers).hash
+                total += np.bincount((h >> U(64 - TABLE_BITS)).astype(np.int64), minlength=1 << TABLE_BITS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
 
@@ -105,8 +120,8 @@ def token_ranks(docs: DataFrame, shortest: int) -> np.ndarray:
     total = np.zeros(1 << TABLE_BITS, np.int64)
     if counted.num_rows:
         total[counted.column("bucket").to_numpy()] = counted.column("n").to_numpy()
-    rank = np.empty(len(total), np.int64)
-    rank[np.argsort(total, kind="stable")] = np.arange(len(total))
+    rank = np.empty(len(total), U)
+    rank[np.argsort(total, kind="stable")] = np.arange(len(total), dtype=U)
     return rank
 
 
@@ -116,130 +131,235 @@ def prefix_sizes(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _described(docs: DataFrame, percent: int, shortest: int, ranks) -> DataFrame:
-    def make(c: Chunk, powers: Powers, batch: pa.RecordBatch):
+    """A row a line: its place, hashes and map of its set, and the numbers of its prefix entries (null for a set met before in the chunk).
+
+    Rows of line -1 carry in s1 the buckets of tokens that stand out in the task's prefixes.
+    """
+
+    def make(c: Chunk, powers: Powers, batch: pa.RecordBatch, state: dict):
         lines = Lines(c, powers, shortest)
-        for place, h, line in lines.parts():
-            if not len(h):
-                continue
-            d, owner = distinct(h, line)
-            n = np.bincount(owner)
-            begin = np.concatenate(([0], np.cumsum(n)))
-            s1, s2 = set_keys(d, begin)
-            rank = ranks.value[(d >> U(64 - TABLE_BITS)).astype(np.int64)].astype(U)
-            token = (rank << U(28)) | (d & U((1 << 28) - 1))
-            ordered = np.sort((owner.astype(U) << U(46)) | token) & U((1 << 46) - 1)
-            size = prefix_sizes(n, percent)
+        if "bucket" not in state:
+            order = ranks.value
+            state["bucket"] = np.empty(len(order), U)
+            state["bucket"][order.astype(np.int64)] = np.arange(len(order), dtype=U)
+            state["seen"] = np.zeros(1 << HOT_BITS, np.int64)
+        for place, ordered, begin in lines.parts(ranks.value):
+            tokens = (state["bucket"][(ordered >> LOW).astype(np.int64)] << LOW) | (ordered & ((U(1) << LOW) - U(1)))
+            n = np.diff(begin)
+            s1, s2 = set_keys(tokens, begin)
+            bits = np.bitwise_or.reduceat(U(1) << (tokens & U(63)), begin[:-1])
+            once = np.zeros(len(n), bool)
+            once[np.unique(s1, return_index=True)[1]] = True
+            size = np.where(once, prefix_sizes(n, percent), 0)
             first = np.concatenate(([0], np.cumsum(size)))
-            picked = np.arange(first[-1]) - np.repeat(first[:-1] - begin[:-1], size)
-            prefix = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ordered[picked].astype(np.int64)))
+            position = np.arange(first[-1]) - np.repeat(first[:-1], size)
+            picked = tokens[position + np.repeat(begin[:-1], size)]
+            key = mix(picked) & ~U((1 << 24) - 1)
+            state["seen"] += np.bincount((key >> U(64 - HOT_BITS)).astype(np.int64), minlength=1 << HOT_BITS)
+            key |= (np.minimum(np.repeat(n, size), MOST_N).astype(U) << U(8)) | np.minimum(position, MOST_I).astype(U)
+            keys = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(key.view(np.int64)), mask=pa.array(size == 0))
             rows = pa.array(lines.row[place] + c.first)
-            bits = np.bitwise_or.reduceat(U(1) << ((d >> U(28)) & U(63)), begin[:-1])
-            yield batch.column("doc_id").take(rows), batch.column("h").take(rows), lines.number[place].astype(np.int64), s1.view(np.int64), s2.view(np.int64), n.astype(np.int32), bits.view(np.int64), prefix
+            yield batch.column("doc_id").take(rows), batch.column("h").take(rows), lines.number[place].astype(np.int64), s1.view(np.int64), s2.view(np.int64), bits.view(np.int64), keys
 
-    return _mapped(docs, make, "doc_id long, h long, line long, s1 long, s2 long, n int, bits long, prefix array<bigint>")
+    def last(state: dict) -> list[pa.Array]:
+        seen = state.get("seen", np.zeros(1, np.int64))
+        hot = np.flatnonzero(seen > max(HOT_LEAST, seen.sum() // HOT_SHARE))
+        same = lambda x: pa.array(np.full(len(hot), x, np.int64))
+        return [same(0), same(0), same(-1), pa.array(hot), same(0), same(0), pa.nulls(len(hot), pa.list_(pa.int64()))]
 
+    return _mapped(docs, make, "doc_id long, h long, line long, s1 long, s2 long, bits long, keys array<bigint>", last)
 
-def _sets(docs: DataFrame, shortest: int, wanted: tuple) -> DataFrame:
-    """s1, s2 and sorted tokens of the line sets that a bitmap of s1 may hold."""
+
+def _lines_of(docs: DataFrame, shortest: int, wanted: tuple, tokens: bool) -> DataFrame:
+    """Place, s1 and s2 (or tokens, six bytes each in order) of the lines whose s1 a bitmap may hold."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
-    def make(c: Chunk, powers: Powers, batch: pa.RecordBatch):
-        for _, h, line in Lines(c, powers, shortest).parts():
-            if not len(h):
-                continue
-            d, owner = distinct(h, line)
-            begin = np.concatenate(([0], np.cumsum(np.bincount(owner))))
-            s1, s2 = set_keys(d, begin)
+    def make(c: Chunk, powers: Powers, batch: pa.RecordBatch, state: dict):
+        lines = Lines(c, powers, shortest)
+        for place, token, begin in lines.parts():
+            s1, s2 = set_keys(token, begin)
             hit = np.flatnonzero(maybe_in(s1, *shared.value))
-            _, once = np.unique(s1[hit], return_index=True)
-            hit = hit[once]
-            yield s1[hit].view(np.int64), s2[hit].view(np.int64), pa.array([d[begin[i] : begin[i + 1]].tobytes() for i in hit], pa.binary())
-
-    return _mapped(docs, make, "s1 long, s2 long, tokens binary")
-
+            rows = pa.array(lines.row[place][hit] + c.first)
+            out = batch.column("doc_id").take(rows), batch.column("h").take(rows), lines.number[place][hit].astype(np.int64), s1[hit].view(np.int64)
+            if not tokens:
+                yield *out, s2[hit].view(np.int64)
+                continue
+            six = token.view(np.uint8).reshape(-1, 8)[:, :6]
+            yield *out, pa.array([six[begin[i] : begin[i + 1]].tobytes() for i in hit], pa.binary())
 
-def _earlier_later(pairs: DataFrame, groups: DataFrame, ws: Workspace) -> DataFrame:
-    """early, place (of the earlier set's first line) and later, of unordered pairs (a, b)."""
-    first = groups.groupBy("s1").agg(F.min("first").alias("first"))
-    both = pairs.join(first.select(F.col("s1").alias("a"), F.col("first").alias("fa")), "a").join(first.select(F.col("s1").alias("b"), F.col("first").alias("fb")), "b")
-    swap = F.col("fb") < F.col("fa")
-    either = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
-    return ws.keep(both.select(either("a", "b").alias("early"), either("fa", "fb").alias("place"), either("b", "a").alias("later")).distinct(), "pairs")
+    return _mapped(docs, make, "doc_id long, h long, line long, s1 long, " + ("tokens binary" if tokens else "s2 long"))
 
 
-def _sets_of(docs: DataFrame, pairs: DataFrame, shortest: int, ws: Workspace) -> DataFrame:
-    asked = pairs.select(F.explode(F.array("early", "later")).alias("s1")).distinct()
-    return ws.keep(_sets(docs, shortest, bitmap(asked, "s1", hashed=True)).dropDuplicates(["s1", "s2"]), "sets")
+class Met:
+    """Entries of the sets that share a token, by number (token, size, position), one after the other."""
 
+    names = ("k", "s1", "bits", "doc")
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (early, later: s1 of two sets; place) those that are similar: place, later, later2."""
-    x = sets.select(F.col("s1").alias("early"), F.col("tokens").alias("x"))
-    y = sets.select(F.col("s1").alias("later"), F.col("s2").alias("later2"), F.col("tokens").alias("y"))
-    sided = pairs.join(x, "early").join(y, "later").select("place", "later", "later2", "x", "y")
+    def __init__(self, percent: int, crowd: int):
+        self.percent, self.crowd = percent, crowd
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = [np.zeros(0, np.int64) for _ in self.names]
+        crowded = None  # the token whose entries pass through
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                p, q = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-                common = len(np.intersect1d(p, q, assume_unique=True))
-                good.append((100 + percent) * common >= percent * (len(p) + len(q)))
-            yield batch.select(["place", "later", "later2"]).filter(pa.array(good, pa.bool_()))
-
-    return sided.mapInArrow(run, sided.select("place", "later", "later2").schema)
+            now = [np.concatenate((a, batch.column(c).to_numpy())) for a, c in zip(left, self.names)]
+            token = now[0] >> 24
+            end = np.searchsorted(token, token[-1])
+            if len(token) - end > self.crowd or crowded == token[-1]:
+                crowded, end = token[-1], len(token)
+            left = [a[end:] for a in now]
+            yield from self.groups([a[:end] for a in now], crowded)
+        yield from self.groups(left, crowded)
+
+    def groups(self, columns: list[np.ndarray], crowded) -> Iterator[pa.RecordBatch]:
+        k = columns[0]
+        if not len(k):
+            return
+        token = k >> 24
+        start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+        size = np.diff(np.concatenate((start, [len(k)])))
+        through = np.repeat((size > self.crowd) | (token[start] == crowded), size)
+        if through.any():
+            yield self._rows(1, columns[1][through], k[through], columns[3][through], columns[2][through])
+        yield from self.pairs(*(c[~through & np.repeat(size > 1, size)] for c in columns))
+
+    @staticmethod
+    def _rows(kind: int, s1, other, doc, bits) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(s1), kind, np.int32)), *(pa.array(x) for x in (s1, other, doc, bits))], names=["kind", "s1", "other", "doc", "bits"])
+
+    def pairs(self, k: np.ndarray, s1: np.ndarray, bits: np.ndarray, doc: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """For each set and token its earliest candidate (s1: the set, other: the candidate, doc: its document) and in bits how many more there are."""
+        p = self.percent
+        sized = k >> 8
+        n, i = sized & MOST_N, k & MOST_I
+        last = ((k >> 24) << 16) | np.minimum(n * 100 // p, MOST_N)
+        many = np.searchsorted(sized, last, side="right") - np.arange(len(k)) - 1
+        # The shorter of two similar sets has the token among its first few.
+        many[(i > n - -(-2 * p * n // (100 + p))) & (n < MOST_N) & (i < MOST_I)] = 0
+        ends = np.cumsum(many)
+        found = [np.zeros((2, 0), np.int64)]
+        at = 0
+        while at < len(k):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, side="right")))
+            c = many[at:to]
+            a = np.repeat(np.arange(at, to), c)
+            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(c) - c, c)
+            both = n[a] + n[b]
+            good = (100 + p) * np.bitwise_count((bits[a] ^ bits[b]).view(U)).astype(np.int64) <= (100 - p) * both
+            a, b, both = a[good], b[good], both[good]
+            good = (100 + p) * np.minimum(n[a] - i[a], n[b] - i[b]) >= p * both
+            good |= (n[a] == MOST_N) | (n[b] == MOST_N)
+            a, b = a[good], b[good]
+            found += [np.stack((x[o], y[o])) for x, y in ((a, b), (b, a)) for o in [doc[x] <= doc[y]]]
+            at = to
+        early, later = np.concatenate(found, axis=1)
+        if len(later):
+            order = np.lexsort((s1[early], doc[early], later))
+            early, later = early[order], later[order]
+            new = np.flatnonzero(np.concatenate(([True], later[1:] != later[:-1])))
+            more = np.diff(np.concatenate((new, [len(later)]))) - 1
+            early, later = early[new], later[new]
+            yield self._rows(0, s1[later], s1[early], doc[early], more)
 
 
 def _filters(percent: int) -> str:
-    """Length, positional and bitmap filters of prefix entries p and q (ni: number of tokens and position in one; bits) of two sets.
+    """Length, positional and map filters of entries p and q (k, bits) of two sets.
 
     Where two maps differ a token is in one set only, and similar sets have few such tokens.
     """
-    pn, qn, pi, qi = "shiftright(p.ni, 32)", "shiftright(q.ni, 32)", "(p.ni & 4294967295)", "(q.ni & 4294967295)"
+    pn, qn, pi, qi = "(shiftright(p.k, 8) & 65535)", "(shiftright(q.k, 8) & 65535)", "(p.k & 255)", "(q.k & 255)"
     lengths = f"100 * least({pn}, {qn}) >= {percent} * greatest({pn}, {qn})"
     places = f"{100 + percent} * least({pn} - {pi}, {qn} - {qi}) >= {percent} * ({pn} + {qn})"
-    return f"{lengths} AND {places} AND {100 + percent} * bit_count(p.bits ^ q.bits) <= {100 - percent} * ({pn} + {qn})"
-
+    maps = f"{100 + percent} * bit_count(p.bits ^ q.bits) <= {100 - percent} * ({pn} + {qn})"
+    return f"p.s1 <> q.s1 AND p.doc <= q.doc AND ({pn} = {MOST_N} OR {qn} = {MOST_N} OR ({lengths} AND {places} AND {maps}))"
+
+
+def _candidates(entries: DataFrame, hot: DataFrame, percent: int, crowd: int, ws: Workspace) -> DataFrame:
+    """later, the earliest candidate tried (early; null if only a crowd has any) and whether there may be others (open)."""
+    token = F.shiftright("k", 24)
+    bucket = F.shiftrightunsigned("k", 64 - HOT_BITS)
+    few = entries.join(F.broadcast(hot), bucket == F.col("hot"), "left_anti")  # 2**HOT_BITS rows at most
+    met = ws.keep(few.repartition(token).sortWithinPartitions("k").mapInArrow(Met(percent, crowd), "kind int, s1 long, other long, doc long, bits long"), "met")
+    passed = met.where("kind = 1").select("s1", "bits", "doc", F.col("other").alias("k"))
+    many = passed.union(entries.join(F.broadcast(hot), bucket == F.col("hot"), "left_semi").select("s1", "bits", "doc", "k"))
+    length = F.floor(F.log(F.shiftright("k", 8).bitwiseAND(MOST_N).cast("double")) / F.log(F.lit(100 / percent))).cast("int")
+    many = ws.keep(many.withColumn("token", token).withColumn("length", length), "many")
+    leads = many.groupBy("token", "length").agg(F.min(F.struct("doc", "s1", "bits", "k")).alias("lead")).select("token", F.explode(F.array(*(F.col("length") + d for d in (-1, 0, 1)))).alias("length"), "lead.*")
+    led = many.alias("q").join(ws.keep(leads, "leads").alias("p"), F.expr(f"p.token = q.token AND p.length = q.length AND {_filters(percent)}"))
+    rows = met.where("kind = 0").select(F.col("s1").alias("later"), F.struct("doc", F.col("other").alias("early")).alias("c"), (F.col("bits") > 0).alias("open"))
+    rows = rows.union(led.select("q.s1", F.struct("p.doc", "p.s1"), F.lit(True)))
+    rows = rows.union(many.select("s1", F.lit(None).cast("struct<doc:bigint,early:bigint>"), F.lit(True)))
+    tried = rows.groupBy("later").agg(F.min("c").alias("c"), (F.bool_or("open") | F.coalesce(F.min("c") != F.max("c"), F.lit(False))).alias("open"))
+    return ws.keep(tried.select("later", "c.early", "open"), "tried")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, percent: int, shortest: int) -> DataFrame:
+    """The sets (later) of `pairs` that are similar to the early one, which comes before them."""
+    wanted = bitmap(pairs.select(F.explode(F.array("early", "later")).alias("s1")).distinct(), "s1", hashed=True)
+    found = _lines_of(docs, shortest, wanted, tokens=True)
+    sets = found.groupBy("s1").agg(F.min(F.struct("doc_id", "h", "line")).alias("place"), F.any_value("tokens").alias("tokens"))
+    mine = sets.select(F.col("s1").alias("later"), F.col("place").alias("mine"), F.col("tokens").alias("y"))
+    other = sets.select(F.col("s1").alias("early"), F.col("place").alias("other"), F.col("tokens").alias("x"))
+    sided = pairs.join(mine, "later").join(other, "early").where("other < mine").select("later", "x", "y")
 
-def removed_lines(docs: DataFrame, percent: int = 80, shortest: int = 5, crowd: int = CROWD, workspace: Workspace | None = None) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = [batch.column("x"), batch.column("y")]
+            sizes = [np.diff(np.frombuffer(s.buffers()[1], np.int32)[s.offset : s.offset + len(s) + 1]) for s in sides]
+            ends = np.cumsum(sizes[0] + sizes[1], dtype=np.int64)
+            at = 0
+            while at < len(ends):
+                to = min(at + (1 << 14), max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + VERIFIED, side="right"))))
+                token = []
+                for side, size in zip(sides, sizes):
+                    six = np.frombuffer(b"".join(side.slice(at, to - at).to_pylist()), np.uint8).reshape(-1, 6)
+                    whole = np.zeros((len(six), 8), np.uint8)
+                    whole[:, :6] = six
+                    token.append(whole.view(U).ravel() | np.repeat(np.arange(to - at, dtype=U) << U(48), size[at:to] // 6))
+                both = np.sort(np.concatenate(token))
+                twice = np.bincount((both[1:][both[1:] == both[:-1]] >> U(48)).astype(np.int64), minlength=to - at)
+                total = (sizes[0][at:to] + sizes[1][at:to]) // 6
+                yield pa.RecordBatch.from_arrays([batch.column("later").slice(at, to - at).filter(pa.array((100 + percent) * twice >= percent * total))], names=["later"])
+                at = to
+
+    return sided.mapInArrow(run, "later long")
+
+
+def _first_document() -> Column:
+    return F.coalesce(F.col("first.doc_id"), F.lit(-(1 << 63))).alias("doc")
+
+
+def removed_lines(docs: DataFrame, percent: int = 80, shortest: int = SHORTEST, crowd: int = CROWD, workspace: Workspace | None = None) -> DataFrame:
     """doc_id, h (hash of the text) and the sorted numbers of the lines that go."""
     spark = docs.sparkSession
     ws = workspace or Workspace(spark, "lines")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("text").cast("string").alias("text"))
     ranks = spark.sparkContext.broadcast(token_ranks(docs.select("text"), shortest))
-    described = ws.keep(_described(docs, percent, shortest, ranks), "described")
     place = F.struct("doc_id", "h", "line")
-    wide_groups = ws.keep(described.groupBy("s1", "s2").agg(F.min(place).alias("first"), F.count("*").alias("copies"), *(F.any_value(c).alias(c) for c in ("n", "bits", "prefix"))), "groups")
-    lines = ws.keep(described.select("doc_id", "h", "line", "s1", "s2"), "lines")
-    ws.drop(described)
-    groups = ws.keep(wide_groups.select("s1", "s2", "first", "copies"), "places")
-    ni = (F.shiftleft(F.col("n").cast("long"), 32) + F.col("i")).alias("ni")
-    entries = wide_groups.select("s1", "n", "bits", F.posexplode("prefix").alias("i", "token")).select("s1", "bits", "token", ni)
-    crowded = ws.keep(entries.groupBy("token").agg(F.count("*").alias("sharing")).where(F.col("sharing") > crowd).select("token"), "crowded")
-    few = entries.join(crowded, "token", "left_anti")
-    many = ws.keep(wide_groups.select("s1", "n", "bits", "first", F.posexplode("prefix").alias("i", "token")).select("s1", "bits", "first", "token", ni).join(crowded, "token"), "many")
-    pair = [F.col("p.s1").alias("a"), F.col("q.s1").alias("b")]
-    close = few.alias("p").join(few.alias("q"), F.expr(f"p.token = q.token AND p.s1 < q.s1 AND {_filters(percent)}")).select(*pair)
-    # Crowded tokens: everyone meets the earliest, and those not similar to it meet all that come before them.
-    leads = ws.keep(many.groupBy("token").agg(F.min(F.struct("first", "s1", "bits", "ni")).alias("lead")).select("token", "lead.*"), "leads")
-    led = many.alias("q").join(leads.alias("p"), F.expr(f"p.token = q.token AND p.s1 <> q.s1 AND {_filters(percent)}")).select(*pair)
-    near = ws.keep(close.union(led).distinct(), "near")
-    ws.drop(wide_groups)
-    pairs = _earlier_later(near, groups, ws)
-    ws.drop(near)
-    # One earlier line that is similar decides: the earliest candidate is tried first, the others only where it fails.
-    tried = ws.keep(pairs.groupBy("later").agg(F.min(F.struct("place", "early")).alias("m")).select("m.early", "m.place", "later"), "tried")
-    similar = ws.keep(_verified(tried, _sets_of(docs, tried, shortest, ws), percent), "similar")
-    decided = similar.select(F.col("later").alias("s1")).distinct()
-    open_pairs = pairs.join(decided, F.col("later") == F.col("s1"), "left_anti").join(tried.select("early", "later"), ["early", "later"], "left_anti").select("early", "place", "later")
-    wide = many.join(decided, "s1", "left_anti").alias("q").join(many.alias("p"), F.expr(f"p.token = q.token AND p.first < q.first AND p.s1 <> q.s1 AND {_filters(percent)}"))
-    wide = wide.select(F.col("p.s1").alias("early"), F.col("p.first").alias("place"), F.col("q.s1").alias("later")).join(tried.select("early", "later"), ["early", "later"], "left_anti")
-    rest = ws.keep(open_pairs.unionByName(wide).groupBy("early", "later").agg(F.min("place").alias("place")), "rest")
+    described = _described(docs, percent, shortest, ranks)
+    groups = ws.keep(described.groupBy("s1", "s2").agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.any_value("bits").alias("bits"), F.any_value("keys", True).alias("keys")), "groups")
+    ws.release()
+    hot = groups.where("first.line < 0").select(F.col("s1").alias("hot"))
+    groups = groups.where("first.line >= 0")
+    entries = groups.where("keys IS NOT NULL").select("s1", "bits", _first_document(), F.explode("keys").alias("k"))
+    tried = _candidates(entries, hot, percent, crowd, ws)
+    ws.release()
+    decided = ws.keep(_verified(docs, tried.where("early IS NOT NULL").select("later", "early"), percent, shortest).distinct(), "decided")
+    ws.release()
+    # What that leaves open meets all its candidates.
+    undecided = ws.keep(tried.where("open").join(decided, "later", "left_anti").select(F.col("later").alias("s1")), "undecided")
+    asking = groups.where("keys IS NOT NULL").join(undecided, "s1", "left_semi").select("s1", "bits", _first_document(), F.explode("keys").alias("k"))
+    asking = ws.keep(asking, "asking")
+    rest = asking.alias("q").join(entries.alias("p"), F.expr(f"shiftright(p.k, 24) = shiftright(q.k, 24) AND {_filters(percent)}"))
+    rest = rest.select(F.col("q.s1").alias("later"), F.col("p.s1").alias("early")).distinct()
+    rest = ws.keep(rest.join(tried.select("later", "early"), ["later", "early"], "left_anti"), "rest")
     if not rest.isEmpty():
-        similar = ws.keep(similar.union(_verified(rest, _sets_of(docs, rest, shortest, ws), percent)), "similar")
-    before = similar.groupBy(F.col("later").alias("s1"), F.col("later2").alias("s2")).agg(F.min("place").alias("other"))
-    stays = groups.select("s1", "s2", "first", "copies").join(before, ["s1", "s2"], "left").where("copies > 1 OR other < first").select("s1", "s2", F.least("first", F.coalesce("other", "first")).alias("stays"))
-    gone = lines.select("s1", "s2", place.alias("place")).join(ws.keep(stays, "stays"), ["s1", "s2"]).where("place > stays")
+        decided = ws.keep(decided.union(_verified(docs, rest, percent, shortest).distinct()), "decided")
+    ws.release()
+    stays = groups.select("s1", "s2", "first", "copies").join(decided.withColumnRenamed("later", "s1").withColumn("similar", F.lit(True)), "s1", "left")
+    stays = ws.keep(stays.where("copies > 1 OR similar").select("s1", "s2", F.when(F.col("similar"), F.lit(None)).otherwise(F.col("first")).alias("first")), "stays")
+    lines = _lines_of(docs, shortest, bitmap(stays, "s1", hashed=True), tokens=False).select("s1", "s2", place.alias("place"))
+    gone = lines.join(stays, ["s1", "s2"]).where("first IS NULL OR place > first")
     return gone.groupBy("place.doc_id", "place.h").agg(F.sort_array(F.collect_set("place.line")).alias("gone"))
 
 
@@ -248,6 +368,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", removed: str | None = None,
     ws = workspace or Workspace(docs.sparkSession, "lines")
     carried = [c for c in docs.columns if c != removed]
     gone = ws.keep(removed_lines(docs.select("doc_id", F.col(f"`{text}`").alias("text")), workspace=ws, **options), "gone")
+    ws.release()
     left = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carried)), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.col(f"`{text}`").cast("string")).alias("_h"))
     joined = left.join(gone, F.expr("_id <=> doc_id AND _h = h"), "left").drop("_id", "_h", "doc_id", "h")
     at = carried.index(text)

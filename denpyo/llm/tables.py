@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -12,11 +13,13 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 
-    Only where the session names none (tests in one process) a temporary one is
-    made and remembered in the session.
+    Only a local session (one process, as in tests) that names none gets a temporary one,
+    remembered in the session; a cluster must name one.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("denpyo.checkpoint.dir", None)
     if not folder:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="denpyo-")
         spark.conf.set("denpyo.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -46,6 +49,11 @@ class Workspace:
         self._n += 1
         return f"{self.root}/{self._n:03d}-{label}"
 
+    def release(self) -> None:
+        """Let Spark delete shuffle files that no frame needs any more; it does when the driver collects garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, df: DataFrame) -> None:
         """Delete a table that `keep` returned and nothing reads any more."""
         _, path = self._paths.pop(id(df))

@@ -9,19 +9,19 @@ from denpyo.llm import line_dedup
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def token_set(line):
+def token_set(line, shortest=1):
     w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in line))
-    return frozenset(w) if len(w) >= 5 else None
+    return frozenset(w) if len(w) >= shortest else None
 
 
-def brute(rows, percent=80):
+def brute(rows, percent=80, shortest=1):
     """The text left of each row, comparing every line with all earlier ones."""
     order = sorted({r for r in rows if r[1] is not None}, key=lambda r: (r[0] is not None, r[0] or 0))
     seen, index, left = [], {}, {}
     for i, text in order:
         out, fresh = [], []
         for line in text.split("\n"):
-            s = token_set(line)
+            s = token_set(line, shortest)
             if s is not None:
                 near = {k for x in s for k in index.get(x, ())}
                 gone = any((100 + percent) * len(s & seen[k]) >= percent * (len(s) + len(seen[k])) for k in near)
@@ -68,11 +68,27 @@ def test_empty_and_sample(spark):
     assert got == brute([(r.doc_id, r.text) for r in docs.collect()])
 
 
-def test_short_lines_take_part(spark, monkeypatch, tmp_path):
+def test_least_length_is_an_option(spark):
+    rows = [(1, "a b c\na b c\na b c d e"), (2, "a b c d e\na b c")]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), shortest=5).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == brute(rows, shortest=5) == [(1, rows[0][1]), (2, "a b c")]
+
+
+@pytest.mark.parametrize("crowd", [1024, 20])
+def test_thousands_of_variants_of_one_line(spark, crowd, monkeypatch):
+    """Variants near and far from the first one, in one crowd; with a small CROWD, and with tokens that stand out."""
+    monkeypatch.setattr(line_dedup, "HOT_LEAST", 64 if crowd > 20 else 1 << 40)
+    rng = random.Random(7)
+    base = " ".join(f"b{i}" for i in range(20))
+    rows = [(i, edited(rng, base, rng.choice([0, 1, 2, 3, 3, 4])) + "\n" + edited(rng, base, rng.randrange(6))) for i in range(1200)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), crowd=crowd).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == brute(rows)
+
+
+def test_short_lines_take_part(spark, tmp_path):
     """Query and stage against brute force without a least length; four tokens are similar to five that hold them."""
     import corpus_pipeline
 
-    monkeypatch.setitem(globals(), "token_set", lambda line: frozenset(WORD.findall(line.lower())) or None)
     rng = random.Random(5)
     line = lambda: " ".join(f"w{rng.randrange(12)}" for _ in range(rng.randrange(0, 8)))
     rows = [(i, "\n".join(line() for _ in range(rng.randrange(1, 6)))) for i in range(200)]
