@@ -4,17 +4,17 @@ A line is the set of its words (runs of bytes other than space and \\t..\\r, A-Z
 lower-cased). Tokens are ordered by how often their bucket of a table of fixed size
 occurs in all lines, rarest first. Two similar sets share a token in their prefixes, the
 shorter one in the first few of them already; pairs that share one and pass the length and
-positional filters, and whose 64-bit maps of tokens differ in no more places than similar
-sets can, are verified by their Jaccard similarity on whole sets. A line is removed where a
+positional filters, and whose 128-bit maps of the parities of tokens differ in no more places than
+similar sets can, are verified by their Jaccard similarity on whole sets. A line is removed where a
 similar line comes earlier, by doc_id, then text hash, then line number, whether that one
 stays or not.
 
-Equal sets are one group from the start. One earlier similar line decides, so each set first
-tries the earliest candidate of each of its tokens, and the earliest of those is verified; only
-sets that this leaves open meet all their candidates. Sets that share a token are compared side by
+Equal sets are one group from the start. One earlier similar line decides, so the few candidates
+of each set whose maps differ least are verified first; only sets that this leaves open meet all
+their candidates. Sets that share a token are compared side by
 side in the partition of that token. A token in more than CROWD prefixes, or in so many that it
 would stand out in a partition, takes another way: its sets first try the earliest one of about their
-length. This is exact; only a crowd of mutually unlike lines that share rare tokens costs the square of its size.
+length, then all. This is exact; only a crowd of mutually unlike lines that share rare tokens costs the square of its size.
 
 Lines of fewer than `shortest` words are never removed; by default every line with a word
 takes part. Sets too small to be similar to any other (three tokens or fewer
@@ -45,6 +45,8 @@ LOW = U(48 - TABLE_BITS)
 MOST_N, MOST_I = (1 << 16) - 1, (1 << 8) - 1
 #: Buckets of tokens that stand out in a task: more than HOT_LEAST entries and more than one in HOT_SHARE.
 HOT_BITS, HOT_LEAST, HOT_SHARE = 20, 64, 2000
+#: Candidates that a set tries first.
+FIRST = 4
 #: Pairs compared at a time, and bytes of token sets verified at a time.
 PAIRS, VERIFIED = 1 << 20, 1 << 23
 
@@ -88,13 +90,14 @@ def set_keys(tokens: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndar
     return tuple(np.add.reduceat(mix(tokens * U(k)), begin[:-1]) for k in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
 
-def _mapped(docs: DataFrame, make, schema: str, last=None) -> DataFrame:
-    """make(chunk, powers, batch) gives the columns of a chunk's rows, a run of lines at a time; last() those of a task's end."""
+def _mapped(docs: DataFrame, make, schema: str, last=None, only=None) -> DataFrame:
+    """make(chunk, powers, batch, state) gives the columns of a chunk's rows, a run of lines at a time; last(state) those of a task's end."""
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, state = Powers(), {}
         for batch in batches:
+            batch = only(batch) if only else batch
             for c in chunks(batch.column("text")):
                 for columns in make(c, powers, batch, state):
                     yield pa.RecordBatch.from_arrays([pa.array(x) if isinstance(x, np.ndarray) else x for x in columns], names=names)
@@ -147,7 +150,9 @@ def _described(docs: DataFrame, percent: int, shortest: int, ranks) -> DataFrame
             tokens = (state["bucket"][(ordered >> LOW).astype(np.int64)] << LOW) | (ordered & ((U(1) << LOW) - U(1)))
             n = np.diff(begin)
             s1, s2 = set_keys(tokens, begin)
-            bits = np.bitwise_or.reduceat(U(1) << (tokens & U(63)), begin[:-1])
+            bit = U(1) << (tokens & U(63))
+            upper = (tokens & U(64)) > 0
+            maps = [np.bitwise_xor.reduceat(np.where(x, bit, U(0)), begin[:-1]).view(np.int64) for x in (~upper, upper)]
             once = np.zeros(len(n), bool)
             once[np.unique(s1, return_index=True)[1]] = True
             size = np.where(once, prefix_sizes(n, percent), 0)
@@ -159,26 +164,26 @@ def _described(docs: DataFrame, percent: int, shortest: int, ranks) -> DataFrame
             key |= (np.minimum(np.repeat(n, size), MOST_N).astype(U) << U(8)) | np.minimum(position, MOST_I).astype(U)
             keys = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(key.view(np.int64)), mask=pa.array(size == 0))
             rows = pa.array(lines.row[place] + c.first)
-            yield batch.column("doc_id").take(rows), batch.column("h").take(rows), lines.number[place].astype(np.int64), s1.view(np.int64), s2.view(np.int64), bits.view(np.int64), keys
+            yield batch.column("doc_id").take(rows), batch.column("h").take(rows), lines.number[place].astype(np.int64), s1.view(np.int64), s2.view(np.int64), *maps, keys
 
     def last(state: dict) -> list[pa.Array]:
         seen = state.get("seen", np.zeros(1, np.int64))
         hot = np.flatnonzero(seen > max(HOT_LEAST, seen.sum() // HOT_SHARE))
         same = lambda x: pa.array(np.full(len(hot), x, np.int64))
-        return [same(0), same(0), same(-1), pa.array(hot), same(0), same(0), pa.nulls(len(hot), pa.list_(pa.int64()))]
+        return [same(0), same(0), same(-1), pa.array(hot), same(0), same(0), same(0), pa.nulls(len(hot), pa.list_(pa.int64()))]
 
-    return _mapped(docs, make, "doc_id long, h long, line long, s1 long, s2 long, bits long, keys array<bigint>", last)
+    return _mapped(docs, make, "doc_id long, h long, line long, s1 long, s2 long, m1 long, m2 long, keys array<bigint>", last)
 
 
-def _lines_of(docs: DataFrame, shortest: int, wanted: tuple, tokens: bool) -> DataFrame:
-    """Place, s1 and s2 (or tokens, six bytes each in order) of the lines whose s1 a bitmap may hold."""
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+def _lines_of(docs: DataFrame, shortest: int, wanted: tuple, texts: tuple | None = None) -> DataFrame:
+    """Place, s1 and s2 of the lines whose s1 a bitmap may hold; of texts that another one may hold, tokens (six bytes each in order) for s2."""
+    shared, tokens = docs.sparkSession.sparkContext.broadcast((wanted, texts)), texts is not None
 
     def make(c: Chunk, powers: Powers, batch: pa.RecordBatch, state: dict):
         lines = Lines(c, powers, shortest)
         for place, token, begin in lines.parts():
             s1, s2 = set_keys(token, begin)
-            hit = np.flatnonzero(maybe_in(s1, *shared.value))
+            hit = np.flatnonzero(maybe_in(s1, *shared.value[0]))
             rows = pa.array(lines.row[place][hit] + c.first)
             out = batch.column("doc_id").take(rows), batch.column("h").take(rows), lines.number[place][hit].astype(np.int64), s1[hit].view(np.int64)
             if not tokens:
@@ -187,13 +192,14 @@ def _lines_of(docs: DataFrame, shortest: int, wanted: tuple, tokens: bool) -> Da
             six = token.view(np.uint8).reshape(-1, 8)[:, :6]
             yield *out, pa.array([six[begin[i] : begin[i + 1]].tobytes() for i in hit], pa.binary())
 
-    return _mapped(docs, make, "doc_id long, h long, line long, s1 long, " + ("tokens binary" if tokens else "s2 long"))
+    only = (lambda batch: batch.filter(pa.array(maybe_in(batch.column("h").to_numpy(), *shared.value[1])))) if tokens else None
+    return _mapped(docs, make, "doc_id long, h long, line long, s1 long, " + ("tokens binary" if tokens else "s2 long"), only=only)
 
 
 class Met:
     """Entries of the sets that share a token, by number (token, size, position), one after the other."""
 
-    names = ("k", "s1", "bits", "doc")
+    names = ("k", "s1", "m1", "m2", "doc")
 
     def __init__(self, percent: int, crowd: int):
         self.percent, self.crowd = percent, crowd
@@ -220,15 +226,18 @@ class Met:
         size = np.diff(np.concatenate((start, [len(k)])))
         through = np.repeat((size > self.crowd) | (token[start] == crowded), size)
         if through.any():
-            yield self._rows(1, columns[1][through], k[through], columns[3][through], columns[2][through])
+            yield self._rows(1, *(columns[c][through] for c in (1, 0, 4, 2, 3)))
         yield from self.pairs(*(c[~through & np.repeat(size > 1, size)] for c in columns))
 
     @staticmethod
-    def _rows(kind: int, s1, other, doc, bits) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(s1), kind, np.int32)), *(pa.array(x) for x in (s1, other, doc, bits))], names=["kind", "s1", "other", "doc", "bits"])
+    def _rows(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind, np.int32)), *(pa.array(x) for x in columns)], names=["kind", "s1", "other", "doc", "m1", "m2"])
 
-    def pairs(self, k: np.ndarray, s1: np.ndarray, bits: np.ndarray, doc: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """For each set and token its earliest candidate (s1: the set, other: the candidate, doc: its document) and in bits how many more there are."""
+    def pairs(self, k: np.ndarray, s1: np.ndarray, m1: np.ndarray, m2: np.ndarray, doc: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """For each set and token the candidates to try first (s1: the set, other: the candidate, doc: its document).
+
+        In m1 is how much their maps differ, in m2 how many more candidates there are.
+        """
         p = self.percent
         sized = k >> 8
         n, i = sized & MOST_N, k & MOST_I
@@ -237,7 +246,7 @@ class Met:
         # The shorter of two similar sets has the token among its first few.
         many[(i > n - -(-2 * p * n // (100 + p))) & (n < MOST_N) & (i < MOST_I)] = 0
         ends = np.cumsum(many)
-        found = [np.zeros((2, 0), np.int64)]
+        found = [np.zeros((3, 0), np.int64)]
         at = 0
         while at < len(k):
             to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, side="right")))
@@ -245,58 +254,65 @@ class Met:
             a = np.repeat(np.arange(at, to), c)
             b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(c) - c, c)
             both = n[a] + n[b]
-            good = (100 + p) * np.bitwise_count((bits[a] ^ bits[b]).view(U)).astype(np.int64) <= (100 - p) * both
-            a, b, both = a[good], b[good], both[good]
+            far = sum(np.bitwise_count((m[a] ^ m[b]).view(U)).astype(np.int64) for m in (m1, m2))
+            good = (((100 + p) * far <= (100 - p) * both) | (n[b] == MOST_N)) & (s1[a] != s1[b])
+            a, b, both, far = a[good], b[good], both[good], far[good]
             good = (100 + p) * np.minimum(n[a] - i[a], n[b] - i[b]) >= p * both
-            good |= (n[a] == MOST_N) | (n[b] == MOST_N)
-            a, b = a[good], b[good]
-            found += [np.stack((x[o], y[o])) for x, y in ((a, b), (b, a)) for o in [doc[x] <= doc[y]]]
+            good |= n[b] == MOST_N
+            a, b, far = a[good], b[good], far[good]
+            found += [np.stack((x[o], y[o], far[o])) for x, y in ((a, b), (b, a)) for o in [doc[x] <= doc[y]]]
             at = to
-        early, later = np.concatenate(found, axis=1)
+        early, later, far = np.concatenate(found, axis=1)
         if len(later):
-            order = np.lexsort((s1[early], doc[early], later))
-            early, later = early[order], later[order]
+            order = np.lexsort((s1[early], doc[early], far, later))
+            early, later, far = early[order], later[order], far[order]
             new = np.flatnonzero(np.concatenate(([True], later[1:] != later[:-1])))
-            more = np.diff(np.concatenate((new, [len(later)]))) - 1
-            early, later = early[new], later[new]
-            yield self._rows(0, s1[later], s1[early], doc[early], more)
+            count = np.diff(np.concatenate((new, [len(later)])))
+            few = np.arange(len(later)) - np.repeat(new, count) < FIRST
+            more = np.repeat(np.maximum(count - FIRST, 0), count)
+            yield self._rows(0, s1[later][few], s1[early][few], doc[early][few], far[few], more[few])
+
+
+_FAR = "(bit_count(p.m1 ^ q.m1) + bit_count(p.m2 ^ q.m2))"
 
 
 def _filters(percent: int) -> str:
-    """Length, positional and map filters of entries p and q (k, bits) of two sets.
+    """Length, positional and map filters of entries p and q (k, m1, m2) of two sets.
 
     Where two maps differ a token is in one set only, and similar sets have few such tokens.
     """
     pn, qn, pi, qi = "(shiftright(p.k, 8) & 65535)", "(shiftright(q.k, 8) & 65535)", "(p.k & 255)", "(q.k & 255)"
     lengths = f"100 * least({pn}, {qn}) >= {percent} * greatest({pn}, {qn})"
     places = f"{100 + percent} * least({pn} - {pi}, {qn} - {qi}) >= {percent} * ({pn} + {qn})"
-    maps = f"{100 + percent} * bit_count(p.bits ^ q.bits) <= {100 - percent} * ({pn} + {qn})"
+    maps = f"{100 + percent} * {_FAR} <= {100 - percent} * ({pn} + {qn})"
     return f"p.s1 <> q.s1 AND p.doc <= q.doc AND ({pn} = {MOST_N} OR {qn} = {MOST_N} OR ({lengths} AND {places} AND {maps}))"
 
 
 def _candidates(entries: DataFrame, hot: DataFrame, percent: int, crowd: int, ws: Workspace) -> DataFrame:
-    """later, the earliest candidate tried (early; null if only a crowd has any) and whether there may be others (open)."""
+    """later, the candidates to try (early; none if only a crowd may have any) and whether there may be others (open)."""
     token = F.shiftright("k", 24)
     bucket = F.shiftrightunsigned("k", 64 - HOT_BITS)
     few = entries.join(F.broadcast(hot), bucket == F.col("hot"), "left_anti")  # 2**HOT_BITS rows at most
-    met = ws.keep(few.repartition(token).sortWithinPartitions("k").mapInArrow(Met(percent, crowd), "kind int, s1 long, other long, doc long, bits long"), "met")
-    passed = met.where("kind = 1").select("s1", "bits", "doc", F.col("other").alias("k"))
-    many = passed.union(entries.join(F.broadcast(hot), bucket == F.col("hot"), "left_semi").select("s1", "bits", "doc", "k"))
+    met = ws.keep(few.repartition(token).sortWithinPartitions("k").mapInArrow(Met(percent, crowd), "kind int, s1 long, other long, doc long, m1 long, m2 long"), "met")
+    passed = met.where("kind = 1").select("s1", "m1", "m2", "doc", F.col("other").alias("k"))
+    many = passed.union(entries.join(F.broadcast(hot), bucket == F.col("hot"), "left_semi").select("s1", "m1", "m2", "doc", "k"))
     length = F.floor(F.log(F.shiftright("k", 8).bitwiseAND(MOST_N).cast("double")) / F.log(F.lit(100 / percent))).cast("int")
     many = ws.keep(many.withColumn("token", token).withColumn("length", length), "many")
-    leads = many.groupBy("token", "length").agg(F.min(F.struct("doc", "s1", "bits", "k")).alias("lead")).select("token", F.explode(F.array(*(F.col("length") + d for d in (-1, 0, 1)))).alias("length"), "lead.*")
+    leads = many.groupBy("token", "length").agg(F.min(F.struct("doc", "s1", "m1", "m2", "k")).alias("lead")).select("token", F.explode(F.array(*(F.col("length") + d for d in (-1, 0, 1)))).alias("length"), "lead.*")
     led = many.alias("q").join(ws.keep(leads, "leads").alias("p"), F.expr(f"p.token = q.token AND p.length = q.length AND {_filters(percent)}"))
-    rows = met.where("kind = 0").select(F.col("s1").alias("later"), F.struct("doc", F.col("other").alias("early")).alias("c"), (F.col("bits") > 0).alias("open"))
-    rows = rows.union(led.select("q.s1", F.struct("p.doc", "p.s1"), F.lit(True)))
-    rows = rows.union(many.select("s1", F.lit(None).cast("struct<doc:bigint,early:bigint>"), F.lit(True)))
-    tried = rows.groupBy("later").agg(F.min("c").alias("c"), (F.bool_or("open") | F.coalesce(F.min("c") != F.max("c"), F.lit(False))).alias("open"))
-    return ws.keep(tried.select("later", "c.early", "open"), "tried")
+    rows = met.where("kind = 0").select(F.col("s1").alias("later"), F.struct(F.col("m1").alias("far"), "doc", F.col("other").alias("early")).alias("c"), (F.col("m2") > 0).alias("open"))
+    rows = rows.union(led.select("q.s1", F.struct(F.expr(f"cast({_FAR} AS long)"), "p.doc", "p.s1"), F.lit(True)))
+    rows = rows.union(many.select("s1", F.lit(None).cast("struct<far:bigint,doc:bigint,early:bigint>"), F.lit(True)))
+    # At most FIRST candidates a token in a set's prefix.
+    tried = rows.groupBy("later").agg(F.array_sort(F.collect_set("c")).alias("c"), F.bool_or("open").alias("open"))
+    return ws.keep(tried.select("later", F.transform(F.slice("c", 1, FIRST), lambda c: c["early"]).alias("early"), (F.col("open") | (F.size("c") > FIRST)).alias("open")), "tried")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, percent: int, shortest: int) -> DataFrame:
+def _verified(docs: DataFrame, groups: DataFrame, pairs: DataFrame, percent: int, shortest: int, ws: Workspace) -> DataFrame:
     """The sets (later) of `pairs` that are similar to the early one, which comes before them."""
-    wanted = bitmap(pairs.select(F.explode(F.array("early", "later")).alias("s1")).distinct(), "s1", hashed=True)
-    found = _lines_of(docs, shortest, wanted, tokens=True)
+    wanted = ws.keep(pairs.select(F.explode(F.array("early", "later")).alias("s1")).distinct(), "wanted")
+    texts = ws.keep(groups.join(wanted, "s1", "left_semi").select("first.h").distinct(), "texts")
+    found = _lines_of(docs, shortest, bitmap(wanted, "s1", hashed=True), bitmap(texts, "h", hashed=True))
     sets = found.groupBy("s1").agg(F.min(F.struct("doc_id", "h", "line")).alias("place"), F.any_value("tokens").alias("tokens"))
     mine = sets.select(F.col("s1").alias("later"), F.col("place").alias("mine"), F.col("tokens").alias("y"))
     other = sets.select(F.col("s1").alias("early"), F.col("place").alias("other"), F.col("tokens").alias("x"))
@@ -337,28 +353,28 @@ def removed_lines(docs: DataFrame, percent: int = 80, shortest: int = SHORTEST,
     ranks = spark.sparkContext.broadcast(token_ranks(docs.select("text"), shortest))
     place = F.struct("doc_id", "h", "line")
     described = _described(docs, percent, shortest, ranks)
-    groups = ws.keep(described.groupBy("s1", "s2").agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.any_value("bits").alias("bits"), F.any_value("keys", True).alias("keys")), "groups")
+    groups = ws.keep(described.groupBy("s1", "s2").agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.any_value("m1").alias("m1"), F.any_value("m2").alias("m2"), F.any_value("keys", True).alias("keys")), "groups")
     ws.release()
     hot = groups.where("first.line < 0").select(F.col("s1").alias("hot"))
     groups = groups.where("first.line >= 0")
-    entries = groups.where("keys IS NOT NULL").select("s1", "bits", _first_document(), F.explode("keys").alias("k"))
+    entries = groups.where("keys IS NOT NULL").select("s1", "m1", "m2", _first_document(), F.explode("keys").alias("k"))
     tried = _candidates(entries, hot, percent, crowd, ws)
     ws.release()
-    decided = ws.keep(_verified(docs, tried.where("early IS NOT NULL").select("later", "early"), percent, shortest).distinct(), "decided")
+    decided = ws.keep(_verified(docs, groups, tried.select("later", F.explode("early").alias("early")), percent, shortest, ws).distinct(), "decided")
     ws.release()
     # What that leaves open meets all its candidates.
     undecided = ws.keep(tried.where("open").join(decided, "later", "left_anti").select(F.col("later").alias("s1")), "undecided")
-    asking = groups.where("keys IS NOT NULL").join(undecided, "s1", "left_semi").select("s1", "bits", _first_document(), F.explode("keys").alias("k"))
+    asking = groups.where("keys IS NOT NULL").join(undecided, "s1", "left_semi").select("s1", "m1", "m2", _first_document(), F.explode("keys").alias("k"))
     asking = ws.keep(asking, "asking")
     rest = asking.alias("q").join(entries.alias("p"), F.expr(f"shiftright(p.k, 24) = shiftright(q.k, 24) AND {_filters(percent)}"))
     rest = rest.select(F.col("q.s1").alias("later"), F.col("p.s1").alias("early")).distinct()
-    rest = ws.keep(rest.join(tried.select("later", "early"), ["later", "early"], "left_anti"), "rest")
+    rest = ws.keep(rest.join(tried.select("later", F.explode("early").alias("early")), ["later", "early"], "left_anti"), "rest")
     if not rest.isEmpty():
-        decided = ws.keep(decided.union(_verified(docs, rest, percent, shortest).distinct()), "decided")
+        decided = ws.keep(decided.union(_verified(docs, groups, rest, percent, shortest, ws).distinct()), "decided")
     ws.release()
     stays = groups.select("s1", "s2", "first", "copies").join(decided.withColumnRenamed("later", "s1").withColumn("similar", F.lit(True)), "s1", "left")
     stays = ws.keep(stays.where("copies > 1 OR similar").select("s1", "s2", F.when(F.col("similar"), F.lit(None)).otherwise(F.col("first")).alias("first")), "stays")
-    lines = _lines_of(docs, shortest, bitmap(stays, "s1", hashed=True), tokens=False).select("s1", "s2", place.alias("place"))
+    lines = _lines_of(docs, shortest, bitmap(stays, "s1", hashed=True)).select("s1", "s2", place.alias("place"))
     gone = lines.join(stays, ["s1", "s2"]).where("first IS NULL OR place > first")
     return gone.groupBy("place.doc_id", "place.h").agg(F.sort_array(F.collect_set("place.line")).alias("gone"))
 
