@@ -1,25 +1,29 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame operations only.
 
 Well-formed e-mail addresses, IP addresses, card and phone numbers are the base
-spans and the seeds. The words next to a seed induce patterns; all other tokens
-with a digit or an at sign are candidates and meet the same patterns. Patterns and
+spans; they and long mixed tokens of letters and digits (secrets) are the seeds. The whole words
+next to a seed induce patterns; all other tokens with a digit or an at sign are candidates and meet
+the same patterns; groups of digits that single separators part are one candidate. Patterns and
 instances score each other over a few rounds: a pattern's confidence in a kind is
 the mean score of its distinct instances, an unseen instance's score the
 noisy-or of its patterns. Candidates of a high score through patterns with enough
-distinct seeds are added as spans of that kind.
+distinct seeds are added as spans of that kind, and so are secrets apart from base spans.
 
 A null text counts as empty and has no spans. Offsets are code points, ends exclusive.
-Repeated rows get equal results; a null doc_id is a row like any other.
+Repeated rows get equal results; a null doc_id is a row like any other. The work grows with a text's
+length, however many matches it has.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .tables import Workspace, read
 
 KINDS = ("email", "ip", "card", "phone")
+#: Seeds that are no base spans.
+MORE_KINDS = ("secret",)
 #: The same languages as the plain expressions, with possessive repeats and starts that only a run's first character or
 #: the end of the last match can be, so that long runs take linear time and no recursion.
 EXPRESSIONS = {
@@ -27,29 +31,55 @@ EXPRESSIONS = {
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
+    "secret": r"(?<![A-Za-z0-9_])(?=[A-Za-z_]*+[0-9])(?=[0-9_]*+[A-Za-z])[A-Za-z0-9_]{32,}+",
 }
 #: Tokens that may be identifiers.
-CANDIDATE = r"(?<![A-Za-z0-9._%+@-])[A-Za-z._%+-]*+[0-9@][A-Za-z0-9._%+@-]*+"
-#: Characters of context on either side.
-CONTEXT = 40
+CANDIDATE = r"(?<![A-Za-z0-9._%+@-])\(?[A-Za-z._%+-]*+[0-9@](?:[A-Za-z0-9_%+@-]|\.(?=[A-Za-z0-9]))*+(?:(?<=[0-9])\)?[ /]\(?[0-9](?:[0-9_-]|\.(?=[0-9]))*+)*+"
+#: Matches whose places are summed up at a time.
+BLOCK = 512
 
-SPAN = "array<struct<k:int,s:int,e:int,m:string>>"
+SPAN = "array<struct<k:int,s:int,e:int,m:string,left:string,right:string>>"
 
 
 def located(text: Column, expression: str, guard: Column, kind: int) -> Column:
-    """Matches of `expression` with their offsets, from the pieces between them."""
-    none = F.expr("cast(array() AS array<string>)")
-    found = F.when(guard, F.regexp_extract_all(text, F.lit(expression), F.lit(0))).otherwise(none)
-    pieces = F.when(guard, F.split(text, expression, -1)).otherwise(none)
-    pairs = F.filter(F.zip_with(found, pieces, lambda m, p: F.struct(m.alias("m"), F.length(p).alias("gap"))), lambda x: x["m"].isNotNull())
+    """Matches of `expression` (k, s, e, m) with the text up to the last match (left) and up to the next (right).
 
-    def step(done: Column, x: Column) -> Column:
-        start = done["at"] + x["gap"]
-        end = start + F.length(x["m"])
-        return F.struct(end.alias("at"), F.concat(done["out"], F.array(F.struct(F.lit(kind).alias("k"), start.alias("s"), end.alias("e"), x["m"].alias("m")))).alias("out"))
+    Places are sums of lengths of matches and of the pieces between them, by blocks, so that no long array grows step by step.
+    """
+    found = F.when(guard, F.regexp_extract_all(text, F.lit(expression), F.lit(0)))
+    pieces = F.when(guard, F.split(text, expression, -1))
+    none = F.expr(f"cast(array() AS {SPAN})")
 
-    begin = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() AS {SPAN})").alias("out"))
-    return F.aggregate(pairs, begin, step, lambda done: done["out"])
+    def sized(x: Column) -> Column:
+        lengths = F.transform(F.arrays_zip(x["m"], x["gap"]), lambda y: F.struct(F.length(y["gap"]).alias("gap"), F.length(y["m"]).alias("m")))
+        return F.struct(x["m"].alias("m"), x["gap"].alias("gap"), F.filter(lengths, lambda y: y["m"].isNotNull()).alias("sizes"))
+
+    # Bound by transform, so that nothing is evaluated for each match.
+    bound = F.transform(F.array(F.struct(found.alias("m"), pieces.alias("gap"))), sized)
+    return F.flatten(F.transform(bound, lambda x: F.when(F.size(x["sizes"]) > 0, _places(x, kind)).otherwise(none)))
+
+
+def _places(x: Column, kind: int) -> Column:
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(x["sizes"]) - 1) / BLOCK).cast("int")), lambda b: F.slice(x["sizes"], b * BLOCK + 1, BLOCK))
+
+    def add(done: Column, block: Column) -> Column:
+        whole = F.aggregate(block, F.lit(0), lambda total, y: total + y["gap"] + y["m"])
+        return F.struct((done["at"] + whole).alias("at"), F.concat(done["out"], F.array(F.struct(done["at"].alias("at"), block.alias("block")))).alias("out"))
+
+    def step(done: Column, y: Column) -> Column:
+        start = done["at"] + y["gap"]
+        end = start + y["m"]
+        return F.struct(end.alias("at"), F.concat(done["out"], F.array(F.struct(start.alias("s"), end.alias("e")))).alias("out"))
+
+    begun = F.aggregate(blocks, F.expr("struct(0 AS at, cast(array() AS array<struct<at:int,block:array<struct<gap:int,m:int>>>>) AS out)"), add, lambda done: done["out"])
+    placed = F.flatten(F.transform(begun, lambda b: F.aggregate(b["block"], F.struct(b["at"].alias("at"), F.expr("cast(array() AS array<struct<s:int,e:int>>)").alias("out")), step, lambda done: done["out"])))
+
+    def whole(y: Column, i: Column) -> Column:
+        left = F.concat(F.coalesce(F.get(x["m"], i - 1), F.lit("")), F.get(x["gap"], i))
+        right = F.concat(F.get(x["gap"], i + 1), F.coalesce(F.get(x["m"], i + 1), F.lit("")))
+        return F.struct(F.lit(kind).alias("k"), y["s"].alias("s"), y["e"].alias("e"), F.get(x["m"], i).alias("m"), left.alias("left"), right.alias("right"))
+
+    return F.transform(placed, whole)
 
 
 def digits(x: Column) -> Column:
@@ -89,25 +119,41 @@ def base_spans(text: Column) -> Column:
     return F.concat(*out)
 
 
-def _word_before(text: Column, s: Column) -> Column:
-    near = F.substring(text, F.greatest(F.lit(1), s - CONTEXT + 1), F.least(s, F.lit(CONTEXT)))
-    return F.lower(F.regexp_extract(near, r"(\S+)\s*$", 1))
+def _listed(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(F.array(*(F.lit(k) for k in (*KINDS, *MORE_KINDS))), x["k"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ",")
+
 
+def _words(x: Column) -> Column:
+    return F.trim(F.lower(F.regexp_replace(x, r"\s+", " ")))
 
-def _word_after(text: Column, e: Column) -> Column:
-    return F.lower(F.regexp_extract(F.substring(text, e + 1, F.lit(CONTEXT)), r"^\s*(\S+)", 1))
 
+def _met(span: Column) -> Column:
+    """A span with the one, two and three whole words before it and the word after it."""
+    left, right = _words(span["left"]), _words(span["right"])
+    return F.struct(*(span[c].alias(c) for c in ("k", "s", "e", "m")), *(F.substring_index(left, " ", -n).alias(f"l{n}") for n in (1, 2, 3)), F.substring_index(right, " ", 1).alias("r1"))
 
-def _listed(spans: Column) -> Column:
-    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(F.array(*(F.lit(k) for k in KINDS)), x["k"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ",")
+
+def _apart(met: DataFrame) -> DataFrame:
+    """Rows of met (key, k, s, e, ...) without secrets that overlap base spans and candidates that overlap either."""
+    one = Window.partitionBy("key")
+    before, after = (one.orderBy(o).rangeBetween(Window.unboundedPreceding, Window.currentRow) for o in (F.asc("s"), F.desc("s")))
+    base, seed = F.col("k").between(0, len(KINDS) - 1), F.col("k") >= 0
+
+    def meets(which: Column) -> Column:
+        reach, following = F.max(F.when(which, F.col("e"))).over(before), F.min(F.when(which, F.col("s"))).over(after)
+        return F.coalesce(reach > F.col("s"), F.lit(False)) | F.coalesce(following < F.col("e"), F.lit(False))
+
+    marked = met.dropDuplicates(["key", "k", "s", "e"]).withColumn("_base", meets(base)).withColumn("_seed", meets(seed))
+    return marked.where(base | F.when(seed, ~F.col("_base")).otherwise(~F.col("_seed"))).drop("_base", "_seed")
 
 
 def _mentions(spotted: DataFrame) -> DataFrame:
     """A row per seed and candidate: key, kind (null: candidate), s, e, value, patterns."""
-    m = spotted.select("key", F.explode("mentions").alias("x")).select("key", "x.*")
+    met = spotted.select("key", "seeded", F.explode("mentions").alias("x")).select("key", "seeded", "x.*")
+    met = met.where("NOT seeded").drop("seeded").unionByName(_apart(met.where("seeded").drop("seeded")))
     value = F.lower(F.regexp_replace("m", r"[\s().-]+", "")).alias("value")
-    context = F.array(F.concat(F.lit("L "), F.col("before")), F.concat(F.lit("R "), F.col("after")), F.concat(F.lit("B "), F.col("before"), F.lit(" _ "), F.col("after")))
-    return m.select("key", F.when(F.col("k") >= 0, F.col("k")).alias("kind"), "s", "e", value, F.filter(context, lambda p: F.length(p) > 2).alias("patterns"))
+    context = F.array(*(F.concat(F.lit(f"L{n} "), F.when(F.col(f"l{n}") != "", F.col(f"l{n}"))) for n in (1, 2, 3)), F.concat(F.lit("R "), F.when(F.col("r1") != "", F.col("r1"))), F.when((F.col("l1") != "") & (F.col("r1") != ""), F.concat(F.lit("B "), "l1", F.lit(" _ "), "r1")))
+    return met.select("key", F.when(F.col("k") >= 0, F.col("k")).alias("kind"), "s", "e", value, F.array_compact(context).alias("patterns"))
 
 
 def discovered(mentions: DataFrame, ws: Workspace, rounds: int = 3, support: int = 5, confidence: float = 0.8, accept: float = 0.9) -> DataFrame:
@@ -130,24 +176,27 @@ def discovered(mentions: DataFrame, ws: Workspace, rounds: int = 3, support: int
 
 
 def personal_data(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), workspace: Workspace | None = None, **options) -> DataFrame:
-    """`keep`, base and spans (arrays of k, s, e: kind's place in KINDS, start, end) for each row of docs."""
+    """`keep`, base and spans (arrays of k, s, e: kind's place in KINDS and MORE_KINDS, start, end) for each row of docs."""
     ws = workspace or Workspace(docs.sparkSession, "pii")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)), text.alias("t"))
     docs = docs.select("*", F.xxhash64(*(f"c{i}" for i in range(len(keep))), "t").alias("key"), base_spans(F.col("t")).alias("base"))
-    t, base = F.col("t"), F.col("base")
-    other = located(t, CANDIDATE, t.rlike("[0-9@]"), -1)
-    free = F.filter(other, lambda c: ~F.exists(base, lambda b: (c["s"] < b["e"]) & (c["e"] > b["s"])) & c["m"].rlike("[0-9]"))
-    around = F.transform(F.concat(base, free), lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), _word_before(t, x["s"]).alias("before"), _word_after(t, x["e"]).alias("after")))
+    t = F.col("t")
+    digit = t.rlike("[0-9]")
+    secrets = located(t, EXPRESSIONS["secret"], digit, len(KINDS))
+    others = located(t, CANDIDATE, t.rlike("[0-9@]"), -1)
+    plain = F.transform("base", lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e")))
+    seeds = docs.select("*", secrets.alias("secrets"), others.alias("others"))
     spotted = ws.keep(
-        docs.select(*(f"c{i}" for i in range(len(keep))), "key", F.transform(base, lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"))).alias("base"), around.alias("mentions")),
+        seeds.select(*(f"c{i}" for i in range(len(keep))), "key", plain.alias("base"), (F.size("base") + F.size("secrets") > 0).alias("seeded"), F.transform(F.concat("base", "secrets", "others"), _met).alias("mentions")),
         "spotted",
     )
-    mentions = _mentions(spotted)
-    more = mentions.where("kind IS NULL").drop("kind").join(discovered(mentions, ws, **options), "value")
+    mentions = ws.keep(_mentions(spotted), "mentions")
+    more = mentions.where("kind IS NULL").drop("kind").join(discovered(mentions, ws, **options), "value").select("key", "kind", "s", "e")
+    more = more.union(mentions.where(F.col("kind") >= len(KINDS)).select("key", "kind", "s", "e"))
     more = more.groupBy("key").agg(F.collect_set(F.struct(F.col("kind").alias("k"), "s", "e")).alias("more"))
     whole = F.array_sort(F.concat("base", F.coalesce("more", F.expr("cast(array() AS array<struct<k:int,s:int,e:int>>)"))))
-    return spotted.join(more, "key", "left").select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(keep)), "base", whole.alias("spans"))
+    return spotted.select(*(f"c{i}" for i in range(len(keep))), "key", "base").join(more, "key", "left").select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(keep)), "base", whole.alias("spans"))
 
 
 def _of_kind(k: int):
