@@ -1,21 +1,23 @@
 """Mixing to target weights by soft membership, in DataFrame operations only.
 
 A naive Bayes classifier learnt from a labelled table gives each document a
-posterior over domains. Its features are which markers occur: fixed symbol strings and
-words picked from the labelled documents, and the document's source. Each document
+posterior over domains. Its features are which markers occur, whole words and runs of symbols that the
+labelled documents of the domains tell apart best, and the document's source. Each document
 then gets a rate of zero or more such that the expected tokens of each domain, the
 sum of rate * tokens * posterior, come as near as possible to the targets: least squares
 with a small pull towards rate 1, by Newton steps until the targets are met; a warning tells where they cannot be. A step
 needs one row of sums over all documents, and a document's rate follows from its own row and one number a domain,
 so no state is kept per document.
 
-Tokens are the spaces and line breaks of a text plus one, or none for a null or empty text; such
+Tokens are words (runs of other than white space), none in a null or empty text; such
 rows get a rate from the prior and their source. Repeated rows count each. A null source is a source of its own. Without
-labels every domain is equally likely.
+labels every domain is equally likely. Markers are at most `words` words and `symbols` runs of symbols, of a sample of at most
+PER_DOMAIN labelled documents a domain; every source of that sample has a likelihood.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import warnings
 
@@ -23,34 +25,29 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import Workspace, read
+from .tables import Workspace, fresh, read
 
 DOMAINS = ("good", "low", "toxic")
 #: Shares of the tokens that the mixture shall have.
 TARGETS = {"good": 0.95, "low": 0.02, "toxic": 0.03}
-#: Strings whose presence tells markup and shouting from prose.
-SYMBOLS = ("!!", "***", "$$$", "%%%", "&&&", "###", " | ")
-WORDS = 40
+#: Runs of up to three symbols, and how many runs and words are markers.
+SYMBOL = r"[^\p{L}\p{M}\p{N}\s]{1,3}"
+SYMBOLS, WORDS = 12, 40
 PER_DOMAIN = 1500
 
 
-def occurrences(text: Column, marker: str) -> Column:
-    return ((F.octet_length(text) - F.octet_length(F.replace(text, F.lit(marker), F.lit("")))) / len(marker.encode())).cast("double")
-
-
 def token_count(text: Column) -> Column:
-    gaps = occurrences(text, " ") + occurrences(text, "\n")
-    return F.when(F.octet_length(text) > 0, gaps + 1).otherwise(0.0)
+    return F.regexp_count(text, F.lit(r"\S+")).cast("double")
 
 
-def _lowered(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_text", F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+def _lowered(text: Column) -> Column:
+    """Lower case, with a space on either side of each word."""
+    return F.concat(F.lit(" "), F.translate(F.lower(F.coalesce(text.cast("string"), F.lit(""))), "\n\t\r", "   "), F.lit(" "))
 
 
 def _counted(lowered: DataFrame, markers: list[str], *others: Column) -> DataFrame:
-    """Columns m0, m1, ... (1 where the marker occurs) and tokens beside `others`."""
-    text = F.col("_text")
-    return lowered.select(*others, *(F.contains(text, F.lit(m)).cast("double").alias(f"m{i}") for i, m in enumerate(markers)), token_count(text).alias("tokens"))
+    """Columns m0, m1, ... (1 where the marker occurs in t) and tokens beside `others`."""
+    return lowered.select(*others, *(F.contains("t", F.lit(m)).cast("double").alias(f"m{i}") for i, m in enumerate(markers)), token_count(F.col("t")).alias("tokens"))
 
 
 class Classifier:
@@ -59,27 +56,26 @@ class Classifier:
     def __init__(self, domains: tuple[str, ...], markers: list[str], weights: list[list[float]], priors: list[float], sources: dict[str | None, list[float]]):
         self.domains, self.markers, self.weights, self.priors, self.sources = domains, markers, weights, priors, sources
 
+    def source_logs(self, spark: SparkSession) -> DataFrame:
+        """A row a known source, as many at most as the sample has rows."""
+        rows = json.dumps([{"known": s, "terms": list(map(float, v))} for s, v in self.sources.items()])
+        return spark.range(1).select(F.inline(F.from_json(F.lit(rows), "array<struct<known:string,terms:array<double>>>")))
+
     def posteriors(self, docs: DataFrame, *carried: Column) -> DataFrame:
-        """`carried`, tokens and the array p of posteriors, in the domains' order."""
-        counted = _counted(_lowered(docs), self.markers, *carried, F.col("source").cast("string").alias("_source"))
-        logs = []
-        for k, prior in enumerate(self.priors):
-            of_source = F.lit(0.0)
-            for source, terms in self.sources.items():
-                of_source = F.when(F.col("_source").eqNullSafe(F.lit(source)), F.lit(terms[k])).otherwise(of_source)
-            logs.append(sum((F.col(f"m{i}") * w for i, w in enumerate(self.weights[k])), F.lit(prior) + of_source))
-        names = [c for c in counted.columns if c not in {f"m{i}" for i in range(len(self.markers))} | {"_source"}]
-        rated = counted.select(*names, F.array(*logs).alias("logs"))
+        """k (a struct of `carried`), tokens and the array p of posteriors, in the domains' order."""
+        texts = docs.select(F.struct(*carried).alias("k"), _lowered(F.col("text")).alias("t"), F.col("source").cast("string").alias("s"))
+        counted = _counted(texts, self.markers, F.col("k"), F.col("s"))
+        known = F.broadcast(self.source_logs(docs.sparkSession))
+        counted = counted.join(known, F.col("s").eqNullSafe(F.col("known")), "left")
+        logs = [sum((F.col(f"m{i}") * w for i, w in enumerate(self.weights[k])), F.lit(prior) + F.coalesce(F.get("terms", F.lit(k)), F.lit(0.0))) for k, prior in enumerate(self.priors)]
+        rated = counted.select("k", "tokens", F.array(*logs).alias("logs"))
         # Softmax; a term that overflows makes a posterior of zero.
         p = F.transform("logs", lambda x: 1 / F.aggregate("logs", F.lit(0.0), lambda total, y: total + F.exp(y - x)))
-        return rated.select(*names, p.alias("p"))
-
+        return rated.select("k", "tokens", p.alias("p"))
 
-def learn(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...] = DOMAINS, words: int = WORDS, per_domain: int = PER_DOMAIN, most_sources: int = 200) -> Classifier:
-    """From `labelled` (doc_id, domain): at most per_domain documents of each domain, picked by a hash of their ids.
 
-    Sources beyond the `most_sources` most frequent in that sample have no likelihood of their own.
-    """
+def learn(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...] = DOMAINS, words: int = WORDS, symbols: int = SYMBOLS, per_domain: int = PER_DOMAIN) -> Classifier:
+    """From `labelled` (doc_id, domain): at most per_domain documents of each domain, picked by a hash of their ids."""
     spark = docs.sparkSession
     labelled = labelled.where("doc_id IS NOT NULL AND domain IS NOT NULL").groupBy("doc_id").agg(F.min("domain").alias("domain"))
     have = {r.domain: r.n for r in labelled.groupBy("domain").agg(F.count("*").alias("n")).collect()}
@@ -90,16 +86,22 @@ def learn(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...] = DOMAI
         part = labelled.where(F.col("domain") == d).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_domain)
         sample = part if sample is None else sample.union(part)
     chosen = docs.select("doc_id", "text", "source").join(F.broadcast(sample), "doc_id")  # len(domains) * per_domain rows at most
-    texts = _lowered(chosen).persist()
-    tokens = texts.select("domain", "doc_id", F.explode(F.array_distinct(F.split("_text", "[ \n]+"))).alias("w")).where("length(w) BETWEEN 2 AND 30")
-    by_word = tokens.groupBy("w").agg(F.count("*").alias("n"), *(F.count_if(F.col("domain") == d).alias(f"d{k}") for k, d in enumerate(domains)))
+    texts = chosen.select("domain", F.col("source").cast("string").alias("source"), _lowered(F.col("text")).alias("t")).persist()
+    words_of, runs_of = F.split(F.trim("t"), r"\s+"), F.regexp_extract_all("t", F.lit(SYMBOL), F.lit(0))
+    found = F.concat(
+        F.transform(F.array_distinct(words_of), lambda w: F.struct(F.lit(False).alias("symbol"), w.alias("w"))),
+        F.transform(F.array_distinct(runs_of), lambda w: F.struct(F.lit(True).alias("symbol"), w.alias("w"))),
+    )
+    tokens = texts.select("domain", F.explode(found).alias("f")).select("domain", "f.*").where("w <> ''")
+    by_word = tokens.groupBy("symbol", "w").agg(F.count("*").alias("n"), *(F.count_if(F.col("domain") == d).alias(f"d{k}") for k, d in enumerate(domains)))
     sizes = {r.domain: r.n for r in texts.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     # Chi-square of a word's documents by domain.
     total = sum(sizes.values()) or 1
     chi = sum(((F.col(f"d{k}") - F.col("n") * sizes.get(d, 0) / total) ** 2 / (F.col("n") * max(sizes.get(d, 0), 1) / total) for k, d in enumerate(domains)), F.lit(0.0))
-    picked = [r.w for r in by_word.where("n >= 5").orderBy(F.desc(chi), "w").limit(words).collect()]
-    markers = [*SYMBOLS, *(f" {w}" for w in picked if not any(s.strip() in w for s in SYMBOLS))]
-    sums = _counted(texts, markers, F.col("domain")).groupBy("domain").agg(*(F.sum(f"m{i}").alias(f"m{i}") for i in range(len(markers)))).collect()
+    telling = by_word.where("n >= 5")
+    runs = [r.w for r in telling.where("symbol").orderBy(F.desc(chi), "w").limit(symbols).collect()]
+    markers = [*runs, *(f" {r.w} " for r in telling.where("NOT symbol").orderBy(F.desc(chi), "w").limit(words).collect())]
+    sums = _counted(texts, markers, F.col("domain")).groupBy("domain").agg(F.count("*").alias("n"), *(F.sum(f"m{i}").alias(f"m{i}") for i in range(len(markers)))).collect()
     seen = {r.domain: r for r in sums}
     weights = []
     for k, d in enumerate(domains):
@@ -107,9 +109,10 @@ def learn(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...] = DOMAI
         weights.append([math.log(q / (1 - q)) for q in share])
         priors[k] += sum(math.log(1 - q) for q in share)  # of a document without any marker
     by_source: dict = {}
-    for r in texts.groupBy("source").pivot("domain", list(domains)).count().orderBy(F.desc(F.coalesce(*(F.col(d) for d in domains))), "source").limit(most_sources).collect():
-        by_source[r.source] = [math.log(((r[d] or 0) + 1) / (sizes.get(d, 0) + most_sources)) for d in domains]
-    unknown = [math.log(1 / (sizes.get(d, 0) + most_sources)) for d in domains]
+    counts = texts.groupBy("source").agg(*(F.count_if(F.col("domain") == d).alias(f"d{k}") for k, d in enumerate(domains))).collect()  # no more rows than the sample
+    for r in counts:
+        by_source[r.source] = [math.log((r[f"d{k}"] + 1) / (sizes.get(d, 0) + len(counts) + 1)) for k, d in enumerate(domains)]
+    unknown = [math.log(1 / (sizes.get(d, 0) + len(counts) + 1)) for d in domains]
     texts.unpersist()
     # Relative to an unknown source, so that one without likelihood adds nothing.
     return Classifier(domains, markers, weights, priors, {s: [a - b for a, b in zip(v, unknown)] for s, v in by_source.items()})
@@ -184,13 +187,17 @@ def fit_rates(rows: DataFrame, targets: list[float], steps: int = 100, pull: flo
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, key: tuple[str, ...] = ("doc_id",), workspace: Workspace | None = None, **options) -> DataFrame:
-    """The `key` columns, tokens, p (posteriors in the targets' order) and rate of each row of docs (doc_id, text, source)."""
+    """The `key` columns, tokens, p (posteriors in the targets' order) and rate of each row of docs (doc_id, text, source).
+
+    A key column named like one of the others gets an underscore.
+    """
     targets = targets or TARGETS
     ws = workspace or Workspace(docs.sparkSession, "mixing")
     classifier = learn(docs, labelled, tuple(targets))
-    rows = ws.keep(classifier.posteriors(docs, *(F.col(f"`{c}`") for c in key)), "posteriors")
+    rows = ws.keep(classifier.posteriors(docs, *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(key))), "posteriors")
     history, _ = fit_rates(rows, list(targets.values()), **options)
-    return rows.withColumn("rate", _rate(history, len(targets), options.get("pull", 1e-3)))
+    names = [fresh(("tokens", "p", "rate"), c) for c in key]
+    return rows.select(*(F.col(f"k.c{i}").alias(c) for i, c in enumerate(names)), "tokens", "p", _rate(history, len(targets), options.get("pull", 1e-3)).alias("rate"))
 
 
 def copies(rate: Column, *identity: str) -> Column:
@@ -210,11 +217,10 @@ def sample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | Non
     targets = targets or TARGETS
     classifier = learn(docs, labelled, tuple(targets))
     names = docs.columns
-    whole = docs.withColumn("_all", F.struct(*(F.col(f"`{c}`") for c in names)))
-    rows = ws.keep(classifier.posteriors(whole, F.col("_all")), "posteriors")
+    rows = ws.keep(classifier.posteriors(docs, *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names))), "posteriors")
     history, _ = fit_rates(rows.select("tokens", "p"), list(targets.values()), **options)
-    rated = rows.select("_all", copies(_rate(history, len(targets), options.get("pull", 1e-3)), "_all").alias("_n"))
-    return rated.where("_n > 0").select("_all", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*(F.col("_all")[c].alias(c) for c in names))
+    rated = rows.select("k", copies(_rate(history, len(targets), options.get("pull", 1e-3)), "k").alias("n"))
+    return rated.where("n > 0").select("k", F.explode(F.sequence(F.lit(1), F.col("n")))).select(*(F.col(f"k.c{i}").alias(c) for i, c in enumerate(names)))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,6 +65,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(taken, name: str) -> str:
+    """`name`, with underscores added until no name in `taken` is like it."""
+    taken = {c.lower() for c in taken}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def column(df: DataFrame, name: str, kind: str):
     """The named column cast to `kind`; null where the frame lacks it."""
     return F.col(f"`{name}`").cast(kind) if name in df.columns else F.lit(None).cast(kind)

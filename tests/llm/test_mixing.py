@@ -34,6 +34,44 @@ def test_query_and_posteriors(spark):
     assert (np.array(list(mixing.TARGETS))[best] == both.domain).mean() > 0.85
 
 
+def test_posteriors_match_plain_bayes(spark):
+    import math
+    from collections import Counter
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = mixing.labelled_domains(spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    model = mixing.learn(docs, labels, words=6, symbols=3)
+    known = {r.doc_id: r.domain for r in labels.where("domain IS NOT NULL").collect()}
+    text = {r.doc_id: " " + re.sub("[\n\t\r]", " ", (r.text or "").lower()) + " " for r in docs.collect()}
+    source = {r.doc_id: r.source for r in docs.collect()}
+    inside = {d: [i for i, k in known.items() if k == d and i in text] for d in mixing.DOMAINS}
+    of = Counter(known.values())
+
+    def log_terms(i, d):
+        n = len(inside[d])
+        out = math.log((of[d] + 1) / (len(known) + 3))
+        for m in model.markers:
+            share = (sum(m in text[j] for j in inside[d]) + 0.5) / (n + 1)
+            out += math.log(share if m in text[i] else 1 - share)
+        return out + math.log(sum(source[j] == source[i] for j in inside[d]) + 1)
+
+    assert 0 < len(model.markers) <= 9
+    got = {r.k.doc_id: (r.tokens, r.p) for r in model.posteriors(docs, F.col("doc_id")).collect()}
+    for i in text:
+        assert got[i][0] == len(text[i].split())
+        logs = [log_terms(i, d) for d in mixing.DOMAINS]  # relative to an unseen source
+        e = [math.exp(x - max(logs)) for x in logs]
+        assert np.allclose(got[i][1], [x / sum(e) for x in e], atol=1e-9), i
+
+
+def test_key_columns_of_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", 7, 8, 9)], "doc_id long, text string, source string, tokens int, p int, _text int")
+    none = spark.createDataFrame([], "doc_id long, domain string")
+    out = mixing.mixed(docs, none, key=("doc_id", "tokens", "p", "_text"))
+    assert out.columns == ["doc_id", "tokens_", "p_", "_text", "tokens", "p", "rate"] and tuple(out.first())[:5] == (1, 7, 8, 9, 2.0)
+    assert mixing.sample(docs.withColumn("_all", F.lit("own")), none, {"good": 1.0}).columns == [*docs.columns, "_all"]
+
+
 def test_odd_rows_and_no_labels(spark):
     docs = spark.createDataFrame([(1, None, None, 5), (2, "", "a", 5), (2, "", "a", 5), (None, "some words here", "b", 5), (4, "word " * 50_000, "a", 5)], "doc_id long, text string, source string, rate int")
     none = spark.createDataFrame([], "doc_id long, domain string")
