@@ -1,17 +1,17 @@
 """Near-duplicate vectors by int8 tile products with rigorous error bounds.
 
 Equal vectors of a label are one representative with a count. Representatives
-are dealt to tiles of bounded size within their label, and every pair of tiles of a
-label is one group of two packed rows. A tile pair multiplies int8 codes; a
-vector's code differs from it by a remainder of known length, which bounds the error
-of each product, and only pairs that may reach the threshold are computed in
-double precision. A tile pair returns for each linked vector the number of its
-links and the least member of its component there, never the pairs.
+are dealt to tiles of bounded size within their label. What travels to every pair of tiles of a
+label is int8 codes only: a vector's code differs from it by a remainder of known length, which bounds
+the error of each product, and tells which rows of two tiles may have a partner in the other. A tile
+then hands these rows in full precision to its pairs, where the links are computed exactly. A pair of
+tiles returns for each linked vector the number of its links and the least member of its component
+there, never the pairs.
 
 Vectors that are null, zero or hold null or non-finite components, rows without label
 or id, and vectors of unlike length link with nothing; each such row is its own
 component (a null id has a null component, and is kept). Every row counts as a
-vector, also rows that repeat an id.
+vector, also rows that repeat an id, with the same vector or another.
 """
 
 from __future__ import annotations
@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from .components import components
 from .tables import Workspace, read
 
-TILE = 1024
+TILE = 2048
+#: Rows of a tile that are multiplied at a time.
+STRIP = 512
 #: Room for rounding in the double-precision bound itself.
 SLACK = 1e-9
 
@@ -48,16 +50,46 @@ def code_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+class Coded:
+    """Codes of a tile's unit vectors and what bounds their errors."""
+
+    def __init__(self, code: np.ndarray, scale: np.ndarray, size: np.ndarray, rest: np.ndarray):
+        self.parts = code, scale, size, rest
+
+    def rows(self, at) -> Coded:
+        return Coded(*(x[at] for x in self.parts))
+
+    def may_link(self, other: Coded, threshold: float) -> np.ndarray:
+        """Which pairs may have a cosine of `threshold` or more."""
+        (ca, sa, la, ea), (cb, sb, lb, eb) = self.parts, other.parts
+        bound = la[:, None] * eb[None, :] + ea[:, None] * lb[None, :] + ea[:, None] * eb[None, :] + SLACK
+        return code_products(ca, cb) * sa[:, None] * sb[None, :] + bound >= threshold
+
+
+def partners(a: Coded, b: Coded, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of two tiles may have a partner in the other, in `same` one in itself besides the row."""
+    n, m = len(a.parts[0]), len(b.parts[0])
+    left, right = np.zeros(n, bool), np.zeros(m, bool)
+    for i in range(0, n, STRIP):
+        may = a.rows(slice(i, i + STRIP)).may_link(b, threshold)
+        if same:
+            k = np.arange(len(may))
+            may[k, k + i] = False
+        left[i : i + STRIP] = may.any(axis=1)
+        right |= may.any(axis=0)
+    return np.flatnonzero(left), np.flatnonzero(right)
+
+
 def linked(unit_a: np.ndarray, unit_b: np.ndarray, threshold: float) -> np.ndarray:
     """Which pairs have a cosine of `threshold` or more, exactly as in double precision."""
-    (ca, sa, la, ea), (cb, sb, lb, eb) = quantise(unit_a), quantise(unit_b)
-    bound = la[:, None] * eb[None, :] + ea[:, None] * lb[None, :] + ea[:, None] * eb[None, :] + SLACK
-    near = code_products(ca, cb) * sa[:, None] * sb[None, :]
-    i, j = np.nonzero(near + bound >= threshold)
-    out = np.zeros(near.shape, bool)
-    for k in range(0, len(i), 1 << 16):
-        p, q = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
-        out[p, q] = np.einsum("ij,ij->i", unit_a[p], unit_b[q]) >= threshold
+    coded = Coded(*quantise(unit_b)) if len(unit_b) else None
+    out = np.zeros((len(unit_a), len(unit_b)), bool)
+    for at in range(0, len(unit_a) if coded else 0, STRIP):
+        strip = unit_a[at : at + STRIP]
+        i, j = np.nonzero(Coded(*quantise(strip)).may_link(coded, threshold))
+        for k in range(0, len(i), 1 << 16):
+            p, q = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+            out[p + at, q] = np.einsum("ij,ij->i", strip[p], unit_b[q]) >= threshold
     return out
 
 
@@ -75,12 +107,33 @@ def _roots(adjacent: np.ndarray) -> np.ndarray:
     return root
 
 
-def _pack(unit: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> bytes:
+def _pack(*arrays: np.ndarray) -> bytes:
     out = io.BytesIO()
-    np.savez(out, unit=unit, ids=ids, counts=counts)
+    np.savez(out, *arrays)
     return out.getvalue()
 
 
+def _unpack(body: bytes) -> list[np.ndarray]:
+    found = np.load(io.BytesIO(body))
+    return [found[f"arr_{k}"] for k in range(len(found.files))]
+
+
+def _tile(pdf: pd.DataFrame) -> pd.DataFrame:
+    m = np.array(pdf["v"].tolist(), dtype=np.float64)
+    m = m / np.abs(m).max(axis=1, keepdims=True)  # no overflow in the norm
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    head = pdf.iloc[:1][["label", "dim", "tiles", "tile"]]
+    return head.assign(codes=[_pack(*quantise(m))], whole=[_pack(m, pdf["key"].to_numpy(np.int64), pdf["copies"].to_numpy(np.int64))])
+
+
+def _handed(asked: pd.DataFrame, tile: pd.DataFrame) -> pd.DataFrame:
+    """The rows of a tile that its pairs asked for."""
+    if not len(asked):
+        return pd.DataFrame({"label": [], "dim": [], "i": [], "j": [], "tile": [], "body": []})
+    whole = _unpack(tile["whole"].iloc[0])
+    return asked[["label", "dim", "i", "j", "tile"]].assign(body=[_pack(*(x[np.frombuffer(r, np.int32)] for x in whole)) for r in asked["rows"]])
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tile: int = TILE, workspace: Workspace | None = None) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of `vectors` (vec_id, embedding, label)."""
     spark = vectors.sparkSession
@@ -92,53 +145,56 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tile: int = TIL
     tiles = alike.groupBy("label", F.size("v").alias("dim")).agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
     dealt = (
         alike.withColumn("dim", F.size("v")).join(tiles, ["label", "dim"])
-        .select("label", "dim", "tiles", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int").alias("tile"), "rep", "copies", "v")
+        .select("label", "dim", "tiles", F.pmod("key", F.col("tiles")).cast("int").alias("tile"), "key", "copies", "v")
     )
-
-    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = np.array(pdf["v"].tolist(), dtype=np.float64)
-        m = m / np.abs(m).max(axis=1, keepdims=True)  # no overflow in the norm
-        m /= np.linalg.norm(m, axis=1, keepdims=True)
-        head = pdf.iloc[:1][["label", "dim", "tiles", "tile"]]
-        return head.assign(body=[_pack(m, pdf["rep"].to_numpy(np.int64), pdf["copies"].to_numpy(np.int64))])
-
     label = rows.schema["label"].dataType.simpleString()
-    tiled = ws.keep(dealt.groupBy("label", "dim", "tile").applyInPandas(packed, f"label {label}, dim int, tiles int, tile int, body binary"), "tiles")
-    pairs = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    pairs = pairs.select("label", "dim", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "body")
+    tiled = ws.keep(dealt.groupBy("label", "dim", "tile").applyInPandas(_tile, f"label {label}, dim int, tiles int, tile int, codes binary, whole binary"), "tiles")
+    ws.release()
+    pairs = tiled.select("label", "dim", "tile", "codes", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    pairs = pairs.select("label", "dim", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "codes")
+
+    def ask(pdf: pd.DataFrame) -> pd.DataFrame:
+        """A row for each side of a pair of tiles: the numbers of its rows that may have a partner."""
+        sides = [Coded(*_unpack(b)) for b in pdf["codes"]]
+        same = bool(pdf["i"].iloc[0] == pdf["j"].iloc[0])
+        none = pdf.iloc[:0].drop(columns="codes").assign(rows=[])
+        if len(sides) == 1 and not same:  # the other tile is empty
+            return none
+        found = partners(sides[0], sides[-1], threshold, same)
+        if not len(found[0]):
+            return none
+        return pdf.drop(columns="codes").assign(rows=[r.astype(np.int32).tobytes() for r in found[: len(sides)]])
+
+    where = f"label {label}, dim int, i int, j int, tile int"
+    asked = ws.keep(pairs.groupBy("label", "dim", "i", "j").applyInPandas(ask, f"{where}, rows binary"), "asked")
+    ws.release()
+    handed = asked.groupBy("label", "dim", "tile").cogroup(tiled.select("label", "dim", "tile", "whole").groupBy("label", "dim", "tile")).applyInPandas(_handed, f"{where}, body binary")
 
     def pair(pdf: pd.DataFrame) -> pd.DataFrame:
-        sides = [np.load(io.BytesIO(b)) for b in pdf["body"]]
-        a = sides[0]
-        if len(sides) == 1 and int(pdf["i"].iloc[0]) != int(pdf["j"].iloc[0]):  # the other tile is empty
-            return pd.DataFrame({"id": [], "links": [], "root": []}, dtype="int64")
+        sides = [_unpack(b) for b in pdf["body"]]
+        unit, keys, counts = sides[0]
         if len(sides) == 1:
-            hit = linked(a["unit"], a["unit"], threshold)
-            np.fill_diagonal(hit, False)
-            ids, counts, whole = a["ids"], a["counts"], hit
+            whole = linked(unit, unit, threshold)
+            np.fill_diagonal(whole, False)
         else:
-            b = sides[1]
-            hit = linked(a["unit"], b["unit"], threshold)
-            ids, counts = np.concatenate((a["ids"], b["ids"])), np.concatenate((a["counts"], b["counts"]))
-            n = len(a["ids"])
-            whole = np.zeros((len(ids), len(ids)), bool)
+            hit = linked(unit, sides[1][0], threshold)
+            keys, counts, n = np.concatenate((keys, sides[1][1])), np.concatenate((counts, sides[1][2])), len(keys)
+            whole = np.zeros((len(keys), len(keys)), bool)
             whole[:n, n:], whole[n:, :n] = hit, hit.T
         links = whole @ counts
         some = np.flatnonzero(links)
         if not len(some):
-            return pd.DataFrame({"id": [], "links": [], "root": []}, dtype="int64")
-        some = some[np.argsort(ids[some])]
-        root = _roots(whole[np.ix_(some, some)])
-        return pd.DataFrame({"id": ids[some], "links": links[some], "root": ids[some][root]})
-
-    found = ws.keep(pairs.groupBy("label", "dim", "i", "j").applyInPandas(pair, "id long, links long, root long"), "found")
-    linked_to = found.groupBy("id").agg(F.sum("links").alias("links"))
-    roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")), ws)
-    reps = ws.keep(
-        alike.join(linked_to, F.col("rep") == F.col("id"), "left").join(roots, F.col("rep") == F.col("node"), "left")
-        .select("key", F.col("label").alias("rep_label"), F.col("v").alias("rep_v"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component_id")),
-        "reps",
-    )
+            return pd.DataFrame({"key": [], "links": [], "root": []}, dtype="int64")
+        return pd.DataFrame({"key": keys[some], "links": links[some], "root": keys[some][_roots(whole[np.ix_(some, some)])]})
+
+    found = ws.keep(handed.groupBy("label", "dim", "i", "j").applyInPandas(pair, "key long, links long, root long"), "found")
+    ws.release()
+    links = found.groupBy(F.col("key").alias("linked")).agg(F.sum("links").alias("links"))
+    roots = components(found.select(F.col("key").alias("a"), F.col("root").alias("b")), ws)
+    placed = alike.join(links, F.col("key") == F.col("linked"), "left").join(roots, F.col("key") == F.col("node"), "left")
+    placed = ws.keep(placed.select("key", "label", "v", "rep", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "key").alias("root")), "placed")
+    least = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
+    reps = ws.keep(placed.join(least, "root").select("key", F.col("label").alias("rep_label"), F.col("v").alias("rep_v"), "n_links", "component_id"), "reps")
     same = [F.col("r.key") == F.col("s.key"), F.col("r.label") == F.col("s.rep_label"), F.col("r.v") == F.col("s.rep_v")]
     out = rows.alias("r").join(reps.alias("s"), same, "left")
     component = F.coalesce("component_id", "vec_id")

@@ -11,7 +11,7 @@ Vectors of unlike length are not compared. Vectors that are null or hold null
 or non-finite components, and rows without an id, take no part. Rows repeating
 an id are candidates each, and as a query count once (the smallest vector); no
 row with the query's own id is its candidate. With fewer than k candidates all are
-returned. Integer scores are exact; beyond 2**61 in size they are held at 2**61.
+returned. Integer scores are exact; one beyond 2**61 in size raises an OverflowError.
 """
 
 from __future__ import annotations
@@ -42,7 +42,10 @@ def inner_products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     if largest < 2**53:
         return (q @ c.T).astype(np.int64)
     a, b = (np.array([[int(v) for v in row] for row in m], dtype=object).reshape(m.shape) for m in (q, c))
-    return np.clip(a @ b.T if q.shape[1] else np.zeros((len(q), len(c)), object), -LIMIT, LIMIT).astype(np.int64)
+    out = a @ b.T if q.shape[1] else np.zeros((len(q), len(c)), object)
+    if any(abs(x) > LIMIT for x in out.ravel()):
+        raise OverflowError("a score is beyond 2**61 in size")
+    return out.astype(np.int64)
 
 
 class Block:

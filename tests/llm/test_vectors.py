@@ -34,8 +34,11 @@ def test_topk_matches_brute_force(spark, block):
 def test_topk_large_scores_and_empty(spark):
     rows = [(0, [3e15, 1.0]), (1, [2e15, 7.0]), (2, [2e15, 7.0]), (3, [-3e15, 0.0])]
     df = spark.createDataFrame(rows, "id long, v array<double>")
-    got = [tuple(r)[1:3] for r in topk_search.top_k(df.where("id = 0"), df, 2).orderBy("rank").collect()]
-    assert got == [(1, 1), (2, 2)]
+    with pytest.raises(Exception, match="OverflowError"):
+        topk_search.top_k(df.where("id = 0"), df, 2).collect()
+    df = spark.createDataFrame([(i, [float(round(x * 3e-7)) if abs(x) > 1e9 else x for x in v]) for i, v in rows], "id long, v array<double>")
+    got = [tuple(r)[1:] for r in topk_search.top_k(df.where("id = 0"), df, 2).orderBy("rank").collect()]
+    assert got == [(1, 1, 54 * 10**16 + 7), (2, 2, 54 * 10**16 + 7)]
     none = df.where("id < 0")
     assert topk_search.top_k(none, df).count() == 0 and topk_search.top_k(df, none).count() == 0
 
@@ -75,6 +78,7 @@ def test_embedding_dedup_matches_brute_force(spark):
         for k in range(rng.integers(1, 4)):
             rows.append((len(rows), [float(x) for x in base + rng.normal(size=8) * 0.12 * k], int(i % 3)))
     rows += [(1000 + i, rows[5][1], rows[5][2]) for i in range(30)] + [rows[5]]
+    rows += [(rows[9][0], rows[40][1], rows[9][2]), (rows[60][0], rows[61][1], rows[60][2])]  # an id with another vector
     rows += [(2000, None, 1), (2001, [0.0] * 8, 1), (2002, [NAN] * 8, 1), (2003, [None] * 8, 1), (2004, rows[5][1], None), (None, rows[5][1], rows[5][2]), (2005, [1.0], 1), (2006, [2.0], 1), (2007, [], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("links", F.lit(1)).repartition(3)
     got = sorted((tuple(r) for r in embedding_dedup.near_duplicates(df, 0.98, tile=32).collect()), key=str)
@@ -82,6 +86,12 @@ def test_embedding_dedup_matches_brute_force(spark):
     assert embedding_dedup.near_duplicates(df.where("vec_id < 0")).count() == 0
 
 
+def test_repeated_ids_with_other_vectors(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (3, [0.01, 1.0], 0)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False)]
+
+
 def test_code_bounds_hold():
     rng = np.random.default_rng(1)
     u = rng.normal(size=(200, 33))
