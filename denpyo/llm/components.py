@@ -42,6 +42,7 @@ def components(edges: DataFrame, workspace: Workspace) -> DataFrame:
         now = then
         if after == mark:
             break
+        workspace.release()
         mark = after
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
 

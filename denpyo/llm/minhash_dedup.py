@@ -37,9 +37,18 @@ BLOCK = 512
 DEAL = 2000
 
 
-def banding(threshold: float, miss: float = 1e-6, rows: int = 6) -> tuple[int, int]:
-    """Permutations a band (two values each) and the number of bands."""
-    return rows // 2, math.ceil(math.log(miss) / math.log1p(-(threshold**rows)))
+def banding(percent: int, miss: float = 1e-6, rows: int = 6) -> tuple[int, int]:
+    """Permutations a band (two values each) and the number of bands, so that a pair of any size at the threshold is lost with a chance of `miss` at most.
+
+    A permutation's minimum and maximum both agree if the first and the last of the union's u elements are shared ones:
+    c (c - 1) / (u (u - 1)) for c shared ones, a little less than the square of c / u. The least such
+    chance over the sizes at the threshold counts; a union of one element agrees with itself.
+    """
+    chance = 1.0
+    for union in range(2, 4000):
+        shared = -(-percent * union // 100)
+        chance = min(chance, (shared * (shared - 1) / (union * (union - 1))) if shared > 1 else chance)
+    return rows // 2, math.ceil(math.log(miss) / math.log1p(-(chance ** (rows // 2))))
 
 
 def signature_bands(h: np.ndarray, begin: np.ndarray, per_band: int, bands: int, seed: int = 11) -> np.ndarray:
@@ -142,18 +151,22 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, miss: flo
     """doc_id, n_shingles, component_id, kept for each row; linked is 100 * intersection >= percent * union."""
     ws = workspace or Workspace(docs.sparkSession, "minhash")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    described = ws.keep(_described(docs, size, *banding(percent / 100, miss)), "described")
+    described = ws.keep(_described(docs, size, *banding(percent, miss)), "described")
     full = described.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    ws.release()
     alike = ws.keep(full.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep")), "alike")
     banded = full.join(alike.select("s1", "s2", F.col("rep").alias("doc_id")), ["s1", "s2", "doc_id"], "left_semi").select("doc_id", F.explode("bands").alias("key"))
     buckets = ws.keep(banded.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi"), "buckets")
     more = banded.join(buckets.where("n > 2").select("key", "lo"), "key").select("lo", F.col("doc_id").alias("hi"))
     ties = buckets.where("n = 2").select("lo", "hi").union(more)
     grouped = components(ties.select(F.col("lo").alias("a"), F.col("hi").alias("b")), ws)
+    ws.release()
     members = ws.keep(grouped.union(grouped.select("root", "root").distinct()), "members")
     links = ws.keep(_confirmed(docs, members, percent, size, block, ws), "links")
+    ws.release()
     roots = components(links, ws)
     placed = ws.keep(alike.join(roots, F.col("rep") == F.col("node"), "left").select("s1", "s2", F.coalesce("root", "rep").alias("component")), "placed")
+    ws.release()
     out = described.join(placed, ["s1", "s2"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
