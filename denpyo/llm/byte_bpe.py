@@ -26,6 +26,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tables import fresh
 from .text import CHUNK_BYTES
 
 #: Pre-tokens whose ids a worker remembers before it starts anew.
@@ -152,7 +153,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
 
 
 def digest(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Each text encoded and its ids decoded: `keep`, n_tokens, ids_sha256, decoded_sha256, round_trip."""
+    """Each text encoded and its ids decoded: `keep` (without columns named like those made), n_tokens, ids_sha256, decoded_sha256, round_trip."""
+    keep = tuple(c for c in keep if c not in ("n_tokens", "ids_sha256", "decoded_sha256", "round_trip"))
     out = docs.select(*(F.col(f"`{c}`") for c in keep))
     schema = out.withColumns({"n_tokens": F.lit(0).cast("long"), "ids_sha256": F.lit(""), "decoded_sha256": F.lit(""), "round_trip": F.lit(True)}).schema
 
@@ -169,15 +171,16 @@ def _mapped(docs: DataFrame, path: str, pattern: str, text: str, carried: list[s
     pieces = ranks_of(path)
     shipped = spark.sparkContext.broadcast((serialise(pieces), pieces))  # as large as the vocabulary
     arrow = [(f.name, f.dataType) for f in schema.fields[len(carried) :]]
-    source = docs.select(*(F.col(f"`{c}`") for c in carried), F.col(f"`{text}`").cast("string").alias("__text"))
+    name = fresh(carried, "t")
+    source = docs.select(*(F.col(f"`{c}`") for c in carried), F.col(f"`{text}`").cast("string").alias(name))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, ranks = shipped.value
         codec = Codec(model, pattern, ranks)
         kinds = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
         for batch in batches:
-            for part in sliced(batch, "__text"):
-                rows = [row(codec, t or "") for t in part.column("__text").to_pylist()]
+            for part in sliced(batch, name):
+                rows = [row(codec, t or "") for t in part.column(name).to_pylist()]
                 made = [pa.array([r[i] for r in rows], kinds[k.simpleString()]) for i, (_, k) in enumerate(arrow)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried_at), *made], names=[*carried, *(n for n, _ in arrow)])
 

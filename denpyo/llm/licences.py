@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import sliced
-from .tables import read
+from .tables import fresh, read
 
 # Known sentences by identifier.
 SENTENCES = {
@@ -154,17 +154,19 @@ class Scanner:
 
 
 def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), scanner: Scanner | None = None) -> DataFrame:
-    """`keep` and matches (array of licence, start, end) of each row."""
+    """`keep` and matches (array of licence, start, end; replaces a column of that name) of each row."""
     scanner = scanner or Scanner()
-    source = docs.select(*(F.col(f"`{c}`") for c in keep), F.col("text").cast("string").alias("__text"))
+    keep = tuple(c for c in keep if c != "matches")
+    name = fresh(keep, "t")
+    source = docs.select(*(F.col(f"`{c}`") for c in keep), F.col("text").cast("string").alias(name))
     kind = "array<struct<licence:string,start:int,end:int>>"
-    schema = source.drop("__text").withColumn("matches", F.expr(f"cast(array() AS {kind})")).schema
+    schema = source.drop(name).withColumn("matches", F.expr(f"cast(array() AS {kind})")).schema
     arrow = pa.list_(pa.struct([("licence", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in sliced(batch, "__text"):
-                found = [[dict(zip(("licence", "start", "end"), m)) for m in scanner.scan(t)] for t in part.column("__text").to_pylist()]
+            for part in sliced(batch, name):
+                found = [[dict(zip(("licence", "start", "end"), m)) for m in scanner.scan(t)] for t in part.column(name).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(found, arrow)], names=[*keep, "matches"])
 
     return source.mapInArrow(run, schema)

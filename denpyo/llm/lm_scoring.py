@@ -132,13 +132,15 @@ def losses(counts: list[np.ndarray], total: int, size: int) -> np.ndarray:
 
 
 def score(docs: DataFrame, target: Model, background: Model, keep: tuple[str, ...] = ("doc_id",), workspace: Workspace | None = None) -> DataFrame:
-    """`keep`, n_words, target_loss, background_loss (means per word) and score, their difference. `docs` is read twice and must be the same."""
+    """`keep` (without columns named like those made), n_words, target_loss, background_loss (means per word) and score, their difference. `docs` is read twice and must be the same."""
     ws = workspace or Workspace(docs.sparkSession, "lm")
     text = F.col("text").cast("string").alias("__text")
-    source = docs.select(*(F.col(f"`{c}`") for c in keep), text)
+    keep = tuple(c for c in keep if c not in ("n_words", "target_loss", "background_loss", "score"))
     made = ["n_words", "target_loss", "background_loss", "score"]
-    schema = source.drop("__text").withColumns({"n_words": F.lit(0).cast("long")} | {m: F.lit(0.0) for m in made[1:]}).schema
-    roles = [(_grouped(source, *keep), SCORED | TARGET * (target.docs is docs) | BACKGROUND * (background.docs is docs))]
+    names = [f"c{i}" for i in range(len(keep))]
+    source = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)), text)
+    schema = docs.select(*(F.col(f"`{c}`") for c in keep)).withColumns({"n_words": F.lit(0).cast("long")} | {m: F.lit(0.0) for m in made[1:]}).schema
+    roles = [(_grouped(source, *names), SCORED | TARGET * (target.docs is docs) | BACKGROUND * (background.docs is docs))]
     if target.docs is background.docs and target.docs is not docs:
         roles.append((_grouped(target.docs.select(text)), TARGET | BACKGROUND))
     else:
@@ -150,6 +152,7 @@ def score(docs: DataFrame, target: Model, background: Model, keep: tuple[str, ..
         one = _asked(grouped, role, parts)
         asked = one if asked is None else asked.unionByName(one)
     answers = ws.keep(asked.groupBy("part").applyInArrow(_answer, "part int, g int, kind int, target binary, background binary, n_words long, n_target long, n_background long"), "answers")
+    ws.release()
     whole = answers.where("g = -1").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n_words", "n_target", "n_background"))).first()
     vocabulary, totals = max(whole[0], LEAST_WORDS), (whole[1], whole[2])
 
@@ -167,7 +170,7 @@ def score(docs: DataFrame, target: Model, background: Model, keep: tuple[str, ..
                     raise ValueError("the documents changed between two readings")
                 model.append(of[at])
         means = [np.bincount(row, losses(c, total, vocabulary), rows) / np.maximum(n, 1) for c, total in zip(counts, totals)]
-        return pa.Table.from_arrays([*(table.column(c) for c in keep), pa.array(n.astype(np.int64)), *(pa.array(x) for x in (*means, means[0] - means[1]))], names=[*keep, *made])
+        return pa.Table.from_arrays([*(table.column(c) for c in names), pa.array(n.astype(np.int64)), *(pa.array(x) for x in (*means, means[0] - means[1]))], names=[*keep, *made])
 
     replies = answers.where("g >= 0").select(F.col("g").alias("__g"), "part", "kind", "target", "background")
     return roles[0][0].groupBy("__g").cogroup(replies.groupBy("__g")).applyInArrow(run, schema)

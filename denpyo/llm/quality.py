@@ -5,7 +5,7 @@ measures of its bytes and words, a gated attention weighs the passages, and the
 weighted mean of their codes is scored; labels are known of documents only, so the
 attention learns which passages decide. The model is fitted in the driver on a
 sample of at most `per_class` labelled documents of each class, picked by a hash
-of their ids, with up to `per_document` evenly spaced passages each; scoring takes
+of their ids, with every passage of each; scoring takes
 every passage of every text and needs no shuffle.
 
 A null or empty text is a bag of one blank passage and gets a score like any
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import read
+from .tables import fresh, read
 from .text import Chunk, Powers, U, chunks, words
 
 PASSAGE = 64
@@ -140,7 +140,7 @@ def train(x: np.ndarray, begin: np.ndarray, y: np.ndarray, weight: np.ndarray, h
     return Model(mean, deviation, p, 0.0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 2000, per_document: int = 64, **options) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 2000, **options) -> Model:
     """A model of `labels.label` (0 or 1) from the texts of `docs`; both have doc_id."""
     spark = docs.sparkSession
     known = labels.select("doc_id", F.col(f"`{label}`").cast("double").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)").groupBy("doc_id").agg(F.avg("y").alias("y"))
@@ -161,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
         for batch in batches:
             for c in chunks(batch.column("text")):
                 x, begin = passages(c, powers)
-                kept = [x[b + np.unique(np.linspace(0, e - b - 1, min(e - b, per_document)).astype(int))] for b, e in zip(begin[:-1], begin[1:])]
+                kept = [x[b:e] for b, e in zip(begin[:-1], begin[1:])]
                 part = batch.slice(c.first, c.last - c.first)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array([k.tobytes() for k in kept], pa.binary())], names=["doc_id", "y", "x"])
 
@@ -180,14 +180,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
 def score(docs: DataFrame, model: Model, name: str = "score", keep: list[str] | None = None) -> DataFrame:
     """The `keep` columns of docs (all if None) and a double column `name`, which replaces one of that name."""
     carried = [c for c in (docs.columns if keep is None else keep) if c != name]
-    source = docs.select(*(F.col(f"`{c}`") for c in carried), F.col("text").cast("string").alias("__text"))
-    schema = source.drop("__text").withColumn(name, F.lit(0.0)).schema
+    text = fresh([*carried, name], "t")
+    source = docs.select(*(F.col(f"`{c}`") for c in carried), F.col("text").cast("string").alias(text))
+    schema = source.drop(text).withColumn(name, F.lit(0.0)).schema
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few kB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in batches:
-            for c in chunks(batch.column("__text")):
+            for c in chunks(batch.column(text)):
                 x, begin = passages(c, powers)
                 part = batch.slice(c.first, c.last - c.first)
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(carried))), pa.array(shared.value.score(x, begin))], names=[*carried, name])

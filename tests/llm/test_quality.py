@@ -33,6 +33,46 @@ def test_odd_rows(spark):
     assert quality.score(odd.limit(0), model).count() == 0
 
 
+def test_clashing_names(spark):
+    import public_tokenizers as P
+    from denpyo.llm import byte_bpe, licences, line_dedup, lm_scoring, minhash_dedup
+
+    own = ["_text", "_score", "__text", "_id", "_kept", "tokens", "t", "c0", "gone", "h", "line", "s1", "__g", "matches", "ids", "n_tokens", "score", "k"]
+    docs = spark.createDataFrame([(1, "a b c d e\nReleased under the MIT License."), (2, None)], "doc_id long, text string")
+    for c in own:
+        docs = docs.withColumn(c, F.lit(f"own {c}"))
+    keep = tuple(c for c in docs.columns if c != "text")
+    model = quality.fit(docs, spark.createDataFrame([], "doc_id long, quality int"))
+    file, pattern = P.path("byte_bpe_50k.tiktoken"), P.PATTERN
+    made = {
+        "score": quality.score(docs, model), "ids": byte_bpe.encode(docs, file, pattern), "n_tokens": byte_bpe.digest(docs, file, pattern, keep=keep),
+        "matches": licences.scan(docs, keep), "score ": lm_scoring.score(docs, lm_scoring.count(docs), lm_scoring.count(docs), keep), "": line_dedup.dedup_lines(docs),
+    }
+    for name, out in made.items():
+        rows = out.collect()
+        assert len(rows) == 2, name
+        for c in set(own) - {name.strip(), "n_words", "round_trip"}:
+            assert {r[c] for r in rows} == {f"own {c}"}, (name, c)
+    assert minhash_dedup.near_duplicates(docs).count() == 2
+
+
+def test_long_texts_are_fitted_whole(spark):
+    """The one telling passage of a long text decides its label, wherever it is."""
+    rng = np.random.default_rng(1)
+    plain = ["the", "of", "and", "word", "some", "more", "text"]
+    rows, marks = [], []
+    for i in range(60):
+        words_ = [plain[k] for k in rng.integers(0, len(plain), 64 * 150)]
+        if i % 2:
+            at = 64 * int(rng.integers(0, 150))
+            words_[at : at + 64] = ["$$##%%"] * 64
+        rows.append((i, " ".join(words_)))
+        marks.append((i, 1 - i % 2))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int")
+    got = {r.doc_id: r.score for r in quality.score(docs, quality.fit(docs, labels)).collect()}
+    assert np.mean([(got[i] >= 0.5) == bool(q) for i, q in marks]) > 0.95
+
+
 def test_without_labels(spark):
     docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int")
