@@ -26,7 +26,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import fresh
+from .tables import fresh, small_batches
 from .text import CHUNK_BYTES
 
 #: Pre-tokens whose ids a worker remembers before it starts anew.
@@ -168,6 +168,7 @@ def digest(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: t
 
 def _mapped(docs: DataFrame, path: str, pattern: str, text: str, carried: list[str], schema, row) -> DataFrame:
     spark = docs.sparkSession
+    small_batches(spark)
     pieces = ranks_of(path)
     shipped = spark.sparkContext.broadcast((serialise(pieces), pieces))  # as large as the vocabulary
     arrow = [(f.name, f.dataType) for f in schema.fields[len(carried) :]]

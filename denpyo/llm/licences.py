@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import sliced
-from .tables import fresh, read
+from .tables import fresh, read, small_batches
 
 # Known sentences by identifier.
 SENTENCES = {
@@ -156,6 +156,7 @@ class Scanner:
 def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), scanner: Scanner | None = None) -> DataFrame:
     """`keep` and matches (array of licence, start, end; replaces a column of that name) of each row."""
     scanner = scanner or Scanner()
+    small_batches(docs.sparkSession)
     keep = tuple(c for c in keep if c != "matches")
     name = fresh(keep, "t")
     source = docs.select(*(F.col(f"`{c}`") for c in keep), F.col("text").cast("string").alias(name))

@@ -133,6 +133,12 @@ def prefix_sizes(n: np.ndarray, percent: int) -> np.ndarray:
     return np.where(100 * n >= percent * (n + 1), n - -(-percent * n // 100) + 1, 0)
 
 
+def _count(state: dict) -> None:
+    new = np.concatenate([np.zeros(0, U), *state["new"]]).astype(np.int64)
+    state["seen"] += np.bincount(new, minlength=1 << HOT_BITS)
+    state["new"] = []
+
+
 def _described(docs: DataFrame, percent: int, shortest: int, ranks) -> DataFrame:
     """A row a line: its place, hashes and map of its set, and the numbers of its prefix entries (null for a set met before in the chunk).
 
@@ -145,7 +151,7 @@ def _described(docs: DataFrame, percent: int, shortest: int, ranks) -> DataFrame
             order = ranks.value
             state["bucket"] = np.empty(len(order), U)
             state["bucket"][order.astype(np.int64)] = np.arange(len(order), dtype=U)
-            state["seen"] = np.zeros(1 << HOT_BITS, np.int64)
+            state["seen"], state["new"] = np.zeros(1 << HOT_BITS, np.int64), []
         for place, ordered, begin in lines.parts(ranks.value):
             tokens = (state["bucket"][(ordered >> LOW).astype(np.int64)] << LOW) | (ordered & ((U(1) << LOW) - U(1)))
             n = np.diff(begin)
@@ -160,13 +166,17 @@ def _described(docs: DataFrame, percent: int, shortest: int, ranks) -> DataFrame
             position = np.arange(first[-1]) - np.repeat(first[:-1], size)
             picked = tokens[position + np.repeat(begin[:-1], size)]
             key = mix(picked) & ~U((1 << 24) - 1)
-            state["seen"] += np.bincount((key >> U(64 - HOT_BITS)).astype(np.int64), minlength=1 << HOT_BITS)
+            state["new"].append(key >> U(64 - HOT_BITS))
+            if sum(map(len, state["new"])) > 1 << HOT_BITS:
+                _count(state)
             key |= (np.minimum(np.repeat(n, size), MOST_N).astype(U) << U(8)) | np.minimum(position, MOST_I).astype(U)
             keys = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(key.view(np.int64)), mask=pa.array(size == 0))
             rows = pa.array(lines.row[place] + c.first)
             yield batch.column("doc_id").take(rows), batch.column("h").take(rows), lines.number[place].astype(np.int64), s1.view(np.int64), s2.view(np.int64), *maps, keys
 
     def last(state: dict) -> list[pa.Array]:
+        if state:
+            _count(state)
         seen = state.get("seen", np.zeros(1, np.int64))
         hot = np.flatnonzero(seen > max(HOT_LEAST, seen.sum() // HOT_SHARE))
         same = lambda x: pa.array(np.full(len(hot), x, np.int64))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import fresh, read
+from .tables import fresh, read, small_batches
 from .text import Chunk, Powers, U, chunks, words
 
 PASSAGE = 64
@@ -143,6 +143,7 @@ def train(x: np.ndarray, begin: np.ndarray, y: np.ndarray, weight: np.ndarray, h
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 2000, **options) -> Model:
     """A model of `labels.label` (0 or 1) from the texts of `docs`; both have doc_id."""
     spark = docs.sparkSession
+    small_batches(spark)
     known = labels.select("doc_id", F.col(f"`{label}`").cast("double").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)").groupBy("doc_id").agg(F.avg("y").alias("y"))
     known = known.withColumn("kind", (F.col("y") >= 0.5).cast("int"))
     have = {r.kind: r.n for r in known.groupBy("kind").agg(F.count("*").alias("n")).collect()}
@@ -179,6 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
 
 def score(docs: DataFrame, model: Model, name: str = "score", keep: list[str] | None = None) -> DataFrame:
     """The `keep` columns of docs (all if None) and a double column `name`, which replaces one of that name."""
+    small_batches(docs.sparkSession)
     carried = [c for c in (docs.columns if keep is None else keep) if c != name]
     text = fresh([*carried, name], "t")
     source = docs.select(*(F.col(f"`{c}`") for c in carried), F.col("text").cast("string").alias(text))

@@ -25,6 +25,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Rows that travel to Python at a time: texts may be long, and a batch is held whole on either side.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lets no more than BATCH_ROWS rows travel to Python at a time, in this session."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 class Workspace:
     """Tables of one operator run, below the shared folder.
 
@@ -33,6 +44,7 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark = spark
         self.root = f"{shared_folder(spark)}/denpyo/{name}-{uuid.uuid4().hex}"
         self._n = 0
