@@ -12,14 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from denpyo.llm import byte_bpe, line_dedup, minhash_dedup, mixing, quality
-from denpyo.llm.tables import Workspace, read
+from denpyo.llm.tables import Workspace, fresh, read
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the classifier scores below its threshold; empty texts are scored like others."""
     model = quality.fitted(docs, read(spark, sf_dir, "labels"))
-    scored = quality.score(docs.withColumn("_text", F.col("text")), model, name="_score")
-    return scored.where(F.col("_score") >= quality.REJECT_BELOW).select(*docs.columns)
+    name = fresh(docs.columns, "score")
+    return quality.score(docs, model, name=name).where(F.col(name) >= quality.REJECT_BELOW).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,18 +29,21 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near-duplicates, and one of rows that repeat each other.
+    """Keeps the smallest doc_id of each group of near-duplicates, and of rows of one doc_id and text the first by all their columns.
 
     Documents without words are in no group and stay, as do rows without doc_id.
     """
     ws = Workspace(spark, "minhash-stage")
-    found = ws.keep(minhash_dedup.near_duplicates(docs).select(F.col("doc_id").alias("_id"), F.col("kept").alias("_kept")), "found")
-    gone = found.where("_id IS NOT NULL").groupBy("_id").agg(F.bool_or("_kept").alias("_kept"), F.count("*").alias("_n"))
-    gone = ws.keep(gone.where("NOT _kept OR _n > 1"), "gone")
+    node, keeps, n = (fresh(docs.columns, x) for x in ("node", "keeps", "n"))
+    found = ws.keep(minhash_dedup.near_duplicates(docs).select(F.col("doc_id").alias(node), F.col("kept").alias(keeps)), "found")
+    gone = found.where(F.col(node).isNotNull()).groupBy(node).agg(F.bool_or(keeps).alias(keeps), F.count("*").alias(n))
+    gone = ws.keep(gone.where(~F.col(keeps) | (F.col(n) > 1)), "gone")
     id_ = F.col("doc_id").cast("long")
-    once = docs.join(gone, id_ == F.col("_id"), "left_anti")
-    again = docs.join(gone.where("_kept"), id_ == F.col("_id"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return once.unionByName(again)
+    once = docs.join(gone, id_ == F.col(node), "left_anti")
+    again = docs.join(gone.where(keeps), id_ == F.col(node), "left_semi")
+    whole = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)))
+    first = again.groupBy("doc_id", "text").agg(F.min(whole).alias(node))
+    return once.union(first.select(*(F.col(node)[f"c{i}"].alias(c) for i, c in enumerate(docs.columns))))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,8 +72,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark, "pipeline")
     docs = read(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = ws.keep(docs, name)
-    return docs
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        kept = ws.keep(stage(spark, docs, sf_dir), name)
+        if k:
+            ws.drop(docs)
+        ws.release()
+        docs = kept
+    return STAGES[-1][1](spark, docs, sf_dir)
