@@ -60,9 +60,16 @@ def manual(entry: Column) -> Column:
 def corrections(numbers: DataFrame, digits: str = "digits") -> DataFrame:
     """Rows of `numbers` with each one-digit change (position from 0, was, now, corrected) that makes an invalid number valid."""
     d = F.col(digits)
-    change = F.create_map(*(F.lit(x) for k, v in CONFUSABLE_DIGITS.items() for x in (k, v)))
-    wrong = numbers.where(d.rlike("^[0-9]{13}$") & ~is_valid(d))
-    each = wrong.select("*", F.explode(F.sequence(F.lit(0), F.lit(12))).alias("position")).withColumn("was", F.substring(d, F.col("position") + 1, F.lit(1)))
-    each = each.select("*", F.explode(F.split(change[F.col("was")], "")).alias("now")).where("now <> ''")
-    fixed = F.concat(F.substring(d, F.lit(1), F.col("position")), F.col("now"), F.substring(d, F.col("position") + 2, F.lit(13)))
-    return each.withColumn("corrected", fixed).where(is_valid(F.col("corrected")))
+    # A number is valid if its first digit is not 0 and the weighted sum of all is a multiple of 9; a change moves the sum by weight * (now - was).
+    weight = lambda i: F.when((i == 0) | (i % 2 == 0), 1).otherwise(2)
+    rest = F.aggregate(F.sequence(F.lit(0), F.lit(12)), F.lit(0), lambda total, i: total + weight(i) * (F.ascii(F.substring(d, i + 1, F.lit(1))) - 48)) % 9
+    wrong = numbers.where(d.rlike("^[0-9]{13}$")).withColumn("_rest", rest).where((F.col("_rest") != 0) | d.startswith("0"))
+    swaps = F.array(*(F.array(*(F.lit(x) for x in CONFUSABLE_DIGITS[str(k)])) for k in range(10)))
+
+    def changes(i: Column) -> Column:
+        was = F.substring(d, i + 1, F.lit(1))
+        good = F.filter(F.get(swaps, F.ascii(was) - 48), lambda now: F.pmod(F.col("_rest") + weight(i) * (F.ascii(now) - F.ascii(was)), F.lit(9)) == 0)
+        return F.transform(good, lambda now: F.struct(i.alias("position"), was.alias("was"), now.alias("now"), F.concat(F.substring(d, F.lit(1), i), now, F.substring(d, i + 2, F.lit(13))).alias("corrected")))
+
+    found = wrong.select("*", F.inline(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(12)), changes)))).drop("_rest")
+    return found.where(~F.startswith("corrected", F.lit("0")))

@@ -20,24 +20,39 @@ SIMPLIFIED = "对费领收识侧计额单价发书业务货买卖贩销数总钱
 JAPANESE = "対費領収識側計額単価発書業務貨買売販販数総銭現応預還種類証請記録冊蓋東会員銀込測認頁積実際時間電話場車楽気飲頭"
 
 
-def normalize_row(s: Column) -> Column:
-    """A recognised row of text in one spelling: half width, Japanese forms, no spaces within words, digits where digits belong."""
-    t = F.translate(F.translate(half_width(s), SIMPLIFIED, JAPANESE), "|｜（）：￥％", "  ():¥%")
-    for pattern, to in (
-        (r"(?<=[^\x00-\x7f])\s+(?=[^\x00-\x7f])", ""),
-        (r"(?<=[^\x00-\x7f])\s+(?=[0-9¥%])", ""),
-        (r"(?<=[0-9%])\s+(?=[^\x00-\x7f])", ""),
-        (r"(?<=[0-9])\s+(?=%)", ""),
-        (r"(?<![0-9,.])(10|8)\s?(?:96|%6|0/0)(?=\s?(?:対象|小計|消費税|税込|税抜|\)|軽減))", "$1%"),
-        (r"(?<=[0-9])[Oo](?=[0-9]|年|月|日|%)|(?<=[年月/.\-])[Oo](?=[0-9])", "0"),
-        (r"(?<=[0-9])[lI|](?=[0-9]|年|月|日|%)|(?<=[年月/.\-])[lI|](?=[0-9])", "1"),
-        (r"\s{2,}", " "),
-        (r"^\s+|\s+$", ""),
-    ):
+# Signs and the ASCII forms they count as, place by place.
+SIGNS, PLAIN_SIGNS = "|｜（）：￥％", "  ():¥%"
+# Fixed patterns of one spelling, in order: no spaces next to Japanese words, a misread per cent, letters read for 0 and 1, single spaces.
+SPELLING = (
+    (r"(?<=[^\x00-\x7f])\s+(?=[^\x00-\x7f]|[0-9%])|(?<=[0-9%])\s+(?=[^\x00-\x7f])|(?<=[0-9])\s+(?=%)", ""),
+    (r"(?<![0-9,.])(10|8)\s?(?:96|%6|0/0)(?=\s?(?:対象|小計|消費税|税込|税抜|\)|軽減))", "$1%"),
+    (r"(?<=[0-9])[Oo](?=[0-9]|年|月|日|%)|(?<=[年月/.\-])[Oo](?=[0-9])", "0"),
+    (r"(?<=[0-9])[lI|](?=[0-9]|年|月|日|%)|(?<=[年月/.\-])[lI|](?=[0-9])", "1"),
+    (r"\s{2,}", " "),
+    (r"^\s+|\s+$", ""),
+)
+
+
+def plain_signs(s: Column) -> Column:
+    return F.translate(F.translate(half_width(s), SIMPLIFIED, JAPANESE), SIGNS, PLAIN_SIGNS)
+
+
+def spelled(t: Column) -> Column:
+    for pattern, to in SPELLING:
         t = F.regexp_replace(t, pattern, to)
     return t
 
 
+def normalize_row(s: Column) -> Column:
+    """A recognised row of text in one spelling: half width, Japanese forms, no spaces within words, digits where digits belong."""
+    return spelled(plain_signs(s))
+
+
+def bound(x: Column, use) -> Column:
+    """use(x) with x evaluated once, however often `use` names it."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 # Fixed patterns of row kinds.
 TAX = "(消費税|税額|内税|外税|税等)"
 OTHER = r"(?i)(釣|残高|ポイント|電話|TEL|FAX|〒|No\.|番号|口座|会員)"
@@ -61,11 +76,15 @@ def signed_amount(n: Column, kind: Column, amount: Column) -> Column:
 
 def numeric_value(s: Column) -> Column:
     """The amount of a table cell that is nothing but an amount, as bigint; else null."""
-    t = F.regexp_replace(normalize_row(s), r"\s", "")
-    form = r"^([-△▲])?¥?(-)?([0-9]{1,3}(?:,[0-9]{3})+|[0-9]{1,8})(?:円|-)?$"
-    value = F.regexp_replace(F.regexp_extract(t, form, 3), ",", "").try_cast("bigint")
-    minus = (F.regexp_extract(t, form, 1) != "") | (F.regexp_extract(t, form, 2) != "")
-    return F.when(t.rlike(form), F.when(minus, -value).otherwise(value))
+    form = r"^[-△▲]?¥?-?([0-9]{1,3}(?:,[0-9]{3})+|[0-9]{1,8})(?:円|-)?$"
+
+    def amount(t: Column) -> Column:
+        value = F.replace(F.regexp_extract(t, form, 1), F.lit(","), F.lit("")).try_cast("bigint")
+        return F.when(t.rlike(form), F.when(t.rlike("^[^0-9]*[-△▲]"), -value).otherwise(value))
+
+    # Only letters that may stand for digits make the spelling matter to an amount.
+    whole = bound(plain_signs(s), lambda t: F.regexp_replace(F.when(t.rlike("[OolI]"), spelled(t)).otherwise(t), r"\s", ""))
+    return bound(whole, amount)
 
 
 DATE = r"((?:19|20)[0-9]{2}|令和\s?[0-9]{1,2}|R\s?[0-9]{1,2}|令和元)\s?[年/.\-]\s?([0-9]{1,2})\s?[月/.\-]\s?([0-9]{1,2})\s?日?"
@@ -73,11 +92,20 @@ DATE = r"((?:19|20)[0-9]{2}|令和\s?[0-9]{1,2}|R\s?[0-9]{1,2}|令和元)\s?[年
 
 def parse_date(s: Column, today: Column) -> Column:
     """struct<year, month, day, valid, before, future> of the first date in a row; null without one."""
-    era = F.regexp_extract(s, DATE, 1)
-    western = F.regexp_extract(era, "^((?:19|20)[0-9]{2})$", 1)
-    reiwa = F.regexp_extract(era, "([0-9]{1,2}|元)$", 1)
-    year = F.when(western != "", western.try_cast("int")).otherwise(2018 + F.when(reiwa == "元", 1).otherwise(reiwa.try_cast("int")))
-    month, day = F.regexp_extract(s, DATE, 2).try_cast("int"), F.regexp_extract(s, DATE, 3).try_cast("int")
-    date = F.try_to_date(F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0")), "yyyy-MM-dd")
-    valid = date.isNotNull()
-    return F.when(s.rlike(DATE), F.struct(year.alias("year"), month.alias("month"), day.alias("day"), valid.alias("valid"), F.coalesce(date < F.lit("2023-10-01").cast("date"), F.lit(False)).alias("before"), F.coalesce(date > today, F.lit(False)).alias("future")))
+
+
+    def parts(m: Column) -> Column:
+        """Year, month and day of the text of a date; its numbers, from the left, are these three."""
+        n = F.regexp_extract_all(m, F.lit("[0-9]+|元"), F.lit(0))
+        year = F.when(F.get(n, F.lit(0)) == "元", 2019).when(F.length(F.get(n, F.lit(0))) == 4, F.get(n, F.lit(0)).try_cast("int")).otherwise(2018 + F.get(n, F.lit(0)).try_cast("int"))
+        return F.struct(year.alias("year"), F.get(n, F.lit(1)).try_cast("int").alias("month"), F.get(n, F.lit(2)).try_cast("int").alias("day"))
+
+    def judged(p: Column) -> Column:
+        name = F.concat_ws("-", F.lpad(p["year"].cast("string"), 4, "0"), F.lpad(p["month"].cast("string"), 2, "0"), F.lpad(p["day"].cast("string"), 2, "0"))
+        return F.struct(p["year"].alias("year"), p["month"].alias("month"), p["day"].alias("day"), F.try_to_date(name, "yyyy-MM-dd").alias("date"))
+
+    def told(p: Column) -> Column:
+        before, future = (F.coalesce(x, F.lit(False)) for x in (p["date"] < F.lit("2023-10-01").cast("date"), p["date"] > today))
+        return F.struct(p["year"].alias("year"), p["month"].alias("month"), p["day"].alias("day"), p["date"].isNotNull().alias("valid"), before.alias("before"), future.alias("future"))
+
+    return bound(F.regexp_extract(s, DATE, 0), lambda m: F.when(m != "", bound(bound(parts(m), judged), told)))

@@ -28,13 +28,22 @@ def inferred_totals(lines: DataFrame, key: str = "doc", seq: str = "seq") -> Dat
     return lines.withColumn("inferred", turned).withColumn("kind", F.when(turned, "total").otherwise(F.col("kind")))
 
 
+def row_marks(label: Column) -> dict[str, Column]:
+    """What a normalised row's words say besides its kind: a taxable subtotal, one that includes tax, money handed over."""
+    return {"subject": label.contains("対象"), "inclusive": label.rlike(r"税込|内税|\("), "deposit": label.rlike("お預|預り")}
+
+
 def summary(lines: DataFrame, key: str = "doc") -> DataFrame:
-    """items_sum, tax_total, doc_total (written, else paid, else taxable with tax) and match of each document."""
+    """items_sum, tax_total, doc_total (written, else paid, else taxable with tax) and match of each document.
+
+    `lines` has kind, amount and the marks of `row_marks`: money handed over is no payment, and only
+    subtotals that include tax make a total.
+    """
     of = lambda kind: F.col("kind") == kind
     sums = lines.groupBy(key).agg(
         F.coalesce(F.sum(F.when(of("item"), F.col("amount"))), F.lit(0)).alias("items_sum"), F.count(F.when(of("item"), 1)).alias("items"),
         F.coalesce(F.sum(F.when(of("tax"), F.col("amount"))), F.lit(0)).alias("tax_total"), F.max(F.when(of("total"), F.col("amount"))).alias("written"),
-        F.max(F.when(of("payment"), F.col("amount"))).alias("paid"), F.coalesce(F.sum(F.when(of("other") & F.col("subject"), F.col("amount"))), F.lit(0)).alias("taxable"),
+        F.max(F.when(of("payment") & ~F.col("deposit"), F.col("amount"))).alias("paid"), F.coalesce(F.sum(F.when(of("other") & F.col("subject") & F.col("inclusive"), F.col("amount"))), F.lit(0)).alias("taxable"),
     )
     total = F.coalesce("written", "paid", F.when(F.col("taxable") > 0, F.col("taxable")))
     match = (
@@ -65,6 +74,21 @@ def worst_status(status: Column) -> Column:
     return F.when(worst == 2, "ng").when(worst == 1, "warn").otherwise("ok")
 
 
+def exceptions(entries: DataFrame) -> DataFrame:
+    """Documents without a registration number or without an amount."""
+    return entries.where(F.col("digits").isNull() | F.col("amount").isNull())
+
+
+def expected_difference(total: Column, typed: Column) -> Column:
+    """How far a total is from the amount that was typed as expected, signs other than digits left out; null without digits typed."""
+    return total - F.when(F.trim(typed) != "", F.coalesce(F.regexp_replace(typed, "[^0-9]", "").try_cast("bigint"), F.lit(0).cast("bigint")))
+
+
+def selected_sum(kind: Column, amount: Column, selected: Column) -> Column:
+    """Aggregate: the sum of the items that are ticked."""
+    return F.coalesce(F.sum(F.when((kind == "item") & selected, amount)), F.lit(0).cast("bigint"))
+
+
 def settlement(entries: DataFrame, *keys: str) -> DataFrame:
     """Sums and counts over settled documents; an amount that is missing counts as nothing."""
     amount = F.coalesce("amount", F.lit(0).cast("bigint"))

@@ -10,7 +10,7 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from ..functions.scanners import half
+from ..functions.scanners import normal
 
 ROW_SCHEMA = "doc long, row int, text string, x double, y double, w double, h double, parts array<struct<text:string,x:double,y:double,w:double,h:double>>"
 
@@ -75,7 +75,7 @@ _CELL = re.compile(r"([-△▲])?¥?(-)?([0-9]{1,3}(?:,[0-9]{3})+|[0-9]{1,8})(?:
 
 
 def cell_value(text: str) -> int | None:
-    m = _CELL.fullmatch(re.sub(r"\s", "", half(text)).replace("￥", "¥"))
+    m = _CELL.fullmatch(re.sub(r"\s", "", normal(text)))
     return None if not m else (-1 if m[1] or m[2] else 1) * int(m[3].replace(",", ""))
 
 
@@ -98,9 +98,9 @@ def infer_table(rows: list[list[dict]]) -> dict | None:
     columns = [{"right": middle([c["right"] for c in s]), "left": min(c["x"] for c in s), "count": len({c["row"] for c in s}), "header": None} for s in stacks if len({c["row"] for c in s}) >= 3]
     if not columns:
         return None
-    header = next((i for i, r in enumerate(rows) if len(_HEADER.findall(half(" ".join(p["text"] for p in r)))) >= 2), None)
+    header = next((i for i, r in enumerate(rows) if len(_HEADER.findall(normal(" ".join(p["text"] for p in r)))) >= 2), None)
     for col in columns if header is not None else []:
-        over = (p["text"] for p in rows[header] if p["x"] <= col["right"] + h and p["x"] + p["w"] >= col["left"] - h)
+        over = (normal(p["text"]) for p in rows[header] if p["x"] <= col["right"] + h and p["x"] + p["w"] >= col["left"] - h)
         col["header"] = next(over, None)
     named = [i for i, c in enumerate(columns) if c["header"] and _AMOUNT_HEADER.search(c["header"])]
     filled = [i for i, c in enumerate(columns) if c["count"] >= max(3, 0.5 * max(x["count"] for x in columns))]

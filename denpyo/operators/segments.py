@@ -12,10 +12,13 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..functions.fixed import DOCUMENT_TITLE
+from ..functions.scanners import normal
 from .candidates import overlap
+from .keywords import repair
 from .layout import around, middle
 
-TITLE = re.compile("御?請求書|領収書|領収証|納品書|レシート|請求明細|Invoice|INVOICE|RECEIPT")
+TITLE = re.compile(DOCUMENT_TITLE)
 DEPTH = 12
 
 
@@ -53,11 +56,11 @@ def blocks(rows: list[dict], row_height: float, page_width: float, depth: int =
 
 
 def is_title(text: str) -> bool:
-    t = re.sub(r"\s", "", text)
+    t = re.sub(r"\s", "", repair(normal(text)))
     return len(t) <= 10 and bool(TITLE.search(t))
 
 
-def split_invoices(rows: list[dict], numbers: list[dict], page_width: float, page_height: float, titles: list[dict] | None = None) -> list[dict]:
+def split_documents(rows: list[dict], numbers: list[dict], page_width: float, page_height: float, titles: list[dict] | None = None) -> list[dict]:
     """Documents of a page: dicts of index, rows, digits and box. `numbers` are boxes with digits."""
     whole = [{"index": 0, "rows": rows, "digits": numbers[0]["digits"] if numbers else None, **(around(rows) if rows else {"x": 0.0, "y": 0.0, "w": page_width, "h": page_height})}]
     kinds = {n["digits"] for n in numbers}
@@ -107,7 +110,7 @@ def segment_pages(atoms: DataFrame, numbers: DataFrame) -> DataFrame:
         rows = left.sort_values("seq", kind="stable").to_dict("records")
         if not rows:
             return pd.DataFrame({"page": [], "seq": [], "segment": [], "digits": []}).astype({"page": "int64", "seq": "int64", "segment": "int64", "digits": "object"})
-        parts = split_invoices(rows, right.to_dict("records"), rows[0]["page_w"], rows[0]["page_h"])
+        parts = split_documents(rows, right.to_dict("records"), rows[0]["page_w"], rows[0]["page_h"])
         return pd.DataFrame([{"page": r["page"], "seq": r["seq"], "segment": s["index"], "digits": s["digits"]} for s in parts for r in s["rows"]])
 
     return atoms.groupBy("page").cogroup(numbers.groupBy("page")).applyInPandas(one, "page long, seq long, segment long, digits string")

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import geometry, numbers, text
+from ..functions import fixed, geometry, numbers, text
 from ..operators import amounts, voting
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -235,17 +235,17 @@ def largest_gap(spark, sf_dir):
     return g.where("gap > 0").groupBy("doc").agg(F.max("gap").alias("gap"))
 
 
-WORDS = ["コヒ豆", "合計", "消費税", "10%対象", "現金", "釣銭"]
+WORDS = ["コヒ豆", "合計", "消費税", "10%対象", "現金", "釣銭", "お預り 現金", "10%対象(税込)"]
 
 
 def bill_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = table(spark, sf_dir, "lineitem")
-    label = F.element_at(F.array(*(F.lit(w) for w in WORDS)), (F.when(F.col("l_partkey") % 4 == 0, F.col("l_suppkey") % 6).otherwise(0) + 1).cast("int"))
+    label = F.element_at(F.array(*(F.lit(w) for w in WORDS)), (F.when(F.col("l_partkey") % 4 == 0, F.col("l_suppkey") % 8).otherwise(0) + 1).cast("int"))
     return line.select(F.col("l_orderkey").alias("doc"), (F.col("l_linenumber").cast("long") * 1000000000 + F.col("l_partkey") * 1000 + F.col("l_suppkey")).cast("long").alias("seq"), label.alias("label"), F.floor("l_extendedprice").cast("long").alias("amount"))
 
 
-BILL = f"""l AS (SELECT l_orderkey AS doc, l_linenumber::BIGINT * 1000000000 + l_partkey * 1000 + l_suppkey AS seq, [{', '.join(f"'{w}'" for w in WORDS)}][(CASE WHEN l_partkey % 4 = 0 THEN l_suppkey % 6 ELSE 0 END) + 1] AS label, floor(l_extendedprice)::BIGINT AS amount FROM lineitem),
-k AS (SELECT *, CASE label WHEN '合計' THEN 'total' WHEN '消費税' THEN 'tax' WHEN '10%対象' THEN 'other' WHEN '現金' THEN 'payment' WHEN '釣銭' THEN 'other' ELSE 'item' END AS kind FROM l)"""
+BILL = f"""l AS (SELECT l_orderkey AS doc, l_linenumber::BIGINT * 1000000000 + l_partkey * 1000 + l_suppkey AS seq, [{', '.join(f"'{w}'" for w in WORDS)}][(CASE WHEN l_partkey % 4 = 0 THEN l_suppkey % 8 ELSE 0 END) + 1] AS label, floor(l_extendedprice)::BIGINT AS amount FROM lineitem),
+k AS (SELECT *, CASE label WHEN '合計' THEN 'total' WHEN '消費税' THEN 'tax' WHEN '10%対象' THEN 'other' WHEN '10%対象(税込)' THEN 'other' WHEN '現金' THEN 'payment' WHEN 'お預り 現金' THEN 'payment' WHEN '釣銭' THEN 'other' ELSE 'item' END AS kind FROM l)"""
 
 
 def kinds(spark, sf_dir):
@@ -259,27 +259,27 @@ def classify_kind(spark, sf_dir):
 
 @query(f"""WITH {BILL}, z AS (SELECT *, CASE WHEN kind = 'item' AND seq % 7 = 0 THEN 100 ELSE 50 END AS amt FROM k),
 w AS (SELECT *, coalesce(sum(CASE WHEN kind = 'item' THEN amt END) OVER o, 0) AS run, coalesce(sum(CASE WHEN kind = 'tax' THEN amt END) OVER o, 0) AS tax,
-coalesce(sum(CASE WHEN kind = 'other' AND label = '10%対象' THEN amt END) OVER o, 0) AS sub, count(CASE WHEN kind = 'item' THEN 1 END) OVER o AS cnt,
+coalesce(sum(CASE WHEN kind = 'other' AND contains(label, '対象') THEN amt END) OVER o, 0) AS sub, count(CASE WHEN kind = 'item' THEN 1 END) OVER o AS cnt,
 max(CASE WHEN kind = 'item' THEN seq END) OVER (PARTITION BY doc) AS last_item, bool_or(kind = 'total') OVER (PARTITION BY doc) AS written
 FROM z WINDOW o AS (PARTITION BY doc ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT doc, seq, amt::BIGINT AS amount FROM w WHERE kind = 'item' AND NOT written AND seq = last_item AND cnt >= 2 AND ((tax > 0 AND abs(amt - run - tax) <= 1) OR (sub > 0 AND tax > 0 AND abs(amt - sub - tax) <= 1) OR amt = run)""")
+SELECT doc, seq, amt::BIGINT AS amount FROM w WHERE kind = 'item' AND NOT written AND seq = last_item AND cnt >= 2 AND ((tax > 0 AND abs(amt - run - tax) <= 1) OR (sub > 0 AND tax > 0 AND abs(amt - sub - tax) <= 1) OR (amt = run AND seq % 3 <> 0))""")
 def running_total_infer(spark, sf_dir):
     k = kinds(spark, sf_dir).withColumn("amount", F.when((F.col("kind") == "item") & (F.col("seq") % 7 == 0), 100).otherwise(50).cast("long"))
-    k = k.withColumn("subject", F.col("label").contains("対象")).withColumn("bare", F.lit(True))
+    k = k.withColumn("subject", F.col("label").contains("対象")).withColumn("bare", F.col("seq") % 3 != 0)
     return amounts.inferred_totals(k).where("inferred").select("doc", "seq", "amount")
 
 
 @query(f"""WITH {BILL}, s AS (SELECT doc, coalesce(sum(CASE WHEN kind = 'item' THEN amount END), 0)::BIGINT AS items_sum, count(CASE WHEN kind = 'item' THEN 1 END) AS items, coalesce(sum(CASE WHEN kind = 'tax' THEN amount END), 0)::BIGINT AS tax_total,
-coalesce(max(CASE WHEN kind = 'total' THEN amount END), max(CASE WHEN kind = 'payment' THEN amount END), nullif(coalesce(sum(CASE WHEN label = '10%対象' THEN amount END), 0), 0))::BIGINT AS doc_total FROM k GROUP BY doc)
+coalesce(max(CASE WHEN kind = 'total' THEN amount END), max(CASE WHEN label = '現金' THEN amount END), nullif(coalesce(sum(CASE WHEN label = '10%対象(税込)' THEN amount END), 0), 0))::BIGINT AS doc_total FROM k GROUP BY doc)
 SELECT *, CASE WHEN doc_total IS NULL OR items = 0 THEN NULL WHEN items_sum = doc_total THEN 'equal' WHEN tax_total > 0 AND abs(items_sum + tax_total - doc_total) <= 1 THEN 'equalWithTax' ELSE 'diff' END AS match FROM s""")
 def items_vs_total(spark, sf_dir):
-    return amounts.summary(kinds(spark, sf_dir).withColumn("subject", F.col("label").contains("対象")))
+    return amounts.summary(kinds(spark, sf_dir).withColumns(amounts.row_marks(F.col("label"))))
 
 
-@query(f"""WITH {BILL}, s AS (SELECT doc, sum(CASE WHEN kind = 'item' THEN amount END)::BIGINT AS items_sum, coalesce(max(CASE WHEN kind = 'total' THEN amount END), max(CASE WHEN kind = 'payment' THEN amount END), nullif(coalesce(sum(CASE WHEN label = '10%対象' THEN amount END), 0), 0))::BIGINT AS t FROM k GROUP BY doc)
+@query(f"""WITH {BILL}, s AS (SELECT doc, sum(CASE WHEN kind = 'item' THEN amount END)::BIGINT AS items_sum, coalesce(max(CASE WHEN kind = 'total' THEN amount END), max(CASE WHEN label = '現金' THEN amount END), nullif(coalesce(sum(CASE WHEN label = '10%対象(税込)' THEN amount END), 0), 0))::BIGINT AS t FROM k GROUP BY doc)
 SELECT doc, coalesce(t, items_sum) AS value, CASE WHEN t IS NOT NULL THEN 'total' WHEN items_sum IS NOT NULL THEN 'items' END AS source FROM s""")
 def doc_amount(spark, sf_dir):
-    s = amounts.summary(kinds(spark, sf_dir).withColumn("subject", F.col("label").contains("対象")))
+    s = amounts.summary(kinds(spark, sf_dir).withColumns(amounts.row_marks(F.col("label"))))
     a = amounts.document_amount(F.col("doc_total"), F.lit(None).cast("long"), F.col("items_sum"), F.col("items"))
     return s.select("doc", a["value"].alias("value"), a["source"].alias("source"))
 
@@ -313,9 +313,9 @@ def settlement(spark, sf_dir):
     return amounts.settlement(d, "o_custkey")
 
 
-@query("""SELECT o_custkey, count(*) AS invoices, count(CASE WHEN o_orderkey % 5 <> 0 THEN 1 END) AS with_number FROM orders GROUP BY o_custkey""")
+@query("""SELECT o_custkey, count(*) AS documents, count(CASE WHEN o_orderkey % 5 <> 0 THEN 1 END) AS with_number FROM orders GROUP BY o_custkey""")
 def batch_counts(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("invoices"), F.count_if(F.col("o_orderkey") % 5 != 0).alias("with_number"))
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("documents"), F.count_if(F.col("o_orderkey") % 5 != 0).alias("with_number"))
 
 
 @query("""WITH d AS (SELECT o_orderkey, year(o_orderdate)::INTEGER AS y, month(o_orderdate)::INTEGER AS m, day(o_orderdate)::INTEGER AS d, o_orderkey % 4 AS k FROM orders),
@@ -380,11 +380,11 @@ def page_range(spark, sf_dir):
     return table(spark, sf_dir, "part").where(pages > 0).select("p_partkey", F.explode(F.sequence(F.lit(1), F.least(pages, F.lit(50)))).alias("page"))
 
 
-@query(f"WITH {NUMBERED} SELECT o_orderkey, 'https://www.invoice-kohyo.nta.go.jp/regno-search/detail?selRegNo=' || digits AS url FROM n")
+@query(f"WITH {NUMBERED} SELECT o_orderkey, '{fixed.REGISTER_URL}' || digits AS url, '{fixed.CORPORATE_URL}' || digits AS corporate FROM n")
 def lookup_url(spark, sf_dir):
     from ..sources import csv_out
 
-    return numbered_orders(spark, sf_dir).select("o_orderkey", csv_out.lookup_url(F.col("digits")).alias("url"))
+    return numbered_orders(spark, sf_dir).select("o_orderkey", csv_out.lookup_url(F.col("digits")).alias("url"), csv_out.corporate_url(F.col("digits")).alias("corporate"))
 
 
 @query(f"WITH {NUMBERED} SELECT o_orderkey, digits, true AS has_t, true AS valid, CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 6 END::INTEGER AS start FROM n")

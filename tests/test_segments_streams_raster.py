@@ -18,10 +18,10 @@ def document(x, y, digits):
 
 def test_segments(spark):
     one, n = document(0, 0, "7000012050002")
-    assert len(S.split_invoices(one, n, 1000, 1000)) == 1
+    assert len(S.split_documents(one, n, 1000, 1000)) == 1
     grid = [document(x, y, d) for x, y, d in ((0, 0, "1" * 13), (600, 0, "2" * 13), (0, 600, "3" * 13), (600, 600, None))]
     rows, numbers = sum((r for r, _ in grid), []), sum((n for _, n in grid), [])
-    found = S.split_invoices(rows, numbers, 1000, 1000)
+    found = S.split_documents(rows, numbers, 1000, 1000)
     assert [f["digits"] for f in found] == ["1" * 13, "2" * 13, "3" * 13, None] and all(len(f["rows"]) == 6 for f in found)
     atoms = spark.createDataFrame([(1, i, r["text"], r["x"], r["y"], r["w"], r["h"], 1000.0, 1000.0) for i, r in enumerate(rows)], "page long, seq long, text string, x double, y double, w double, h double, page_w double, page_h double")
     where = spark.createDataFrame([(1, m["digits"], m["x"], m["y"], m["w"], m["h"]) for m in numbers], "page long, digits string, x double, y double, w double, h double")
