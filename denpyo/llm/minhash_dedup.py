@@ -154,8 +154,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, miss: flo
     described = ws.keep(_described(docs, size, *banding(percent, miss)), "described")
     full = described.where("n_shingles > 0 AND doc_id IS NOT NULL")
     ws.release()
-    alike = ws.keep(full.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep")), "alike")
-    banded = full.join(alike.select("s1", "s2", F.col("rep").alias("doc_id")), ["s1", "s2", "doc_id"], "left_semi").select("doc_id", F.explode("bands").alias("key"))
+    alike = ws.keep(full.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")), "alike")
+    banded = alike.select(F.col("rep").alias("doc_id"), F.explode("bands").alias("key"))
     buckets = ws.keep(banded.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi"), "buckets")
     more = banded.join(buckets.where("n > 2").select("key", "lo"), "key").select("lo", F.col("doc_id").alias("hi"))
     ties = buckets.where("n = 2").select("lo", "hi").union(more)
