@@ -14,7 +14,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 def listed(rows: DataFrame, keys: list[str], order: str, name: str = "rows") -> DataFrame:
     """One row a group: its rows as an array of structs, by `order` and then by all other columns."""
     first = [order, *(c for c in rows.columns if c not in (order, *keys))]
-    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*first))).alias(name))
+    # As many partitions as the session asks for: what follows is work in Python, which few full partitions would do one after the other.
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, *keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*first))).alias(name))
 
 
 def each(groups: DataFrame, one: Callable[..., list[dict]], schema: str) -> DataFrame:

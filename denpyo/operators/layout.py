@@ -7,10 +7,11 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.scanners import normal
+from . import batch
 
 ROW_SCHEMA = "doc long, row int, text string, x double, y double, w double, h double, parts array<struct<text:string,x:double,y:double,w:double,h:double>>"
 
@@ -51,21 +52,21 @@ def phrases(row: list[dict]) -> list[list[dict]]:
     return out
 
 
-def _as_rows(doc, groups: list[list[dict]]) -> pd.DataFrame:
-    made = [{"doc": doc, "row": i, "text": " ".join(p["text"] for p in g), **around(g), "parts": [{k: p[k] for k in ("text", "x", "y", "w", "h")} for p in g]} for i, g in enumerate(groups)]
-    return pd.DataFrame(made, columns=["doc", "row", "text", "x", "y", "w", "h", "parts"])
+def _atoms(atoms: DataFrame) -> DataFrame:
+    """One row a document: its atoms in order."""
+    return batch.listed(atoms.select(F.col("doc").cast("long").alias("doc"), "seq", F.coalesce("text", F.lit("")).alias("text"), *batch.box()), ["doc"], "seq")
 
 
-def _atoms(pdf: pd.DataFrame) -> list[dict]:
-    return pdf.sort_values("seq", kind="stable").assign(text=lambda d: d["text"].fillna("")).to_dict("records")
+def _as_rows(doc: int, groups: list[list[dict]]) -> list[dict]:
+    return [{"doc": doc, "row": i, "text": " ".join(p["text"] for p in g), **around(g), "parts": [{k: p[k] for k in ("text", "x", "y", "w", "h")} for p in g]} for i, g in enumerate(groups)]
 
 
 def assemble_rows(atoms: DataFrame) -> DataFrame:
-    return atoms.groupBy("doc").applyInPandas(lambda pdf: _as_rows(int(pdf["doc"].iloc[0]), full_rows(_atoms(pdf))), ROW_SCHEMA)
+    return batch.each(_atoms(atoms), lambda doc, rows: _as_rows(doc, full_rows(rows)), ROW_SCHEMA)
 
 
 def assemble_phrases(atoms: DataFrame) -> DataFrame:
-    return atoms.groupBy("doc").applyInPandas(lambda pdf: _as_rows(int(pdf["doc"].iloc[0]), [g for r in full_rows(_atoms(pdf)) for g in phrases(r)]), ROW_SCHEMA)
+    return batch.each(_atoms(atoms), lambda doc, rows: _as_rows(doc, [g for r in full_rows(rows) for g in phrases(r)]), ROW_SCHEMA)
 
 
 # Words of table headers.
@@ -117,10 +118,10 @@ def infer_table(rows: list[list[dict]]) -> dict | None:
 def table_amounts(atoms: DataFrame) -> DataFrame:
     """doc, row, text and the amount that the inferred table gives the row (null: none)."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = full_rows(_atoms(pdf))
-        table = infer_table(rows)
-        given = table["amounts"] if table else [None] * len(rows)
-        return pd.DataFrame({"doc": int(pdf["doc"].iloc[0]), "row": range(len(rows)), "text": [" ".join(p["text"] for p in r) for r in rows], "amount": pd.array(given, dtype="Int64")})
+    def one(doc: int, rows: list[dict]) -> list[dict]:
+        assembled = full_rows(rows)
+        table = infer_table(assembled)
+        given = table["amounts"] if table else [None] * len(assembled)
+        return [{"doc": doc, "row": i, "text": " ".join(p["text"] for p in r), "amount": given[i]} for i, r in enumerate(assembled)]
 
-    return atoms.groupBy("doc").applyInPandas(one, "doc long, row int, text string, amount long")
+    return batch.each(_atoms(atoms), one, "doc long, row int, text string, amount long")

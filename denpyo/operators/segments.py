@@ -9,11 +9,12 @@ import functools
 import math
 import re
 
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.fixed import DOCUMENT_TITLE
 from ..functions.scanners import normal
+from . import batch
 from .candidates import overlap
 from .keywords import repair
 from .layout import around, middle
@@ -106,14 +107,14 @@ def split_documents(rows: list[dict], numbers: list[dict], page_width: float, pa
 def segment_pages(atoms: DataFrame, numbers: DataFrame) -> DataFrame:
     """page, seq, segment and digits of the segment for each atom (page, seq, text, x, y, w, h, page_w, page_h); numbers: page, digits, x, y, w, h."""
 
-    def one(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows = left.sort_values("seq", kind="stable").to_dict("records")
-        if not rows:
-            return pd.DataFrame({"page": [], "seq": [], "segment": [], "digits": []}).astype({"page": "int64", "seq": "int64", "segment": "int64", "digits": "object"})
-        parts = split_documents(rows, right.to_dict("records"), rows[0]["page_w"], rows[0]["page_h"])
-        return pd.DataFrame([{"page": r["page"], "seq": r["seq"], "segment": s["index"], "digits": s["digits"]} for s in parts for r in s["rows"]])
+    left = batch.listed(atoms.select(F.col("page").cast("long").alias("page"), F.col("seq").cast("long").alias("seq"), F.coalesce("text", F.lit("")).alias("text"), *batch.box("x", "y", "w", "h", "page_w", "page_h")), ["page"], "seq")
+    right = batch.listed(numbers.select(F.col("page").cast("long").alias("page"), "digits", *batch.box()), ["page"], "digits", "numbers")
 
-    return atoms.groupBy("page").cogroup(numbers.groupBy("page")).applyInPandas(one, "page long, seq long, segment long, digits string")
+    def one(page: int, rows: list[dict], numbers: list[dict] | None) -> list[dict]:
+        parts = split_documents(rows, numbers or [], rows[0]["page_w"], rows[0]["page_h"])
+        return [{"page": page, "seq": r["seq"], "segment": s["index"], "digits": s["digits"]} for s in parts for r in s["rows"]]
+
+    return batch.each(left.join(right, "page", "left"), one, "page long, seq long, segment long, digits string")
 
 
 def direction(b: dict) -> str:

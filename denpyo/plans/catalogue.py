@@ -29,11 +29,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import scans  # noqa: F401 (registers its queries)
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return {k: v for k, v in SQL.items() if k in queries()}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Stateful streams: failed logins, sessions, and the state of running scans.
 
-Each operator takes a streaming or a plain frame. The limiter and the fold keep
-bounded state per key.
+The limiter and the fold take streaming frames (with plain ones Spark raises an error); the others take both. State
+per key is bounded, and the state of a key that nothing came for is dropped in time.
 """
 
 from __future__ import annotations
@@ -10,11 +10,16 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.candidates import rank
+
 WINDOW_S, FAILURES, SESSION_S = 600, 10, 12 * 3600
+#: After how many milliseconds without news a key's state goes: failures once they can't count any more, scans after a day.
+FORGET_MS = {"login": 2 * WINDOW_S * 1000, "scan": 24 * 3600 * 1000}
 
 
 def admit(failures: list[float], at: float, ok: bool, limit: int = FAILURES, window: float = WINDOW_S) -> tuple[int, list[float]]:
@@ -29,6 +34,9 @@ def limit_logins(attempts: DataFrame, limit: int = FAILURES) -> DataFrame:
     """ip, at and status of each attempt (ip, at: seconds, ok), in order of time within a batch."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         failures = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(batches)).sort_values("at", kind="stable")
         answers = []
@@ -36,9 +44,10 @@ def limit_logins(attempts: DataFrame, limit: int = FAILURES) -> DataFrame:
             status, failures = admit(failures, float(at), bool(ok), limit)
             answers.append(status)
         state.update((failures,))
+        state.setTimeoutDuration(FORGET_MS["login"])
         yield pd.DataFrame({"ip": key[0], "at": rows["at"], "status": answers})
 
-    return attempts.groupBy("ip").applyInPandasWithState(step, "ip string, at double, status int", "failures array<double>", "append", GroupStateTimeout.NoTimeout)
+    return attempts.groupBy("ip").applyInPandasWithState(step, "ip string, at double, status int", "failures array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def live_sessions(requests: DataFrame, logins: DataFrame) -> DataFrame:
@@ -70,11 +79,43 @@ def scan_states(events: DataFrame) -> DataFrame:
     """The folded state (JSON) of each scan after each batch of events (scan, seq, type, value, payload)."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         now = json.loads(state.get[0]) if state.exists else {}
         for event in pd.concat(list(batches)).sort_values("seq", kind="stable").to_dict("records"):
             now = fold(now, event)
         text = json.dumps(now, ensure_ascii=False)
         state.update((text,))
-        yield pd.DataFrame({"scan": [key[0]], "state": [text]})
+        state.setTimeoutDuration(FORGET_MS["scan"])
+        yield pd.DataFrame({"scan": [str(key[0])], "state": [text]})
+
+    return events.groupBy("scan").applyInPandasWithState(step, "scan string, state string", "state string", "update", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def keep_candidates(readings: DataFrame, store: str, out: str) -> DataStreamWriter:
+    """A writer that ranks a document's candidates anew, from all its readings so far, whenever some arrive.
+
+    Readings are kept below `store` and candidates below `out`, a folder a batch, so that a batch that is run again replaces its own.
+    """
+
+    def refresh(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{store}/batch={number}")
+        touched = spark.read.parquet(f"{store}/batch={number}").select("doc").distinct()
+        rank(spark.read.parquet(store).drop("batch").join(touched, "doc", "left_semi")).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return readings.writeStream.foreachBatch(refresh)
+
+
+def latest_candidates(spark: SparkSession, out: str) -> DataFrame:
+    """The candidates of each document as of the last batch that touched it."""
+    found = spark.read.parquet(out)
+    last = found.groupBy("doc").agg(F.max("batch").alias("batch"))
+    return found.join(last, ["doc", "batch"]).drop("batch")
+
 
-    return events.groupBy("scan").applyInPandasWithState(step, "scan string, state string", "state string", "update", GroupStateTimeout.NoTimeout)
+def unfinished(work: DataFrame, found: DataFrame) -> DataFrame:
+    """Work (doc, ...) for documents that have no candidate sure enough to stop at: read with a T, from the text layer or by three votes and 80 percent."""
+    sure = found.where("valid AND kind = 'read' AND has_t AND (array_contains(stages, 'pdf') OR (votes >= 3 AND confidence >= 80))")
+    return work.join(sure.select("doc").distinct(), "doc", "left_anti")

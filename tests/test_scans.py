@@ -179,3 +179,46 @@ def test_numbers_in_one_spelling(spark, raw):
     assert spark.createDataFrame([(raw,)], "s string").select(text.normalize_row(F.col("s"))).first()[0] == s
     for d, has_t, valid, start, end, n, was in scanners.registration_numbers(raw):
         assert len(d) == 13 and was == scanners.half(raw)[start:end] and n <= 3
+
+
+def run_stream(spark, tmp_path, rows, schema, make, mode, name):
+    """The output of a stream over files, one file a batch."""
+    for i, part in enumerate(rows):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}-in/{i}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/{name}-in")
+    q = make(stream).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{tmp_path}/{name}-cp").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    return spark.table(name).collect()
+
+
+def test_streams(spark, tmp_path):
+    from denpyo.streaming import service
+
+    tries = [("a", float(i), False) for i in range(11)] + [("b", 1.0, True)]
+    got = run_stream(spark, tmp_path, [tries, [("a", 400.0, True), ("a", 606.0, True), ("a", 607.0, False)]], "ip string, at double, ok boolean", service.limit_logins, "append", "logins")
+    assert {(r.ip, r.at): r.status for r in got} == {("a", float(i)): 401 for i in range(10)} | {("a", 10.0): 429, ("b", 1.0): 200, ("a", 400.0): 429, ("a", 606.0): 200, ("a", 607.0): 401}
+    events = [[(1, i, "log", None, f"l{i}") for i in range(250)] + [(1, 300, "progress", 0.5, None)], [(1, 301, "progress", 0.2, None), (1, 302, "image", None, "x")]]
+    schema = "scan long, seq long, type string, value double, payload string"
+    got = run_stream(spark, tmp_path, events, schema, service.scan_states, "update", "scans")
+    import json
+
+    last = json.loads(max((r.state for r in got), key=len))
+    assert last["progress"] == 0.5 and len(last["log"]) == 200 and last["image"] == "x"
+    got = run_stream(spark, tmp_path, events, schema, service.progress, "complete", "progress")
+    assert [(r.scan, r.progress) for r in got] == [(1, 0.5)]
+
+
+def test_candidates_are_ranked_anew(spark, tmp_path):
+    from denpyo.streaming import service
+
+    schema = "doc long, seq long, digits string, has_t boolean, conf double, stage string, substitutions int, context boolean, x double, y double, w double, h double"
+    row = lambda doc, seq: (doc, seq, NUMBER, True, 95.0, "anchor", 0, True, 0.0, 0.0, 100.0, 20.0)
+    for i, part in enumerate([[row(1, 0), row(2, 0)], [row(1, 1), row(1, 2)]]):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    q = service.keep_candidates(stream, f"{tmp_path}/store", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    found = service.latest_candidates(spark, f"{tmp_path}/out")
+    assert {(r.doc, r.votes) for r in found.collect()} == {(1, 3), (2, 1)}
+    work = spark.createDataFrame([(1,), (2,)], "doc long")
+    assert [r.doc for r in service.unfinished(work, found).collect()] == [2]
