@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
 import tempfile
 import uuid
@@ -36,8 +38,20 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+_left: list[tuple] = []
+
+
+@atexit.register
+def _clear() -> None:
+    """Delete what this process's operators left in the shared folder; results are lazy, so no earlier moment is safe."""
+    for jvm, conf, root in _left:
+        with contextlib.suppress(Exception):  # the JVM may be gone
+            path = jvm.org.apache.hadoop.fs.Path(root)
+            path.getFileSystem(conf).delete(path, True)
+
+
 class Workspace:
-    """Tables of one operator run, below the shared folder.
+    """Tables of one operator run, below the shared folder; they go when the process ends.
 
     `keep` writes a frame and reads it back, so that what follows neither
     recomputes it nor depends on shuffle files of executors that may be lost.
@@ -47,6 +61,7 @@ class Workspace:
         small_batches(spark)
         self.spark = spark
         self.root = f"{shared_folder(spark)}/denpyo/{name}-{uuid.uuid4().hex}"
+        _left.append((spark._jvm, spark.sparkContext._jsc.hadoopConfiguration(), self.root))
         self._n = 0
         self._paths: dict[int, tuple[DataFrame, str]] = {}
 

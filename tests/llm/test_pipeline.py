@@ -49,3 +49,19 @@ def test_run_and_empty(spark):
     empty = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_clashing_names_and_ties(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    own = ["_text", "_score", "score", "__text", "_id", "_kept", "node", "keeps", "n", "tokens", "k", "c0", "gone", "ids"]
+    docs = docs.select("*", *(F.concat(F.lit(f"{c} "), F.col("doc_id").cast("string")).alias(c) for c in own))
+    first = docs.limit(1)
+    docs = docs.union(first.withColumn("n", F.lit("zz"))).union(first.withColumn("n", F.lit("aa")))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        for r in out.collect():
+            assert all(r[c] == f"{c} {r.doc_id}" for c in own if c != "n"), name
+            assert r.n in (f"n {r.doc_id}", "aa", "zz")
+    again = corpus_pipeline.minhash_stage(spark, docs, SF).where(F.col("doc_id") == first.first().doc_id).collect()
+    assert [r.n for r in again] in (["aa"], [])
