@@ -47,6 +47,8 @@ MOST_N, MOST_I = (1 << 16) - 1, (1 << 8) - 1
 HOT_BITS, HOT_LEAST, HOT_SHARE = 20, 64, 2000
 #: Candidates that a set tries first.
 FIRST = 4
+#: Sets that are verified against one copy of another.
+SHARE = 256
 #: Pairs compared at a time, and bytes of token sets verified at a time.
 PAIRS, VERIFIED = 1 << 20, 1 << 23
 
@@ -324,9 +326,13 @@ def _verified(docs: DataFrame, groups: DataFrame, pairs: DataFrame, percent: int
     texts = ws.keep(groups.join(wanted, "s1", "left_semi").select("first.h").distinct(), "texts")
     found = _lines_of(docs, shortest, bitmap(wanted, "s1", hashed=True), bitmap(texts, "h", hashed=True))
     sets = found.groupBy("s1").agg(F.min(F.struct("doc_id", "h", "line")).alias("place"), F.any_value("tokens").alias("tokens"))
+    # A set that very many others try first is copied for each SHARE of them.
+    shares = ws.keep(pairs.groupBy("early").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares")), "shares")
+    dealt = pairs.join(shares, "early").select("early", "later", F.pmod(F.xxhash64("later"), F.col("shares")).cast("int").alias("share"))
     mine = sets.select(F.col("s1").alias("later"), F.col("place").alias("mine"), F.col("tokens").alias("y"))
     other = sets.select(F.col("s1").alias("early"), F.col("place").alias("other"), F.col("tokens").alias("x"))
-    sided = pairs.join(mine, "later").join(other, "early").where("other < mine").select("later", "x", "y")
+    other = other.join(shares, "early").select("early", "other", "x", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    sided = dealt.join(mine, "later").join(other, ["early", "share"]).where("other < mine").select("later", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

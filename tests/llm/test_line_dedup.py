@@ -78,6 +78,7 @@ def test_least_length_is_an_option(spark):
 def test_thousands_of_variants_of_one_line(spark, crowd, monkeypatch):
     """Variants near and far from the first one, in one crowd; with a small CROWD, and with tokens that stand out."""
     monkeypatch.setattr(line_dedup, "HOT_LEAST", 64 if crowd > 20 else 1 << 40)
+    monkeypatch.setattr(line_dedup, "SHARE", 7)
     rng = random.Random(7)
     base = " ".join(f"b{i}" for i in range(20))
     rows = [(i, edited(rng, base, rng.choice([0, 1, 2, 3, 3, 4])) + "\n" + edited(rng, base, rng.randrange(6))) for i in range(1200)]
