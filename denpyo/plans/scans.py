@@ -362,11 +362,12 @@ def page_facts(spark, sf_dir):
     return found.select("page", "characters", "fonts", "embedded", F.round("ink", 6).alias("ink"), "blank")
 
 
-@query()
+@query("""SELECT o_custkey AS page, '{"lines":[' || string_agg('{"y":' || (o_orderkey % 50) || '.0,"x":' || (o_orderkey % 1000) || '.0,"text":"' || o_orderkey || '","conf":1.0,"w":2.0,"h":3.0}', ',' ORDER BY o_orderkey % 50, o_orderkey % 1000, o_orderkey::VARCHAR) || ']}' AS json
+FROM orders GROUP BY o_custkey""")
 def responses(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     number = lambda x: F.lit(float(x))
-    return history.response(o.select(F.col("o_custkey").alias("page"), F.lit("t").alias("text"), number(1).alias("conf"), F.col("o_orderkey").cast("double").alias("x"), (F.col("o_orderkey") % 50).cast("double").alias("y"), number(2).alias("w"), number(3).alias("h")))
+    return history.response(o.select(F.col("o_custkey").alias("page"), F.col("o_orderkey").cast("string").alias("text"), number(1).alias("conf"), (F.col("o_orderkey") % 1000).cast("double").alias("x"), (F.col("o_orderkey") % 50).cast("double").alias("y"), number(2).alias("w"), number(3).alias("h")))
 
 
 @query("""SELECT o_orderkey, 'ok' AS regno, 'ok' AS date, CASE WHEN o_orderkey % 2 = 0 THEN 'ok' ELSE 'ng' END AS recipient, 'ok' AS consistency, (o_orderkey % 1000 * 10 + 100)::BIGINT AS base, (o_orderkey % 1000 + 10)::BIGINT AS tax FROM orders""")
