@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, embedding_dedup, licences, line_dedup, lm_scoring, minhash_dedup, mixing, pii, quality, topk_search
+from . import byte_bpe, conversations, embedding_dedup, licences, line_dedup, lm_scoring, merkle, minhash_dedup, mixing, pii, quality, rules, topk_search
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii": pii.op8_pii,
         "op9_mixing": mixing.op9_mixing,
         "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
+        "op11_merkle_manifest": merkle.op11_merkle_manifest,
+        "op12_conversation_repair": conversations.op12_conversation_repair,
+        "op13_quality_rules": rules.op13_quality_rules,
     }
 
 
@@ -28,4 +31,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_topk_search": topk_search.OP4_SQL,
         "op10_embedding_dedup": embedding_dedup.OP10_SQL,
+        "op11_merkle_manifest": merkle.OP11_SQL,
     }
