@@ -22,7 +22,9 @@ JAPANESE = "対費領収識側計額単価発書業務貨買売販販数総銭
 
 # Signs and the ASCII forms they count as, place by place.
 SIGNS, PLAIN_SIGNS = "|｜（）：￥％", "  ():¥%"
-# Fixed patterns of one spelling, in order: no spaces next to Japanese words, a misread per cent, letters read for 0 and 1, single spaces.
+#: Blanks of any script; the engine's own \\s knows those of ASCII only.
+BLANK = r"[ \t-\r\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+# Fixed patterns of one spelling, in order: no spaces next to Japanese words, a misread per cent, letters read for 0 and 1, single spaces. \s: any BLANK.
 SPELLING = (
     (r"(?<=[^\x00-\x7f])\s+(?=[^\x00-\x7f]|[0-9%])|(?<=[0-9%])\s+(?=[^\x00-\x7f])|(?<=[0-9])\s+(?=%)", ""),
     (r"(?<![0-9,.])(10|8)\s?(?:96|%6|0/0)(?=\s?(?:対象|小計|消費税|税込|税抜|\)|軽減))", "$1%"),
@@ -33,13 +35,23 @@ SPELLING = (
 )
 
 
+def blanks(pattern: str) -> str:
+    """The pattern with BLANK for \\s."""
+    return pattern.replace(r"\s", BLANK)
+
+
+def stripped(s: Column) -> Column:
+    """Without blanks on either side."""
+    return F.regexp_replace(s, blanks(r"^\s+|\s+$"), "")
+
+
 def plain_signs(s: Column) -> Column:
     return F.translate(F.translate(half_width(s), SIMPLIFIED, JAPANESE), SIGNS, PLAIN_SIGNS)
 
 
 def spelled(t: Column) -> Column:
     for pattern, to in SPELLING:
-        t = F.regexp_replace(t, pattern, to)
+        t = F.regexp_replace(t, blanks(pattern), to)
     return t
 
 
@@ -83,7 +95,7 @@ def numeric_value(s: Column) -> Column:
         return F.when(t.rlike(form), F.when(t.rlike("^[^0-9]*[-△▲]"), -value).otherwise(value))
 
     # Only letters that may stand for digits make the spelling matter to an amount.
-    whole = bound(plain_signs(s), lambda t: F.regexp_replace(F.when(t.rlike("[OolI]"), spelled(t)).otherwise(t), r"\s", ""))
+    whole = bound(plain_signs(s), lambda t: F.regexp_replace(F.when(t.rlike("[OolI]"), spelled(t)).otherwise(t), BLANK, ""))
     return bound(whole, amount)
 
 

@@ -1,19 +1,11 @@
-"""Rows, phrases and tables from positioned text: order-dependent steps, one group of a document at a time.
-
-Every operator takes atoms (doc, seq, text, x, y, w, h) and shuffles once, on the document.
-"""
+"""Rows, phrases and tables of one document's parts, for `pages` and `billing`; `tables` has the same as plans."""
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
 from ..functions.scanners import normal
-from . import batch
-
-ROW_SCHEMA = "doc long, row int, text string, x double, y double, w double, h double, parts array<struct<text:string,x:double,y:double,w:double,h:double>>"
+from .tables import AMOUNT_HEADER, HEADER
 
 
 def middle(values: list[float]) -> float:
@@ -52,26 +44,7 @@ def phrases(row: list[dict]) -> list[list[dict]]:
     return out
 
 
-def _atoms(atoms: DataFrame) -> DataFrame:
-    """One row a document: its atoms in order."""
-    return batch.listed(atoms.select(F.col("doc").cast("long").alias("doc"), "seq", F.coalesce("text", F.lit("")).alias("text"), *batch.box()), ["doc"], "seq")
-
-
-def _as_rows(doc: int, groups: list[list[dict]]) -> list[dict]:
-    return [{"doc": doc, "row": i, "text": " ".join(p["text"] for p in g), **around(g), "parts": [{k: p[k] for k in ("text", "x", "y", "w", "h")} for p in g]} for i, g in enumerate(groups)]
-
-
-def assemble_rows(atoms: DataFrame) -> DataFrame:
-    return batch.each(_atoms(atoms), lambda doc, rows: _as_rows(doc, full_rows(rows)), ROW_SCHEMA)
-
-
-def assemble_phrases(atoms: DataFrame) -> DataFrame:
-    return batch.each(_atoms(atoms), lambda doc, rows: _as_rows(doc, [g for r in full_rows(rows) for g in phrases(r)]), ROW_SCHEMA)
-
-
-# Words of table headers.
-_HEADER = re.compile("品名|品目|商品名?|内容|摘要|数量|単価|金額|税率|利用日|利用年月日|入口|出口|料金|車種|日付|項目|小計")
-_AMOUNT_HEADER = re.compile("金額|料金|通行料|税込|合計|価格")
+_HEADER, _AMOUNT_HEADER = re.compile(HEADER), re.compile(AMOUNT_HEADER)
 _CELL = re.compile(r"([-△▲])?¥?(-)?([0-9]{1,3}(?:,[0-9]{3})+|[0-9]{1,8})(?:円|-)?")
 
 
@@ -113,15 +86,3 @@ def infer_table(rows: list[list[dict]]) -> dict | None:
         if abs(c["right"] - columns[chosen]["right"]) < 1.2 * h:
             amounts[c["row"]] = c["value"]
     return {"columns": columns, "amount_column": chosen, "header_row": header, "amounts": amounts}
-
-
-def table_amounts(atoms: DataFrame) -> DataFrame:
-    """doc, row, text and the amount that the inferred table gives the row (null: none)."""
-
-    def one(doc: int, rows: list[dict]) -> list[dict]:
-        assembled = full_rows(rows)
-        table = infer_table(assembled)
-        given = table["amounts"] if table else [None] * len(assembled)
-        return [{"doc": doc, "row": i, "text": " ".join(p["text"] for p in r), "amount": given[i]} for i, r in enumerate(assembled)]
-
-    return batch.each(_atoms(atoms), one, "doc long, row int, text string, amount long")

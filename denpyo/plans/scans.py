@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed, geometry, numbers
-from ..operators import amounts, boxes, details, layout, pages, words
+from ..operators import amounts, boxes, details, pages, tables, words
 from ..sources import files, history
 from .catalogue import BOXES, query, table
 from .catalogue import boxes as line_boxes
@@ -86,13 +86,13 @@ def page_analysis(spark, sf_dir):
 
 @query(f"""WITH {CUSTOMERS} SELECT page, '領収書' AS first, CASE WHEN page % 2 = 0 THEN 5 ELSE 5 END::BIGINT AS rows, CASE WHEN page % 2 = 0 THEN 18 ELSE 9 END::BIGINT AS parts FROM c""")
 def row_assembly(spark, sf_dir):
-    rows = layout.assemble_rows(page_atoms(spark, sf_dir).withColumnRenamed("page", "doc"))
+    rows = tables.assemble_rows(page_atoms(spark, sf_dir).withColumnRenamed("page", "doc"))
     return rows.groupBy(F.col("doc").alias("page")).agg(F.min_by(F.get(F.split("text", " "), F.lit(0)), "row").alias("first"), F.count("*").alias("rows"), F.sum(F.size("parts")).alias("parts"))
 
 
 @query(f"""WITH {CUSTOMERS} SELECT page, CASE WHEN page % 2 = 0 THEN 16 ELSE 8 END::BIGINT AS phrases FROM c""")
 def phrase_assembly(spark, sf_dir):
-    return layout.assemble_phrases(page_atoms(spark, sf_dir).withColumnRenamed("page", "doc")).groupBy(F.col("doc").alias("page")).agg(F.count("*").alias("phrases"))
+    return tables.assemble_phrases(page_atoms(spark, sf_dir).withColumnRenamed("page", "doc")).groupBy(F.col("doc").alias("page")).agg(F.count("*").alias("phrases"))
 
 
 @query(f"""WITH {CUSTOMERS} SELECT page, unnest(range(0, 4))::INTEGER AS row, unnest([NULL, p * 100, p * 10, p])::BIGINT AS amount FROM c""")
@@ -102,7 +102,7 @@ def table_amounts(spark, sf_dir):
     for i, factor in enumerate((100, 10, 1)):
         cells += [atom(0, 30 + 30 * i, F.lit("商品"), 40), atom(230, 30 + 30 * i, F.lit(str(i + 1)), 30), atom(380, 30 + 30 * i, F.format_number(F.col("p") * factor, 0), 80)]
     atoms = c.select(F.col("page").alias("doc"), F.posexplode(F.array(*cells)).alias("seq", "a")).select("doc", "seq", "a.*")
-    return layout.table_amounts(atoms).select(F.col("doc").alias("page"), "row", "amount")
+    return tables.table_amounts(atoms).select(F.col("doc").alias("page"), "row", "amount")
 
 
 def number_words(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 from denpyo.operators import candidates as C
 from denpyo.operators import layout as L
+from denpyo.operators import tables as T
 
 NTA = "7000012050002"
 
@@ -42,8 +43,8 @@ def test_rows_phrases_tables(spark):
     assert L.infer_table([[part("a", 0, 0)]]) is None
     atoms = [(7, i, p["text"], p["x"], p["y"], p["w"], p["h"]) for i, p in enumerate(p for r in grid for p in r)]
     df = spark.createDataFrame(atoms, "doc long, seq int, text string, x double, y double, w double, h double")
-    assert [r.amount for r in L.table_amounts(df).orderBy("row").collect()] == [None, 60000, 20000, 1500, 81500]
-    assert L.assemble_rows(df).count() == 5 and L.assemble_phrases(df).count() >= 5
+    assert [r.amount for r in T.table_amounts(df).orderBy("row").collect()] == [None, 60000, 20000, 1500, 81500]
+    assert T.assemble_rows(df).count() == 5 and T.assemble_phrases(df).count() >= 5
 
 
 def test_rank_frame(spark):
