@@ -29,7 +29,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import pagescans, scans  # noqa: F401 (register their queries)
+    from . import bills, pagescans, scans  # noqa: F401 (register their queries)
 
     return dict(QUERIES)
 
