@@ -160,7 +160,7 @@ def facts(rows: DataFrame, documents: DataFrame, today) -> DataFrame:
         return F.slice(some["n"], 1, 3).alias(f"_{k}")
 
     dates = F.array_sort(F.collect_list(F.when(F.col("date").isNotNull(), F.struct("place", F.left(F.regexp_extract("n", text.DATE, 0), F.lit(30)).alias("text"), F.col("date").alias("d")))))
-    return told.groupBy("doc").agg(*(F.bool_or(k).alias(k) for k in ROW_FACTS), *(shown(k) for k in SHOWN), dates.alias("dates"))
+    return told.groupBy("doc").agg(*(F.bool_or(k).alias(k) for k in ROW_FACTS), *(shown(k) for k in SHOWN), dates.alias("dates"), F.array_sort(F.collect_list(F.struct("place", "n")))["n"].alias("rows"))
 
 
 # Rules
@@ -239,7 +239,7 @@ def yen(x: Column) -> Column:
 
 
 def check(rows: DataFrame, documents: DataFrame, segs: DataFrame, lines: DataFrame, today) -> DataFrame:
-    """A row per document: items (structs of id, status, message, evidence), statuses (map), simplified, kind_source, summary, summary_text, tax_lines, total, total_ok.
+    """A row per document: items (structs of id, status, message, evidence), statuses (map), simplified, kind_source, summary, summary_text, tax_lines, total, total_ok, rows (texts).
 
     documents: doc, digits, weak, corrected, kind (auto, normal or simplified; null: auto); one without rows has no facts.
     """
@@ -274,7 +274,7 @@ def check(rows: DataFrame, documents: DataFrame, segs: DataFrame, lines: DataFra
     said = F.when(summary == "ok", "記載事項がそろっている可能性が高いです").when(summary == "warn", "一部、自動では確認できない項目があります").otherwise("確認できない記載事項があります")
     source = F.when(~auto, "manual").when(F.col("unsure"), "auto-weak").otherwise("auto")
     statuses = F.map_from_entries(F.transform("items", lambda x: F.struct(x["id"], x["status"])))
-    return found.select("doc", "digits", "items", statuses.alias("statuses"), "simplified", source.alias("kind_source"), summary.alias("summary"), said.alias("summary_text"), "tax_lines", "total", "total_ok")
+    return found.select("doc", "digits", "items", statuses.alias("statuses"), "simplified", source.alias("kind_source"), summary.alias("summary"), said.alias("summary_text"), "tax_lines", "total", "total_ok", "rows")
 
 
 def analyse(rows: DataFrame, documents: DataFrame, today, from_table: DataFrame | None = None) -> DataFrame:

@@ -45,7 +45,7 @@ def _told(lines: DataFrame) -> DataFrame:
     x, y = F.array_min("p.x"), F.array_min("p.y")
     right, bottom = F.array_max(F.transform("p", lambda a: a["x"] + a["w"])), F.array_max(F.transform("p", lambda a: a["y"] + a["h"]))
     parts = F.transform("p", lambda a: F.struct(*(a[c].alias(c) for c in ATOM)))
-    return each.select(F.col("doc").cast("long").alias("doc"), "row", F.concat_ws(" ", "p.text").alias("text"), x.alias("x"), y.alias("y"), (right - x).alias("w"), (bottom - y).alias("h"), parts.alias("parts"))
+    return each.select("doc", "row", F.concat_ws(" ", "p.text").alias("text"), x.alias("x"), y.alias("y"), (right - x).alias("w"), (bottom - y).alias("h"), parts.alias("parts"))
 
 
 def assemble_rows(atoms: DataFrame) -> DataFrame:
