@@ -57,19 +57,26 @@ def manual(entry: Column) -> Column:
     return F.struct(F.when(full, s).alias("digits"), F.coalesce(fits, F.lit(False)).alias("valid"), F.when(full, expected).alias("expected"), message.alias("message"))
 
 
-def corrections(numbers: DataFrame, digits: str = "digits") -> DataFrame:
-    """Rows of `numbers` with each one-digit change (position from 0, was, now, corrected) that makes an invalid number valid."""
+def corrections(numbers: DataFrame, digits: str = "digits", positions: str | None = None) -> DataFrame:
+    """Rows of `numbers` with each one-digit change (position from 0, was, now, corrected) that makes an invalid number valid.
+
+    positions: a column with the places of doubtful digits; where it names any, only these are changed.
+    """
     d = F.col(digits)
     # A number is valid if its first digit is not 0 and the weighted sum of all is a multiple of 9; a change moves the sum by weight * (now - was).
-    weight = lambda i: F.when((i == 0) | (i % 2 == 0), 1).otherwise(2)
-    rest = F.aggregate(F.sequence(F.lit(0), F.lit(12)), F.lit(0), lambda total, i: total + weight(i) * (F.ascii(F.substring(d, i + 1, F.lit(1))) - 48)) % 9
-    wrong = numbers.where(d.rlike("^[0-9]{13}$")).withColumn("_rest", rest).where((F.col("_rest") != 0) | d.startswith("0"))
-    swaps = F.array(*(F.array(*(F.lit(x) for x in CONFUSABLE_DIGITS[str(k)])) for k in range(10)))
-
-    def changes(i: Column) -> Column:
-        was = F.substring(d, i + 1, F.lit(1))
-        good = F.filter(F.get(swaps, F.ascii(was) - 48), lambda now: F.pmod(F.col("_rest") + weight(i) * (F.ascii(now) - F.ascii(was)), F.lit(9)) == 0)
-        return F.transform(good, lambda now: F.struct(i.alias("position"), was.alias("was"), now.alias("now"), F.concat(F.substring(d, F.lit(1), i), now, F.substring(d, i + 2, F.lit(13))).alias("corrected")))
-
-    found = wrong.select("*", F.inline(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(12)), changes)))).drop("_rest")
-    return found.where(~F.startswith("corrected", F.lit("0")))
+    weight = [1 if i == 0 or i % 2 == 0 else 2 for i in range(13)]
+    rest = F.lit(0)
+    for i, w in enumerate(weight):
+        rest = rest + w * (F.ascii(F.substring(d, i + 1, 1)) - 48)
+    wrong = numbers.where(d.rlike("^[0-9]{13}$")).withColumn("_rest", (rest % 9).cast("int")).where((F.col("_rest") != 0) | d.startswith("0"))
+    # By weight, digit and rest: the digits that make the sum fit.
+    fits = [[[now for now in CONFUSABLE_DIGITS[str(was)] if (r + w * (int(now) - was)) % 9 == 0] for r in range(9)] for w in (1, 2) for was in range(10)]
+    table = F.array(*(F.array(*(F.lit(x) for x in now)) if now else F.expr("cast(array() AS array<string>)") for row in fits for now in row))
+    heavy = (F.col("position") > 0) & (F.col("position") % 2 == 1)
+    each = wrong.select("*", F.posexplode(F.split(d, "")).alias("position", "was")).where("position < 13")
+    if positions:
+        each = each.where(F.coalesce(F.size(positions), F.lit(0)).isin(0, -1) | F.array_contains(positions, F.col("position")))
+    place = (F.when(heavy, 10).otherwise(0) + F.col("was").cast("int")) * 9 + F.col("_rest")
+    found = each.select("*", F.explode(F.get(table, place)).alias("now")).drop("_rest")
+    corrected = F.concat(d.substr(F.lit(1), F.col("position")), "now", d.substr(F.col("position") + 2, F.lit(13)))
+    return found.withColumn("corrected", corrected).where(~F.startswith("corrected", F.lit("0")))

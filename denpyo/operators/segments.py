@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.fixed import DOCUMENT_TITLE
 from ..functions.scanners import normal
 from . import batch
-from .candidates import overlap
+overlap = None
 from .keywords import repair
 from .layout import around, middle
 

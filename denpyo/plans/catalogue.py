@@ -29,7 +29,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import bills, pagescans, scans  # noqa: F401 (register their queries)
+    from . import bills, pagescans, scans, votes  # noqa: F401 (register their queries)
 
     return dict(QUERIES)
 
@@ -425,11 +425,3 @@ def document_analysis(spark, sf_dir):
     from ..operators import billing
 
     return billing.analyse(written_bills(spark, sf_dir), datetime.date(2026, 10, 8)).select("doc", "items_sum", "doc_total", "amount", "match", "source")
-
-
-@query()
-def candidate_ranking(spark, sf_dir):
-    from ..operators import candidates
-
-    r = readings(spark, sf_dir).withColumn("r", geometry.rect(F.lit(10), F.col("seq") % 3 * 30, F.lit(200), F.lit(20)))
-    return candidates.rank(r.select("*", "r.*").drop("r"))

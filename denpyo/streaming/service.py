@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.candidates import rank
+from ..operators.candidates import candidates
 
 WINDOW_S, FAILURES, SESSION_S = 600, 10, 12 * 3600
 #: After how many milliseconds without news a key's state goes: failures once they can't count any more, scans after a day.
