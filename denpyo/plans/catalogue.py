@@ -35,7 +35,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in SQL.items() if k in queries()}
+    known = queries()
+    return {k: v for k, v in SQL.items() if k in known}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -414,14 +415,15 @@ def written_bills(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").cast("int").alias("row"), F.floor("l_extendedprice").cast("long").alias("v"))
     total = line.groupBy("doc").agg(F.sum("v").alias("v")).select("doc", F.lit(1000).alias("row"), F.concat(F.lit("合 計 ￥"), F.format_number("v", 0)).alias("text"))
     rows = line.select("doc", "row", F.concat(F.lit("商品 ￥"), F.format_number("v", 0)).alias("text")).union(total)
-    parts = F.lit(None).cast("array<struct<text:string,x:double,y:double,w:double,h:double>>")
-    return rows.select("doc", "row", "text", parts.alias("parts"), F.lit(None).cast("string").alias("digits"))
+    return rows.select("doc", "row", "text")
 
 
 @query("""SELECT l_orderkey AS doc, sum(floor(l_extendedprice))::BIGINT AS items_sum, sum(floor(l_extendedprice))::BIGINT AS doc_total, sum(floor(l_extendedprice))::BIGINT AS amount, 'equal' AS match, 'total' AS source FROM lineitem GROUP BY l_orderkey""")
 def document_analysis(spark, sf_dir):
     import datetime
 
-    from ..operators import billing
+    from ..operators import requirements
 
-    return billing.analyse(written_bills(spark, sf_dir), datetime.date(2026, 10, 8)).select("doc", "items_sum", "doc_total", "amount", "match", "source")
+    documents = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc")).distinct().select("doc", *(F.lit(None).cast(t).alias(c) for c, t in (("digits", "string"), ("weak", "boolean"), ("corrected", "boolean"), ("kind", "string"))))
+    found = requirements.analyse(written_bills(spark, sf_dir), documents, datetime.date(2026, 10, 8))
+    return found.select("doc", "items_sum", "doc_total", "amount", "match", "source")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed, geometry, numbers
-from ..operators import amounts, boxes, details, pages, tables, words
+from ..operators import amounts, boxes, details, pages, requirements, tables, words
 from ..sources import files, history
 from .catalogue import BOXES, query, table
 from .catalogue import boxes as line_boxes
@@ -132,10 +132,54 @@ def digit_lines(spark, sf_dir):
     return words.digit_lines(w).select("page", "seq", "score")
 
 
-@query()
+def anchor_words(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Words with keywords, numbers in one or two words and long numbers, moved and left out by key; and rows of glyphs on every second page."""
+    c = customers(spark, sf_dir)
+    k = F.col("page")
+    dx, dy = k % 7 * 30, k % 5 * 40
+    word = lambda x, y, what, w: F.struct(what.alias("text"), F.lit(90.0).alias("conf"), *(v.cast("double").alias(n) for n, v in (("x", dx + x), ("y", dy + y), ("w", F.lit(w)), ("h", F.lit(20)))))
+    d = F.col("digits")
+    listed = F.array(
+        F.when(k % 3 != 0, word(10, 40, F.lit("登録 番号:"), 100)), word(130, 42, F.concat(F.lit("Ｔ"), F.left(d, F.lit(5))), 72), word(206, 41, F.substring(d, 6, 8), 96),
+        F.when(k % 4 == 0, word(20, 240, F.lit("T"), 12)), F.when(k % 4 == 0, word(36, 240, F.substring(d, 1, 9), 108)), F.when(k % 5 == 0, word(60, 440, F.col("other"), 156)),
+    )
+    words_ = c.select("page", F.posexplode(listed).alias("seq", "v")).where("v IS NOT NULL").select("page", "seq", "v.*", F.lit(700.0).alias("page_w"), F.lit(640.0).alias("page_h"))
+    run = F.array(F.struct((dx + 128).cast("double").alias("x"), F.lit(170.0).alias("w"), F.lit(14).cast("long").alias("count")))
+    lines = c.where("page % 2 = 0").select("page", F.lit(0).alias("line"), (dx + 120).cast("double").alias("x"), (dy + 38).cast("double").alias("y"), F.lit(200.0).alias("w"), F.lit(24.0).alias("h"), F.lit(18.0).alias("char_height"), F.when(k % 3 == 1, run).otherwise(F.slice(run, 1, 0)).alias("segments"))
+    return words_, lines
+
+
+def _clamped(x: str, y: str, w: str, h: str) -> str:
+    a, b = f"greatest(0, floor({x}))", f"greatest(0, floor({y}))"
+    return f"'x': {a}::DOUBLE, 'y': {b}::DOUBLE, 'w': greatest(1, least(700, ceil(({x}) + ({w}))) - {a})::DOUBLE, 'h': greatest(1, least(640, ceil(({y}) + ({h}))) - {b})::DOUBLE"
+
+
+#: Places by hand: rows of words begin at dy + 40, + 240 and + 440, words are 20 high; rows are in the order of their first words.
+PLACES = """places AS (
+  SELECT page, 1 AS turn, dx + 130 - 16 AS x, dy + 42 + 10 - 22 AS y, 380 AS w, 44 AS h FROM k
+  UNION ALL SELECT page, 2, dx + 10 + 100 * 4.0::DOUBLE / 5, lv - 22, 440, 44 FROM k WHERE page % 3 <> 0
+  UNION ALL SELECT page, 3, dx + 10 - 40, lv + 10, 480, 48 FROM k WHERE page % 3 <> 0
+  UNION ALL SELECT page, 4, dx + 10 + 100 * 4.0::DOUBLE / 5 - 60, lv - 22, 520, 44 FROM k WHERE page % 3 <> 0
+  UNION ALL SELECT page, CASE WHEN page % 3 = 0 THEN 0 ELSE 5 END, dx + 20 - 16, dy + 250 - 22, 380, 44 FROM k WHERE page % 4 = 0
+  UNION ALL SELECT page, 7, dx + 60 - 10, dy + 450 - 22, 176, 44 FROM k WHERE page % 5 = 0)"""
+
+
+@query(f"""WITH RECURSIVE k AS (SELECT c_custkey AS page, c_custkey % 7 * 30 AS dx, c_custkey % 5 * 40 AS dy, c_custkey % 5 * 40 + 51 AS lv FROM customer), {PLACES},
+r AS (SELECT p.page, turn, dx, dy, {{{_clamped("p.x", "p.y", "p.w", "p.h")}}} AS r FROM places p JOIN k ON k.page = p.page),
+g AS (SELECT *, page % 2 = 0 AND abs(dy + 50 - (r.y + r.h / 2)) < 18 AND dx + 320 > r.x AND dx + 120 < r.x + r.w AND (CASE WHEN dx + 120 <= r.x AND dx + 320 >= r.x THEN 0 ELSE abs(dx + 120 - r.x) END) < 120 AS near FROM r WHERE r.w >= 4 AND r.h >= 4),
+gives AS (SELECT page, turn, r, CASE WHEN near THEN list_concat(
+  CASE WHEN page % 3 = 1 THEN [{{{_clamped("dx + 128 - 18 * 1.2::DOUBLE", "dy + 38 - 24 * 0.4::DOUBLE", "170 + 18 * 2.4::DOUBLE", "24 * 1.8::DOUBLE")}, 'text_height': 18::DOUBLE, 'kind': 'number'}}] ELSE [] END,
+  [{{{_clamped("least(r.x, dx + 120) - 18", "dy + 38 - 24 * 0.4::DOUBLE", "dx + 320 + 27 - least(r.x, dx + 120) + 18", "24 * 1.8::DOUBLE")}, 'text_height': 18::DOUBLE, 'kind': 'line'}}])
+  ELSE [{{'x': r.x, 'y': r.y, 'w': r.w, 'h': r.h, 'text_height': 20::DOUBLE, 'kind': 'place'}}] END || [{{{_clamped("r.x", "r.y - 16", "r.w", "r.h + 32")}, 'text_height': 20::DOUBLE, 'kind': 'rows'}}] AS out FROM g),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY turn) AS i, count(*) OVER (PARTITION BY page) AS n FROM gives),
+walk AS (SELECT page, i, n, out AS kept FROM numbered WHERE i = 1
+  UNION ALL SELECT w.page, m.i, w.n, CASE WHEN len([1 for q in kept if (greatest(0, least(q.x + q.w, m.r.x + m.r.w) - greatest(q.x, m.r.x)) * greatest(0, least(q.y + q.h, m.r.y + m.r.h) - greatest(q.y, m.r.y)))
+    > 0.75::DOUBLE * (q.w * q.h + m.r.w * m.r.h - greatest(0, least(q.x + q.w, m.r.x + m.r.w) - greatest(q.x, m.r.x)) * greatest(0, least(q.y + q.h, m.r.y + m.r.h) - greatest(q.y, m.r.y)))]) > 0 THEN kept ELSE kept || m.out END
+  FROM walk w JOIN numbered m ON m.page = w.page AND m.i = w.i + 1),
+ended AS (SELECT page, kept FROM walk WHERE i = n)
+SELECT page, unnest(range(0, len(kept)))::INTEGER AS place, unnest(kept, recursive := true) FROM ended""")
 def regions(spark, sf_dir):
-    r = words.regions(number_words(spark, sf_dir).withColumns({"page_w": F.lit(1400.0), "page_h": F.lit(900.0)}))
-    return r.select("page", "place", "x", "y", "w", "h", "kind")
+    return words.regions(*anchor_words(spark, sf_dir))
 
 
 # Fixed rows of text with their scores, the first three rows and those near the number's row count more.
@@ -373,16 +417,14 @@ def responses(spark, sf_dir):
 @query("""SELECT o_orderkey, 'ok' AS regno, 'ok' AS date, CASE WHEN o_orderkey % 2 = 0 THEN 'ok' ELSE 'ng' END AS recipient, 'ok' AS consistency, (o_orderkey % 1000 * 10 + 100)::BIGINT AS base, (o_orderkey % 1000 + 10)::BIGINT AS tax FROM orders""")
 def required_fields(spark, sf_dir):
     """Statuses of bills with one rate; the addressee is missing where the key is odd."""
-    from ..operators import billing
-
     key = F.col("o_orderkey")
     base = key % 1000 * 10 + 100
     rows = F.array(
         F.lit("請求書"), F.when(key % 2 == 0, "山田商事 御中").otherwise("控え"), F.lit("株式会社みどり"), F.lit("登録番号 T7000012050002"), F.lit("2026年9月1日"), F.concat(F.lit("商品代 "), yen(base)),
         F.concat(F.lit("10%対象 "), yen(base)), F.concat(F.lit("消費税(10%) "), yen(base / 10)), F.concat(F.lit("合計 "), yen(base * 11 / 10)),
     )
-    parts = F.lit(None).cast("array<struct<text:string,x:double,y:double,w:double,h:double>>")
-    listed = table(spark, sf_dir, "orders").select(key.alias("doc"), F.posexplode(rows).alias("row", "text"), parts.alias("parts"), F.lit("7000012050002").alias("digits"))
-    s = billing.analyse(listed, TODAY)
-    rate = F.from_json("breakdown", "lines array<struct<rate:int,base:bigint,tax:bigint>>")["lines"]
-    return s.select(F.col("doc").alias("o_orderkey"), *(F.col("statuses")[k].alias(k) for k in ("regno", "date", "recipient", "consistency")), F.get(rate, F.lit(0))["base"].alias("base"), F.get(rate, F.lit(0))["tax"].alias("tax"))
+    listed = table(spark, sf_dir, "orders").select(key.alias("doc"), F.posexplode(rows).alias("row", "text"))
+    documents = table(spark, sf_dir, "orders").select(key.alias("doc"), F.lit("7000012050002").alias("digits"), *(F.lit(None).cast(t).alias(c) for c, t in (("weak", "boolean"), ("corrected", "boolean"), ("kind", "string"))))
+    s = requirements.analyse(listed, documents, TODAY)
+    rate = F.get("tax_lines", F.lit(0))
+    return s.select(F.col("doc").alias("o_orderkey"), *(F.col("statuses")[k].alias(k) for k in ("regno", "date", "recipient", "consistency")), rate["base"].alias("base"), rate["tax"].alias("tax"))

@@ -93,17 +93,25 @@ def scan_states(events: DataFrame) -> DataFrame:
     return events.groupBy("scan").applyInPandasWithState(step, "scan string, state string", "state string", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+#: Folders that documents are dealt to, so that a batch reads those of its own documents only.
+BUCKETS = 256
+
+
 def keep_candidates(readings: DataFrame, store: str, out: str) -> DataStreamWriter:
     """A writer that ranks a document's candidates anew, from all its readings so far, whenever some arrive.
 
-    Readings are kept below `store` and candidates below `out`, a folder a batch, so that a batch that is run again replaces its own.
+    Readings are kept below `store`, by batch and bucket of documents, and candidates below `out`, a folder a batch, so that a batch that is run again
+    replaces its own. A batch reads the buckets of its documents, not the whole store.
     """
 
     def refresh(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{store}/batch={number}")
-        touched = spark.read.parquet(f"{store}/batch={number}").select("doc").distinct()
-        rank(spark.read.parquet(store).drop("batch").join(touched, "doc", "left_semi")).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        dealt = batch.withColumn("bucket", F.pmod(F.xxhash64("doc"), F.lit(BUCKETS)).cast("int"))
+        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/batch={number}")
+        new = spark.read.schema(dealt.schema).parquet(f"{store}/batch={number}")
+        buckets = [r.bucket for r in new.select("bucket").distinct().collect()]  # BUCKETS at most
+        kept = spark.read.option("basePath", store).parquet(store).where(F.col("bucket").isin(buckets)).drop("batch", "bucket")
+        candidates(kept.join(new.select("doc").distinct(), "doc", "left_semi")).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return readings.writeStream.foreachBatch(refresh)
 
