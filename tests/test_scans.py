@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from denpyo.functions import raster, scanners, text
-from denpyo.operators import amounts, boxes, details, layout, pages, segments, words
+from denpyo.operators import amounts, boxes, details, pages, segmentation, words
 from denpyo.operators.candidates import vote_text
 from denpyo.sources import csv_out, files, history
 
@@ -42,13 +42,16 @@ def test_whole_pages(spark):
     assert (got[1, 1].digits, got[1, 1].amount) == ("8000020130001", 500)
     assert (got[2, 0].digits, got[2, 0].amount, got[2, 0].weak) == (NUMBER, 300, False) and dict(got[2, 0].statuses)["regno"] == "ok"
     assert got[3, 0].digits == NUMBER and got[3, 0].rows == []
-    weak = [candidate(0, NUMBER, [(0, 0, 9, 9)], has_t=False, shadowed=True)]
-    assert pages.analyse_page(one, weak, 700, 600, dt.date(2026, 10, 9))[0]["weak"]
+    weak = [{"page": 2, **candidate(0, NUMBER, [(0, 0, 9, 9)], has_t=False, shadowed=True)}]
+    kinds = spark.createDataFrame([(2, 0, "normal")], "page long, document int, kind string")
+    (w,) = pages.analyse_pages(df.where("page = 2"), spark.createDataFrame(weak, kind), dt.date(2026, 10, 9), kinds).collect()
+    assert w.weak and w.digits == NUMBER and w.kind_source == "manual" and not w.simplified and w.rows[0] == "領収書"
 
 
-def test_suggestions_over_sure_ones_are_left_out():
+def test_suggestions_over_sure_ones_are_left_out(spark):
     found = [candidate(0, NUMBER, [(0, 0, 100, 20)]), candidate(1, "1" * 13, [(50, 10, 100, 20)], kind="corrected"), candidate(2, "2" * 13, [(50, 90, 100, 20)], kind="corrected")]
-    assert [b["digits"] for b in pages.located(found)] == [NUMBER, "2" * 13]
+    kind = "page long, place int, digits string, valid boolean, kind string, has_t boolean, context boolean, jan boolean, shadowed boolean, rects array<struct<x:double,y:double,w:double,h:double>>"
+    assert [b.digits for b in pages.located(spark.createDataFrame([{"page": 1, **f} for f in found], kind)).orderBy("place").collect()] == [NUMBER, "2" * 13]
 
 
 def test_words_to_readings(spark):
@@ -73,15 +76,11 @@ def test_reading_rows_again(spark):
     assert details.crops(parts).count() == 6 and details.crops(parts, "tesseract").where("mode = 'adaptive'").count() == 2
 
 
-def test_votes_and_titles_and_tables():
+def test_votes_and_titles(spark):
     assert vote_text([("| 合 計 ¥100 |", 50, 1), ("合計¥100", 60, 1), ("計¥700", 99, 1)]) == "合計¥100"
     assert vote_text([("|", 9, 1)]) == "|" and vote_text([]) == ""
-    assert segments.is_title("領収害") and segments.is_title("领 收 书") and not segments.is_title("領収書の控えを保管してください")
-    lines = [row_of(0, (0, "品 名"), (200, "単 価"), (400, "金 額"))] + [row_of(30 * i, (0, "a"), (200, str(100 * i)), (400, str(v))) for i, v in ((1, 60000), (2, 20000), (3, 1500))]
-    for r in lines[1:]:
-        for c in r[1:]:
-            c["w"] = 460 - c["x"] if c["x"] == 400 else 260 - c["x"]
-    assert layout.infer_table(lines)["amounts"] == [None, 60000, 20000, 1500]
+    said = spark.createDataFrame([("領収害",), ("领 收 书",), ("領収書の控えを保管してください",), (None,)], "t string")
+    assert [r[0] for r in said.select(segmentation.is_title(F.col("t"))).collect()] == [True, True, False, False]
 
 
 def test_settlement_parts(spark):

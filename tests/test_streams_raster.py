@@ -3,42 +3,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from denpyo.functions import raster
-from denpyo.operators import segments as S
 from denpyo.streaming import service
 
 
-def row(text, x, y, w=300, h=20):
-    return dict(text=text, x=float(x), y=float(y), w=float(w), h=float(h))
-
-
-def document(x, y, digits):
-    rows = [row("領収書", x, y), *(row(f"行{i}", x, y + 30 * i) for i in range(1, 6))]
-    return rows, ([dict(digits=digits, x=x + 10.0, y=y + 60.0, w=100.0, h=20.0)] if digits else [])
-
-
-def test_segments(spark):
-    one, n = document(0, 0, "7000012050002")
-    assert len(S.split_documents(one, n, 1000, 1000)) == 1
-    grid = [document(x, y, d) for x, y, d in ((0, 0, "1" * 13), (600, 0, "2" * 13), (0, 600, "3" * 13), (600, 600, None))]
-    rows, numbers = sum((r for r, _ in grid), []), sum((n for _, n in grid), [])
-    found = S.split_documents(rows, numbers, 1000, 1000)
-    assert [f["digits"] for f in found] == ["1" * 13, "2" * 13, "3" * 13, None] and all(len(f["rows"]) == 6 for f in found)
-    atoms = spark.createDataFrame([(1, i, r["text"], r["x"], r["y"], r["w"], r["h"], 1000.0, 1000.0) for i, r in enumerate(rows)], "page long, seq long, text string, x double, y double, w double, h double, page_w double, page_h double")
-    where = spark.createDataFrame([(1, m["digits"], m["x"], m["y"], m["w"], m["h"]) for m in numbers], "page long, digits string, x double, y double, w double, h double")
-    assert S.segment_pages(atoms, where).groupBy("segment").count().count() == 4
-
-
-def test_clusters():
-    lines = lambda x, y, n=8: [dict(x=float(x), y=float(y + 30 * i), w=200.0, h=20.0) for i in range(n)]
-    upright = [dict(x=1500.0 + 30 * i, y=0.0, w=20.0, h=200.0) for i in range(8)]
-    assert len(S.cluster_boxes(lines(0, 0))) == 1 and S.cluster_boxes([]) == []
-    assert [c["vertical"] for c in S.cluster_boxes(lines(0, 0) + upright)] == [False, True]
-    assert len(S.cluster_boxes(lines(0, 0) + lines(0, 2000))) == 2
-    assert len(S.cluster_boxes(lines(0, 0) + lines(0, 340))) == 1 and len(S.cluster_boxes(lines(0, 0) + lines(0, 340), separated=lambda a, b: True)) == 2
-    assert len(S.cluster_boxes(lines(0, 0) + lines(500, 0))) == 1 and len(S.cluster_boxes(lines(0, 0) + lines(500, 13))) == 2
-    assert len(S.cluster_boxes(lines(0, 0) + [dict(x=300.0, y=0.0, w=40.0, h=40.0)])) == 1
-
-
 def test_login_limit_and_folds():
     failures, got = [], []
     for i in range(12):
