@@ -68,12 +68,14 @@ def corrections(numbers: DataFrame, digits: str = "digits", positions: str | Non
     rest = F.lit(0)
     for i, w in enumerate(weight):
         rest = rest + w * (F.ascii(F.substring(d, i + 1, 1)) - 48)
-    wrong = numbers.where(d.rlike("^[0-9]{13}$")).withColumn("_rest", (rest % 9).cast("int")).where((F.col("_rest") != 0) | d.startswith("0"))
+    known = numbers.withColumn("_rest", F.when(d.rlike("^[0-9]{13}$"), (rest % 9).cast("int")))
+    # Wrong numbers are told apart within the generator: a filter of its own would be pushed down and repeat how the digits came about thirteen times.
+    places = F.when((F.col("_rest") != 0) | d.startswith("0"), F.split(d, ""))
     # By weight, digit and rest: the digits that make the sum fit.
     fits = [[[now for now in CONFUSABLE_DIGITS[str(was)] if (r + w * (int(now) - was)) % 9 == 0] for r in range(9)] for w in (1, 2) for was in range(10)]
     table = F.array(*(F.array(*(F.lit(x) for x in now)) if now else F.expr("cast(array() AS array<string>)") for row in fits for now in row))
     heavy = (F.col("position") > 0) & (F.col("position") % 2 == 1)
-    each = wrong.select("*", F.posexplode(F.split(d, "")).alias("position", "was")).where("position < 13")
+    each = known.select("*", F.posexplode(F.when(F.col("_rest").isNotNull(), places)).alias("position", "was")).where("position < 13")
     if positions:
         each = each.where(F.coalesce(F.size(positions), F.lit(0)).isin(0, -1) | F.array_contains(positions, F.col("position")))
     place = (F.when(heavy, 10).otherwise(0) + F.col("was").cast("int")) * 9 + F.col("_rest")
