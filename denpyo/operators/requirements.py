@@ -41,8 +41,9 @@ def marked(rows: DataFrame) -> DataFrame:
 
     `rows` has doc, row and text.
     """
-    n = repaired(text.normalize_row(F.coalesce("text", F.lit(""))))
-    spelled = rows.select("doc", "row", n.alias("n")).where("n <> ''")
+    # Blank rows go before the repair, which empties none; a filter behind it would be pushed below and have it done twice.
+    # The shuffle that the order of rows needs comes first, so that the work on texts is spread however few files hold them.
+    spelled = rows.select("doc", "row", "text").repartition("doc").select("doc", "row", text.normalize_row(F.coalesce("text", F.lit(""))).alias("n")).where("n <> ''").withColumn("n", repaired("n"))
     place = (F.row_number().over(Window.partitionBy("doc").orderBy("row")) - 1).alias("place")
     return cut(spelled.select("doc", "row", place, "n", scanners.segments_in("n").alias("segs")))
 
