@@ -333,10 +333,10 @@ def history_entries(spark, sf_dir):
     return history.entries_of(results(spark, sf_dir)).select("id", "name", "digits", "amount")
 
 
-@query("""WITH h AS (SELECT user_id AS u, event_id AS id, ts FROM events WHERE event_id % 11 <> 0), p AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY ts DESC, id DESC) AS k FROM h) SELECT u AS "user", id FROM p WHERE k <= 50 AND id % 13 <> 0 AND u % 17 <> 0""")
+@query("""WITH h AS (SELECT user_id AS u, event_id AS id, ts FROM events), p AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY ts DESC, id DESC) AS k FROM h) SELECT u AS "user", id FROM p WHERE k <= 50 AND id % 13 <> 0 AND u % 17 <> 0""")
 def history_kept(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("user"), F.col("event_id").alias("id"), F.col("ts").alias("at"))
-    kept = history.appended(e.where("id % 11 <> 0 AND id % 2 = 0"), e.where("id % 11 <> 0 AND id % 2 <> 0"))
+    kept = history.appended(e.where("id % 2 = 0"), e.where("id % 2 <> 0"))
     gone = e.where("id % 13 = 0").select("user", "id").union(e.where("user % 17 = 0").select("user", F.lit(None).cast("long")).distinct())
     return history.removed(kept, gone).select("user", "id")
 
