@@ -68,6 +68,16 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(data, np.uint8).reshape(8, -1).T.copy().view(U).ravel(), dtype=U)
 
 
+def planes(counts: np.ndarray) -> bytes:
+    """Counts, byte by byte of all: most are small, and seven of eight bytes compress to nothing."""
+    return np.ascontiguousarray(counts, dtype=np.int64).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unplaned(parts: list[bytes]) -> np.ndarray:
+    """The counts of all parts, one after the other."""
+    return np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(p, np.uint8).reshape(8, -1).T.copy().view(np.int64).ravel() for p in parts if p)])
+
+
 @dataclass
 class Model:
     """The texts whose n-grams a model counts; they are counted together with those of the texts to score."""
@@ -94,7 +104,7 @@ def _asked(grouped: DataFrame, role: int, parts: int) -> DataFrame:
         for kind, h in enumerate(ngrams(table.column("__text"))[1]):
             keys, n = np.unique(h, return_counts=True)
             cuts = np.searchsorted(part_of(keys, parts), np.arange(parts + 1))
-            out += [(i, g, role, kind, packed(keys[a:b]), n[a:b].astype(np.int64).tobytes()) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
+            out += [(i, g, role, kind, packed(keys[a:b]), planes(n[a:b])) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
         return pa.Table.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["part", "g", "role", "kind", "keys", "n"])
 
     return grouped.select("__g", "__text").groupBy("__g").applyInArrow(run, "part int, g int, role int, kind int, keys binary, n binary")
@@ -110,7 +120,7 @@ def _answer(table: pa.Table) -> pa.Table:
         if not rows:
             continue
         keys = np.concatenate([unpacked(r["keys"]) for r in rows])
-        n = np.concatenate([np.frombuffer(r["n"], np.int64) for r in rows])
+        n = unplaned([r["n"] for r in rows])
         sizes = [len(r["keys"]) // 8 for r in rows]
         at = np.unique(keys, return_inverse=True)[1]
         role = np.repeat([r["role"] for r in rows], sizes)
@@ -118,7 +128,7 @@ def _answer(table: pa.Table) -> pa.Table:
         if kind == 0:
             out.append((part, -1, kind, b"", b"", int(((totals[0] + totals[1]) > 0).sum()), int(totals[0].sum()), int(totals[1].sum())))
         end = np.cumsum(sizes)
-        out += [(part, r["g"], kind, *(t[at[e - s : e]].tobytes() for t in totals), 0, 0, 0) for r, s, e in zip(rows, sizes, end) if r["role"] & SCORED]
+        out += [(part, r["g"], kind, *(planes(t[at[e - s : e]]) for t in totals), 0, 0, 0) for r, s, e in zip(rows, sizes, end) if r["role"] & SCORED]
     kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
     return pa.Table.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names=names)
 
@@ -165,7 +175,7 @@ def score(docs: DataFrame, target: Model, background: Model, keep: tuple[str, ..
         for kind, h in enumerate(hashes):
             keys, at = np.unique(h, return_inverse=True)
             for model, name in zip(counts, ("target", "background")):
-                of = np.frombuffer(b"".join(r[name] for r in got if r["kind"] == kind), np.int64)
+                of = unplaned([r[name] for r in got if r["kind"] == kind])
                 if len(of) != len(keys):
                     raise ValueError("the documents changed between two readings")
                 model.append(of[at])
