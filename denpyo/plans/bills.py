@@ -132,3 +132,44 @@ def bill_messages(spark, sf_dir):
         "doc", item("rateTotal")["message"].alias("rate_message"), item("date")["message"].alias("date_message"), item("consistency")["message"].alias("consistency_message"),
         lines("consistency").alias("consistency_lines"), lines("total").alias("total_lines"),
     )
+
+
+@query("""WITH a AS (SELECT o_orderkey AS k, o_orderkey % 900 + 100 AS n FROM orders)
+SELECT k AS o_orderkey, CASE k % 6 WHEN 0 THEN (2000 + n % 1000)::VARCHAR WHEN 1 THEN n::VARCHAR WHEN 2 THEN (-n)::VARCHAR WHEN 3 THEN '0' WHEN 4 THEN '' ELSE '1100,' || n END AS amounts,
+CASE k % 6 WHEN 0 THEN '8' WHEN 5 THEN '10,10' ELSE '' END AS rates FROM a""")
+def odd_amounts(spark, sf_dir):
+    """Amounts with a point for the comma, after a date, below zero, of nothing, none in a telephone number, and two without a sign."""
+    from ..functions import scanners
+
+    k = F.col("o_orderkey")
+    n = k % 900 + 100
+    row = (
+        F.when(k % 6 == 0, F.concat(F.lit("8%対象 ¥2."), F.lpad((n % 1000).cast("string"), 3, "0"))).when(k % 6 == 1, F.concat(F.lit("小計 2026/09/01 "), n.cast("string"))).when(k % 6 == 2, F.concat(F.lit("値引 -"), n.cast("string"), F.lit("円")))
+        .when(k % 6 == 3, "合計 ¥0").when(k % 6 == 4, "電話 03-1234-5678").otherwise(F.concat(F.lit("10%対象 1,100 消費税 "), n.cast("string")))
+    )
+    found = table(spark, sf_dir, "orders").select(k, scanners.segments_in(row).alias("s"))
+    joined = lambda field: F.array_join(F.transform(F.col(f"s.{field}"), lambda x: x.cast("string")), ",")
+    return found.select("o_orderkey", joined("value").alias("amounts"), joined("rate").alias("rates"))
+
+
+#: Rows as they are read, and put right; the last three stay.
+GARBLED = (("内消貿税等10%¥3", "内消費税等10%¥3"), ("領収害", "領収書"), ("事業者登録督号T1", "事業者登録番号T1"), ("請求晝", "請求書"), ("東京都千代田区", "東京都千代田区"), ("10%対象小計¥80,000", "10%対象小計¥80,000"), ("但しプリント代として", "但しプリント代として"))
+
+
+@query(f"""SELECT o_orderkey, [{', '.join(f"'{good}'" for _, good in GARBLED)}][o_orderkey % {len(GARBLED)} + 1] || ' ' || o_orderkey AS repaired FROM orders""")
+def keyword_repair(spark, sf_dir):
+    from ..operators.details import repaired
+
+    k = F.col("o_orderkey")
+    read = F.element_at(F.array(*(F.lit(bad) for bad, _ in GARBLED)), (k % len(GARBLED) + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select(k, repaired(F.concat(read, F.lit(" "), k.cast("string"))).alias("repaired"))
+
+
+@query("SELECT c_custkey AS page, least(8, greatest(1, c_custkey % 11))::INTEGER AS expected FROM customer")
+def expected_by_keywords(spark, sf_dir):
+    """Pages with none to ten words that announce a number."""
+    from ..operators import words
+
+    k = F.col("c_custkey")
+    said = F.transform(F.sequence(F.lit(0), (k % 11).cast("int")), lambda i: F.when(i == 0, "請求書").when(i % 2 == 0, "登録No.12").otherwise("登録番号T1"))
+    return words.expected_numbers(table(spark, sf_dir, "customer").select(k.alias("page"), F.explode(said).alias("text")))
