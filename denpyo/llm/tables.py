@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -77,9 +78,14 @@ class Workspace:
         return f"{self.root}/{self._n:03d}-{label}"
 
     def release(self) -> None:
-        """Let Spark delete shuffle files that no frame needs any more; it does when the driver collects garbage."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        """Let Spark delete shuffle files that no frame needs any more; it does when the driver collects garbage.
+
+        What the first round frees in Python still holds on to the JVM's frames until the JVM has heard of it, so a second one follows.
+        """
+        for pause in (0.5, 0):
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(pause)
 
     def drop(self, df: DataFrame) -> None:
         """Delete a table that `keep` returned and nothing reads any more."""
