@@ -9,8 +9,8 @@ with a small pull towards rate 1, by Newton steps until the targets are met; a w
 needs one row of sums over all documents, and a document's rate follows from its own row and one number a domain,
 so no state is kept per document.
 
-Tokens are words (runs of other than white space), none in a null or empty text; such
-rows get a rate from the prior and their source. Repeated rows count each. A null source is a source of its own. Without
+Tokens are words (runs of other than white space), none in a null or empty text; such rows bear on no share,
+so their rate is 1, however often others are repeated. Repeated rows count each. A null source is a source of its own. Without
 labels every domain is equally likely. Markers are at most `words` words and `symbols` runs of symbols, of a sample of at most
 PER_DOMAIN labelled documents a domain; every source of that sample has a likelihood.
 """
@@ -132,6 +132,11 @@ def _rate(history: list[list[float]], domains: int, pull: float) -> Column:
     return F.aggregate(past, F.lit(1.0), move)
 
 
+def _rated(history: list[list[float]], domains: int, pull: float) -> Column:
+    """The rate of a row with tokens; 1 of one without, whose copies would bring no domain nearer to its target."""
+    return F.when(F.col("tokens") > 0, _rate(history, domains, pull)).otherwise(F.lit(1.0))
+
+
 def fit_rates(rows: DataFrame, targets: list[float], steps: int = 100, pull: float = 1e-3, enough: float = 1e-4) -> tuple[list[list[float]], list[float]]:
     """A history of one move for `_rate`, and the shares reached; `rows` has tokens and p.
 
@@ -197,7 +202,7 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None
     rows = ws.keep(classifier.posteriors(docs, *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(key))), "posteriors")
     history, _ = fit_rates(rows, list(targets.values()), **options)
     names = [fresh(("tokens", "p", "rate"), c) for c in key]
-    return rows.select(*(F.col(f"k.c{i}").alias(c) for i, c in enumerate(names)), "tokens", "p", _rate(history, len(targets), options.get("pull", 1e-3)).alias("rate"))
+    return rows.select(*(F.col(f"k.c{i}").alias(c) for i, c in enumerate(names)), "tokens", "p", _rated(history, len(targets), options.get("pull", 1e-3)).alias("rate"))
 
 
 def copies(rate: Column, *identity: str) -> Column:
@@ -219,7 +224,7 @@ def sample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | Non
     names = docs.columns
     rows = ws.keep(classifier.posteriors(docs, *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names))), "posteriors")
     history, _ = fit_rates(rows.select("tokens", "p"), list(targets.values()), **options)
-    rated = rows.select("k", copies(_rate(history, len(targets), options.get("pull", 1e-3)), "k").alias("n"))
+    rated = rows.select("k", copies(_rated(history, len(targets), options.get("pull", 1e-3)), "k").alias("n"))
     return rated.where("n > 0").select("k", F.explode(F.sequence(F.lit(1), F.col("n")))).select(*(F.col(f"k.c{i}").alias(c) for i, c in enumerate(names)))
 
 

@@ -107,3 +107,13 @@ def test_residual_relative_to_each_target(spark):
     same = spark.createDataFrame([(5.0, [1 / 3] * 3)] * 4, "tokens double, p array<double>")
     with pytest.warns(UserWarning, match="miss the targets"):
         mixing.fit_rates(same, [0.5, 0.25, 0.25])
+
+
+def test_rows_without_tokens_are_not_repeated(spark):
+    docs = spark.createDataFrame([(0, "some words here", "a"), *((i, [None, "", " \n"][i % 3], "a") for i in range(1, 31))], "doc_id long, text string, source string")
+    none = spark.createDataFrame([], "doc_id long, domain string")
+    targets = {"good": 20.0, "low": 20.0, "toxic": 20.0}  # of one third each: the rate is 60
+    rates = {r.doc_id: r.rate for r in mixing.mixed(docs, none, targets).collect()}
+    assert abs(rates.pop(0) - 60) < 0.1 and set(rates.values()) == {1.0}
+    got = {r.doc_id: r.n for r in mixing.sample(docs, none, targets).groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    assert got.pop(0) >= 59 and got == {i: 1 for i in range(1, 31)}
