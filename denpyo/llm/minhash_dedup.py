@@ -5,7 +5,8 @@ document's shingles. Bands of values put documents into buckets; the number
 of bands follows from the threshold and `miss`, the chance of losing one pair at the
 threshold. Documents with equal shingle sets are one representative before that.
 A bucket ties its members to its least one, never to each other, and the components of
-those ties are the groups in which links are confirmed: a group's full shingle sets
+those ties are the groups in which links are confirmed: a group's texts travel, which are
+shorter than their shingle sets, and the full sets
 are compared in blocks of bounded size, by matrix products of their incidence,
 which return a spanning forest of the links. The components of these are the result.
 
@@ -91,19 +92,40 @@ def _described(docs: DataFrame, size: int, per_band: int, bands: int) -> DataFra
     return docs.mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>")
 
 
-def _sets(docs: DataFrame, size: int, wanted: tuple) -> DataFrame:
-    """doc_id and its sorted shingle hashes, of the documents that a bitmap of ids holds."""
+def _in_buckets(alike: DataFrame, wanted: tuple) -> DataFrame:
+    """doc_id and key of the bands whose keys a bitmap holds, so that only these travel."""
+    shared = alike.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bands = batch.column("bands")
+            key, row = bands.flatten(), bands.value_parent_indices()
+            held = pa.array(maybe_in(key.to_numpy(), *shared.value))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(row.filter(held)), key.filter(held)], names=["doc_id", "key"])
+
+    return alike.select(F.col("rep").alias("doc_id"), "bands").mapInArrow(run, "doc_id long, key long")
+
+
+def _texts(docs: DataFrame, wanted: tuple) -> DataFrame:
+    """doc_id and text of the documents that a bitmap of ids holds, placed by doc_id; repeated rows once."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
         for batch in batches:
             kept = batch.filter(pa.array(maybe_in(batch.column("hash").to_numpy(), *shared.value)))
-            for c in chunks(kept.column("text")):
-                h, begin = shingles(words(c, powers), c.last - c.first, size)
-                yield pa.RecordBatch.from_arrays([kept.column("doc_id").slice(c.first, c.last - c.first), pa.array([h[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:])], pa.binary())], names=["doc_id", "shingles"])
+            yield from pa.Table.from_batches([kept]).group_by(["doc_id", "text"]).aggregate([]).to_batches()
+
+    found = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("hash")).mapInArrow(run, "doc_id long, text string")
+    return found.repartition("doc_id").dropDuplicates(["doc_id", "text"])
 
-    return docs.select("doc_id", "text", F.xxhash64("doc_id").alias("hash")).mapInArrow(run, "doc_id long, shingles binary")
+
+def sets_of(texts: pa.Array, size: int, powers: Powers) -> list[np.ndarray]:
+    """The sorted shingle hashes of each text."""
+    out = []
+    for c in chunks(texts):
+        h, begin = shingles(words(c, powers), c.last - c.first, size)
+        out += np.split(h, begin[1:-1])
+    return out
 
 
 def overlaps(sets: list[np.ndarray], columns: int = 2048) -> np.ndarray:
@@ -157,7 +179,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, miss: flo
     alike = ws.keep(full.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")), "alike")
     banded = alike.select(F.col("rep").alias("doc_id"), F.explode("bands").alias("key"))
     buckets = ws.keep(banded.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi"), "buckets")
-    more = banded.join(buckets.where("n > 2").select("key", "lo"), "key").select("lo", F.col("doc_id").alias("hi"))
+    large = buckets.where("n > 2").select("key", "lo")
+    more = _in_buckets(alike, bitmap(large, "key", hashed=True)).join(large, "key").select("lo", F.col("doc_id").alias("hi"))
     ties = buckets.where("n = 2").select("lo", "hi").union(more)
     grouped = components(ties.select(F.col("lo").alias("a"), F.col("hi").alias("b")), ws)
     ws.release()
@@ -177,24 +200,23 @@ def _confirmed(docs: DataFrame, members: DataFrame, percent: int, size: int, blo
     groups = members.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     deals = max(1, members.count() // DEAL)
     sized = ws.keep(members.join(groups, "root"), "sized")
-    sets = _sets(docs, size, bitmap(members, "node")).dropDuplicates(["doc_id", "shingles"])
-    with_sets = sized.join(sets, F.col("node") == F.col("doc_id"))
+    with_texts = sized.join(_texts(docs, bitmap(members, "node", per=32)), F.col("node") == F.col("doc_id"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    placed = with_sets.withColumn("own", own).withColumn("other", F.explode(F.expr("IF(blocks = 1, array(0), sequence(0, blocks - 1))")))
+    placed = with_texts.withColumn("own", own).withColumn("other", F.explode(F.expr("IF(blocks = 1, array(0), sequence(0, blocks - 1))")))
     # Groups of one block share tasks; a pair of blocks of a larger group is a task's group of its own.
     placed = placed.select(
         F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(deals))).otherwise(F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other"))).alias("task"),
-        (F.col("blocks") > 1).alias("large"), "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "shingles",
+        (F.col("blocks") > 1).alias("large"), "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "text",
     )
 
     def confirm(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = [], []
+        a, b, powers = [], [], Powers()
         for _, group in pdf.groupby(["root", "i", "j"], sort=False):
             if len(group) < 2 or (group["i"].iloc[0] != group["j"].iloc[0] and group["own"].nunique() < 2):
                 continue
             group = group.sort_values("node", kind="stable")
             node = group["node"].to_numpy()
-            sets = [np.frombuffer(x, U) for x in group["shingles"]]
+            sets = sets_of(pa.array(group["text"], pa.string()), size, powers)
             n = np.array([len(s) for s in sets])
             common = overlaps(sets)
             joined = (100 + percent) * common >= percent * (n[:, None] + n[None, :])

@@ -111,8 +111,8 @@ def column(df: DataFrame, name: str, kind: str):
     return F.col(f"`{name}`").cast(kind) if name in df.columns else F.lit(None).cast(kind)
 
 
-def bitmap(df: DataFrame, name: str, most_bits: int = 26, hashed: bool = False):
-    """Which hashes of the long column `name` occur: a numpy bit map of at most 2**most_bits bits.
+def bitmap(df: DataFrame, name: str, most_bits: int = 26, hashed: bool = False, per: int = 8):
+    """Which hashes of the long column `name` occur: a numpy bit map of some `per` bits a row, at most 2**most_bits.
 
     The hash is Spark's xxhash64, or the value itself where `hashed` says that it is one.
 
@@ -122,7 +122,7 @@ def bitmap(df: DataFrame, name: str, most_bits: int = 26, hashed: bool = False):
     import numpy as np
 
     n = df.count()
-    bits = min(most_bits, max(10, int(8 * n + 1).bit_length()))
+    bits = min(most_bits, max(10, int(per * n + 1).bit_length()))
     value = f"`{name}`" if hashed else f"xxhash64(`{name}`)"
     word = F.expr(f"shiftrightunsigned({value}, {64 - bits + 6})")
     bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned({value}, {64 - bits}) & 63 AS INT))")

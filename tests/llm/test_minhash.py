@@ -90,3 +90,20 @@ def test_sample_table_matches_brute_force(spark):
 def test_bands_follow_the_threshold():
     per_band, bands = minhash_dedup.banding(0.85)
     assert (1 - 0.85 ** (2 * per_band)) ** bands <= 1e-6
+
+
+def test_texts_travel_instead_of_their_sets(spark):
+    rng = random.Random(7)
+    rows = []
+    for i in range(400):
+        base = " ".join(f"word{rng.randrange(10**5)}" for _ in range(300))
+        rows += [(2 * i, base), (2 * i + 1, varied(rng, base, 1))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).persist()
+    df.count()
+    written = lambda: sum(e.totalShuffleWrite() for e in [spark.sparkContext._jsc.sc().statusStore().executorList(True).head()])
+    before = written()
+    assert minhash_dedup.near_duplicates(df, 85).where("kept").count() == 400
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    share = (written() - before) / sum(len(t) for _, t in rows)
+    df.unpersist()
+    assert share < 1.5, share
