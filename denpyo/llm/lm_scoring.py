@@ -59,23 +59,32 @@ def part_of(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> U(40)) * U(parts) >> U(24)).astype(np.int64)
 
 
-def packed(keys: np.ndarray) -> bytes:
-    """Rising numbers as steps, byte by byte of all, so that the many zero bytes compress."""
-    return np.diff(keys, prepend=U(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+def planes(numbers: np.ndarray) -> bytes:
+    """Numbers, byte by byte of all, without the high bytes that all lack: counts are small, so one to three bytes of eight are left. How many are left comes first."""
+    n = np.ascontiguousarray(numbers, dtype=np.int64).view(U)
+    width = max(1, -(-int(n.max(initial=U(0))).bit_length() // 8))
+    return bytes([width]) + np.ascontiguousarray(n.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
-def unpacked(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(data, np.uint8).reshape(8, -1).T.copy().view(U).ravel(), dtype=U)
+def unplaned(parts: list[bytes]) -> np.ndarray:
+    """The numbers of all parts, one after the other."""
+    out = [np.zeros(0, np.int64)]
+    for p in parts:
+        if p:
+            read = np.frombuffer(p, np.uint8)[1:].reshape(p[0], -1)
+            n = np.zeros((read.shape[1], 8), np.uint8)
+            n[:, : p[0]] = read.T
+            out.append(n.view(np.int64).ravel())
+    return np.concatenate(out)
 
 
-def planes(counts: np.ndarray) -> bytes:
-    """Counts, byte by byte of all: most are small, and seven of eight bytes compress to nothing."""
-    return np.ascontiguousarray(counts, dtype=np.int64).view(np.uint8).reshape(-1, 8).T.tobytes()
+def packed(keys: np.ndarray) -> bytes:
+    """Rising numbers: the first one, and the steps from each to the next."""
+    return keys[:1].tobytes() + planes(np.diff(keys).view(np.int64))
 
 
-def unplaned(parts: list[bytes]) -> np.ndarray:
-    """The counts of all parts, one after the other."""
-    return np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(p, np.uint8).reshape(8, -1).T.copy().view(np.int64).ravel() for p in parts if p)])
+def unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.concatenate((np.frombuffer(data[:8], U), unplaned([data[8:]]).view(U))), dtype=U)
 
 
 @dataclass
@@ -101,8 +110,9 @@ def _asked(grouped: DataFrame, role: int, parts: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         g = table.column("__g")[0].as_py()
         out = []
-        for kind, h in enumerate(ngrams(table.column("__text"))[1]):
-            keys, n = np.unique(h, return_counts=True)
+        hashes = ngrams(table.column("__text"))[1]
+        for kind in range(len(hashes)):
+            keys, n = np.unique(hashes.pop(0), return_counts=True)
             cuts = np.searchsorted(part_of(keys, parts), np.arange(parts + 1))
             out += [(i, g, role, kind, packed(keys[a:b]), planes(n[a:b])) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
         return pa.Table.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["part", "g", "role", "kind", "keys", "n"])
@@ -119,9 +129,10 @@ def _answer(table: pa.Table) -> pa.Table:
         rows = table.filter(pc.equal(table.column("kind"), kind)).to_pylist()
         if not rows:
             continue
-        keys = np.concatenate([unpacked(r["keys"]) for r in rows])
-        n = unplaned([r["n"] for r in rows])
-        sizes = [len(r["keys"]) // 8 for r in rows]
+        of = [unpacked(r.pop("keys")) for r in rows]
+        keys, sizes = np.concatenate(of), [len(k) for k in of]
+        del of
+        n = unplaned([r.pop("n") for r in rows])
         at = np.unique(keys, return_inverse=True)[1]
         role = np.repeat([r["role"] for r in rows], sizes)
         totals = [np.bincount(at, np.where(role & m, n, 0)).astype(np.int64) for m in (TARGET, BACKGROUND)]
@@ -170,16 +181,29 @@ def score(docs: DataFrame, target: Model, background: Model, keep: tuple[str, ..
         rows = table.num_rows
         row, hashes = ngrams(table.column("__text"))
         n = np.bincount(row, minlength=rows)
-        counts: list[list[np.ndarray]] = [[], []]
-        got = sorted(answered.select(["kind", "part", "target", "background"]).to_pylist(), key=lambda r: (r["kind"], r["part"]))
-        for kind, h in enumerate(hashes):
-            keys, at = np.unique(h, return_inverse=True)
-            for model, name in zip(counts, ("target", "background")):
-                of = unplaned([r[name] for r in got if r["kind"] == kind])
-                if len(of) != len(keys):
+        # A pair has one word and one context, so losses are those of distinct pairs.
+        first, pair = np.unique(hashes.pop(), return_index=True, return_inverse=True)[1:]
+        distinct, where = [], []
+        for _ in range(2):
+            keys, at = np.unique(hashes.pop(0), return_inverse=True)
+            distinct.append(len(keys))
+            where.append(at[first])
+        distinct.append(len(first))
+        del at, keys, first
+        order = pc.sort_indices(answered, sort_keys=[("kind", "ascending"), ("part", "ascending")])
+        kinds = answered.column("kind").to_numpy()[order.to_numpy()]
+
+        def mean(name: str, total: int) -> np.ndarray:
+            counts = []
+            for kind, size in enumerate(distinct):
+                told = answered.column(name).take(order.filter(pa.array(kinds == kind)))
+                of = unplaned([x.as_py() for x in told])
+                if len(of) != size:
                     raise ValueError("the documents changed between two readings")
-                model.append(of[at])
-        means = [np.bincount(row, losses(c, total, vocabulary), rows) / np.maximum(n, 1) for c, total in zip(counts, totals)]
+                counts.append(of[where[kind]] if kind < 2 else of)
+            return np.bincount(row, losses(counts, total, vocabulary)[pair], rows) / np.maximum(n, 1)
+
+        means = [mean(name, total) for name, total in zip(("target", "background"), totals)]
         return pa.Table.from_arrays([*(table.column(c) for c in names), pa.array(n.astype(np.int64)), *(pa.array(x) for x in (*means, means[0] - means[1]))], names=[*keep, *made])
 
     replies = answers.where("g >= 0").select(F.col("g").alias("__g"), "part", "kind", "target", "background")

@@ -139,3 +139,17 @@ def test_wrapped_licence_texts():
             found = licences.Scanner().scan(whole)
             assert [m[0] for m in found] == [name], (name, found)
             assert whole[found[0][1] :].split()[0] in text and whole[found[0][2] :].strip()
+
+
+def test_numbers_travel_in_few_bytes():
+    import numpy as np
+
+    from denpyo.llm import lm_scoring
+
+    for numbers in ([], [0], [0, 1, 255], [3, 70_000, 0], [2**62, 5]):
+        assert lm_scoring.unplaned([lm_scoring.planes(np.array(numbers, np.int64)), b""]).tolist() == numbers
+    assert len(lm_scoring.planes(np.arange(200))) < 220 and len(lm_scoring.planes(np.arange(0, 60_000, 300))) < 420
+    for keys in ([0], [2**64 - 1], [5, 6, 2**40, 2**64 - 1]):
+        assert lm_scoring.unpacked(lm_scoring.packed(np.array(keys, np.uint64))).tolist() == keys
+    near = (np.arange(1000, dtype=np.uint64) << np.uint64(30)) + np.uint64(2**63)
+    assert len(lm_scoring.packed(near)) < 4100 and (lm_scoring.unpacked(lm_scoring.packed(near)) == near).all()
