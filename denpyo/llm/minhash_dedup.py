@@ -34,6 +34,8 @@ from .text import U, Powers, chunks, mix, shingles, words
 
 #: Documents of a block; a comparison holds two blocks.
 BLOCK = 512
+#: Bits of the map of large buckets for each of them: every document has dozens of keys that are in none, of which one in KEY_BITS / 2 or fewer passes.
+KEY_BITS = 256
 #: Documents that small groups are dealt to one task by.
 DEAL = 2000
 
@@ -92,6 +94,10 @@ def _described(docs: DataFrame, size: int, per_band: int, bands: int) -> DataFra
     return docs.mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>")
 
 
+def _large_keys(buckets: DataFrame) -> tuple:
+    return bitmap(buckets, "key", hashed=True, per=KEY_BITS)
+
+
 def _in_buckets(alike: DataFrame, wanted: tuple) -> DataFrame:
     """doc_id and key of the bands whose keys a bitmap holds, so that only these travel."""
     shared = alike.sparkSession.sparkContext.broadcast(wanted)
@@ -180,7 +186,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, miss: flo
     banded = alike.select(F.col("rep").alias("doc_id"), F.explode("bands").alias("key"))
     buckets = ws.keep(banded.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi"), "buckets")
     large = buckets.where("n > 2").select("key", "lo")
-    more = _in_buckets(alike, bitmap(large, "key", hashed=True)).join(large, "key").select("lo", F.col("doc_id").alias("hi"))
+    more = _in_buckets(alike, _large_keys(large)).join(large, "key").select("lo", F.col("doc_id").alias("hi"))
     ties = buckets.where("n = 2").select("lo", "hi").union(more)
     grouped = components(ties.select(F.col("lo").alias("a"), F.col("hi").alias("b")), ws)
     ws.release()

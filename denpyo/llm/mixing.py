@@ -9,6 +9,11 @@ with a small pull towards rate 1, by Newton steps until the targets are met; a w
 needs one row of sums over all documents, and a document's rate follows from its own row and one number a domain,
 so no state is kept per document.
 
+Least squares count a change of a document's rate by its tokens in `mixed`, whose rates follow from p alone, and once in `sample`,
+whose moves are p times the tokens: of all rates that meet the targets those that add and leave out the fewest rows, so
+that a few tokens of a domain in many short documents and some long ones do not repeat the short ones as often as the long ones.
+Where no rates meet the targets, those of `sample` are scaled so that its tokens are as many as the targets say of the input's.
+
 Tokens are words (runs of other than white space), none in a null or empty text; such rows bear on no share,
 so their rate is 1, however often others are repeated. Repeated rows count each. A null source is a source of its own. Without
 labels every domain is equally likely. Markers are at most `words` words and `symbols` runs of symbols, of a sample of at most
@@ -118,8 +123,8 @@ def learn(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...] = DOMAI
     return Classifier(domains, markers, weights, priors, {s: [a - b for a, b in zip(v, unknown)] for s, v in by_source.items()})
 
 
-def _rate(history: list[list[float]], domains: int, pull: float) -> Column:
-    """A document's rate after the steps whose weighted residuals are in `history`."""
+def _rate(history: list[list[float]], domains: int, pull: float, lever: Column | None = None) -> Column:
+    """A document's rate after the steps whose weighted residuals are in `history`; `lever` multiplies what they move it."""
     step = 1 / (1 + pull)
     if not history:
         return F.lit(1.0)
@@ -127,39 +132,43 @@ def _rate(history: list[list[float]], domains: int, pull: float) -> Column:
 
     def move(rate: Column, g: Column) -> Column:
         slope = sum((g[k] * F.col("p")[k] for k in range(domains)), F.lit(0.0))
+        slope = slope if lever is None else slope * lever
         return F.greatest(F.lit(0.0), rate - F.lit(step) * (slope + F.lit(pull) * (rate - 1)))
 
     return F.aggregate(past, F.lit(1.0), move)
 
 
-def _rated(history: list[list[float]], domains: int, pull: float) -> Column:
+def _rated(history: list[list[float]], domains: int, pull: float, lever: Column | None = None, scale: float = 1.0) -> Column:
     """The rate of a row with tokens; 1 of one without, whose copies would bring no domain nearer to its target."""
-    return F.when(F.col("tokens") > 0, _rate(history, domains, pull)).otherwise(F.lit(1.0))
+    return F.when(F.col("tokens") > 0, F.lit(scale) * _rate(history, domains, pull, lever)).otherwise(F.lit(1.0))
 
 
-def fit_rates(rows: DataFrame, targets: list[float], steps: int = 100, pull: float = 1e-3, enough: float = 1e-4) -> tuple[list[list[float]], list[float]]:
+def fit_rates(rows: DataFrame, targets: list[float], steps: int = 100, pull: float = 1e-3, enough: float = 1e-4, by_row: bool = False) -> tuple[list[list[float]], list[float]]:
     """A history of one move for `_rate`, and the shares reached; `rows` has tokens and p.
 
     Minimises the sum over domains of (share - target)**2 / first share, plus a small part of the pull, over rates >= 0; shares
-    are of the tokens at rate 1. A rate is then max(0, 1 - p * move), so damped Newton steps in the moves suffice. Stops
+    are of the tokens at rate 1. The pull counts rows by their tokens, or all alike if `by_row`.
+    A rate is then max(0, 1 - p * move), times the tokens in p * move if `by_row`, so damped Newton steps in the moves suffice. Stops
     when each share is within `enough` of its target, relative to it. Warns where that is not reached: after `steps`, or where no
     rates meet the targets.
     """
     domains = len(targets)
-    total = rows.agg(F.sum("tokens")).first()[0] or 0.0
+    total, n = rows.where("tokens > 0").agg(F.sum("tokens"), F.count("*")).first()
     if not total:
         return [], []
     t, little, p = np.array(targets), pull * 1e-4, F.col("p")
+    mean = total / n if by_row else 1.0
+    lever = F.col("tokens") / F.lit(mean) if by_row else F.lit(1.0)
     step = 1 / (1 + pull)
     pairs = [(k, j) for k in range(domains) for j in range(k, domains)]
 
     def at(move: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
         """Shares, their slopes and half the sum of squared rates."""
-        rate, w = _rate([[float(m / step) for m in move]], domains, pull), F.col("tokens") / total
-        row = rows.select(w.alias("w"), "p", rate.alias("r")).agg(
+        rate, w = _rate([[float(m / step) for m in move]], domains, pull, lever), F.col("tokens") / total
+        row = rows.where("tokens > 0").select(w.alias("w"), lever.alias("l"), "p", rate.alias("r")).agg(
             *(F.sum(F.col("w") * p[k] * F.col("r")) for k in range(domains)),
-            *(F.sum(F.when(F.col("r") > 0, F.col("w") * p[k] * p[j]).otherwise(0.0)) for k, j in pairs),
-            F.sum(F.col("w") * F.col("r") * F.col("r")),
+            *(F.sum(F.when(F.col("r") > 0, F.col("w") * F.col("l") * p[k] * p[j]).otherwise(0.0)) for k, j in pairs),
+            F.sum(F.col("w") / F.col("l") * F.col("r") * F.col("r")),
         ).first()
         slopes = np.zeros((domains, domains))
         for (k, j), x in zip(pairs, row[domains:-1]):
@@ -188,7 +197,7 @@ def fit_rates(rows: DataFrame, targets: list[float], steps: int = 100, pull: flo
             size /= 2
     if not met(share):
         warnings.warn(f"mixing: shares {[round(float(s), 6) for s in share]} miss the targets {list(targets)}", stacklevel=2)
-    return ([[float(m / step) for m in move]] if move.any() else []), [float(s) for s in share]
+    return ([[float(m / step / mean) for m in move]] if move.any() else []), [float(s) for s in share]
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, key: tuple[str, ...] = ("doc_id",), workspace: Workspace | None = None, **options) -> DataFrame:
@@ -217,14 +226,15 @@ def labelled_domains(labels: DataFrame) -> DataFrame:
 
 
 def sample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, workspace: Workspace | None = None, **options) -> DataFrame:
-    """`docs` as the rates say: each row as often as its copies (never, once, or more)."""
+    """`docs` as the rates say: each row as often as its copies (never, once, or more), which change as few rows as the targets allow."""
     ws = workspace or Workspace(docs.sparkSession, "mixing")
     targets = targets or TARGETS
     classifier = learn(docs, labelled, tuple(targets))
     names = docs.columns
     rows = ws.keep(classifier.posteriors(docs, *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names))), "posteriors")
-    history, _ = fit_rates(rows.select("tokens", "p"), list(targets.values()), **options)
-    rated = rows.select("k", copies(_rated(history, len(targets), options.get("pull", 1e-3)), "k").alias("n"))
+    history, share = fit_rates(rows.select("tokens", "p"), list(targets.values()), by_row=True, **options)
+    scale = sum(targets.values()) / sum(share) if sum(share) > 0 else 1.0
+    rated = rows.select("k", copies(_rated(history, len(targets), options.get("pull", 1e-3), F.col("tokens"), scale), "k").alias("n"))
     return rated.where("n > 0").select("k", F.explode(F.sequence(F.lit(1), F.col("n")))).select(*(F.col(f"k.c{i}").alias(c) for i, c in enumerate(names)))
 
 

@@ -107,3 +107,14 @@ def test_texts_travel_instead_of_their_sets(spark):
     share = (written() - before) / sum(len(t) for _, t in rows)
     df.unpersist()
     assert share < 1.5, share
+
+
+def test_keys_of_small_buckets_hardly_travel(spark):
+    rng = random.Random(8)
+    key = lambda: rng.getrandbits(64) - (1 << 63)
+    large = [key() for _ in range(3000)]
+    docs = [(i, [large[i % 3000], *(key() for _ in range(30))]) for i in range(9000)]
+    alike = spark.createDataFrame(docs, "rep long, bands array<long>")
+    buckets = spark.createDataFrame([(k,) for k in large], "key long")
+    sent = minhash_dedup._in_buckets(alike, minhash_dedup._large_keys(buckets)).count()
+    assert 9000 <= sent < 11_200  # of 279000

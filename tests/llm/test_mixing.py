@@ -117,3 +117,32 @@ def test_rows_without_tokens_are_not_repeated(spark):
     assert abs(rates.pop(0) - 60) < 0.1 and set(rates.values()) == {1.0}
     got = {r.doc_id: r.n for r in mixing.sample(docs, none, targets).groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
     assert got.pop(0) >= 59 and got == {i: 1 for i in range(1, 31)}
+
+
+def test_short_documents_are_not_repeated_like_long_ones(spark):
+    # Domain low has 1 in 100 tokens, most of them in a few long documents beside very many short ones.
+    rows = [(i, 100.0, [0.98, 0.01, 0.01]) for i in range(1000)] + [(1000 + i, 1.0, [0.0, 1.0, 0.0]) for i in range(200)] + [(1200 + i, 200.0, [0.0, 1.0, 0.0]) for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, tokens double, p array<double>")
+    targets = [0.8428, 0.1486, 0.0086]
+    total = sum(t for _, t, _ in rows)
+    after = {}
+    for by_row in (False, True):
+        history, share = mixing.fit_rates(df, targets, by_row=by_row)
+        assert (np.abs(np.array(share) - targets) <= 1.1e-4 * np.array(targets)).all()
+        lever = F.col("tokens") if by_row else None
+        got = df.withColumn("r", mixing._rated(history, 3, 1e-3, lever)).agg(F.sum("r"), *(F.sum(F.col("tokens") * F.col("p")[k] * F.col("r")) for k in range(3))).first()
+        assert np.allclose(np.array(got[1:]) / total, share, atol=1e-9)
+        after[by_row] = got[0]
+    assert after[False] > 2400 and after[True] < 1400
+
+
+def test_tokens_stay_where_targets_cannot_be_met(spark):
+    import pytest
+
+    # The word x marks domain low, which one labelled document of each twenty with it is of: no mixture has a third of it.
+    docs = spark.createDataFrame([(i, "x " * (1 + i % 7) + "word " * 90, "a") for i in range(200)] + [(200 + i, "word " * 100, "a") for i in range(200)], "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(i, "low" if i % 20 == 0 and i < 200 else "good") for i in range(400)], "doc_id long, domain string")
+    with pytest.warns(UserWarning, match="miss the targets"):
+        got = mixing.sample(docs, labels, {"good": 0.6, "low": 0.4})
+        tokens = got.agg(F.sum(mixing.token_count(F.col("text")))).first()[0]
+    assert 0.9 < tokens / docs.agg(F.sum(mixing.token_count(F.col("text")))).first()[0] < 1.1
