@@ -45,8 +45,12 @@ LOW = U(48 - TABLE_BITS)
 MOST_N, MOST_I = (1 << 16) - 1, (1 << 8) - 1
 #: Buckets of tokens that stand out in a task: more than HOT_LEAST entries and more than one in HOT_SHARE.
 HOT_BITS, HOT_LEAST, HOT_SHARE = 20, 64, 2000
+#: Buckets whose counts travel as one row, and documents whose hashes may be broadcast.
+COUNTS, BROADCAST = 512, 1 << 18
 #: Candidates that a set tries first.
 FIRST = 4
+#: Entries of a partition, on average at most, those that a task deals out at a time, and those whose tokens are compared at a time.
+ENTRIES, DEALT, COMPARED = 1 << 20, 1 << 18, 1 << 12
 #: Sets that are verified against one copy of another.
 SHARE = 256
 #: Pairs compared at a time, and bytes of token sets verified at a time.
@@ -109,8 +113,8 @@ def _mapped(docs: DataFrame, make, schema: str, last=None, only=None) -> DataFra
     return docs.mapInArrow(run, schema)
 
 
-def token_ranks(docs: DataFrame, shortest: int) -> np.ndarray:
-    """The place of each bucket of tokens when the buckets are ordered by their tokens' number, over all lines."""
+def token_counts(docs: DataFrame, shortest: int) -> DataFrame:
+    """How many tokens of all lines each bucket has, COUNTS buckets (long integers) a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, total = Powers(), np.zeros(1 << TABLE_BITS, np.int64)
@@ -118,13 +122,26 @@ def token_ranks(docs: DataFrame, shortest: int) -> np.ndarray:
             for c in chunks(batch.column("text")):
                 h = Lines(c, powers, shortest).hash if shortest > 1 else words(c, powers).hash
                 total += np.bincount((h >> U(64 - TABLE_BITS)).astype(np.int64), minlength=1 << TABLE_BITS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
+        yield rows({int(b): total[b : b + COUNTS] for b in range(0, len(total), COUNTS) if total[b : b + COUNTS].any()})
+
+    def rows(counts: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.int32()), pa.array((n.tobytes() for n in counts.values()), pa.binary())], names=["first", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for first, n in zip(batch.column("first").to_pylist(), batch.column("n").to_pylist()):
+                counts[first] = counts.get(first, 0) + np.frombuffer(n, np.int64)
+        yield rows(counts)
 
-    counted = docs.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # 2**TABLE_BITS rows at most
+    return docs.mapInArrow(run, "first int, n binary").repartition("first").mapInArrow(add, "first int, n binary")
+
+
+def token_ranks(docs: DataFrame, shortest: int) -> np.ndarray:
+    """The place of each bucket of tokens when the buckets are ordered by their tokens' number, over all lines."""
     total = np.zeros(1 << TABLE_BITS, np.int64)
-    if counted.num_rows:
-        total[counted.column("bucket").to_numpy()] = counted.column("n").to_numpy()
+    for r in token_counts(docs, shortest).toArrow().to_pylist():  # 2**TABLE_BITS counts at most
+        total[r["first"] : r["first"] + COUNTS] = np.frombuffer(r["n"], np.int64)
     rank = np.empty(len(total), U)
     rank[np.argsort(total, kind="stable")] = np.arange(len(total), dtype=U)
     return rank
@@ -208,8 +225,42 @@ def _lines_of(docs: DataFrame, shortest: int, wanted: tuple, texts: tuple | None
     return _mapped(docs, make, "doc_id long, h long, line long, s1 long, " + ("tokens binary" if tokens else "s2 long"), only=only)
 
 
+def _dealt(sets: DataFrame, hot: np.ndarray, n: int) -> DataFrame:
+    """The n entries of `sets` (s1, m1, m2, doc, keys), but those of hot buckets, placed by token: many of them, five numbers each, in a row."""
+    shared = sets.sparkSession.sparkContext.broadcast(hot)
+    partitions = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // ENTRIES))
+    parts = 4 * partitions
+
+    def rows(entries: list[np.ndarray]) -> pa.RecordBatch:
+        table = np.concatenate(entries)
+        part = (mix((table[:, 0] >> 24).view(U)) % U(parts)).astype(np.int32)
+        table = table[np.argsort(part, kind="stable")]
+        size = np.bincount(part, minlength=parts)
+        used = np.flatnonzero(size)
+        offsets = np.concatenate(([0], np.cumsum(size[used]))) * table.itemsize * table.shape[1]
+        blobs = pa.Array.from_buffers(pa.binary(), len(used), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(table)])
+        return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), blobs], names=["part", "entries"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, have = [], 0
+        for batch in batches:
+            k, row = batch.column("keys").flatten().to_numpy(), batch.column("keys").value_parent_indices().to_numpy()
+            if len(shared.value):
+                cool = ~np.isin(k.view(U) >> U(64 - HOT_BITS), shared.value)
+                k, row = k[cool], row[cool]
+            held.append(np.stack([k, *(batch.column(c).to_numpy()[row] for c in Met.names[1:])], axis=1))
+            have += len(k)
+            if have > DEALT:
+                yield rows(held)
+                held, have = [], 0
+        if have:
+            yield rows(held)
+
+    return sets.mapInArrow(run, "part int, entries binary").repartition(partitions, "part")
+
+
 class Met:
-    """Entries of the sets that share a token, by number (token, size, position), one after the other."""
+    """The entries of a partition of tokens, sorted by number (token, size, position) and met by those of their token."""
 
     names = ("k", "s1", "m1", "m2", "doc")
 
@@ -217,26 +268,22 @@ class Met:
         self.percent, self.crowd = percent, crowd
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = [np.zeros(0, np.int64) for _ in self.names]
-        crowded = None  # the token whose entries pass through
-        for batch in batches:
-            now = [np.concatenate((a, batch.column(c).to_numpy())) for a, c in zip(left, self.names)]
-            token = now[0] >> 24
-            end = np.searchsorted(token, token[-1])
-            if len(token) - end > self.crowd or crowded == token[-1]:
-                crowded, end = token[-1], len(token)
-            left = [a[end:] for a in now]
-            yield from self.groups([a[:end] for a in now], crowded)
-        yield from self.groups(left, crowded)
-
-    def groups(self, columns: list[np.ndarray], crowded) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(b"".join(x for batch in batches for x in batch.column("entries").to_pylist()), np.int64).reshape(-1, len(self.names))
+        order = np.argsort(table[:, 0], kind="stable")
+        columns = [x[order] for x in table.T]
+        token = columns[0] >> 24
+        at = 0
+        while at < len(token):
+            to = int(np.searchsorted(token, token[min(at + COMPARED, len(token)) - 1], side="right"))
+            yield from self.groups([x[at:to] for x in columns])
+            at = to
+
+    def groups(self, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         k = columns[0]
-        if not len(k):
-            return
         token = k >> 24
         start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
         size = np.diff(np.concatenate((start, [len(k)])))
-        through = np.repeat((size > self.crowd) | (token[start] == crowded), size)
+        through = np.repeat(size > self.crowd, size)
         if through.any():
             yield self._rows(1, *(columns[c][through] for c in (1, 0, 4, 2, 3)))
         yield from self.pairs(*(c[~through & np.repeat(size > 1, size)] for c in columns))
@@ -300,14 +347,15 @@ def _filters(percent: int) -> str:
     return f"p.s1 <> q.s1 AND p.doc <= q.doc AND ({pn} = {MOST_N} OR {qn} = {MOST_N} OR ({lengths} AND {places} AND {maps}))"
 
 
-def _candidates(entries: DataFrame, hot: DataFrame, percent: int, crowd: int, ws: Workspace) -> DataFrame:
-    """later, the candidates to try (early; none if only a crowd may have any) and whether there may be others (open)."""
+def _candidates(sets: DataFrame, entries: DataFrame, n: int, hot: DataFrame, percent: int, crowd: int, ws: Workspace) -> DataFrame:
+    """later, the candidates to try (early; none if only a crowd may have any) and whether there may be others (open); n: how many entries."""
     token = F.shiftright("k", 24)
     bucket = F.shiftrightunsigned("k", 64 - HOT_BITS)
-    few = entries.join(F.broadcast(hot), bucket == F.col("hot"), "left_anti")  # 2**HOT_BITS rows at most
-    met = ws.keep(few.repartition(token).sortWithinPartitions("k").mapInArrow(Met(percent, crowd), "kind int, s1 long, other long, doc long, m1 long, m2 long"), "met")
+    buckets = hot.distinct().toArrow().column("hot").to_numpy().astype(U)  # 2**HOT_BITS rows at most
+    # A token that is not hot has a small share of the entries, so partitions are about as large as one another.
+    met = ws.keep(_dealt(sets, buckets, n).mapInArrow(Met(percent, crowd), "kind int, s1 long, other long, doc long, m1 long, m2 long"), "met")
     passed = met.where("kind = 1").select("s1", "m1", "m2", "doc", F.col("other").alias("k"))
-    many = passed.union(entries.join(F.broadcast(hot), bucket == F.col("hot"), "left_semi").select("s1", "m1", "m2", "doc", "k"))
+    many = passed.union(entries.join(F.broadcast(hot), bucket == F.col("hot"), "left_semi").select("s1", "m1", "m2", "doc", "k")) if len(buckets) else passed
     length = F.floor(F.log(F.shiftright("k", 8).bitwiseAND(MOST_N).cast("double")) / F.log(F.lit(100 / percent))).cast("int")
     many = ws.keep(many.withColumn("token", token).withColumn("length", length), "many")
     leads = many.groupBy("token", "length").agg(F.min(F.struct("doc", "s1", "m1", "m2", "k")).alias("lead")).select("token", F.explode(F.array(*(F.col("length") + d for d in (-1, 0, 1)))).alias("length"), "lead.*")
@@ -324,6 +372,8 @@ def _verified(docs: DataFrame, groups: DataFrame, pairs: DataFrame, percent: int
     """The sets (later) of `pairs` that are similar to the early one, which comes before them."""
     wanted = ws.keep(pairs.select(F.explode(F.array("early", "later")).alias("s1")).distinct(), "wanted")
     texts = ws.keep(groups.join(wanted, "s1", "left_semi").select("first.h").distinct(), "texts")
+    if texts.count() <= BROADCAST:
+        docs = docs.join(F.broadcast(texts), "h", "left_semi")
     found = _lines_of(docs, shortest, bitmap(wanted, "s1", hashed=True), bitmap(texts, "h", hashed=True))
     sets = found.groupBy("s1").agg(F.min(F.struct("doc_id", "h", "line")).alias("place"), F.any_value("tokens").alias("tokens"))
     # A set that very many others try first is copied for each SHARE of them.
@@ -373,8 +423,10 @@ def removed_lines(docs: DataFrame, percent: int = 80, shortest: int = SHORTEST,
     ws.release()
     hot = groups.where("first.line < 0").select(F.col("s1").alias("hot"))
     groups = groups.where("first.line >= 0")
-    entries = groups.where("keys IS NOT NULL").select("s1", "m1", "m2", _first_document(), F.explode("keys").alias("k"))
-    tried = _candidates(entries, hot, percent, crowd, ws)
+    sets = groups.where("keys IS NOT NULL").select("s1", "m1", "m2", _first_document(), "keys")
+    entries = sets.select("s1", "m1", "m2", "doc", F.explode("keys").alias("k"))
+    n = groups.agg(F.sum(F.when(F.col("keys").isNotNull(), F.size("keys")))).first()[0] or 0
+    tried = _candidates(sets, entries, n, hot, percent, crowd, ws)
     ws.release()
     decided = ws.keep(_verified(docs, groups, tried.select("later", F.explode("early").alias("early")), percent, shortest, ws).distinct(), "decided")
     ws.release()

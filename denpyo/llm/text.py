@@ -19,8 +19,7 @@ U = np.uint64
 MUL = 0x9E3779B97F4A7C15
 INV = pow(MUL, -1, 1 << 64)
 
-_lower = np.arange(256, dtype=np.uint8)
-_lower[65:91] += 32
+_A, _TAB = np.uint8(65), np.uint8(9)
 _space = np.zeros(256, dtype=bool)
 _space[[32, 9, 10, 11, 12, 13]] = True
 
@@ -87,12 +86,12 @@ class Words:
 
 
 def words(chunk: Chunk, powers: Powers, lower: bool = True, hashed: bool = True) -> Words:
-    b = _lower[chunk.data] if lower else chunk.data
+    b = chunk.data
     n = len(b)
     if not n:
         e = np.zeros(0, np.int64)
         return Words(e, e, e, np.zeros(0, U))
-    gap = _space[b]
+    gap = (b == 32) | (b - _TAB < 5)
     start_at = ~gap
     start_at[1:] &= gap[:-1]
     stop_at = ~gap
@@ -102,12 +101,16 @@ def words(chunk: Chunk, powers: Powers, lower: bool = True, hashed: bool = True)
     start_at[inner] |= ~gap[inner]
     stop_at[inner - 1] |= ~gap[inner - 1]
     start, end = np.flatnonzero(start_at), np.flatnonzero(stop_at) + 1
-    row = np.searchsorted(chunk.ends, start, side="right")
+    row = np.repeat(np.arange(len(chunk.ends)), np.diff(np.searchsorted(start, chunk.ends), prepend=0))
     if not hashed:
         return Words(start, end, row, np.zeros(0, U))
     up, down = powers.upto(n + 1)
     total = np.zeros(n + 1, U)
-    np.cumsum((b.astype(U) + U(1)) * up[:n], out=total[1:])
+    if lower:
+        b = b + ((b - _A < 26).view(np.uint8) << 5)
+    np.multiply(b, up[:n], out=total[1:])
+    total[1:] += up[:n]
+    np.cumsum(total[1:], out=total[1:])
     return Words(start, end, row, mix((total[end] - total[start]) * down[start] + (end - start).astype(U)))
 
 

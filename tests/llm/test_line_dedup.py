@@ -102,3 +102,31 @@ def test_short_lines_take_part(spark, tmp_path):
     df.write.parquet(f"{tmp_path}/documents.parquet")
     removed = {r.doc_id: r.n_removed for r in line_dedup.op6_line_dedup(spark, str(tmp_path)).collect()}
     assert removed[301] == 2 and removed[302] == 2
+
+
+def test_words_of_odd_bytes():
+    import numpy as np
+    import pyarrow as pa
+
+    from denpyo.llm import text
+
+    texts = ["", "Ab aB\tx\x0by\x0c[z{ @A", " ", "\n\nÀé 日本 \x08\x0e end", None, "Z", "a" * 3 + " b", "", bytes(range(1, 128)).decode(), "\r"]
+    (c,) = text.chunks(pa.array(texts))
+    found, again = {}, {}
+    w = text.words(c, text.Powers())
+    got = [(int(r), bytes(c.data[a:b])) for r, a, b in zip(w.row, w.start, w.end)]
+    assert got == [(i, x) for i, t in enumerate(texts) for x in re.findall(rb"[^\x20\x09-\x0d]+", (t or "").encode())]
+    for (_, x), h in zip(got, w.hash.tolist()):
+        assert found.setdefault(x.lower(), h) == h and again.setdefault(h, x.lower()) == x.lower()
+    # The hash is that of earlier versions: a polynomial of bytes + 1, lower-cased.
+    up = np.multiply.accumulate(np.array([1, text.MUL, text.MUL, text.MUL], np.uint64))
+    assert w.hash[0] == text.mix((np.array([98, 99], np.uint64) * up[:2]).sum(keepdims=True) + np.uint64(2))[0]
+
+
+def test_counts_of_tokens_travel_in_few_rows(spark):
+    import numpy as np
+
+    docs = spark.range(6000).selectExpr("concat_ws(' ', transform(sequence(1, 20), x -> concat('w', id * 20 + x % 19))) AS text").repartition(6)
+    rows = line_dedup.token_counts(docs, 1).collect()
+    assert len({r.first for r in rows}) == len(rows) <= (1 << line_dedup.TABLE_BITS) // line_dedup.COUNTS
+    assert sum(np.frombuffer(r.n, np.int64).sum() for r in rows) == 120_000
