@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import bound
+
 
 def inferred_totals(lines: DataFrame, key: str = "doc", seq: str = "seq") -> DataFrame:
     """`kind` with the last item turned into a total where no total is written and the sums say so.
@@ -46,11 +48,52 @@ def summary(lines: DataFrame, key: str = "doc") -> DataFrame:
         F.max(F.when(of("payment") & ~F.col("deposit"), F.col("amount"))).alias("paid"), F.coalesce(F.sum(F.when(of("other") & F.col("subject") & F.col("inclusive"), F.col("amount"))), F.lit(0)).alias("taxable"),
     )
     total = F.coalesce("written", "paid", F.when(F.col("taxable") > 0, F.col("taxable")))
-    match = (
-        F.when(total.isNull() | (F.col("items") == 0), F.lit(None)).when(F.col("items_sum") == total, "equal")
+    return sums.select(key, "items_sum", "tax_total", total.alias("doc_total"), _match(total, F.col("items")).alias("match"), "items")
+
+
+def _match(total: Column, items: Column) -> Column:
+    return (
+        F.when(total.isNull() | (items == 0), F.lit(None)).when(F.col("items_sum") == total, "equal")
         .when((F.col("tax_total") > 0) & (F.abs(F.col("items_sum") + F.col("tax_total") - total) <= 1), "equalWithTax").otherwise("diff")
     )
-    return sums.select(key, "items_sum", "tax_total", total.alias("doc_total"), match.alias("match"), "items")
+
+
+def _sum_of(lines: Column, kept) -> Column:
+    return F.aggregate(F.filter(lines, kept)["amount"], F.lit(0).cast("bigint"), lambda a, x: a + x)
+
+
+def with_inferred_total(lines: Column) -> Column:
+    """An array of a document's lines in order (structs with kind, amount, subject and bare) with inferred, as `inferred_totals` does it for a frame."""
+    item = lambda x: x["kind"] == "item"
+
+    def judged(last: Column) -> Column:
+        x, before = F.get(lines, last), F.slice(lines, 1, F.greatest(last, F.lit(0)))
+        run, count = _sum_of(before, item), F.size(F.filter(before, item))
+        tax, sub = _sum_of(before, lambda y: y["kind"] == "tax"), _sum_of(before, lambda y: (y["kind"] == "other") & y["subject"])
+        amount = x["amount"]
+
+        def fits(s: Column) -> Column:
+            taxed = (s["tax"] > 0) & ((F.abs(amount - s["run"] - s["tax"]) <= 1) | ((s["sub"] > 0) & (F.abs(amount - s["sub"] - s["tax"]) <= 1)))
+            return (s["count"] >= 2) & (taxed | ((amount == s["run"]) & x["bare"]))
+
+        sums = F.struct(run.alias("run"), tax.alias("tax"), sub.alias("sub"), count.alias("count"))
+        return F.when((last >= 0) & bound(sums, fits), last).otherwise(-1)
+
+    last = F.aggregate(F.transform(lines, lambda x, i: F.when(item(x), i).otherwise(-1)), F.lit(-1), lambda a, i: F.greatest(a, i))
+    turned = F.when(F.exists(lines, lambda x: x["kind"] == "total"), F.lit(-1)).otherwise(bound(last, judged))
+    return bound(turned, lambda at: F.transform(lines, lambda x, i: x.withField("inferred", i == at).withField("kind", F.when(i == at, "total").otherwise(x["kind"]))))
+
+
+def summed(found: DataFrame, lines: Column) -> DataFrame:
+    """`found` with items_sum, n_items, tax_total, doc_total and match of an array of lines, as `summary` gives them of a frame."""
+    of = lambda kind, more=lambda x: F.lit(True): lambda x: (x["kind"] == kind) & more(x)
+    most = lambda kept: F.array_max(F.filter(lines, kept)["amount"])
+    sums = found.withColumns({
+        "items_sum": _sum_of(lines, of("item")), "n_items": F.size(F.filter(lines, of("item"))), "tax_total": _sum_of(lines, of("tax")), "_taxable": _sum_of(lines, of("other", lambda x: x["subject"] & x["inclusive"])),
+        "_stated": F.coalesce(most(of("total")), most(of("payment", lambda x: ~x["deposit"]))),
+    })
+    sums = sums.withColumn("doc_total", F.coalesce("_stated", F.when(F.col("_taxable") > 0, F.col("_taxable")))).drop("_stated", "_taxable")
+    return sums.withColumn("match", _match(F.col("doc_total"), F.col("n_items")))
 
 
 def document_amount(doc_total: Column, breakdown_total: Column, items_sum: Column, items: Column) -> Column:

@@ -1,19 +1,18 @@
-"""Amounts, tax and required fields of documents, as relations: rows to facts, facts to statuses by a table of rules.
+"""Amounts, tax and required fields of documents, as columns: lines to facts, facts to statuses by a table of rules.
 
-`marked` puts row texts in one spelling and finds their amounts (the only work outside the engine, a value a row). From then on amounts are a relation, and
-items, tax by rate, and facts of rows and documents are groupings of it. RULES is the table by which a document's facts
+`gathered` puts row texts in one spelling and the rows of a document into one array, `scanned` finds their amounts (the only work outside the engine, a function of each line's text).
+From then on items, tax by rate, and facts of lines and documents are columns over that array, which what a bill holds bounds. RULES is the table by which a document's facts
 become statuses and messages: of each field the first rule that holds.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import fixed, scanners, text
-from . import amounts, tables
-from .details import repaired
-from .lineage import cut
+from ..functions import fixed, text
+from . import amounts
+from .details import read_rows
 
 # Fixed patterns of the words that fields, kinds of document and amounts are known by.
 ISSUER = r"株式会社|有限会社|合同会社|合資会社|合名会社|一般社団法人|一般財団法人|公益社団法人|公益財団法人|NPO法人|医療法人|社会福祉法人|学校法人|\(株\)|\(有\)|㈱|㈲|事務所|商店|商事|店$|店(?=[A-Za-z0-9_])|本店|支店|[^\s]店|食堂|[^\s]堂$|[^\s]屋$|亭|カフェ|クリニック|医院|病院|薬局|ホテル|旅館|工業|工房|製作所"
@@ -36,132 +35,168 @@ LAST_NUMBER = r"(?s)^(.*)(?<![0-9,./:\-])([0-9]{1,3}(?:,[0-9]{3})+|[0-9]{2,7})(?
 WORDS = "[぀-ヿ一-鿿A-Za-z]"
 
 
-def marked(rows: DataFrame) -> DataFrame:
-    """doc, row, place (from 0, among rows with text), n (the row in one spelling), segs (its amounts: value, start, end, marked, label, rate).
+def gathered(rows: DataFrame) -> DataFrame:
+    """doc, lines (structs of row, n: the row in one spelling, amount: what a table gives it) in the order of rows, without blank ones, and tabled (whether the document has a table).
 
-    `rows` has doc, row and text.
+    `rows` has doc, row and text, and may have amount and tabled.
     """
-    # Blank rows go before the repair, which empties none; a filter behind it would be pushed below and have it done twice.
-    # The shuffle that the order of rows needs comes first, so that the work on texts is spread however few files hold them.
-    spelled = rows.select("doc", "row", "text").repartition("doc").select("doc", "row", text.normalize_row(F.coalesce("text", F.lit(""))).alias("n")).where("n <> ''").withColumn("n", repaired("n"))
-    place = (F.row_number().over(Window.partitionBy("doc").orderBy("row")) - 1).alias("place")
-    return cut(spelled.select("doc", "row", place, "n", scanners.segments_in("n").alias("segs")))
+    amount, tabled = (F.col(c).cast(t) if c in rows.columns else F.lit(None).cast(t) for c, t in (("amount", "bigint"), ("tabled", "boolean")))
+    # The shuffle that gathers a document comes first, so that the work on texts is spread however few files hold them.
+    spelled = rows.select("doc", "row", "text", amount.alias("amount"), tabled.alias("tabled")).repartition("doc").withColumn("n", text.normalize_row(F.coalesce("text", F.lit(""))))
+    # Blank rows are left out here, as a filter would go below the shuffle and have the spelling done twice.
+    return spelled.groupBy("doc").agg(F.array_sort(F.collect_list(F.when(F.col("n") != "", F.struct("row", "n", "amount")))).alias("lines"), F.coalesce(F.bool_or("tabled"), F.lit(False)).alias("tabled"))
+
+
+def scanned(found: DataFrame) -> DataFrame:
+    """`found` with keywords of its lines put right, and their amounts (segs: value, start, end, marked, label, rate)."""
+    known = found.withColumn("_read", read_rows(F.col("lines")["n"]))
+    line = lambda l, i: F.struct(l["row"].alias("row"), F.get("_read", i)["n"].alias("n"), F.get("_read", i)["segs"].alias("segs"), l["amount"].alias("amount"))  # noqa: E731, E741
+    return known.withColumn("lines", F.transform("lines", line)).drop("_read")
+
+
+def marked(rows: DataFrame) -> DataFrame:
+    """A row per document: doc, lines (structs of row, n, segs, amount) and tabled. `rows` as `gathered` takes it."""
+    return scanned(gathered(rows))
+
+
+def segments() -> Column:
+    """The amounts of a document's lines, in order: value, label, rate, n and whether the label is one of tax or of a taxable sum."""
 
+    def of_line(line: Column) -> Column:
+        def told(s: Column) -> Column:
+            tax = s["label"].rlike(TAX_LABEL)
+            base = ~tax & (s["label"].rlike(BASE_LABEL) | ~s["label"].rlike(OTHER_WORD))
+            return F.struct(s["value"].alias("value"), s["label"].alias("label"), s["rate"].alias("rate"), line["n"].alias("n"), tax.alias("is_tax"), base.alias("is_base"))
 
-def segments(rows: DataFrame) -> DataFrame:
-    """doc, row, at (order within the document), value, label, rate, n and whether the label is one of tax or of a taxable sum."""
-    s = rows.select("doc", "row", "n", F.posexplode("segs").alias("pos", "s"))
-    label = F.col("s.label")
-    tax = label.rlike(TAX_LABEL)
-    base = ~tax & (label.rlike(BASE_LABEL) | ~label.rlike(OTHER_WORD))
-    return s.select("doc", "row", F.struct("row", "pos").alias("at"), "pos", F.col("s.value").alias("value"), label.alias("label"), F.col("s.rate").alias("rate"), "n", tax.alias("is_tax"), base.alias("is_base"))
+        return F.transform(line["segs"], told)
 
+    return F.flatten(F.transform("lines", of_line))
 
-# Line items (their sums: amounts.summary)
 
+# Line items
 
-def items(rows: DataFrame, from_table: DataFrame | None = None) -> DataFrame:
-    """doc, row, seq, text, amount, kind and inferred of each line item, the last turned into a total where `amounts.inferred_totals` says so.
 
-    A row's amount is that of the document's table (`from_table`: doc, row, amount, tabled: whether the document has one). Else each amount of the row counts by its label, an amount without
+def _several(line: Column, kind: Column) -> Column:
+    """Entries (pos, kind, value) of a row of several amounts: each counts by its label, one without words as the one before it, the last of a kind for all."""
+
+    def of_kinds(kinds: Column) -> Column:
+        def entry(k: Column) -> Column:
+            of = F.filter(F.transform(line["segs"], lambda s, i: F.struct(F.get(kinds, i).alias("kind"), s["value"].alias("value"))), lambda x: x["kind"] == k)
+            return F.struct((F.array_position(kinds, k) - 1).cast("int").alias("pos"), k.alias("kind"), F.element_at(of, -1)["value"].alias("value"))
+
+        return F.transform(F.array_distinct(kinds), entry)
+
+    own = F.transform(line["segs"], lambda s: F.when(s["label"].rlike(WORDS), text.classify(s["label"])))
+    filled = text.bound(own, lambda o: F.transform(o, lambda x, i: F.coalesce(F.try_element_at(F.filter(F.slice(o, 1, i + 1), lambda y: y.isNotNull()), F.lit(-1)), kind)))
+    return text.bound(filled, of_kinds)
+
+
+def with_items(found: DataFrame) -> DataFrame:
+    """`found` (as `marked` gives it) with its (structs of seq, text, amount, kind, bare, subject, inclusive, deposit, inferred): the line items, the last turned into a total where the sums say so.
+
+    A row's amount is that of the document's table. Else each amount of the row counts by its label, an amount without
     words as the one before it, the last of a kind for all; and a row without a marked amount, in a document that speaks of money but has no table, by its last number.
     """
-    kind = text.classify(F.col("n"))
-    if from_table is None:
-        placed = rows.withColumns({"amount": F.lit(None).cast("long"), "tabled": F.lit(False)})
-    else:
-        placed = rows.join(from_table.select("doc", "row", "amount"), ["doc", "row"], "left").join(from_table.groupBy("doc").agg(F.bool_or("tabled").alias("tabled")), "doc", "left").withColumn("tabled", F.coalesce("tabled", F.lit(False)))
-    priced = F.max(F.col("n").rlike(MONEY_HEADER)).over(Window.partitionBy("doc"))
-    placed = placed.withColumns({"kind": kind, "priced": priced})
-
-    count = F.size("segs")
-    whole = F.when(F.col("amount").isNotNull(), F.col("amount")).when(count == 1, F.get("segs.value", F.lit(0)))
-    head = F.col("n").rlike(MONEY_HEADER) & ~F.replace("n", F.lit("(円)"), F.lit("")).rlike("[0-9]{2,}")
-    bare = F.nullif(F.replace(F.regexp_extract("n", LAST_NUMBER, 2), F.lit(","), F.lit("")).try_cast("bigint"), F.lit(0).cast("bigint"))
-    late = (F.length(F.regexp_extract("n", LAST_NUMBER, 1)) >= 0.4 * F.length("n")) | (F.length("n") <= 12)
-    whole = F.when(whole.isNotNull(), whole).when((count == 0) & F.col("priced") & ~F.col("tabled") & ~head & late, bare)
-    one = placed.withColumn("value", whole).where("value IS NOT NULL").select("doc", "row", F.lit(0).alias("pos"), "n", "kind", "value")
-
-    several = placed.where(F.col("amount").isNull() & (count > 1)).select("doc", "row", "n", "kind", F.posexplode("segs").alias("pos", "s"))
-    own = F.when(F.col("s.label").rlike(WORDS), text.classify(F.col("s.label")))
-    so_far = Window.partitionBy("doc", "row").orderBy("pos")
-    several = several.withColumn("kind", F.coalesce(F.last(own, ignorenulls=True).over(so_far), "kind"))
-    several = several.groupBy("doc", "row", "n", "kind").agg(F.min("pos").alias("pos"), F.max_by("s.value", "pos").alias("value"))
-
-    n, value = F.col("n"), text.signed_amount(F.col("n"), F.col("kind"), F.col("value"))
-    label = F.length(F.regexp_replace(n, r"[¥0-9,.\-\s円()]", "")) <= 1
-    listed = one.unionByName(several).select("doc", "row", (F.col("row").cast("long") * 1000 + F.col("pos")).alias("seq"), n.alias("text"), value.alias("amount"), "kind", label.alias("bare"), *(c.alias(k) for k, c in amounts.row_marks(n).items()))
-    return amounts.inferred_totals(listed)
+    priced = F.exists("lines", lambda l: l["n"].rlike(MONEY_HEADER))  # noqa: E741
+
+    def entries(line: Column, kind: Column) -> Column:
+        n, count = line["n"], F.size(line["segs"])
+        head = n.rlike(MONEY_HEADER) & ~F.replace(n, F.lit("(円)"), F.lit("")).rlike("[0-9]{2,}")
+        bare = F.nullif(F.replace(F.regexp_extract(n, LAST_NUMBER, 2), F.lit(","), F.lit("")).try_cast("bigint"), F.lit(0).cast("bigint"))
+        late = (F.length(F.regexp_extract(n, LAST_NUMBER, 1)) >= 0.4 * F.length(n)) | (F.length(n) <= 12)
+        whole = F.when(line["amount"].isNotNull(), line["amount"]).when(count == 1, F.get(line["segs"], F.lit(0))["value"])
+        whole = whole.when((count == 0) & F.col("priced") & ~F.col("tabled") & ~head & late, bare)
+        one = F.filter(F.transform(F.array(whole), lambda v: F.struct(F.lit(0).alias("pos"), kind.alias("kind"), v.alias("value"))), lambda e: e["value"].isNotNull())
+        return F.when(line["amount"].isNull() & (count > 1), _several(line, kind)).otherwise(one)
+
+    def items_of(line: Column) -> Column:
+        n = line["n"]
+        label = F.length(F.regexp_replace(n, r"[¥0-9,.\-\s円()]", "")) <= 1
+        marks = [c.alias(k) for k, c in amounts.row_marks(n).items()]
+
+        def item(e: Column) -> Column:
+            return F.struct((line["row"].cast("long") * 1000 + e["pos"]).alias("seq"), n.alias("text"), text.signed_amount(n, e["kind"], e["value"]).alias("amount"), e["kind"].alias("kind"), label.alias("bare"), *marks)
+
+        return F.transform(text.bound(text.classify(n), lambda k: entries(line, k)), item)
+
+    listed = found.withColumn("priced", priced).withColumn("its", F.flatten(F.transform("lines", items_of))).drop("priced")
+    return listed.withColumn("its", amounts.with_inferred_total(F.col("its")))
+
+
+def items(found: DataFrame) -> DataFrame:
+    """doc, row, seq, text, amount, kind, inferred and the marks of each line item of `found`, as `with_items` makes them."""
+    return with_items(found).select("doc", F.inline("its")).withColumn("row", F.floor(F.col("seq") / 1000))
 
 
 # Tax by rate
 
 
-def rates(rows: DataFrame, segs: DataFrame) -> DataFrame:
-    """doc, rate: the tax rates of a document, of amounts and of rows that speak of tax (not notes)."""
-    spoken = rows.where(F.col("n").rlike(RATE_ROW) & ~F.col("n").rlike(RATE_NOTE)).select("doc", F.explode(F.regexp_extract_all("n", F.lit(RATE), F.lit(1))).alias("rate"))
-    return segs.where("rate IS NOT NULL").select("doc", "rate").union(spoken.select("doc", F.col("rate").cast("int"))).distinct()
-
-
-def breakdown(rows: DataFrame, segs: DataFrame) -> DataFrame:
-    """doc, rate, base, tax, mode and ok of each rate of a document."""
-    first = lambda kind, rated, c: F.min_by(F.when(kind, c), F.when(kind, F.col("at"))).alias(rated)
-    base, tax = F.struct("value", "label", "n"), F.struct("value", "label")
-    of_rate = segs.where("rate IS NOT NULL").groupBy("doc", "rate").agg(first(F.col("is_base"), "b", base), first(F.col("is_tax"), "t", tax))
-    unrated = segs.where("rate IS NULL AND is_tax").groupBy("doc").agg(F.min_by(tax, "at").alias("u"))
-    found = rates(rows, segs).withColumn("alone", F.count("*").over(Window.partitionBy("doc")) == 1)
-    found = found.join(of_rate, ["doc", "rate"], "left").join(unrated, "doc", "left").withColumn("t", F.coalesce("t", F.when(F.col("alone"), F.col("u"))))
-    words = F.concat_ws(" ", F.coalesce("b.label", F.lit("")), F.coalesce("b.n", F.lit("")), F.coalesce("t.label", F.lit("")))
-    forced = F.when(words.rlike(INSIDE), "内税").when(words.rlike(OUTSIDE), "外税")
-    checked = amounts.tax_mode(F.col("b.value"), F.col("t.value"), F.col("rate"), forced)
-    return found.select("doc", "rate", F.col("b.value").alias("base"), F.col("t.value").alias("tax"), checked["mode"].alias("mode"), checked["ok"].alias("ok"))
-
-
-def tax_totals(lines: DataFrame, segs: DataFrame) -> DataFrame:
-    """doc, tax_lines (structs of breakdown's columns, the higher rate first), total (the stated one) and total_ok (null where nothing can be compared)."""
-    total = F.max(F.when(F.col("label").rlike(TOTAL_ONLY) & ~F.col("label").rlike(NOT_TOTAL), F.col("value")))
-    stated = segs.groupBy("doc").agg(total.alias("total"))
-    known = F.col("base").isNotNull()
-    outside = F.when(known & ~F.coalesce(F.col("mode") == "内税", F.lit(False)), F.coalesce("tax", F.lit(0).cast("bigint"))).otherwise(0)
-    of_doc = lines.groupBy("doc").agg(
-        F.sort_array(F.collect_list(F.struct("rate", "base", "tax", "mode", "ok")), asc=False).alias("tax_lines"), F.count_if(known).alias("known"), F.sum("base").alias("inside"), F.sum(outside).alias("more"),
-    )
-    both = stated.join(of_doc, "doc", "full")
-    near = lambda x: F.abs(x - F.col("total")) <= F.col("known")
-    fits = near(F.col("inside")) | near(F.col("inside") + F.col("more"))
-    return both.select("doc", "tax_lines", "total", F.when(F.col("total").isNotNull() & (F.col("known") > 0), fits).alias("total_ok"))
+def _first(segs: str, test) -> Column:
+    return F.get(F.filter(segs, test), F.lit(0))
+
+
+def with_rates(found: DataFrame) -> DataFrame:
+    """`found` with segs, tax_lines (rate, base, tax, mode and ok of each tax rate of amounts and of rows that speak of tax, but for notes, the higher rate first), total (the stated one) and total_ok (null where nothing can be compared)."""
+    spoken = F.filter("lines", lambda l: l["n"].rlike(RATE_ROW) & ~l["n"].rlike(RATE_NOTE))  # noqa: E741
+    spoken = F.flatten(F.transform(spoken, lambda l: F.transform(F.regexp_extract_all(l["n"], F.lit(RATE), F.lit(1)), lambda r: r.cast("int"))))  # noqa: E741
+    known = found.withColumn("segs", segments())
+    rates = F.array_distinct(F.concat(F.filter(F.col("segs")["rate"], lambda r: r.isNotNull()), spoken))
+    known = known.withColumns({"_rates": F.sort_array(rates, asc=False), "_unrated": _first("segs", lambda s: s["rate"].isNull() & s["is_tax"])})
+
+    def line(rate: Column) -> Column:
+        base = _first("segs", lambda s: (s["rate"] == rate) & s["is_base"])
+        tax = F.coalesce(_first("segs", lambda s: (s["rate"] == rate) & s["is_tax"]), F.when(F.size("_rates") == 1, F.col("_unrated")))
+        return text.bound(F.struct(rate.alias("rate"), base.alias("b"), tax.alias("t")), checked)
+
+    def checked(x: Column) -> Column:
+        b, t = x["b"], x["t"]
+        words = F.concat_ws(" ", F.coalesce(b["label"], F.lit("")), F.coalesce(b["n"], F.lit("")), F.coalesce(t["label"], F.lit("")))
+        forced = F.when(words.rlike(INSIDE), "内税").when(words.rlike(OUTSIDE), "外税")
+        mode = text.bound(forced, lambda f: amounts.tax_mode(b["value"], t["value"], x["rate"], f))
+        return text.bound(mode, lambda m: F.struct(x["rate"].alias("rate"), b["value"].alias("base"), t["value"].alias("tax"), m["mode"].alias("mode"), m["ok"].alias("ok")))
+
+    known = known.withColumn("tax_lines", F.transform("_rates", line)).drop("_rates", "_unrated")
+    add = lambda values: F.aggregate(values, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    stated = F.filter("segs", lambda s: s["label"].rlike(TOTAL_ONLY) & ~s["label"].rlike(NOT_TOTAL))
+    based = F.filter("tax_lines", lambda x: x["base"].isNotNull())
+    outside = F.filter("_based", lambda x: ~F.coalesce(x["mode"] == "内税", F.lit(False)))
+    known = known.withColumns({"total": F.array_max(stated["value"]), "_based": based})
+    known = known.withColumns({"_inside": add(F.col("_based")["base"]), "_more": add(F.transform(outside, lambda x: F.coalesce(x["tax"], F.lit(0).cast("bigint"))))})
+    near = lambda x: F.abs(x - F.col("total")) <= F.size("_based")
+    fits = near(F.col("_inside")) | near(F.col("_inside") + F.col("_more"))
+    return known.withColumn("total_ok", F.when(F.col("total").isNotNull() & (F.size("_based") > 0), fits)).drop("_based", "_inside", "_more")
 
 
 # Facts
 
-SOME_TAX = f"exists(segs, s -> s.label RLIKE '{TAX_LABEL}')"
-#: Facts of a row, by SQL conditions over n and segs; a document has a fact if one of its rows has it.
+SOME_TAX = f"exists(l.segs, s -> s.label RLIKE '{TAX_LABEL}')"
+#: Facts of a line l, by SQL conditions over its n and segs; a document has a fact if one of its lines has it.
 ROW_FACTS = {
-    "firm_addressed": "contains(n, '御中')", "bill": f"n RLIKE '{fixed.BILL_TITLE}'", "receipt": f"n RLIKE '{RECEIPT}'", "retailer": rf"n RLIKE r'{RETAILER}' AND NOT n RLIKE '{RECIPIENT}'", "receipt_title": f"n RLIKE '{RECEIPT_TITLE}'",
-    "issuer": rf"n RLIKE r'{ISSUER}' AND NOT n RLIKE '{RECIPIENT}'", "recipient": f"n RLIKE '{RECIPIENT}'", "content": rf"n RLIKE '{CONTENT}' AND NOT n RLIKE r'{TAX_WORD}'",
-    "priced": rf"exists(segs, s -> s.marked) AND NOT n RLIKE r'{TAX_WORD}' AND NOT n RLIKE '{TOTAL_WORD}'", "eight": r"n RLIKE r'8\s?%'",
-    "reduced": r"contains(n, '軽減') OR n RLIKE r'8\s?%' AND n RLIKE '軽減|※|[*]|★|☆|#'", "starred": "n RLIKE '^[*]|[※★☆]' AND exists(segs, s -> s.marked)",
-    "total_row": rf"(n RLIKE '{TOTAL_ROW}' OR n RLIKE r'{LEADING_AMOUNT}') AND NOT n RLIKE '小計|対象' AND size(segs) > 0",
-    "taxed": SOME_TAX, "tax_word": rf"n RLIKE r'{TAX_WORD}'", "rated": f"exists(segs, s -> s.rate IS NOT NULL AND NOT s.label RLIKE '{TAX_LABEL}')", "rate_row": rf"n RLIKE r'{RATE_ANYWHERE}' AND (NOT n RLIKE '{RATE_NOTE}' OR size(segs) > 0)",
+    "firm_addressed": "contains(l.n, '御中')", "bill": f"l.n RLIKE '{fixed.BILL_TITLE}'", "receipt": f"l.n RLIKE '{RECEIPT}'", "retailer": rf"l.n RLIKE r'{RETAILER}' AND NOT l.n RLIKE '{RECIPIENT}'", "receipt_title": f"l.n RLIKE '{RECEIPT_TITLE}'",
+    "issuer": rf"l.n RLIKE r'{ISSUER}' AND NOT l.n RLIKE '{RECIPIENT}'", "recipient": f"l.n RLIKE '{RECIPIENT}'", "content": rf"l.n RLIKE '{CONTENT}' AND NOT l.n RLIKE r'{TAX_WORD}'",
+    "priced": rf"exists(l.segs, s -> s.marked) AND NOT l.n RLIKE r'{TAX_WORD}' AND NOT l.n RLIKE '{TOTAL_WORD}'", "eight": r"l.n RLIKE r'8\s?%'",
+    "reduced": r"contains(l.n, '軽減') OR l.n RLIKE r'8\s?%' AND l.n RLIKE '軽減|※|[*]|★|☆|#'", "starred": "l.n RLIKE '^[*]|[※★☆]' AND exists(l.segs, s -> s.marked)",
+    "total_row": rf"(l.n RLIKE '{TOTAL_ROW}' OR l.n RLIKE r'{LEADING_AMOUNT}') AND NOT l.n RLIKE '小計|対象' AND size(l.segs) > 0",
+    "taxed": SOME_TAX, "tax_word": rf"l.n RLIKE r'{TAX_WORD}'", "rated": f"exists(l.segs, s -> s.rate IS NOT NULL AND NOT s.label RLIKE '{TAX_LABEL}')", "rate_row": rf"l.n RLIKE r'{RATE_ANYWHERE}' AND (NOT l.n RLIKE '{RATE_NOTE}' OR size(l.segs) > 0)",
 }
 #: Facts whose rows are shown as evidence.
 SHOWN = ("issuer", "recipient", "content", "priced", "total_row", "taxed", "tax_word", "rated", "rate_row")
 
 
-def facts(rows: DataFrame, documents: DataFrame, today) -> DataFrame:
-    """A row per document: ROW_FACTS, the rows that show them (_issuer and so on: three at most) and its dates (structs of text, parsed)."""
-    known = rows.join(documents.select("doc", "digits"), "doc")
-    held = F.contains(F.regexp_replace("n", "[^0-9]", ""), F.right("digits", F.lit(8)))
-    home = F.coalesce(F.min(F.when(held, F.col("place"))).over(Window.partitionBy("doc")), F.lit(0))
-    told = known.select("doc", "place", "n", home.alias("home"), text.parse_date(F.col("n"), F.lit(today).cast("date")).alias("date"), *(F.coalesce(F.expr(c), F.lit(False)).alias(k) for k, c in ROW_FACTS.items()))
-    rank = {"issuer": F.abs(F.col("place") - F.col("home"))}
+def with_facts(found: DataFrame, today) -> DataFrame:
+    """`found` (digits, lines) with ROW_FACTS, the rows that show them (_issuer and so on: three at most), its dates (structs of text, parsed) and its rows (texts)."""
+    tail = F.right("digits", F.lit(8))
+    held = F.transform("lines", lambda l: F.contains(F.regexp_replace(l["n"], "[^0-9]", ""), tail))  # noqa: E741
+    known = found.withColumn("_home", F.greatest(F.coalesce(F.array_position(held, F.lit(True)), F.lit(0)) - 1, F.lit(0)))
 
     def shown(k: str) -> Column:
-        some = F.array_sort(F.collect_list(F.when(F.col(k), F.struct(rank.get(k, F.col("place")).alias("rank"), "place", F.left("n", F.lit(40)).alias("n")))))
-        return F.slice(some["n"], 1, 3).alias(f"_{k}")
+        listed = F.expr(f"filter(transform(lines, (l, i) -> struct(l.n AS n, i AS at, {ROW_FACTS[k]} AS told)), x -> x.told)")
+        order = lambda x: F.struct((F.abs(x["at"] - F.col("_home")) if k == "issuer" else x["at"]).alias("rank"), x["at"].alias("place"), F.left(x["n"], F.lit(40)).alias("n"))
+        return F.slice(F.array_sort(F.transform(listed, order))["n"], 1, 3)
 
-    dates = F.array_sort(F.collect_list(F.when(F.col("date").isNotNull(), F.struct("place", F.left(F.regexp_extract("n", text.DATE, 0), F.lit(30)).alias("text"), F.col("date").alias("d")))))
-    return told.groupBy("doc").agg(*(F.bool_or(k).alias(k) for k in ROW_FACTS), *(shown(k) for k in SHOWN), dates.alias("dates"), F.array_sort(F.collect_list(F.struct("place", "n")))["n"].alias("rows"))
+    dated = F.transform("lines", lambda l: F.struct(F.left(F.regexp_extract(l["n"], text.DATE, 0), F.lit(30)).alias("text"), text.parse_date(l["n"], F.lit(today).cast("date")).alias("d")))  # noqa: E741
+    known = known.withColumns({f"_{k}": shown(k) for k in SHOWN} | {"dates": F.filter(dated, lambda x: x["d"].isNotNull()), "rows": F.when(F.size("lines") > 0, F.col("lines")["n"])})
+    return known.withColumns({k: F.size(f"_{k}") > 0 if k in SHOWN else F.expr(f"exists(lines, l -> coalesce({c}, false))") for k, c in ROW_FACTS.items()})
 
 
 # Rules
@@ -239,15 +274,12 @@ def yen(x: Column) -> Column:
     return F.concat(F.lit("¥"), F.format_number(x, 0))
 
 
-def check(rows: DataFrame, documents: DataFrame, segs: DataFrame, lines: DataFrame, today) -> DataFrame:
-    """A row per document: items (structs of id, status, message, evidence), statuses (map), simplified, kind_source, summary, summary_text, tax_lines, total, total_ok, rows (texts).
+def check(found: DataFrame, today) -> DataFrame:
+    """`found` (documents with lines, segs, tax_lines, total and total_ok) with items (structs of id, status, message, evidence), statuses (map), simplified, kind_source, summary, summary_text and rows (texts).
 
-    documents: doc, digits, weak, corrected, kind (auto, normal or simplified; null: auto); one without rows has no facts.
+    documents: doc, digits, weak, corrected, kind (auto, normal or simplified; null: auto); one without lines has no facts.
     """
-    found = documents.select("doc", "digits", F.coalesce("weak", F.lit(False)).alias("weak"), F.coalesce("corrected", F.lit(False)).alias("corrected"), F.coalesce("kind", F.lit("auto")).alias("kind"))
-    found = found.join(facts(rows, documents, today), "doc", "left").join(tax_totals(lines, segs), "doc", "left")
-    found = found.withColumns({k: F.coalesce(k, F.lit(False)) for k in ROW_FACTS})
-    found = found.withColumns({c: F.coalesce(c, F.expr(f"cast(array() AS {found.schema[c].dataType.simpleString()})")) for c in ("dates", "tax_lines", *(f"_{k}" for k in SHOWN))})
+    found = with_facts(found.withColumns({"weak": F.coalesce("weak", F.lit(False)), "corrected": F.coalesce("corrected", F.lit(False)), "kind": F.coalesce("kind", F.lit("auto"))}), today)
     percent = lambda kept: F.array_join(F.transform(F.filter("tax_lines", kept), lambda x: F.concat(x["rate"].cast("string"), F.lit("%"))), "・")
     normal = F.col("firm_addressed") | F.col("bill")
     strong = ~normal & (F.col("receipt") | F.col("retailer"))
@@ -275,30 +307,34 @@ def check(rows: DataFrame, documents: DataFrame, segs: DataFrame, lines: DataFra
     said = F.when(summary == "ok", "記載事項がそろっている可能性が高いです").when(summary == "warn", "一部、自動では確認できない項目があります").otherwise("確認できない記載事項があります")
     source = F.when(~auto, "manual").when(F.col("unsure"), "auto-weak").otherwise("auto")
     statuses = F.map_from_entries(F.transform("items", lambda x: F.struct(x["id"], x["status"])))
-    return found.select("doc", "digits", "items", statuses.alias("statuses"), "simplified", source.alias("kind_source"), summary.alias("summary"), said.alias("summary_text"), "tax_lines", "total", "total_ok", "rows")
+    return found.withColumns({"statuses": statuses, "kind_source": source, "summary": summary, "summary_text": said})
+
+
+REPORT = ("digits", "items", "statuses", "simplified", "kind_source", "summary", "summary_text", "tax_lines", "total", "total_ok", "rows")
 
 
 def analyse(rows: DataFrame, documents: DataFrame, today, from_table: DataFrame | None = None) -> DataFrame:
-    """A row per document: amount, source, items_sum, doc_total, tax_total, match and the columns of `check`.
+    """A row per document: amount, source, items_sum, doc_total, tax_total, match and REPORT's columns (see `check`).
+
+    rows: doc, row, text. documents: doc, digits, weak, corrected, kind. from_table: doc, row, amount, tabled (whether the document has a table).
 
-    rows: doc, row, text. documents: doc, digits, weak, corrected, kind. from_table: as `items` takes it.
+    A document's rows are gathered into one by a single shuffle; all that follows is columns of that row. The one join, with `documents`, is by sorting:
+    both sides grow with the documents, and sizes estimated from files of keys would have one of them sent to the driver whole.
     """
-    spelled = marked(rows)
-    segs = segments(spelled)
-    lines = breakdown(spelled, segs)
-    report = check(spelled, documents, segs, lines, today)
-    sums = amounts.summary(items(spelled, from_table)).withColumnRenamed("items", "n_items")
-    both = report.join(sums, "doc", "left")
-    value = amounts.document_amount(F.col("doc_total"), F.col("total"), F.col("items_sum"), F.coalesce("n_items", F.lit(0)))
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return both.select("doc", value["value"].alias("amount"), value["source"].alias("source"), zero("items_sum"), "doc_total", zero("tax_total"), "match", *(c for c in report.columns if c != "doc"))
+    if from_table is not None:
+        tabled = from_table.groupBy("doc").agg(F.bool_or("tabled").alias("tabled"))
+        rows = rows.select("doc", "row", "text").join(from_table.select("doc", "row", "amount").hint("merge"), ["doc", "row"], "left").join(tabled.hint("merge"), "doc", "left")
+    lines = gathered(rows)
+    none = F.expr(f"cast(array() AS {lines.schema['lines'].dataType.simpleString()})")
+    found = documents.select("doc", "digits", "weak", "corrected", "kind").join(lines.hint("merge"), "doc", "left").withColumns({"lines": F.coalesce("lines", none), "tabled": F.coalesce("tabled", F.lit(False))})
+    report = amounts.summed(with_items(check(with_rates(scanned(found)), today)), F.col("its"))
+    value = amounts.document_amount(F.col("doc_total"), F.col("total"), F.col("items_sum"), F.col("n_items"))
+    return report.select("doc", value["value"].alias("amount"), value["source"].alias("source"), "items_sum", "doc_total", "tax_total", "match", *REPORT)
 
 
 def consistency(rows: DataFrame) -> DataFrame:
     """doc, ok, message and lines of documents where a rate's base and tax can be compared: rows of doc, row, text."""
-    spelled = marked(rows)
-    nobody = spelled.select("doc").distinct().select("doc", *(F.lit(None).cast(t).alias(c) for c, t in (("digits", "string"), ("weak", "boolean"), ("corrected", "boolean"), ("kind", "string"))))
-    segs = segments(spelled)
-    found = check(spelled, nobody, segs, breakdown(spelled, segs), "2000-01-01")
+    nobody = {c: F.lit(None).cast(t) for c, t in (("digits", "string"), ("weak", "boolean"), ("corrected", "boolean"), ("kind", "string"))}
+    found = check(with_rates(marked(rows).withColumns(nobody)), "2000-01-01")
     item = F.get(F.filter("items", lambda x: x["id"] == "consistency"), F.lit(0))
     return found.select("doc", item.alias("i")).where("i IS NOT NULL").select("doc", (F.col("i.status") == "ok").alias("ok"), F.col("i.message").alias("message"), F.col("i.evidence").alias("lines"))
