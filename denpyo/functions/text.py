@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 HYPHENS = "‐‑‒–—―−ーｰ－﹣"
 
 
+_LETTERS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+_WIDE, _HALF = "".join(chr(ord(c) + 0xFEE0) for c in _LETTERS) + HYPHENS + "　", _LETTERS + "-" * len(HYPHENS) + " "
+
+
 def half_width(s: Column) -> Column:
     """Full-width letters and digits, hyphens (the long vowel mark too) and the wide space to their ASCII forms."""
-    wide = "".join(chr(ord(c) + 0xFEE0) for c in "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
-    plain = "".join(chr(ord(c) - 0xFEE0) for c in wide)
-    return F.translate(s, wide + HYPHENS + "　", plain + "-" * len(HYPHENS) + " ")
+    return F.translate(s, _WIDE, _HALF)
 
 
 # Simplified characters and the Japanese forms they stand for, place by place.
@@ -46,13 +48,21 @@ def stripped(s: Column) -> Column:
 
 
 def plain_signs(s: Column) -> Column:
-    return F.translate(F.translate(half_width(s), SIMPLIFIED, JAPANESE), SIGNS, PLAIN_SIGNS)
+    """Half width, Japanese forms and plain signs, by one table (no form of one step is changed by another)."""
+    return F.translate(s, _WIDE + SIMPLIFIED + SIGNS, _HALF + JAPANESE + PLAIN_SIGNS)
+
+
+#: What a text has if any pattern of SPELLING changes it.
+MISSPELT = rf"{BLANK}|[OolI|]|96|%6|0/0"
 
 
 def spelled(t: Column) -> Column:
-    for pattern, to in SPELLING:
-        t = F.regexp_replace(t, blanks(pattern), to)
-    return t
+    def put_right(n: Column) -> Column:
+        for pattern, to in SPELLING:
+            n = F.regexp_replace(n, blanks(pattern), to)
+        return n
+
+    return bound(t, lambda n: F.when(n.rlike(MISSPELT), put_right(n)).otherwise(n))
 
 
 def normalize_row(s: Column) -> Column:
