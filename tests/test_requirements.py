@@ -99,3 +99,20 @@ def test_amounts_from_a_table(spark):
     table = spark.createDataFrame([("t", 1, 1000, True), ("t", 2, 2000, True), ("t", 3, 3000, True)], "doc string, row int, amount long, tabled boolean")
     r = R.analyse(rows, documents, TODAY, table).first()
     assert (r.items_sum, r.doc_total, r.match) == (3000, 3000, "equal")
+
+
+def test_one_shuffle_of_rows_and_nothing_sent_to_the_driver(spark):
+    rows, documents = frames(spark, {k: CASES[k] for k in ("outer", "missing")})
+    plan = R.analyse(rows, documents, TODAY)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("Exchange hashpartitioning") == 2, plan  # of rows and of documents
+
+
+@pytest.mark.parametrize("text", ("内消貿税等10%¥3", "清求書 12", "領收書99", "10%対像 1,234", "合計 ¥5", "99 登録督号 T1 8"))
+def test_repair_does_not_depend_on_digits(text):
+    from denpyo.operators import keywords
+
+    other = text.translate(str.maketrans("0123456789", "9081726354"))
+    assert keywords.repair(text).translate(str.maketrans("0123456789", "9081726354")) == keywords.repair(other)
+    keywords._repaired.cache_clear()
+    keywords.repair(text), keywords.repair(other)
+    assert keywords._repaired.cache_info().misses == 1
