@@ -99,17 +99,17 @@ def with_items(found: DataFrame) -> DataFrame:
     """
     priced = F.exists("lines", lambda l: l["n"].rlike(MONEY_HEADER))  # noqa: E741
 
-    def entries(line: Column, kind: Column) -> Column:
+    def entries(line: Column, kind: Column, priced: Column) -> Column:
         n, count = line["n"], F.size(line["segs"])
         head = n.rlike(MONEY_HEADER) & ~F.replace(n, F.lit("(円)"), F.lit("")).rlike("[0-9]{2,}")
         bare = F.nullif(F.replace(F.regexp_extract(n, LAST_NUMBER, 2), F.lit(","), F.lit("")).try_cast("bigint"), F.lit(0).cast("bigint"))
         late = (F.length(F.regexp_extract(n, LAST_NUMBER, 1)) >= 0.4 * F.length(n)) | (F.length(n) <= 12)
         whole = F.when(line["amount"].isNotNull(), line["amount"]).when(count == 1, F.get(line["segs"], F.lit(0))["value"])
-        whole = whole.when((count == 0) & F.col("priced") & ~F.col("tabled") & ~head & late, bare)
+        whole = whole.when((count == 0) & priced & ~F.col("tabled") & ~head & late, bare)
         one = F.filter(F.transform(F.array(whole), lambda v: F.struct(F.lit(0).alias("pos"), kind.alias("kind"), v.alias("value"))), lambda e: e["value"].isNotNull())
         return F.when(line["amount"].isNull() & (count > 1), _several(line, kind)).otherwise(one)
 
-    def items_of(line: Column) -> Column:
+    def items_of(line: Column, priced: Column) -> Column:
         n = line["n"]
         label = F.length(F.regexp_replace(n, r"[¥0-9,.\-\s円()]", "")) <= 1
         marks = [c.alias(k) for k, c in amounts.row_marks(n).items()]
@@ -117,15 +117,15 @@ def with_items(found: DataFrame) -> DataFrame:
         def item(e: Column) -> Column:
             return F.struct((line["row"].cast("long") * 1000 + e["pos"]).alias("seq"), n.alias("text"), text.signed_amount(n, e["kind"], e["value"]).alias("amount"), e["kind"].alias("kind"), label.alias("bare"), *marks)
 
-        return F.transform(text.bound(text.classify(n), lambda k: entries(line, k)), item)
+        return F.transform(text.bound(text.classify(n), lambda k: entries(line, k, priced)), item)
 
-    listed = found.withColumn("priced", priced).withColumn("its", F.flatten(F.transform("lines", items_of))).drop("priced")
+    listed = found.withColumn("its", text.bound(priced, lambda p: F.flatten(F.transform("lines", lambda line: items_of(line, p)))))
     return listed.withColumn("its", amounts.with_inferred_total(F.col("its")))
 
 
 def items(found: DataFrame) -> DataFrame:
     """doc, row, seq, text, amount, kind, inferred and the marks of each line item of `found`, as `with_items` makes them."""
-    return with_items(found).select("doc", F.inline("its")).withColumn("row", F.floor(F.col("seq") / 1000))
+    return with_items(found).select("doc", F.inline_outer("its")).where(F.col("seq").isNotNull()).withColumn("row", F.floor(F.col("seq") / 1000))
 
 
 # Tax by rate
@@ -187,15 +187,19 @@ def with_facts(found: DataFrame, today) -> DataFrame:
     """`found` (digits, lines) with ROW_FACTS, the rows that show them (_issuer and so on: three at most), its dates (structs of text, parsed) and its rows (texts)."""
     tail = F.right("digits", F.lit(8))
     held = F.transform("lines", lambda l: F.contains(F.regexp_replace(l["n"], "[^0-9]", ""), tail))  # noqa: E741
-    known = found.withColumn("_home", F.greatest(F.coalesce(F.array_position(held, F.lit(True)), F.lit(0)) - 1, F.lit(0)))
+    home = F.greatest(F.coalesce(F.array_position(held, F.lit(True)), F.lit(0)) - 1, F.lit(0))
 
     def shown(k: str) -> Column:
+        # Bound, as the engine would look for the number's line anew for each line.
+        return text.bound(home, lambda at: nearest(k, at)) if k == "issuer" else nearest(k, F.lit(0))
+
+    def nearest(k: str, at: Column) -> Column:
         listed = F.expr(f"filter(transform(lines, (l, i) -> struct(l.n AS n, i AS at, {ROW_FACTS[k]} AS told)), x -> x.told)")
-        order = lambda x: F.struct((F.abs(x["at"] - F.col("_home")) if k == "issuer" else x["at"]).alias("rank"), x["at"].alias("place"), F.left(x["n"], F.lit(40)).alias("n"))
+        order = lambda x: F.struct(F.abs(x["at"] - at).alias("rank"), x["at"].alias("place"), F.left(x["n"], F.lit(40)).alias("n"))
         return F.slice(F.array_sort(F.transform(listed, order))["n"], 1, 3)
 
     dated = F.transform("lines", lambda l: F.struct(F.left(F.regexp_extract(l["n"], text.DATE, 0), F.lit(30)).alias("text"), text.parse_date(l["n"], F.lit(today).cast("date")).alias("d")))  # noqa: E741
-    known = known.withColumns({f"_{k}": shown(k) for k in SHOWN} | {"dates": F.filter(dated, lambda x: x["d"].isNotNull()), "rows": F.when(F.size("lines") > 0, F.col("lines")["n"])})
+    known = found.withColumns({f"_{k}": shown(k) for k in SHOWN} | {"dates": F.filter(dated, lambda x: x["d"].isNotNull()), "rows": F.when(F.size("lines") > 0, F.col("lines")["n"])})
     return known.withColumns({k: F.size(f"_{k}") > 0 if k in SHOWN else F.expr(f"exists(lines, l -> coalesce({c}, false))") for k, c in ROW_FACTS.items()})
 
 
