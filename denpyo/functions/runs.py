@@ -22,9 +22,9 @@ def run_starts(items: Column, joins: Callable[[Column, Column], Column]) -> Colu
     """
 
     def step(done: Column, i: Column) -> Column:
-        run, item = F.slice(items, done["last"], i - done["last"]), F.element_at(items, i)
         fresh = F.struct(i.alias("last"), F.concat(done["starts"], F.array(i)).alias("starts"))
-        return F.when(joins(run, item), done).otherwise(fresh)
+        going_on = bound(F.slice(items, done["last"], i - done["last"]), lambda run: bound(F.element_at(items, i), lambda item: joins(run, item)))
+        return F.when(going_on, done).otherwise(fresh)
 
     begun = F.struct(F.lit(1).alias("last"), F.array(F.lit(1)).alias("starts"))
     rest = F.when(F.size(items) > 1, F.sequence(F.lit(2), F.size(items))).otherwise(F.expr("cast(array() AS array<int>)"))
